@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import mixing, packing
+from parcelspark.llm import ann, chat, embed_dedup, lm_score, minhash, mixing, packing, quality, sharding, url_filter
 from parcelspark.llm.common import table
 
 
@@ -26,7 +26,47 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_mixing)}
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.cross_entropy_difference(docs, table(spark, sf_dir, "benchmark"), docs)
+
+
+def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", F.col("__url_host").alias("host"), F.col("__url_path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"))
+
+
+def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op3_nearest_neighbours, op4_minhash_forest, op5_embedding_dedup, op6_cross_entropy_difference, op7_extendible_sharding, op8_url_filter, op9_quality_nbsvm, op10_chat_collapse)}
 
 ORACLES: dict[str, str] = {
     "op2_mixing": r"""
@@ -45,4 +85,15 @@ p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS B
 SELECT d.doc_id, d.size, r.source_size, r.target,
     CAST(r.epochs * d.size + CASE WHEN p.before + p.size <= r.left_words THEN d.size WHEN p.before < r.left_words THEN least(d.size, floor((r.left_words - p.before) / p.n)) ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.key = p.key""",
+    "op7_extendible_sharding": """
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS h FROM documents),
+b AS (SELECT *, lpad(bin(h), 48, '0') AS bits FROM d),
+e AS (SELECT *, unnest(range(0, 49)) AS depth FROM b),
+s AS (SELECT substr(bits, 1, depth) AS shard, depth, sum(n_bytes) AS shard_bytes FROM e GROUP BY 1, 2 HAVING sum(n_bytes) <= 1048576),
+f AS (SELECT e.doc_id, e.n_bytes, s.shard, s.depth, s.shard_bytes, row_number() OVER (PARTITION BY e.doc_id ORDER BY s.depth) AS k FROM e JOIN s ON s.depth = e.depth AND s.shard = substr(e.bits, 1, e.depth))
+SELECT doc_id, n_bytes, shard, CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f WHERE k = 1""",
+    "op10_chat_collapse": """
+WITH c AS (SELECT conv_id, count(*) AS n, list(coalesce(role, '?') || chr(1) || coalesce(text, '?') ORDER BY turn, role, text) AS said FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, n FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.said[1] = c.said[1] AND o.conv_id <> c.conv_id AND (o.n > c.n OR o.n = c.n AND o.conv_id < c.conv_id) AND o.said[1:c.n] = c.said))
+SELECT conv_id, turn, role, n AS n_turns, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM conversations JOIN k USING (conv_id)""",
 }
