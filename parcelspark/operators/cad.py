@@ -53,8 +53,9 @@ def layer_class(hay: Column, geom_type: Column) -> Column:
 
 def classified(entities: DataFrame) -> DataFrame:
     """Entities of a supported type with their class, those that fit it only."""
-    rows = entities.filter(F.col("geom_type").isin(SUPPORTED)).withColumn("__hay", F.concat(layer_text(F.col("layer")), F.lit(" "), layer_text(F.col("label"))))
-    rows = rows.withColumn("cls", layer_class(F.col("__hay"), F.col("geom_type"))).drop("__hay")
+    hay = F.concat(layer_text(F.col("layer")), F.lit(" "), layer_text(F.col("label")))
+    # A variable of a lambda holds the text, so that it is normalised once and not once for each class.
+    rows = entities.filter(F.col("geom_type").isin(SUPPORTED)).withColumn("cls", F.get(F.transform(F.array(hay), lambda h: layer_class(h, F.col("geom_type"))), F.lit(0)))
     texts, outlines = (F.col("geom_type").isin(t) for t in (TEXT_TYPES, OUTLINE_TYPES))
     return rows.filter((F.col("cls").isin(TEXTS) & texts) | (F.col("cls").isin(OUTLINES) & outlines))
 

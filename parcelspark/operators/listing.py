@@ -91,3 +91,13 @@ def markdown_report(counts: DataFrame, title: str) -> DataFrame:
     line = F.concat(F.lit("| "), "error_type", F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
     body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
     return counts.agg(F.concat(F.lit(f"# {title}\n\n| type | n |\n|---|---|\n"), body).alias("report"))
+
+
+def renumbered(rows: DataFrame, order: str, span: int = 4096) -> DataFrame:
+    """rows with ``position``, their number from 0 in the order of a whole-number column: ranges of it are counted and added up first, so no task numbers all rows."""
+    rows = rows.withColumn("__range", F.floor(F.col(order) / span))
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__range", before.alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    return rows.join(starts, "__range").withColumn("position", F.col("__start") + place).drop("__range", "__start")
