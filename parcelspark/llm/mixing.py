@@ -58,26 +58,24 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EP
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with source_size, target, size, epochs, extra (words taken once more) and taken = epochs * size + extra."""
+    """For each row of docs: row (all its columns), size, source_size, target, epochs, extra (words taken once more) and taken = epochs * size + extra."""
     per_source, n = plan(docs, weights, most, seed)
-    small = per_source.select(*[F.col(c).alias(f"__{c}") for c in per_source.columns])
-    small = F.broadcast(small) if n <= BROADCAST_SOURCES else small
-    key, size = order_key(F.col("doc_id"), seed), F.col("__size")
-    extra = F.when(F.col("__key") < F.col("__cut_key"), size).when(F.col("__key") == F.col("__cut_key"), F.least(size, F.floor(F.col("__cut_words") / F.col("__cut_rows")))).otherwise(F.lit(0))
-    d = docs.withColumn("__key", key).withColumn("__size", word_count(F.col("text")))
-    d = d.join(small, d["source"].eqNullSafe(small["__source"]), "left").withColumn("__extra", extra.cast("long"))
-    return d.select(*docs.columns, size.alias("__size"), "__source_size", "__target", "__epochs", "__extra", (F.col("__epochs") * size + F.col("__extra")).cast("long").alias("__taken"))
+    small = F.broadcast(per_source) if n <= BROADCAST_SOURCES else per_source
+    extra = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.least("size", F.floor(F.col("cut_words") / F.col("cut_rows")))).otherwise(F.lit(0))
+    d = docs.select(F.struct("*").alias("row"), order_key(F.col("doc_id"), seed).alias("key"), word_count(F.col("text")).alias("size"), F.col("source").alias("of"))
+    d = d.join(small, d["of"].eqNullSafe(small["source"]), "left").withColumn("extra", extra.cast("long"))
+    return d.select("row", "size", "source_size", "target", "epochs", "extra", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixture itself, with the columns of docs: each document as often as it is taken, and of the one at a source's cut its first words only. n_chars, where there is one, follows the text."""
     d = taken(docs, weights, most, seed)
-    part = (F.col("__extra") > 0) & (F.col("__extra") < F.col("__size"))
-    copies = F.col("__epochs") + F.when(F.col("__extra") > 0, 1).otherwise(0)
-    d = d.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    copies = F.col("epochs") + F.when(F.col("extra") > 0, 1).otherwise(0)
+    d = d.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     # A text falls apart after each of its words, so that its first words are joined again as they stood.
-    first = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(F.col("__extra"), F.lit(1)).cast("int")), "")
-    cut = part & (F.col("__copy") > F.col("__epochs"))
-    text = F.when(cut, first).otherwise(F.col("text"))
-    out = {"text": text} | ({"n_chars": F.when(cut, F.length(first).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return d.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    first = F.array_join(F.slice(F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(F.col("extra"), F.lit(1)).cast("int")), "")
+    cut = (F.col("extra") > 0) & (F.col("extra") < F.col("size")) & (F.col("copy") > F.col("epochs"))
+    row = F.col("row").withField("text", F.when(cut, first).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(cut, F.length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return d.select(row.alias("row")).select("row.*")
