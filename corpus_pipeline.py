@@ -18,7 +18,7 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier scores below its threshold; labels of held-out rows are not learned from."""
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
-    return docs.withColumn("__score", quality.score(F.col("text"), model)).filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    return docs.filter(quality.score(F.col("text"), model) >= quality.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
