@@ -43,7 +43,8 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         deep = materialise(cells.withColumn("depth", F.explode(F.sequence(F.lit(coarse), F.lit(fine)))))
         sums = deep.groupBy("depth", F.expr(f"shiftright(cell, {fine} - depth)").alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"))
         fits = F.when(F.col("shard_bytes") <= limit, F.struct("depth", "shard_bytes"))
-        found = deep.select("cell", "depth", F.expr(f"shiftright(cell, {fine} - depth)").alias("prefix")).join(sums, ["depth", "prefix"]).groupBy("cell").agg(F.min(fits).alias("fit"))
+        # The written table packs so well that its size on disk would pass for one to broadcast; its rows grow with the input.
+        found = deep.select("cell", "depth", F.expr(f"shiftright(cell, {fine} - depth)").alias("prefix")).hint("merge").join(sums, ["depth", "prefix"]).groupBy("cell").agg(F.min(fits).alias("fit"))
         placed = todo.withColumn("cell", F.shiftright("hash", BITS - fine)).join(found, "cell")
         settled = placed.filter("fit is not null").select("doc_id", "n_bytes", _prefix(F.col("hash"), F.col("fit.depth")).alias("shard"), F.col("fit.depth").alias("depth"), F.col("fit.shard_bytes").alias("shard_bytes"))
         done = settled if done is None else done.unionByName(settled)
