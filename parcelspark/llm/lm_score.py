@@ -1,6 +1,8 @@
 """Cross-entropy difference of each document under a target and a background n-gram model.
 
-Both are word bigram models that back off to words, over one vocabulary: ``WORDS`` slots that all words of either corpus are hashed to (A-Z lower-cased), and ``PAIRS`` slots for word pairs. Counts cover every document; each task adds up those of its texts, and Spark sums them by slot. The models are matched: the same vocabulary, order and smoothing, and the background's counts are scaled to the target's total, so that the sizes of the two corpora do not tell. What is sent to every task are the two tables of counts, whose size the slots bound.
+Both are word bigram models that back off to words, over one vocabulary: the words of either corpus (A-Z lower-cased) and one more for all unseen words. Counts are exact and cover every document: each task adds up the pairs of its texts, and Spark sums them by pair, in a table that grows with the corpora. The models are matched: the same vocabulary, order and smoothing, and the background's counts are scaled to the target's total, so that the sizes of the two corpora do not tell.
+
+A word's loss is settled by the pair that it ends, so the table of pairs gets both losses, and a document's losses are sums over its pairs. Pairs that make up at least one part in ``HEAVY_PAIRS`` of all words, of which there are at most so many, are sent to every task and summed there; the others, none of which is frequent, are joined. Words are looked up for pairs in the same two ways. Losses are whole numbers of ``1 / UNIT``, so sums do not depend on their order.
 
 loss = mean over words of -ln p(word | word before), and score = target_loss - background_loss: the lower, the more a document resembles the target.
 
@@ -10,86 +12,130 @@ Defined results: a null, empty or blank text has 0 tokens and null losses and sc
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm.common import materialise
 from parcelspark.llm.words import chunks, mixed
 
-WORDS, PAIRS = 1 << 20, 1 << 21
+#: Stands for the word before a text's first.
+START = 0
+HEAVY_PAIRS, HEAVY_WORDS = 1 << 20, 1 << 16
+#: Pairs that a task holds before it passes them on.
+HELD = 1 << 20
 #: Weight of the lower order in each: of the uniform distribution, and of the words.
 UNIFORM, BACKOFF = 1.0, 4.0
+UNIT = 1 << 30
+
 
+def _pairs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the word before, hash of the pair) of each word."""
+    before = np.r_[np.uint64(START), hashes[:-1]] if len(hashes) else hashes
+    before[at[:-1][np.diff(at) > 0]] = START
+    return before, mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
 
-def _slots(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each word, slot of the word before or WORDS at a text's start, slot of the pair)."""
-    word = (hashes % np.uint64(WORDS)).astype(np.int64)
-    before = np.r_[WORDS, word[:-1]] if len(word) else word
-    first = at[:-1][np.diff(at) > 0]
-    before[first] = WORDS
-    left = np.r_[np.uint64(0), hashes[:-1]] if len(word) else hashes
-    left[first] = 0
-    pair = (mixed(left * np.uint64(0x9E3779B97F4A7C15) + hashes) % np.uint64(PAIRS)).astype(np.int64)
-    return word, before, pair
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    pair, before, word, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+    pair, first, to = np.unique(pair, return_index=True, return_inverse=True)
+    return pair, before[first], word[first], np.bincount(to, weights=n, minlength=len(pair)).astype(np.int64)
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots: words, then a text's start, then pairs."""
-    counts = np.zeros(WORDS + 1 + PAIRS, dtype=np.int64)
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def passed_on(most: int) -> Iterator[pa.RecordBatch]:
+        if sum(len(h[0]) for h in held) <= most:
+            return
+        held[:] = [_merged(held)]
+        if len(held[0][0]) > most // 2:
+            whole = held.pop()
+            for k in range(0, len(whole[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].view(np.int64)) for c in whole], names=["pair", "before", "word", "n"])
+
     for batch in batches:
         for _, _, _, _, hashes, at in chunks(batch["text"]):
-            word, _, pair = _slots(hashes, at)
-            np.add.at(counts, word, 1)
-            np.add.at(counts, WORDS + 1 + pair, 1)
-            counts[WORDS] += int((np.diff(at) > 0).sum())
-    used = np.flatnonzero(counts)
-    for k in range(0, len(used), 100_000):
-        part = used[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
+            before, pair = _pairs(hashes, at)
+            pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+            held.append((pair, before[first], hashes[first], n))
+            yield from passed_on(HELD)
+    yield from passed_on(0)
+
+
+def pair_counts(target: DataFrame, background: DataFrame, docs: DataFrame) -> DataFrame:
+    """pair, before, word (hashes), t and b (how often in the target and the background) and n (also in docs), for all pairs of the three."""
+    found = []
+    for corpus, t, b in ((target, 1, 0), (background, 0, 1), *([] if docs is background else [(docs, 0, 0)])):
+        counted = corpus.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "pair long, before long, word long, n long")
+        found.append(counted.select("pair", "before", "word", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"), "n"))
+    return materialise(reduce(DataFrame.unionByName, found).groupBy("pair", "before", "word").agg(*[F.sum(c).alias(c) for c in ("t", "b", "n")]))
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """Counts by slot over all texts."""
-    summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = materialise(summed).toArrow()
-    out = np.zeros(WORDS + 1 + PAIRS, dtype=np.float64)
-    out[table["slot"].to_numpy()] = table["n"].to_numpy()
-    return out
+def _looked_up(pairs: DataFrame, key: str, words: DataFrame, least: float) -> DataFrame:
+    """Adds the counts of the word that ``key`` names; words that occur ``least`` times or more are few and sent to every task, the others end or begin less than ``least`` pairs."""
+    own = words.select(F.col("word").alias(key), F.col("t").alias(f"{key}_t"), F.col("b").alias(f"{key}_b"), ((F.col("n") >= least) | (F.col("word") == START)).alias("many"))
+    many, few = own.filter("many").drop("many"), own.filter("not many").drop("many")
+    rest = pairs.join(F.broadcast(many.select(key)), key, "left_anti")
+    return pairs.join(F.broadcast(many), key).unionByName(rest.join(few.hint("merge"), key))
 
 
-def losses(count: np.ndarray, word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: float) -> np.ndarray:
-    """-ln p of each word."""
-    lower = (count[word] + UNIFORM / WORDS) / (total + UNIFORM)
-    return -np.log((count[WORDS + 1 + pair] + BACKOFF * lower) / (count[before] + BACKOFF))
+def _loss(pair: Column, word: Column, before: Column, scale: float, total: float, vocabulary: int) -> Column:
+    """-ln p of a pair's word, in units."""
+    lower = (word * scale + UNIFORM / vocabulary) / (total + UNIFORM)
+    return F.floor(-F.ln((pair * scale + BACKOFF * lower) / (before * scale + BACKOFF)) * UNIT + 0.5).cast("long")
 
 
-def _scored(models):
+def _summed(models):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background, total = models.value
+        known, losses = models.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            tokens, sums = [], ([], [])
-            for _, _, _, _, hashes, at in chunks(batch["text"]):
-                word, before, pair = _slots(hashes, at)
-                tokens.append(np.diff(at))
-                for model, out in zip((target, background), sums, strict=True):
-                    so_far = np.r_[0.0, np.cumsum(losses(model, word, before, pair, total), dtype=np.float64)]
-                    out.append(so_far[at[1:]] - so_far[at[:-1]])
-            n = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            none = n == 0
-            t, b = (np.concatenate(x) / np.maximum(n, 1) if x else np.zeros(0) for x in sums)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (t, b, t - b))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            done = 0
+            for first, _, _, _, hashes, at in chunks(batch["text"]):
+                _, pair = _pairs(hashes, at)
+                place = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+                here = known[place] == pair if len(known) else np.zeros(len(pair), dtype=bool)
+                sums = []
+                for loss in losses:
+                    so_far = np.zeros(len(pair) + 1, dtype=np.int64)
+                    np.cumsum(np.where(here, loss[place] if len(loss) else 0, 0), out=so_far[1:])
+                    sums.append(so_far[at[1:]] - so_far[at[:-1]])
+                left = np.r_[0, np.cumsum(~here)][at].astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(left), pa.array(pair[~here].view(np.int64)))
+                done = first + len(at) - 1
+                ids = pa.array(row + np.arange(len(at) - 1))
+                row += len(at) - 1
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, done - first), ids, pa.array(np.diff(at).astype(np.int64)), *map(pa.array, sums), rest], names=["doc_id", "row", "n_tokens", "t", "b", "rest"])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, heavy_pairs: int = HEAVY_PAIRS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score."""
-    t, b = counts(target), counts(background)
-    total = t[:WORDS].sum() or 1.0
-    b = b * (total / (b[:WORDS].sum() or 1.0))
-    models = docs.sparkSession.sparkContext.broadcast((t.astype(np.float32), b.astype(np.float32), float(total)))
+    pairs = pair_counts(target, background, docs)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b", "n")]
+    starts = pairs.filter(F.col("before") == START).agg(*sums).select(F.lit(START).cast("long").alias("word"), "t", "b", "n")
+    words = materialise(pairs.groupBy("word").agg(*sums).unionByName(starts))
+    t, b, n, vocabulary = words.filter(F.col("word") != START).agg(*sums, F.count_if(F.col("t") + F.col("b") > 0) + 1).first()
+    total = float(t or 1)
+    named = materialise(_looked_up(pairs, "word", words, n / heavy_words))
+    named = _looked_up(named, "before", words, n / heavy_words)
+    loss = lambda m, scale: _loss(F.col(m), F.col(f"word_{m}"), F.col(f"before_{m}"), scale, total, vocabulary)
+    losses = materialise(named.select("pair", "n", loss("t", 1.0).alias("t"), loss("b", total / (b or 1)).alias("b")))
+    often = losses.filter(F.col("n") >= n / heavy_pairs).select("pair", "t", "b").toArrow()
+    known = often["pair"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    models = docs.sparkSession.sparkContext.broadcast((known[order], [often[c].to_numpy()[order] for c in ("t", "b")]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scored(models), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    part = materialise(rows.mapInArrow(_summed(models), "doc_id long, row long, n_tokens long, t long, b long, rest array<long>"))
+    seldom = losses.filter(F.col("n") < n / heavy_pairs).select("pair", F.col("t").alias("rest_t"), F.col("b").alias("rest_b"))
+    others = part.select("row", F.explode("rest").alias("pair")).join(seldom.hint("merge"), "pair").groupBy("row").agg(F.sum("rest_t").alias("rest_t"), F.sum("rest_b").alias("rest_b"))
+    whole = part.select("doc_id", "row", "n_tokens", "t", "b").join(others.hint("merge"), "row", "left")
+    mean = lambda m: F.when(F.col("n_tokens") > 0, (F.col(m) + F.coalesce(f"rest_{m}", F.lit(0))) / UNIT / F.col("n_tokens"))
+    out = whole.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -84,16 +84,20 @@ def brute_model(texts):
 
 
 def test_losses_are_those_of_plain_counts(spark):
-    """With few words the slots hold one word or pair each, so that a dictionary gives the same figures."""
+    """Whether pairs and words are sent to the tasks or joined, a dictionary gives the same figures."""
     target = ["the parcel lies north", "The parcel lies south of the road", None]
     background = ["buy now cheap", "the road is long", "cheap cheap cheap", ""]
     schema = "doc_id long, text string, slot int, n int"
     docs = [(1, "the parcel lies here"), (2, "cheap\tcheap"), (3, None), (4, " "), (5, "unseen"), (5, "unseen"), (None, "the road")]
     frame = lambda texts: spark.createDataFrame([(k, t, 1, 1) for k, t in enumerate(texts)], schema)
-    got = lm_score.cross_entropy_difference(spark.createDataFrame([(*d, 1, 1) for d in docs], schema), frame(target), frame(background)).collect()
+    scored = lambda *heavy: lm_score.cross_entropy_difference(spark.createDataFrame([(*d, 1, 1) for d in docs], schema), frame(target), frame(background), *heavy).collect()
+    got = scored()
+    by_id = lambda rows: sorted(rows, key=str)
+    assert by_id(got) == by_id(scored(1, 1)) == by_id(scored(8, 4))
     models = [brute_model(target), brute_model(background)]
     totals = [sum(n for w, n in one.items() if w is not None) for one, _ in models]
     scale = [1.0, totals[0] / totals[1]]
+    vocabulary = len({w for one, _ in models for w in one if w is not None}) + 1
     for r, (_, text) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(docs, key=lambda d: str(d[0])), strict=True):
         w = words(text)
         assert r["n_tokens"] == len(w)
@@ -104,10 +108,10 @@ def test_losses_are_those_of_plain_counts(spark):
         for (one, two), s in zip(models, scale, strict=True):
             total = 0.0
             for before, word in zip([None, *w], w, strict=False):
-                lower = (s * one[word] + lm_score.UNIFORM / lm_score.WORDS) / (totals[0] + lm_score.UNIFORM)
+                lower = (s * one[word] + lm_score.UNIFORM / vocabulary) / (totals[0] + lm_score.UNIFORM)
                 total -= math.log((s * two[before, word] + lm_score.BACKOFF * lower) / (s * one[before] + lm_score.BACKOFF))
             losses.append(total / len(w))
-        assert abs(r["target_loss"] - losses[0]) < 1e-4 and abs(r["background_loss"] - losses[1]) < 1e-4 and abs(r["score"] - losses[0] + losses[1]) < 1e-4
+        assert abs(r["target_loss"] - losses[0]) < 1e-8 and abs(r["background_loss"] - losses[1]) < 1e-8 and abs(r["score"] - losses[0] + losses[1]) < 1e-8
     nothing = spark.createDataFrame([], schema)
     assert lm_score.cross_entropy_difference(nothing, nothing, nothing).count() == 0
     assert [r["score"] for r in lm_score.cross_entropy_difference(frame(["a b"]), nothing, nothing).collect()] == [0.0]
