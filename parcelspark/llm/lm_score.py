@@ -1,12 +1,12 @@
 """Cross-entropy difference of each document under a target and a background n-gram model.
 
-Both are word bigram models that back off to words, over one vocabulary: the words of either corpus (A-Z lower-cased) and one more for all unseen words. Counts are exact and cover every document: each task adds up the pairs of its texts, and Spark sums them by pair, in a table that grows with the corpora. The models are matched: the same vocabulary, order and smoothing, and the background's counts are scaled to the target's total, so that the sizes of the two corpora do not tell.
+Both are word bigram models that back off to words, over one vocabulary: the ``VOCABULARY`` most frequent words of the target (A-Z lower-cased) and one sign for all others. Counts are exact and cover every document: each task adds up the pairs of its texts, and Spark sums them by pair, in a table that grows with the corpora. The models are matched: the same vocabulary, order and smoothing, and the background's counts are scaled to the target's total, so that the sizes of the two corpora do not tell.
 
-A word's loss is settled by the pair that it ends, so the table of pairs gets both losses, and a document's losses are sums over its pairs. Pairs that make up at least one part in ``HEAVY_PAIRS`` of all words, of which there are at most so many, are sent to every task and summed there; the others, none of which is frequent, are joined. Words are looked up for pairs in the same two ways. Losses are whole numbers of ``1 / UNIT``, so sums do not depend on their order.
+A word's loss is settled by the pair that it ends, so the table of pairs gets both losses, and a document's losses are sums over its pairs. Pairs that make up at least one part in ``HEAVY_PAIRS`` of all words, of which there are at most so many, are sent to every task and summed there; the others, none of which is frequent, are joined. Losses are whole numbers of ``1 / UNIT``, so sums do not depend on their order.
 
 loss = mean over words of -ln p(word | word before), and score = target_loss - background_loss: the lower, the more a document resembles the target.
 
-Defined results: a null, empty or blank text has 0 tokens and null losses and score; its words follow a marker of the text's start; an empty target or background leaves the uniform distribution; repeated rows count and are scored each; only doc_id and text are read, so other columns cannot clash.
+Defined results: a null, empty or blank text has 0 tokens and null losses and score; its words follow a marker of the text's start; with an empty target all words are the one sign; an empty background leaves the uniform distribution; of words that are equally frequent at the vocabulary's end the smaller hashes count; repeated rows count and are scored each; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import materialise
 from parcelspark.llm.words import chunks, mixed
 
-#: Stands for the word before a text's first.
-START = 0
-HEAVY_PAIRS, HEAVY_WORDS = 1 << 20, 1 << 16
+#: Stand for the word before a text's first, and for words outside the vocabulary.
+START, OTHER = 0, 1
+VOCABULARY, HEAVY_PAIRS = 1 << 16, 1 << 20
 #: Pairs that a task holds before it passes them on.
 HELD = 1 << 20
 #: Weight of the lower order in each: of the uniform distribution, and of the words.
@@ -33,11 +33,26 @@ UNIFORM, BACKOFF = 1.0, 4.0
 UNIT = 1 << 30
 
 
-def _pairs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the word before, hash of the pair) of each word."""
-    before = np.r_[np.uint64(START), hashes[:-1]] if len(hashes) else hashes
+def _worded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, _, _, hashes, _ in chunks(batch["text"]):
+            word, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def frequent_words(target: DataFrame, most: int = VOCABULARY) -> np.ndarray:
+    """Sorted hashes of the vocabulary."""
+    counted = target.select(F.col("text").cast("string").alias("text")).mapInArrow(_worded, "word long, n long")
+    chosen = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return np.sort(chosen.select("word").toArrow()["word"].to_numpy().view(np.uint64))
+
+
+def _pairs(hashes: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, the word before, hash of the pair) for each word."""
+    word = np.where(vocabulary[np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)] == hashes, hashes, np.uint64(OTHER)) if len(vocabulary) else np.full(len(hashes), OTHER, dtype=np.uint64)
+    before = np.r_[np.uint64(START), word[:-1]] if len(word) else word
     before[at[:-1][np.diff(at) > 0]] = START
-    return before, mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    return word, before, mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -46,58 +61,53 @@ def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return pair, before[first], word[first], np.bincount(to, weights=n, minlength=len(pair)).astype(np.int64)
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
+def _counted(vocabulary):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def passed_on(most: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(h[0]) for h in held) <= most:
+                return
+            held[:] = [_merged(held)]
+            if len(held[0][0]) > most // 2:
+                whole = held.pop()
+                for k in range(0, len(whole[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].view(np.int64)) for c in whole], names=["pair", "before", "word", "n"])
 
-    def passed_on(most: int) -> Iterator[pa.RecordBatch]:
-        if sum(len(h[0]) for h in held) <= most:
-            return
-        held[:] = [_merged(held)]
-        if len(held[0][0]) > most // 2:
-            whole = held.pop()
-            for k in range(0, len(whole[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].view(np.int64)) for c in whole], names=["pair", "before", "word", "n"])
+        for batch in batches:
+            for _, _, _, _, hashes, at in chunks(batch["text"]):
+                word, before, pair = _pairs(hashes, at, vocabulary.value)
+                pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+                held.append((pair, before[first], word[first], n))
+                yield from passed_on(HELD)
+        yield from passed_on(0)
 
-    for batch in batches:
-        for _, _, _, _, hashes, at in chunks(batch["text"]):
-            before, pair = _pairs(hashes, at)
-            pair, first, n = np.unique(pair, return_index=True, return_counts=True)
-            held.append((pair, before[first], hashes[first], n))
-            yield from passed_on(HELD)
-    yield from passed_on(0)
+    return run
 
 
-def pair_counts(target: DataFrame, background: DataFrame, docs: DataFrame) -> DataFrame:
+def pair_counts(target: DataFrame, background: DataFrame, docs: DataFrame, vocabulary) -> DataFrame:
     """pair, before, word (hashes), t and b (how often in the target and the background) and n (also in docs), for all pairs of the three."""
     found = []
     for corpus, t, b in ((target, 1, 0), (background, 0, 1), *([] if docs is background else [(docs, 0, 0)])):
-        counted = corpus.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "pair long, before long, word long, n long")
+        counted = corpus.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(vocabulary), "pair long, before long, word long, n long")
         found.append(counted.select("pair", "before", "word", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"), "n"))
     return materialise(reduce(DataFrame.unionByName, found).groupBy("pair", "before", "word").agg(*[F.sum(c).alias(c) for c in ("t", "b", "n")]))
 
 
-def _looked_up(pairs: DataFrame, key: str, words: DataFrame, least: float) -> DataFrame:
-    """Adds the counts of the word that ``key`` names; words that occur ``least`` times or more are few and sent to every task, the others end or begin less than ``least`` pairs."""
-    own = words.select(F.col("word").alias(key), F.col("t").alias(f"{key}_t"), F.col("b").alias(f"{key}_b"), ((F.col("n") >= least) | (F.col("word") == START)).alias("many"))
-    many, few = own.filter("many").drop("many"), own.filter("not many").drop("many")
-    rest = pairs.join(F.broadcast(many.select(key)), key, "left_anti")
-    return pairs.join(F.broadcast(many), key).unionByName(rest.join(few.hint("merge"), key))
-
-
-def _loss(pair: Column, word: Column, before: Column, scale: float, total: float, vocabulary: int) -> Column:
+def _loss(pair: Column, word: Column, before: Column, scale: float, total: float, words: int) -> Column:
     """-ln p of a pair's word, in units."""
-    lower = (word * scale + UNIFORM / vocabulary) / (total + UNIFORM)
+    lower = (word * scale + UNIFORM / words) / (total + UNIFORM)
     return F.floor(-F.ln((pair * scale + BACKOFF * lower) / (before * scale + BACKOFF)) * UNIT + 0.5).cast("long")
 
 
 def _summed(models):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, losses = models.value
+        vocabulary, known, losses = models.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             done = 0
             for first, _, _, _, hashes, at in chunks(batch["text"]):
-                _, pair = _pairs(hashes, at)
+                _, _, pair = _pairs(hashes, at, vocabulary)
                 place = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
                 here = known[place] == pair if len(known) else np.zeros(len(pair), dtype=bool)
                 sums = []
@@ -115,22 +125,26 @@ def _summed(models):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, heavy_pairs: int = HEAVY_PAIRS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, heavy_pairs: int = HEAVY_PAIRS, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score."""
-    pairs = pair_counts(target, background, docs)
+    send = docs.sparkSession.sparkContext.broadcast
+    chosen = frequent_words(target, vocabulary)
+    pairs = pair_counts(target, background, docs, send(chosen))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b", "n")]
     starts = pairs.filter(F.col("before") == START).agg(*sums).select(F.lit(START).cast("long").alias("word"), "t", "b", "n")
+    # A row for each word of the vocabulary and the two signs at most.
     words = materialise(pairs.groupBy("word").agg(*sums).unionByName(starts))
-    t, b, n, vocabulary = words.filter(F.col("word") != START).agg(*sums, F.count_if(F.col("t") + F.col("b") > 0) + 1).first()
+    t, b, n = words.filter(F.col("word") != START).agg(*sums).first()
     total = float(t or 1)
-    named = materialise(_looked_up(pairs, "word", words, n / heavy_words))
-    named = _looked_up(named, "before", words, n / heavy_words)
-    loss = lambda m, scale: _loss(F.col(m), F.col(f"word_{m}"), F.col(f"before_{m}"), scale, total, vocabulary)
+    named = pairs
+    for key in ("word", "before"):
+        named = named.join(F.broadcast(words.select(F.col("word").alias(key), F.col("t").alias(f"{key}_t"), F.col("b").alias(f"{key}_b"))), key)
+    loss = lambda m, scale: _loss(F.col(m), F.col(f"word_{m}"), F.col(f"before_{m}"), scale, total, len(chosen) + 1)
     losses = materialise(named.select("pair", "n", loss("t", 1.0).alias("t"), loss("b", total / (b or 1)).alias("b")))
     often = losses.filter(F.col("n") >= n / heavy_pairs).select("pair", "t", "b").toArrow()
     known = often["pair"].to_numpy().view(np.uint64)
     order = np.argsort(known)
-    models = docs.sparkSession.sparkContext.broadcast((known[order], [often[c].to_numpy()[order] for c in ("t", "b")]))
+    models = send((chosen, known[order], [often[c].to_numpy()[order] for c in ("t", "b")]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     part = materialise(rows.mapInArrow(_summed(models), "doc_id long, row long, n_tokens long, t long, b long, rest array<long>"))
     seldom = losses.filter(F.col("n") < n / heavy_pairs).select("pair", F.col("t").alias("rest_t"), F.col("b").alias("rest_b"))

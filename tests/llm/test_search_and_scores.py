@@ -73,10 +73,10 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute_model(texts):
+def brute_model(texts, known):
     one, two = Counter(), Counter()
     for t in texts:
-        w = words(t)
+        w = [x if x in known else "<other>" for x in words(t)]
         one.update(w)
         two.update(zip([None, *w], w, strict=False))
         one[None] += bool(w)
@@ -84,7 +84,7 @@ def brute_model(texts):
 
 
 def test_losses_are_those_of_plain_counts(spark):
-    """Whether pairs and words are sent to the tasks or joined, a dictionary gives the same figures."""
+    """Whether pairs are sent to the tasks or joined, a dictionary gives the same figures."""
     target = ["the parcel lies north", "The parcel lies south of the road", None]
     background = ["buy now cheap", "the road is long", "cheap cheap cheap", ""]
     schema = "doc_id long, text string, slot int, n int"
@@ -93,18 +93,19 @@ def test_losses_are_those_of_plain_counts(spark):
     scored = lambda *heavy: lm_score.cross_entropy_difference(spark.createDataFrame([(*d, 1, 1) for d in docs], schema), frame(target), frame(background), *heavy).collect()
     got = scored()
     by_id = lambda rows: sorted(rows, key=str)
-    assert by_id(got) == by_id(scored(1, 1)) == by_id(scored(8, 4))
-    models = [brute_model(target), brute_model(background)]
+    assert by_id(got) == by_id(scored(1)) == by_id(scored(8))
+    known = {w for t in target for w in words(t)}
+    models = [brute_model(target, known), brute_model(background, known)]
     totals = [sum(n for w, n in one.items() if w is not None) for one, _ in models]
     scale = [1.0, totals[0] / totals[1]]
-    vocabulary = len({w for one, _ in models for w in one if w is not None}) + 1
+    vocabulary = len(known) + 1
     for r, (_, text) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(docs, key=lambda d: str(d[0])), strict=True):
         w = words(text)
         assert r["n_tokens"] == len(w)
         if not w:
             assert r["score"] is None and r["target_loss"] is None
             continue
-        losses = []
+        losses, w = [], [x if x in known else "<other>" for x in w]
         for (one, two), s in zip(models, scale, strict=True):
             total = 0.0
             for before, word in zip([None, *w], w, strict=False):
