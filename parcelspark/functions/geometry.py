@@ -130,3 +130,11 @@ def affine(x: Column, y: Column, scale_x: Column, scale_y: Column, degrees: Colu
     """Scaled, turned, moved."""
     a, u, v = F.radians(degrees), x * scale_x, y * scale_y
     return u * F.cos(a) - v * F.sin(a) + dx, u * F.sin(a) + v * F.cos(a) + dy
+
+
+def wkt(rings: Column) -> Column:
+    """A polygon as text; whole numbers are written without a fraction."""
+    number = lambda v: F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+    point = lambda p: F.concat_ws(" ", number(F.get(p, F.lit(0))), number(F.get(p, F.lit(1))))
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, point), ","), F.lit(")"))
+    return F.concat(F.lit("POLYGON("), F.array_join(F.transform(rings, ring), ","), F.lit(")"))

@@ -113,3 +113,14 @@ def switched(nicad: Column, syscol: Column, section: Column | None = None, numbe
     s = section_of(nicad) if section is None else pad_left(section.cast("string"), 3)
     n = parcel_of(nicad) if number is None else pad_left(number.cast("string"), 5)
     return F.when(is_valid(nicad), F.concat(pad_left(syscol.cast("string"), 8), s, n))
+
+
+def resolved(nicad: Column, section_code: Column, syscol: Column, section: Column, number: Column, position: Column) -> Column:
+    """(syscol, section, parcelle) of an imported parcel as a struct: from 16 digits; else from a section code of 11 digits; else from columns of its own, where a missing section is 001. A missing number is the row's place, counted from 1. Null without a commune."""
+    whole, code = digits(nicad), digits(section_code)
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    key = lambda s, c, n: F.struct(s.alias("syscol"), c.alias("section"), n.alias("parcelle"))
+    own = pad_left(F.when(given(number), digits(number)).otherwise((position + 1).cast("string")), 5)
+    by_columns = key(syscol_number(syscol), F.when(given(section), pad_left(digits(section), 3)).otherwise(F.lit("001")), own)
+    by_code = key(F.substring(code, 1, 8), F.substring(code, 9, 3), own)
+    return F.when(F.length(whole) == 16, key(F.substring(whole, 1, 8), F.substring(whole, 9, 3), F.substring(whole, 12, 5))).when(F.length(code) == 11, by_code).when(given(syscol), by_columns)

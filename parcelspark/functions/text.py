@@ -51,3 +51,24 @@ def label_kind(label: Column) -> Column:
 def text_lines(c: Column) -> Column:
     """Lines of a multi-line annotation, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(c, r"\\P|\r\n|\n"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def area_text(m2: Column) -> Column:
+    """Square metres, or hectares from one on."""
+    return F.when(m2 >= 10000, F.format_string("%.2f ha", m2 / 10000)).otherwise(F.format_string("%.2f m²", m2))
+
+
+def score_text(score: Column) -> Column:
+    return F.format_string("%.1f%%", F.coalesce(score.cast("double"), F.lit(0.0)))
+
+
+def score_band(score: Column) -> Column:
+    """The band that a score is coloured by."""
+    return F.when(score >= 90, "good").when(score >= 70, "fair").when(score >= 50, "weak").otherwise("poor")
+
+
+def table_cells(line: Column) -> Column:
+    """The trimmed cells of a line of a Markdown table; null for any other line, and for the line under the head."""
+    inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
+    rule = inner.rlike(r"^[\s:|-]+$") & F.contains(inner, F.lit("-"))
+    return F.when(line.rlike(r"^\s*\|.*\|\s*$") & ~rule, F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)))

@@ -71,6 +71,15 @@ def overlap_partners(features: DataFrame, size: float = 60.0) -> DataFrame:
     return pairs.groupBy(F.col("l_feature_idx").alias("feature_idx")).agg(best.alias("b")).select("feature_idx", "b.*")
 
 
+def top_partners(features: DataFrame, most: int, size: float = 60.0) -> DataFrame:
+    """For each feature the ``most`` that it shares the most area with, in order: partner_idx, place. A feature's own neighbours meet, no more."""
+    from parcelspark.operators.spatial import overlap_area
+
+    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx").withColumn("area", overlap_area()).filter("area > 0")
+    place = F.row_number().over(Window.partitionBy("l_feature_idx").orderBy(F.desc("area"), "r_feature_idx"))
+    return pairs.select(F.col("l_feature_idx").alias("feature_idx"), F.col("r_feature_idx").alias("partner_idx"), place.cast("bigint").alias("place")).filter(F.col("place") <= most)
+
+
 def delete_matching(features: DataFrame, targets: DataFrame, digits: int = 7) -> DataFrame:
     """features without those whose ring equals a target's within 1e-7, found by an equality of rounded corners and confirmed vertex by vertex."""
     key = lambda c: F.xxhash64(F.transform(F.get(c, F.lit(0)), lambda v: F.round(v, 3)))

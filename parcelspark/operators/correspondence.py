@@ -66,3 +66,19 @@ def migrate(correspondence: DataFrame, parcels: DataFrame) -> tuple[DataFrame, D
     history = rows.filter(moves).select("feature_idx", old_nicad.alias("nicad_old"), fresh.alias("nicad_new"), F.col("syscol").alias("syscol_old"), F.col("target").alias("syscol_new"), F.concat(F.lit("Migration en masse Syscol "), "syscol", F.lit(" -> "), "target").alias("motif"))
     after = rows.select("feature_idx", F.when(moves, F.col("target")).otherwise(F.col("syscol")).alias("syscol"), "section", "parcelle", F.when(moves, fresh).otherwise(F.col("nicad")).alias("nicad"), F.when(moves, "2026").otherwise(F.col("version")).alias("version"), F.when(moves, "bascule").otherwise(F.col("statut")).alias("statut"))
     return after, history
+
+
+def search(correspondence: DataFrame, term: str = "", **equal: str) -> DataFrame:
+    """Rows whose columns equal the given values and whose names (in any case) or codes contain the term; a blank term matches all."""
+    out = correspondence
+    for column, value in equal.items():
+        out = out.filter(F.col(column) == value)
+    if not term.strip():
+        return out
+    has = lambda c, t: F.coalesce(F.contains(c, F.lit(t)), F.lit(False))
+    return out.filter(has(F.lower("nom13"), term.lower()) | has(F.col("s13"), term) | has(F.lower("nom26"), term.lower()) | has(F.col("s26"), term))
+
+
+def confirmed(correspondence: DataFrame) -> DataFrame:
+    """Provisional rows with a target become confirmed."""
+    return correspondence.withColumn("statut", F.when((F.col("statut") == "provisoire") & F.col("s26").isNotNull(), "confirme").otherwise(F.col("statut")))

@@ -67,3 +67,31 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, replace: bool = True)
 def last_wins(rows: DataFrame, key: str, pos: str) -> DataFrame:
     columns = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col(pos)).alias("__last")).select(key, "__last.*")
+
+
+def verified(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """rows with ``valid`` (the identifier's form) and ``found`` (it is valid and among ``existing``, column nicad)."""
+    there = existing.select(F.col("nicad").alias("__nicad"), F.lit(True).alias("__there")).distinct()
+    out = rows.withColumn("valid", nic.is_valid(F.col("nicad_raw"))).join(there, nic.cleaned(F.col("nicad_raw")) == F.col("__nicad"), "left")
+    return out.withColumn("found", F.col("valid") & F.coalesce("__there", F.lit(False))).drop("__nicad", "__there")
+
+
+def checked(requests: DataFrame) -> DataFrame:
+    """requests (syscol, section, nicad as texts) with ``reason``, what their lengths break first, null for those that are accepted."""
+    n = lambda c: F.length(F.coalesce(c, F.lit("")))
+    return requests.withColumn("reason", F.when(~n("syscol").between(7, 8), "syscol").when(~n("section").between(1, 3), "section").when(n("nicad") != 16, "nicad"))
+
+
+def cascade(parents: DataFrame, children: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(children that stay, children that go) when ``parents`` are deleted."""
+    gone = parents.select(key).distinct()
+    return children.join(gone, key, "left_anti"), children.join(gone, key, "left_semi")
+
+
+def dashboard(parcels: DataFrame, communes_2013: DataFrame, communes_2026: DataFrame) -> DataFrame:
+    """One row of counters over the registry, and the percentage of identifiers that have been switched."""
+    named, switched = F.count("nicad"), F.count_if(F.col("statut") == "archive")
+    out = parcels.agg(named.alias("nicads"), F.count_if(F.col("nicad").isNotNull() & (F.col("version") == "2013")).alias("v2013"), F.count_if(F.col("nicad").isNotNull() & (F.col("version") == "2026")).alias("v2026"), switched.alias("bascules"), F.when(named > 0, F.floor(switched * 100 / named + 0.5)).otherwise(0).cast("bigint").alias("taux"), F.count("*").alias("parcelles"), F.count_distinct("syscol", "section").alias("sections"))
+    for name, table in (("communes_2013", communes_2013), ("communes_2026", communes_2026)):
+        out = out.join(F.broadcast(table.agg(F.count("*").alias(name))))  # one row each
+    return out
