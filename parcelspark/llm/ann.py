@@ -4,7 +4,7 @@ Centroids come from a bounded sample by balanced bisection. A vector belongs to
 
 Distances are Euclidean, on the original vectors in double precision. Products only screen candidates: those that could be among the best are computed exactly.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of one length are compared, and those of another length than the sample's most frequent share a list that is searched whole; equal distances are in the order of vec_id; all rows with the query's vec_id are its own; repeated rows are candidates as often as they occur; an empty table gives no rows; only vec_id and embedding are read, so other columns cannot clash.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of one length are compared, and those of another length than the sample's most frequent share a list that is searched whole; equal distances are in the order of vec_id; all rows with the query's vec_id are its own, and the answers are the nearest to any of them; rows that repeat an id and a vector count once, those that repeat an id at another distance count each; an empty table gives no rows; only vec_id and embedding are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -65,6 +65,8 @@ def test_odd_vectors(spark):
     frame = spark.createDataFrame([(i, v, 0, "l", 1) for i, v in rows], VECTORS)
     assert recall(ann.nearest(frame, F.col("vec_id") % 100 == 0, 10), rows, {0, 100, 200}) == 1.0
     assert ann.nearest(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0, 10).count() == 0
+    twice = spark.createDataFrame([(k, v, 0, "l", 1) for k, v in ((100, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [4.0, 0.0]), (100, [1.0, 0.0]))], VECTORS)
+    assert [tuple(r) for r in ann.nearest(twice, F.col("vec_id") % 100 == 0, 10).orderBy("rank").collect()] == [(100, 1, 1, 1.0), (100, 2, 1, 3.0)]
     alone = spark.createDataFrame([(100, [1.0, 2.0], 0, "l", 1)], VECTORS)
     assert ann.nearest(alone, F.col("vec_id") % 100 == 0, 10).count() == 0
 
