@@ -1,10 +1,10 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Texts with equal shingle sets become one node, so copies cost one row. A node's signature has ``HASHES`` least hash values; tree t reads it in the cyclic order that starts at its t-th group of ``DEPTH`` values, and nodes next to each other in that order, those that share the longest prefix, are candidates. The forest's depth adapts to its regions: a prefix that at most ``REGION`` nodes share is a region, and a prefix of more is split by the next values, level by level. The first node of a region that was split goes along with each of its parts, so the parts stay joined; what still is too large at the deepest level, signatures that are all but equal, is dealt out in parts with that node.
+Texts with equal shingle sets become one node, so copies cost one row. A node's signature has ``HASHES`` least hash values; tree t reads it in the cyclic order that starts at its t-th group of ``DEPTH`` values, and nodes next to each other in that order, those that share the longest prefix, are candidates. The forest's depth adapts to its regions: a prefix that at most ``REGION`` nodes share is a region, and a prefix of more is split by the next values, level by level. The first node of a region that was split goes along with each of its parts, so the parts stay joined; what still is too large at the deepest level, signatures that are all but equal, is dealt out in parts with that node. This only gathers what is easily joined: afterwards, the nodes of every prefix of ``DEPTH`` values that was split, and whose nodes are not one component yet, are dealt into parts, and every two parts meet in a block of their own, where nodes of different components are compared. Nodes of the largest component need not meet each other. What is left of such a prefix is compared in full, so its cost is the square of its nodes outside the largest component.
 
 In a region, pairs are candidates whose signatures agree enough (four standard deviations below the threshold) and whose set sizes allow it. They are confirmed on the full sets in two rounds. First every node with its smallest partner among those that agree best, so that groups of copies gather around few nodes; then all candidates that are not in one component yet. A region where candidates are many returns only the first kind; if its nodes are not one component then, their full sets meet in the region, which counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs.
 
-A pair at similarity 0.8 is missed by all 21 trees with probability (1 - 0.8**3)**21, 3e-7, and by the agreement test with 3e-5.
+A pair at similarity 0.8 is missed by all 21 trees with probability (1 - 0.8**3)**21, 3e-7, and by the agreement test with 3e-5, however many nodes share its prefixes.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a shorter text is one shingle; rows that repeat, also with null ids, are each returned, in one component; component_id is the least non-null doc_id; an empty table gives no rows; only doc_id and text are read, so other columns cannot clash.
 """
@@ -70,7 +70,7 @@ def _sets(words: int):
 
 
 def _pairs(percent: int):
-    """From (region, node, n, signature) in whole regions to candidate pairs."""
+    """From (region, node, n, signature, root) in whole regions to candidate pairs of nodes with different roots."""
     share = percent / 100
     grade = lambda same: np.searchsorted([HASHES * share, HASHES * (1 + share) / 2], same, side="right")  # noqa: E731  0, 1 or 2
     agree = int(HASHES * (share - 4 * (share * (1 - share) / HASHES) ** 0.5))
@@ -79,13 +79,14 @@ def _pairs(percent: int):
         for t in whole_groups(batches, ["region"], 20_000):
             region, sizes = t["region"].to_numpy(), t["n"].to_numpy()
             nodes = t["node"].combine_chunks()
+            roots = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
             signs = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
             cuts = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
             length = np.repeat(np.diff(cuts), np.diff(cuts))
 
-            def kept(i: np.ndarray, j: np.ndarray, same: np.ndarray, sizes=sizes) -> np.ndarray:
+            def kept(i: np.ndarray, j: np.ndarray, same: np.ndarray, sizes=sizes, roots=roots) -> np.ndarray:
                 lo, hi = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-                return (same >= agree) & (100 * lo >= percent * hi)
+                return (same >= agree) & (100 * lo >= percent * hi) & (roots[i] != roots[j])
 
             out: list[tuple[np.ndarray, np.ndarray, bool]] = []
             for d in range(1, SMALL):
@@ -183,8 +184,8 @@ def _confirm(percent: int):
     return run
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
-    """(region, node) for the regions that hold at least two nodes."""
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, node) for the regions that hold at least two nodes, and (tree, key, node) for the prefixes that were split."""
     signs = nodes.select("node", "signature")
     value = lambda t, k: F.element_at("signature", F.lit((t * DEPTH + k) % HASHES + 1))
     trees = [F.xxhash64(F.lit(t), *[value(t, k) for k in range(LEVELS[0])]) for t in range(TREES)]
@@ -202,13 +203,33 @@ def _regions(nodes: DataFrame) -> DataFrame:
             fits = fits.select("region", "node").unionByName(along).distinct()
         regions = fits.select("region", "node") if regions is None else regions.unionByName(fits.select("region", "node"))
         over = rows.filter(F.col("n") > REGION)
+        if level == 0:
+            wide = over.select("tree", "key", "node")
         if deepest or over.isEmpty():
             break
         deeper = F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + LEVELS[level] + 1, LEVELS[level + 1] - LEVELS[level])
         split = materialise(over.join(signs, "node").select("tree", F.xxhash64("key", deeper).alias("key"), "node", "first"))
         along = split.groupBy("tree", "key").agg(F.min("first").alias("node"))
         rows = split.select("tree", "key", "node").unionByName(along).distinct()
-    return regions
+    return regions, wide
+
+
+def _blocks(wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """(region, node, root) so that any two nodes of a prefix in wide that have different roots meet in a region."""
+    members = wide.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = members.groupBy("tree", "key", "root").agg(F.count("*").alias("n"))
+    whole = each.groupBy("tree", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    parts = lambda n: F.greatest(F.ceil(2 * n / REGION), F.lit(1)).cast("long")
+    whole = whole.select("tree", "key", F.col("main.root").alias("main"), parts(F.col("main.n")).alias("mains"), parts(F.col("n") - F.col("main.n")).alias("others"))
+    dealt = members.join(whole, ["tree", "key"]).withColumn("in_main", F.col("root") == F.col("main"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))))
+    kind = "array<struct<kind:string,a:bigint,b:bigint>>"
+    block = lambda of, a, b: F.struct(F.lit(of).alias("kind"), a.alias("a"), b.alias("b"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_main = F.when(F.col("in_main"), F.transform(upto("others"), lambda k: block("main", k, F.col("part")))).otherwise(F.transform(upto("mains"), lambda k: block("main", F.col("part"), k)))
+    among = F.when(F.col("in_main"), F.array().cast(kind)).otherwise(F.transform(F.filter(upto("others"), lambda k: k != F.col("part")), lambda k: block("others", F.least("part", k), F.greatest("part", k))))
+    met = dealt.select("tree", "key", "node", "root", F.explode(F.concat(with_main.cast(kind), among.cast(kind))).alias("block"))
+    return met.select(F.xxhash64("tree", "key", "block.kind", "block.a", "block.b").alias("region"), "node", "root")
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -227,15 +248,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a binary, b binary, ok boolean").filter("ok").select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked whose sets of shingles of ``words`` words have a Jaccard similarity of at least ``percent`` / 100."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, node binary, signature array<int>"))
-    nodes = materialise(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    regions = materialise(_regions(nodes))
-
+def _linked(regions: DataFrame, known: DataFrame | None, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """known (links a, b) and those that join all nodes of regions (region, node, root) that can be joined, of pairs with different roots."""
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = regions.join(nodes.select("node", "n", "signature"), "node").select("region", "node", "n", "signature")
+    placed = regions.join(nodes.select("node", "n", "signature"), "node").select("region", "node", "n", "signature", "root")
     placed = placed.repartition(width, "region").sortWithinPartitions("region", "node")
     found = materialise(placed.mapInArrow(_pairs(percent), "region long, a binary, b binary, grade int, dense boolean"))
     either = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "grade").unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other"), "grade"))
@@ -243,13 +259,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialise(best.select(F.col("node").alias("a"), F.col("best.other").alias("b")).select(*ordered).distinct())
     links = _verified(first, docs, nodes, words, percent)
+    links = links if known is None else known.unionByName(links)
     roots = connected_components(links)
     # What is left are candidates between components: those found already, and those of the regions that held too many.
     root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
     apart = found.select(*ordered).distinct().join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     more = materialise(apart.filter("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"))
     dense = found.filter("dense").select("region").distinct()
-    rows = regions.join(dense, "region", "left_semi").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    rows = regions.select("region", "node").join(dense, "region", "left_semi").join(roots.withColumnRenamed("id", "node"), "node", "left")
     split = rows.groupBy("region").agg(F.min(F.coalesce("root", "node")).alias("least"), F.max(F.coalesce("root", "node")).alias("most")).filter("least <> most")
     rows = materialise(rows.join(split, "region", "left_semi").select("region", "node"))
     later = []
@@ -259,8 +276,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         met = rows.join(_sets_of(rows.select("node").distinct(), docs, nodes, words), "node").select("region", "node", "set")
         met = met.repartition(width, "region").sortWithinPartitions("region", "node")
         later.append(materialise(met.mapInArrow(_joined(percent), "a binary, b binary")))
-    if later:
-        roots = connected_components(reduce(DataFrame.unionByName, later, links))
+    return reduce(DataFrame.unionByName, later, links)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked whose sets of shingles of ``words`` words have a Jaccard similarity of at least ``percent`` / 100."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched = materialise(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, node binary, signature array<int>"))
+    nodes = materialise(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    regions, wide = _regions(nodes)
+    links = _linked(materialise(regions.withColumn("root", F.col("node"))), None, docs, nodes, words, percent)
+    roots = connected_components(links)
+    if not wide.isEmpty():
+        blocks = materialise(_blocks(wide, roots))
+        if not blocks.isEmpty():
+            roots = connected_components(_linked(blocks, links, docs, nodes, words, percent))
     rooted = nodes.select("node", "first_id").join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
     named = rooted.join(least, "root").select(F.col("node").alias("of"), "least")

@@ -87,6 +87,19 @@ def test_a_large_group_of_near_copies(spark):
     assert len(got) == 1300 and {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def test_a_prefix_of_many_whose_members_are_like_the_original_alone(spark, monkeypatch):
+    """Over REGION nodes share prefixes, and each is similar enough to one node only, which need not be the first."""
+    monkeypatch.setattr(minhash, "REGION", 50)
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(45)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 401):
+        gone = set(rng.sample(base, 5))
+        docs.append((k, " ".join([w for w in base if w not in gone] + [f"own{k}x{j}" for j in range(4)])))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame([(d, t, "", 1, "") for d, t in docs], DOCS), 1, 80).collect()), key=str)
+    assert got == brute_texts(docs, 1, 80)
+
+
 def brute_vectors(rows, cosine):
     unit = []
     for _, v, label in rows:
