@@ -77,6 +77,32 @@ def test_nulls_repeats_and_long_texts(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
 
+def test_open_bins_beyond_a_nodes_number_meet_all_others(spark, tokenizer, monkeypatch):
+    """Documents of over half a sequence in the first partitions, and the short ones that fit beside them each in one of its own."""
+    monkeypatch.setattr(packing, "MAX_OPEN", 20)
+    texts = {k: "parcel " * (40 if k < 60 else 22) for k in range(100)}
+    part = lambda ids, n: spark.sparkContext.parallelize([(k, texts[k], 1, "x") for k in ids], n)
+    docs = spark.createDataFrame(part(range(60), 3).union(part(range(60, 100), 40)), SCHEMA)
+    rows = packing.pack(docs, tokenizer_path(), capacity=64, slack=1, fan_in=3).collect()
+    assert check(rows, texts, tokenizer, 64) == 60
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 60), max_size=12))
+def test_counted_bins_are_each_placed_once(counts):
+    sequences, placed = {}, {}
+    for fill, first, n, sequence, at in packing.planned(counts, 50):
+        for k in range(n):
+            assert (fill, first + k) not in placed
+            placed[fill, first + k] = True
+            sequences.setdefault(sequence + k, []).append((at, fill))
+    assert set(placed) == {(f, k) for f, n in counts.items() for k in range(n)}
+    for members in sequences.values():
+        ends = [a + f for a, f in sorted(members)]
+        assert [a for a, _ in sorted(members)] == [0, *ends[:-1]] and ends[-1] <= 50
+    assert len(sequences) == len(packing.best_fit([f for f, n in counts.items() for _ in range(n)], 50))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=60), max_size=8))
 def test_word_cache_gives_the_tokenizers_ids(texts):
