@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,22 +21,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local session gets a new folder of its own; on a cluster executors could not see one, so that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return sc.getCheckpointDir()
 
 
+#: Tables written by the operators that are running, innermost last.
+_written: list[list[str]] = [[]]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost only their tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written to the shared folder too, and whose other tables there are then deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _written.append([])
+        try:
+            lazy = operator(*args, **kwargs)
+            out = materialise(lazy)
+            kept = _written[-1].pop()
+            return out
+        finally:
+            paths = _written.pop()
+            spark = SparkSession.active()
+            for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if "kept" in locals():
+                _written[-1].append(kept)
+
+    return run
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
@@ -52,8 +83,8 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return joined.withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__start")
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by keys; a group is never cut in two. Groups must be of a bounded size."""
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 50_000, size: int = 1 << 26) -> Iterator[pa.Table]:
+    """Tables of whole groups of about so many rows or bytes, from batches sorted by keys; a group is never cut in two. Groups must be of a bounded size."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -61,7 +92,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int =
             continue
         held.append(batch)
         n += batch.num_rows
-        if n < rows:
+        if n < rows and sum(b.nbytes for b in held) < size:
             continue
         full = pa.Table.from_batches(held).combine_chunks()
         cut = n - 1

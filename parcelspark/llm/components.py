@@ -11,7 +11,7 @@ from parcelspark.llm.common import materialise
 def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b of any one type that can be ordered. Returns id, root for every id in a link; root is the smallest id of its component.
 
-    Every round maps each node to the smallest of itself and its neighbours, and goes on with the links between the nodes mapped to. A node that is not the smallest around it vanishes, so few rounds are needed: a star or a clique is done in one. Nothing is gathered: a round is an aggregation of least neighbours and two joins on node ids. Links with a null end and links of a node with itself count for nothing; an empty table has no components."""
+    Every round maps each node to the smallest of itself and its neighbours, and goes on with the links between the nodes mapped to. A node that is not the smallest around it vanishes, so few rounds are needed: a star or a clique is done in one. Nothing is gathered: a round is an aggregation of least neighbours and two joins on node ids, by sorting: its tables grow with the links, so none is sent whole to every task. Links with a null end and links of a node with itself count for nothing; an empty table has no components."""
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     links = materialise(links)
     found = None
@@ -21,9 +21,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         if found is None:
             found = near.select(F.col("node").alias("id"), F.col("to").alias("root"))
         else:
-            found = found.join(near, found["root"] == near["node"], "left").select("id", F.coalesce("to", "root").alias("root"))
+            found = found.hint("merge").join(near, found["root"] == near["node"], "left").select("id", F.coalesce("to", "root").alias("root"))
             found = materialise(found)
-        left = links.join(near.withColumnRenamed("to", "a_to"), F.col("a") == F.col("node")).drop("node")
-        left = left.join(near.withColumnRenamed("to", "b_to"), F.col("b") == F.col("node"))
+        left = links.hint("merge").join(near.withColumnRenamed("to", "a_to"), F.col("a") == F.col("node")).drop("node")
+        left = left.hint("merge").join(near.withColumnRenamed("to", "b_to"), F.col("b") == F.col("node"))
         links = materialise(left.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).filter("a < b").distinct())
     return found

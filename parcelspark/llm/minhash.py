@@ -1,35 +1,44 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Texts with equal shingle sets become one node, so copies cost one row. A node's signature has ``HASHES`` least hash values; tree t reads it in the cyclic order that starts at its t-th group of ``DEPTH`` values, and nodes next to each other in that order, those that share the longest prefix, are candidates. The forest's depth adapts to its regions: a prefix that at most ``REGION`` nodes share is a region, and a prefix of more is split by the next values, level by level. The first node of a region that was split goes along with each of its parts, so the parts stay joined; what still is too large at the deepest level, signatures that are all but equal, is dealt out in parts with that node. This only gathers what is easily joined: afterwards, the nodes of every prefix of ``DEPTH`` values that was split, and whose nodes are not one component yet, are dealt into parts, and every two parts meet in a block of their own, where nodes of different components are compared. Nodes of the largest component need not meet each other. What is left of such a prefix is compared in full, so its cost is the square of its nodes outside the largest component.
+Texts with equal shingle sets become one node, so copies cost one row. A node's signature has ``HASHES`` least hash values; tree t reads it in the cyclic order that starts at its t-th group of ``DEPTH`` values. Nodes that share those first values are a region of the tree, and a node's candidates are the nodes of its regions:
 
-In a region, pairs are candidates whose signatures agree enough (four standard deviations below the threshold) and whose set sizes allow it. They are confirmed on the full sets in two rounds. First every node with its smallest partner among those that agree best, so that groups of copies gather around few nodes; then all candidates that are not in one component yet. A region where candidates are many returns only the first kind; if its nodes are not one component then, their full sets meet in the region, which counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs.
+* In a region of at most ``REGION`` nodes, every two nodes are compared.
+* The nodes of larger regions are sorted by the tree's whole order, ranges of it to a task, and each is compared with its ``WINDOW`` neighbours on either side, those that share the longest prefixes with it. So depth adapts to the region, and groups of copies gather here. This alone would lose links, so what it leaves apart goes an exact way: larger regions that are not one component yet are joined to zones (regions with a node in common), each zone's nodes are dealt into parts, and every two parts meet once in a block of their own, whatever the number of trees that they share. Nodes of the zone's largest component meet those outside it alone. So the cost is the square of the nodes outside the largest component, in blocks of a bounded size.
 
-A pair at similarity 0.8 is missed by all 21 trees with probability (1 - 0.8**3)**21, 3e-7, and by the agreement test with 3e-5, however many nodes share its prefixes.
+Two nodes are compared by their signatures, which must agree in as many values as all but ``MISS`` of the pairs at the threshold do, and by their sizes. Candidates are confirmed on the full sets: first every node with its smallest partner among those that agree best, so that groups gather around few nodes, then what is not in one component yet. Where a region or block has many candidates, the full sets of its nodes meet in it instead; it counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs. Every text is shuffled once, and only for nodes that have candidates.
+
+A pair at similarity 0.8 is missed by all 21 trees with probability (1 - 0.8**3)**21, 3e-7, and by the comparison of signatures with ``MISS``, however many nodes share its prefixes; pairs above are missed less often.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a shorter text is one shingle; rows that repeat, also with null ids, are each returned, in one component; component_id is the least non-null doc_id; an empty table gives no rows; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import materialise, whole_groups
+from parcelspark.llm.common import materialise, tidy, whole_groups
 from parcelspark.llm.components import connected_components
 from parcelspark.llm.words import shingle_sets
 
 HASHES = 64
 DEPTH = 3
 TREES = HASHES // DEPTH
-#: Values of the signature that a prefix has at each level, and the nodes that a region holds at most.
-LEVELS = (3, 6, 12, 24)
-REGION = 500
+#: Nodes of a region, and neighbours on either side in larger ones.
+REGION, WINDOW = 256, 8
+#: Shingles that the sets of a region, or of a part of a zone, have about at most.
+SHINGLES = 1 << 21
+#: A part of a zone has about PART nodes, and more in zones of over PART * PARTS, up to MOST.
+PART, PARTS, MOST = 128, 16, 2048
+#: Share of the pairs at the threshold whose signatures may agree less than is asked for.
+MISS = 1e-5
 #: Groups up to this size are compared pair by pair at once.
 SMALL = 24
 
@@ -54,7 +63,7 @@ def _sketch(words: int):
                 signs.append(signature(s) if len(s) else np.zeros(HASHES, np.uint32))
             flat = pa.array(np.concatenate(signs).view(np.int32) if signs else [], type=pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(range(0, HASHES * len(signs) + 1, HASHES), type=pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "n_shingles", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "mark", "n_shingles", "node", "signature"])
 
     return run
 
@@ -69,28 +78,47 @@ def _sets(words: int):
     return run
 
 
-def _pairs(percent: int):
-    """From (region, node, n, signature, root) in whole regions to candidate pairs of nodes with different roots."""
+def least_agreement(share: float) -> int:
+    """The most values of a signature that all but MISS of the pairs at that similarity agree in."""
+    below, k = 0.0, -1
+    while below <= MISS:
+        k += 1
+        below += math.comb(HASHES, k) * share**k * (1 - share) ** (HASHES - k)
+    return k
+
+
+def _grade(same: np.ndarray, share: float) -> np.ndarray:
+    """0, 1 or 2: below the threshold, about at it, well above it."""
+    return np.searchsorted([HASHES * share, HASHES * (1 + share) / 2], same, side="right").astype(np.int32)
+
+
+def _candidates(block: np.ndarray, nodes: pa.Array, a: np.ndarray, b: np.ndarray, grade: np.ndarray, dense: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(a), 100_000):
+        cut = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(block[a[cut]]), nodes.take(pa.array(a[cut])), nodes.take(pa.array(b[cut])), pa.array(grade[cut]), pa.array(dense[cut])], names=["block", "a", "b", "grade", "dense"])
+
+
+def _compared(percent: int):
+    """From MEETING in whole blocks to candidate pairs of nodes with different roots; of a block with many only each node's best."""
     share = percent / 100
-    grade = lambda same: np.searchsorted([HASHES * share, HASHES * (1 + share) / 2], same, side="right")  # noqa: E731  0, 1 or 2
-    agree = int(HASHES * (share - 4 * (share * (1 - share) / HASHES) ** 0.5))
+    agree = least_agreement(share)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["region"], 20_000):
-            region, sizes = t["region"].to_numpy(), t["n"].to_numpy()
+        for t in whole_groups(batches, ["block"], 20_000):
+            block, sizes, side, two = (t[c].to_numpy(zero_copy_only=False) for c in ("block", "n", "side", "two"))
             nodes = t["node"].combine_chunks()
             roots = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
             signs = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-            cuts = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
             length = np.repeat(np.diff(cuts), np.diff(cuts))
 
-            def kept(i: np.ndarray, j: np.ndarray, same: np.ndarray, sizes=sizes, roots=roots) -> np.ndarray:
+            def kept(i: np.ndarray, j: np.ndarray, same: np.ndarray, sizes=sizes, roots=roots, side=side, two=two) -> np.ndarray:
                 lo, hi = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-                return (same >= agree) & (100 * lo >= percent * hi) & (roots[i] != roots[j])
+                return (same >= agree) & (100 * lo >= percent * hi) & (roots[i] != roots[j]) & (~two[i] | (side[i] != side[j]))
 
             out: list[tuple[np.ndarray, np.ndarray, bool]] = []
             for d in range(1, SMALL):
-                i = np.flatnonzero((region[d:] == region[:-d]) & (length[d:] <= SMALL))
+                i = np.flatnonzero((block[d:] == block[:-d]) & (length[d:] <= SMALL))
                 for at in range(0, len(i), 20_000):
                     a = i[at : at + 20_000]
                     ok = kept(a, a + d, (signs[a] == signs[a + d]).sum(axis=1))
@@ -98,36 +126,68 @@ def _pairs(percent: int):
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if hi - lo <= SMALL:
                     continue
-                best, pairs = [], []
-                number = np.arange(lo, hi)  # rows of a region are in the order of nodes
+                best, pairs, found = [], [], 0
+                number = np.arange(lo, hi)  # rows of a block are in the order of nodes
                 for at in range(lo, hi, 64):
                     i = np.arange(at, min(hi, at + 64))
                     same = np.zeros((len(i), hi - lo), dtype=np.int16)
                     for k in range(HASHES):
                         same += signs[i, k, None] == signs[None, lo:hi, k]
-                    a, b = np.repeat(i, hi - lo), np.tile(np.arange(lo, hi), len(i))
+                    a, b = np.repeat(i, hi - lo), np.tile(number, len(i))
                     ok = (kept(a, b, same.ravel()) & (a != b)).reshape(same.shape)
-                    rank = np.where(ok, grade(same) * (hi - lo) + (hi - 1 - number)[None], -1)
+                    rank = np.where(ok, _grade(same, share) * (hi - lo) + (hi - 1 - number)[None], -1)
                     some = ok.any(axis=1)
                     best.append((i[some], lo + rank.argmax(axis=1)[some]))
-                    x, y = np.nonzero(np.triu(ok, at - lo + 1))
-                    pairs.append((at + x, lo + y))
-                many = sum(len(x) for x, _ in pairs) > 4 * (hi - lo)
+                    if found <= 4 * (hi - lo):
+                        x, y = np.nonzero(np.triu(ok, at - lo + 1))
+                        found += len(x)
+                        pairs.append((at + x, lo + y))
+                many = found > 4 * (hi - lo)
                 out += [(a, b, many) for a, b in (best if many else pairs)]
             a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, int)]) for k in (0, 1))
             dense = np.concatenate([np.full(len(x[0]), x[2]) for x in out] or [np.zeros(0, bool)])
-            for at in range(0, len(a), 100_000):
-                i, j, many = a[at : at + 100_000], b[at : at + 100_000], dense[at : at + 100_000]
-                grades = grade((signs[i] == signs[j]).sum(axis=1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(region[i]), nodes.take(pa.array(i)), nodes.take(pa.array(j)), pa.array(grades), pa.array(many)], names=["region", "a", "b", "grade", "dense"])
+            grade = np.concatenate([_grade((signs[a[at : at + 100_000]] == signs[b[at : at + 100_000]]).sum(axis=1), share) for at in range(0, len(a), 100_000)] or [np.zeros(0, np.int32)])
+            yield from _candidates(block, nodes, a, b, grade, dense)
+
+    return run
+
+
+def _neighbouring(percent: int):
+    """From (key, node, n, signature) in the order of a tree to the best candidate of each node among its neighbours there."""
+    share = percent / 100
+    agree = least_agreement(share)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            key, sizes, nodes = t["key"].to_numpy(), t["n"].to_numpy(), t["node"].combine_chunks()
+            signs = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+            order = np.empty(len(key), dtype=np.int64)  # places of the nodes among themselves; equal nodes are equal
+            names, at = np.unique(np.array(nodes.to_pylist(), dtype="S16"), return_inverse=True)
+            order[:] = len(names) - 1 - at
+            best, to = np.full(len(key), -1, dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+            for d in range(1, min(WINDOW, len(key) - 1) + 1):
+                i = np.flatnonzero((key[d:] == key[:-d]) & (at[d:] != at[:-d]))
+                same = (signs[i] == signs[i + d]).sum(axis=1)
+                ok = (same >= agree) & (100 * np.minimum(sizes[i], sizes[i + d]) >= percent * np.maximum(sizes[i], sizes[i + d]))
+                i, grade = i[ok], _grade(same[ok], share).astype(np.int64)
+                for x, y in ((i, i + d), (i + d, i)):
+                    rank = grade * len(key) + order[y]
+                    better = rank > best[x]
+                    best[x[better]], to[x[better]] = rank[better], y[better]
+            some = np.flatnonzero(best >= 0)
+            yield from _candidates(np.zeros(len(key), np.int64), nodes, some, to[some], (best[some] // max(len(key), 1)).astype(np.int32), np.zeros(len(some), bool))
+            held = t.slice(max(0, t.num_rows - WINDOW))
 
     return run
 
 
-def shared(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
-    """How many values each two of the sorted sets have in common; ``most``: values that are worked on at once, by ranges."""
+def shared(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """How many values each of the sorted sets of rows has in common with each of columns; ``most``: values that are worked on at once, by ranges."""
     m, total = len(sets), sum(map(len, sets))
-    both = np.zeros((m, m), dtype=np.int64)
+    both = np.zeros((len(rows), len(columns)), dtype=np.int64)
     steps = max(1, -(-total // most))
     edges = [np.uint64(k * 2**64 // steps) for k in range(1, steps)]
     cuts = [np.r_[0, np.searchsorted(s, edges), len(s)].astype(int) if steps > 1 else [0, len(s)] for s in sets]
@@ -135,29 +195,34 @@ def shared(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
         parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
         _, at, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         several = n[at] > 1
-        row, column = np.repeat(np.arange(m), [len(p) for p in parts])[several], (np.cumsum(n > 1) - 1)[at[several]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        width = int((n > 1).sum())
-        for c in range(0, width, 8192):
-            lo, hi = np.searchsorted(column, [c, c + 8192])
-            x = np.zeros((m, min(8192, width - c)), dtype=np.float32)
-            x[row[lo:hi], column[lo:hi] - c] = 1
-            both += (x @ x.T).astype(np.int64)
+        row, value = np.repeat(np.arange(m), [len(p) for p in parts])[several], (np.cumsum(n > 1) - 1)[at[several]]
+        order = np.argsort(value, kind="stable")
+        row, value = row[order], value[order]
+        width, wide = int((n > 1).sum()), max(256, (1 << 23) // m)
+        for c in range(0, width, wide):
+            lo, hi = np.searchsorted(value, [c, c + wide])
+            x = np.zeros((m, min(wide, width - c)), dtype=np.float32)
+            x[row[lo:hi], value[lo:hi] - c] = 1
+            both += (x[rows] @ x[columns].T).astype(np.int64)
     return both
 
 
 def _joined(percent: int):
-    """From (region, node, set) in whole regions to links (a, b): each node with the smallest of its region that it reaches by pairs that are similar enough."""
+    """From (block, side, two, node, set) in whole blocks to links (a, b): each node with the smallest of its block that it reaches by pairs that are similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["region"], REGION):
-            region, nodes, sets = t["region"].to_numpy(), t["node"].combine_chunks(), t["set"].combine_chunks()
-            cuts = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
+        for t in whole_groups(batches, ["block"], 2 * REGION):
+            block, side, two = (t[c].to_numpy(zero_copy_only=False) for c in ("block", "side", "two"))
+            nodes, sets = t["node"].combine_chunks(), t["set"].combine_chunks()
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 own = [np.frombuffer(sets[i].as_buffer(), np.uint64) for i in range(lo, hi)]
-                size, both = np.array([len(s) for s in own]), shared(own)
-                i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None] - both), 1))
+                size = np.array([len(s) for s in own])
+                parts = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
+                rows, columns = parts if two[lo] else (np.arange(hi - lo),) * 2
+                both = shared(own, rows, columns)
+                i, j = np.nonzero(100 * both >= percent * (size[rows, None] + size[None, columns] - both))
+                i, j = rows[i], columns[j]
                 to = np.arange(hi - lo)
                 while (to[i] != to[j]).any():
                     low = np.minimum(to[i], to[j])
@@ -184,117 +249,147 @@ def _confirm(percent: int):
     return run
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting: the tables here grow with the input, but are written so compactly that Spark would send them whole to every task."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, node) for the regions that hold at least two nodes, and (tree, key, node) for the prefixes that were split."""
-    signs = nodes.select("node", "signature")
+    """(tree, key, node, n, signature) of the regions in which all nodes are compared, and of the larger ones."""
     value = lambda t, k: F.element_at("signature", F.lit((t * DEPTH + k) % HASHES + 1))
-    trees = [F.xxhash64(F.lit(t), *[value(t, k) for k in range(LEVELS[0])]) for t in range(TREES)]
-    rows = signs.select("node", F.posexplode(F.array(*trees)).alias("tree", "key"))
-    regions = None
-    for level in range(len(LEVELS)):
-        shared = rows.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-        rows = materialise(rows.join(shared, ["tree", "key"]))
-        deepest = level == len(LEVELS) - 1
-        part = F.when(F.col("n") > REGION, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))) if deepest else F.lit(None).cast("long")
-        fits = rows if deepest else rows.filter(F.col("n") <= REGION)
-        fits = fits.select(F.xxhash64(F.lit(level), "tree", "key", part).alias("region"), "node", F.when(F.col("n") > REGION, F.col("first")).alias("first"))
-        if deepest:
-            along = fits.filter("first is not null").groupBy("region").agg(F.min("first").alias("node"))
-            fits = fits.select("region", "node").unionByName(along).distinct()
-        regions = fits.select("region", "node") if regions is None else regions.unionByName(fits.select("region", "node"))
-        over = rows.filter(F.col("n") > REGION)
-        if level == 0:
-            wide = over.select("tree", "key", "node")
-        if deepest or over.isEmpty():
-            break
-        deeper = F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + LEVELS[level] + 1, LEVELS[level + 1] - LEVELS[level])
-        split = materialise(over.join(signs, "node").select("tree", F.xxhash64("key", deeper).alias("key"), "node", "first"))
-        along = split.groupBy("tree", "key").agg(F.min("first").alias("node"))
-        rows = split.select("tree", "key", "node").unionByName(along).distinct()
-    return regions, wide
+    trees = [F.xxhash64(F.lit(t), *[value(t, k) for k in range(DEPTH)]) for t in range(TREES)]
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode(F.array(*trees)).alias("tree", "key"))
+    several = rows.groupBy("tree", "key").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).filter("nodes > 1")
+    narrow = (F.col("nodes") <= REGION) & ((F.col("shingles") <= SHINGLES) | (F.col("nodes") == 2))
+    rows = _met(rows, several.select("tree", "key", narrow.alias("narrow")), ["tree", "key"])
+    rows = materialise(_met(rows, nodes.select("node", "signature"), "node").select("tree", "key", "narrow", "node", "n", "signature"))
+    return rows.filter("narrow").drop("narrow"), rows.filter("not narrow").drop("narrow")
+
+
+#: What meets in a block: of two sides only the pairs across are compared, if ``two``.
+MEETING = ["block", "side", "two", "node", "n", "signature", "root"]
+CANDIDATES = "block long, a binary, b binary, grade int, dense boolean"
+
+
+def _parts(nodes: Column, shingles: Column) -> Column:
+    return F.greatest(F.least(F.ceil(nodes / PART), F.lit(PARTS)), F.ceil(nodes / MOST), F.ceil(shingles / SHINGLES), F.lit(1)).cast("long")
 
 
 def _blocks(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """(region, node, root) so that any two nodes of a prefix in wide that have different roots meet in a region."""
-    members = wide.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    each = members.groupBy("tree", "key", "root").agg(F.count("*").alias("n"))
-    whole = each.groupBy("tree", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    parts = lambda n: F.greatest(F.ceil(2 * n / REGION), F.lit(1)).cast("long")
-    whole = whole.select("tree", "key", F.col("main.root").alias("main"), parts(F.col("main.n")).alias("mains"), parts(F.col("n") - F.col("main.n")).alias("others"))
-    dealt = members.join(whole, ["tree", "key"]).withColumn("in_main", F.col("root") == F.col("main"))
+    """(block, side, two, node, root) so that any two nodes of a region in wide that have different roots meet in one block, once."""
+    members = _met(wide.select("tree", "key", "node", "n"), roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = members.groupBy("tree", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first")).filter("least <> most")
+    rows = materialise(_met(members, apart.select("tree", "key", "first"), ["tree", "key"]).select("node", "n", "root", "first"))
+    zones = connected_components(rows.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    placed = materialise(_met(rows.select("node", "n", "root").distinct(), zones.select(F.col("id").alias("node"), F.col("root").alias("zone")), "node"))
+    each = placed.groupBy("zone", "root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    whole = each.groupBy("zone").agg(F.max(F.struct("nodes", "shingles", "root")).alias("main"), F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"))
+    whole = whole.select("zone", F.col("main.root").alias("main"), _parts(F.col("main.nodes"), F.col("main.shingles")).alias("mains"), _parts(F.col("nodes") - F.col("main.nodes"), F.col("shingles") - F.col("main.shingles")).alias("others"))
+    dealt = _met(placed, whole, "zone").withColumn("in_main", F.col("root") == F.col("main"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))))
-    kind = "array<struct<kind:string,a:bigint,b:bigint>>"
-    block = lambda of, a, b: F.struct(F.lit(of).alias("kind"), a.alias("a"), b.alias("b"))
+    meets = lambda kind, a, b, side, two: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"), two.alias("two"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    with_main = F.when(F.col("in_main"), F.transform(upto("others"), lambda k: block("main", k, F.col("part")))).otherwise(F.transform(upto("mains"), lambda k: block("main", F.col("part"), k)))
-    among = F.when(F.col("in_main"), F.array().cast(kind)).otherwise(F.transform(F.filter(upto("others"), lambda k: k != F.col("part")), lambda k: block("others", F.least("part", k), F.greatest("part", k))))
-    met = dealt.select("tree", "key", "node", "root", F.explode(F.concat(with_main.cast(kind), among.cast(kind))).alias("block"))
-    return met.select(F.xxhash64("tree", "key", "block.kind", "block.a", "block.b").alias("region"), "node", "root")
+    of_main = F.transform(upto("others"), lambda k: meets("main", F.col("part"), k, F.lit(0), F.lit(True)))
+    of_other = F.concat(
+        F.transform(upto("mains"), lambda k: meets("main", k, F.col("part"), F.lit(1), F.lit(True))),
+        F.transform(upto("others"), lambda k: meets("others", F.least("part", k), F.greatest("part", k), F.col("part") > k, F.col("part") != k)),
+    )
+    met = dealt.select("zone", "node", "root", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)).alias("at"))
+    return met.select(F.xxhash64("zone", "at.kind", "at.a", "at.b").alias("block"), "at.side", "at.two", "node", "root")
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, set for the nodes of wanted (node), from the text of one document of each."""
-    ids = nodes.join(wanted, "node").select(F.col("first_id").alias("wanted")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi").select("text")
+    """node, set for the distinct nodes of wanted (node), from the text of one document of each."""
+    ids = _met(nodes.select("node", "of"), wanted, "node", "left_semi").select("of.mark", F.col("of.doc_id").alias("of_id")).distinct()
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    texts = marked.join(ids.hint("shuffle_hash"), (marked["mark"] == ids["mark"]) & marked["doc_id"].eqNullSafe(ids["of_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words), "node binary, set binary").filter("node is not null")
-    return materialise(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    return materialise(_met(sets, wanted, "node", "left_semi").dropDuplicates(["node"]))
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough on their full sets."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(ends, docs, nodes, words)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    both = _met(_met(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a binary, b binary, ok boolean").filter("ok").select("a", "b").distinct())
 
 
-def _linked(regions: DataFrame, known: DataFrame | None, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """known (links a, b) and those that join all nodes of regions (region, node, root) that can be joined, of pairs with different roots."""
-    width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = regions.join(nodes.select("node", "n", "signature"), "node").select("region", "node", "n", "signature", "root")
-    placed = placed.repartition(width, "region").sortWithinPartitions("region", "node")
-    found = materialise(placed.mapInArrow(_pairs(percent), "region long, a binary, b binary, grade int, dense boolean"))
+def _best(found: DataFrame) -> DataFrame:
+    """Of the candidates (a, b, grade) each node's with its smallest partner among those that agree best."""
     either = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "grade").unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other"), "grade"))
     best = either.groupBy("node").agg(F.min(F.struct((-F.col("grade")).alias("g"), "other")).alias("best"))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = materialise(best.select(F.col("node").alias("a"), F.col("best.other").alias("b")).select(*ordered).distinct())
-    links = _verified(first, docs, nodes, words, percent)
-    links = links if known is None else known.unionByName(links)
-    roots = connected_components(links)
-    # What is left are candidates between components: those found already, and those of the regions that held too many.
+    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+
+
+def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The candidates whose nodes are not in one component."""
     root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = found.select(*ordered).distinct().join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    more = materialise(apart.filter("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"))
-    dense = found.filter("dense").select("region").distinct()
-    rows = regions.select("region", "node").join(dense, "region", "left_semi").join(roots.withColumnRenamed("id", "node"), "node", "left")
-    split = rows.groupBy("region").agg(F.min(F.coalesce("root", "node")).alias("least"), F.max(F.coalesce("root", "node")).alias("most")).filter("least <> most")
-    rows = materialise(rows.join(split, "region", "left_semi").select("region", "node"))
-    later = []
-    if not more.isEmpty():
-        later.append(_verified(more, docs, nodes, words, percent))
-    if not rows.isEmpty():
-        met = rows.join(_sets_of(rows.select("node").distinct(), docs, nodes, words), "node").select("region", "node", "set")
-        met = met.repartition(width, "region").sortWithinPartitions("region", "node")
-        later.append(materialise(met.mapInArrow(_joined(percent), "a binary, b binary")))
-    return reduce(DataFrame.unionByName, later, links)
+    rooted = _met(_met(found, root("a"), "a", "left"), root("b"), "b", "left")
+    return rooted.filter("coalesce(a_root, a) <> coalesce(b_root, b)").drop("a_root", "b_root")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked whose sets of shingles of ``words`` words have a Jaccard similarity of at least ``percent`` / 100."""
+    width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    in_blocks = lambda df: df.repartition(width, "block").sortWithinPartitions("block", "node")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, node binary, signature array<int>"))
-    nodes = materialise(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    regions, wide = _regions(nodes)
-    links = _linked(materialise(regions.withColumn("root", F.col("node"))), None, docs, nodes, words, percent)
+    sketched = materialise(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_sketch(words), "doc_id long, mark long, n_shingles long, node binary, signature array<int>"))
+    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("mark", "doc_id")).alias("of"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    nodes = materialise(nodes)
+    narrow, wide = _regions(nodes)
+    has_wide = not wide.isEmpty()
+
+    regions = narrow.select(F.xxhash64("tree", "key").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("two"), "node", "n", "signature", F.col("node").alias("root"))
+    found = in_blocks(regions).mapInArrow(_compared(percent), CANDIDATES)
+    if has_wide:
+        order = F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + 1, HASHES // 2)
+        sorted_ = wide.withColumn("order", order).repartitionByRange(width, "tree", "order").sortWithinPartitions("tree", "order")
+        found = found.unionByName(sorted_.select("key", "node", "n", "signature").mapInArrow(_neighbouring(percent), CANDIDATES).withColumn("block", F.lit(None).cast("long")))
+    found = materialise(found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "grade", "dense"))
+    sets = _sets_of(_ends(found), docs, nodes, words)
+    first = materialise(_best(found))
+    links = _verified(first, sets, percent)
     roots = connected_components(links)
-    if not wide.isEmpty():
-        blocks = materialise(_blocks(wide, roots))
-        if not blocks.isEmpty():
-            roots = connected_components(_linked(blocks, links, docs, nodes, words, percent))
-    rooted = nodes.select("node", "first_id").join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+
+    # Candidates between components: all of the regions that gave all, and each node's best of the sorted orders.
+    apart = materialise(_met(_apart(found, roots), first, ["a", "b"], "left_anti"))
+    more = apart.filter("block is not null and not dense").select("a", "b").unionByName(_best(apart.filter("block is null or dense"))).distinct()
+    if not apart.isEmpty():
+        links = links.unionByName(_verified(more, sets, percent))
+        roots = connected_components(links)
+
+    # What is still apart in dense regions and in the larger ones meets in blocks.
+    blocks = []
+    dense = found.filter("dense").select("block").distinct()
+    if not dense.isEmpty():
+        rows = _met(_met(regions.select("block", "side", "two", "node"), dense, "block", "left_semi"), roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rows.groupBy("block").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("block")
+        blocks.append(_met(rows, split, "block", "left_semi").select("block", "side", "two", "node", "root"))
+    if has_wide:
+        blocks.append(_blocks(wide, roots))
+    blocks = materialise(reduce(DataFrame.unionByName, blocks)) if blocks else None
+    if blocks is not None and not blocks.isEmpty():
+        met = _met(blocks, nodes.select("node", "n", "signature"), "node").select(*MEETING)
+        found = materialise(in_blocks(met).mapInArrow(_compared(percent), CANDIDATES))
+        pairs = found.filter("not dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        full = materialise(_met(blocks, found.filter("dense").select("block").distinct(), "block", "left_semi").select("block", "side", "two", "node"))
+        wanted = _ends(pairs).unionByName(full.select("node")).distinct()
+        lacking = _met(wanted, sets.select("node"), "node", "left_anti")
+        sets = sets.unionByName(_sets_of(materialise(lacking), docs, nodes, words))
+        links = links.unionByName(_verified(pairs, sets, percent))
+        if not full.isEmpty():
+            whole = in_blocks(_met(full, sets, "node")).select("block", "side", "two", "node", "set")
+            links = links.unionByName(materialise(whole.mapInArrow(_joined(percent), "a binary, b binary")))
+        roots = connected_components(links)
+
+    rooted = _met(nodes.select("node", "first_id"), roots.withColumnRenamed("id", "node"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
-    named = rooted.join(least, "root").select(F.col("node").alias("of"), "least")
-    out = sketched.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("of"), "left")
+    named = _met(rooted, least, "root").select(F.col("node").alias("of"), "least")
+    out = _met(sketched.select("doc_id", "n_shingles", "node"), named, F.col("node") == F.col("of"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

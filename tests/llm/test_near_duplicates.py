@@ -100,6 +100,41 @@ def test_a_prefix_of_many_whose_members_are_like_the_original_alone(spark, monke
     assert got == brute_texts(docs, 1, 80)
 
 
+def as_texts(frame):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("own", [100, 40])
+def test_pairs_among_thousands_that_share_most_of_their_words(spark, own):
+    """Texts that share 600 words, at 0.75 (or nearer) with each other and not linked, and pairs among them at 0.82: prefixes of the signatures are shared by most."""
+    rng = random.Random(own)
+    common = [f"c{k}" for k in range(6 * own)]
+    docs = [(k, " ".join(common + [f"own{k}x{j}" for j in range(own)])) for k in range(2000)]
+    for k in range(200):
+        a = [f"pair{k}x{j}" for j in range(own)]
+        docs.append((5000 + 2 * k, " ".join(common + a)))
+        docs.append((5001 + 2 * k, " ".join(common + a[: int(0.34 * own)] + [f"other{k}x{j}" for j in range(own - int(0.34 * own))])))
+    rng.shuffle(docs)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame([(d, t, "", 1, "") for d, t in docs], DOCS), 1, 80).collect()}
+    want = {d: d for d, _ in docs} | {5001 + 2 * k: 5000 + 2 * k for k in range(200)}
+    assert got == want
+
+
+def test_a_region_of_long_texts_meets_in_parts(spark, monkeypatch):
+    """Sets that are too large to meet in one region, and a chain of links that only pairs across parts hold together."""
+    monkeypatch.setattr(minhash, "SHINGLES", 1500)
+    rng = random.Random(9)
+    base = [f"l{k}" for k in range(300)]
+    docs = []
+    for k in range(60):
+        docs.append((k, " ".join(base)))
+        base = list(base)
+        for _ in range(12):
+            base[rng.randrange(300)] = f"new{rng.randrange(10**9)}"
+    got = as_texts(minhash.near_duplicates(spark.createDataFrame([(d, t, "", 1, "") for d, t in docs], DOCS), 1, 80))
+    assert got == brute_texts(docs, 1, 80)
+
+
 def brute_vectors(rows, cosine):
     unit = []
     for _, v, label in rows:
