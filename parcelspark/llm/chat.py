@@ -1,10 +1,12 @@
 """Chat formatting with collapse of cumulative snapshots.
 
-A log may hold a conversation several times, each time a few turns longer. Every turn gets the hash of the conversation up to it, rolled on from turn to turn: the sum of hashes of (position, role, text), which a prefix sum computes without gathering a conversation. A conversation whose last hash, at its length, is a prefix hash of a longer one goes by an anti-join; of equal conversations the one with the smallest id stays. The turns of the maximal conversations are rendered, one row each, so the length of a conversation sets no task's size.
+A log may hold a conversation several times, each time a few turns longer. Every turn gets the hash of the conversation up to it, rolled on from turn to turn: the sums of two 60-bit parts of the SHA-256 of (position, role, text), which prefix sums compute without gathering a conversation. A conversation whose last hash, at its length, is a prefix hash of a longer one goes by an anti-join; of equal conversations the one with the smallest id stays. With 120 bits, no two different beginnings among 10^12 turns have one hash but with a chance of 1e-12. The turns of the maximal conversations are rendered, one row each, so the length of a conversation sets no task's size.
+
+Turns are numbered after one sort by ranges: a row's place is the number of its conversation's rows in the ranges before, and within its range. So a long conversation, or one whose turns all have one number, is spread over tasks; only for the choice of ranges do texts count by their first characters.
 
 Everything is DataFrame functions.
 
-Defined results: turns are in the order of (turn, role, hash of the text), nulls first; a null role renders as ``unknown`` and a null text as empty, and both differ from those strings when turns are compared; rows without a conv_id are one conversation; turns that repeat count as often as they occur; an empty table gives no rows; extra columns are left out.
+Defined results: turns are in the order of (turn, role, text), nulls first; a null role renders as ``unknown`` and a null text as empty, and both differ from those strings when turns are compared; rows without a conv_id are one conversation; turns that repeat count as often as they occur; a long text is hashed and rendered whole; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -14,29 +16,37 @@ from pyspark.sql import functions as F
 
 from parcelspark.llm.common import materialise, prefix_sums
 
-#: Turn numbers that a range of a long conversation spans.
-RANGE = 256
+#: Characters of a text by which ranges are chosen.
+AHEAD = 128
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, position (from 1) and hash, that of the conversation up to this turn; a decimal, so sums of 64-bit hashes are exact."""
-    slim = turns.select("conv_id", "turn", "role", F.xxhash64(F.lit("text"), F.col("text").isNull(), "text").alias("said"))
-    slim = slim.withColumn("range", F.floor(F.col("turn") / RANGE)).withColumn("one", F.lit(1))
-    placed = prefix_sums(slim, ["conv_id"], "range", ["turn", "role", "said"], "one", "before").withColumn("position", F.col("before") + 1)
-    mark = F.xxhash64("position", F.col("role").isNull(), "role", "said").cast("decimal(20,0)")
-    rolled = prefix_sums(materialise(placed.select("conv_id", "turn", "range", "position", mark.alias("mark"))), ["conv_id"], "range", ["position"], "mark", "sum")
-    return rolled.select("conv_id", "turn", "position", (F.col("sum") + F.col("mark")).cast("decimal(38,0)").alias("hash"))
+    """conv_id, turn, position (from 1) and hash, that of the conversation up to this turn; decimals, so sums are exact."""
+    width = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slim = turns.select("conv_id", "turn", "role", "text")
+    ranged = slim.repartitionByRange(width, "conv_id", "turn", "role", F.substring("text", 1, AHEAD))
+    # After the sort, the number of a row counts up within its range and over the ranges.
+    said = F.sha2(F.concat(F.when(F.col("role").isNull(), "n").otherwise(F.concat(F.lit("r"), F.octet_length("role").cast("string"), F.lit(":"), F.col("role"))), F.when(F.col("text").isNull(), "n").otherwise(F.concat(F.lit("t"), F.col("text")))), 256)
+    placed = ranged.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", F.monotonically_increasing_id().alias("at"), said.alias("said"))
+    placed = materialise(placed.withColumn("range", F.shiftright("at", 33)).withColumn("one", F.lit(1)))
+    placed = prefix_sums(placed, ["conv_id"], "range", ["at"], "one", "before").withColumn("position", F.col("before") + 1)
+    mark = F.sha2(F.concat(F.col("position").cast("string"), F.lit(":"), F.col("said")), 256)
+    part = lambda at: F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(20,0)")
+    rolled = materialise(placed.select("conv_id", "turn", "range", "at", "position", part(1).alias("a"), part(16).alias("b")))
+    for c in ("a", "b"):
+        rolled = prefix_sums(rolled, ["conv_id"], "range", ["at"], c, f"{c}_before")
+    return rolled.select("conv_id", "turn", "position", *[(F.col(f"{c}_before") + F.col(c)).cast("decimal(38,0)").alias(f"hash_{c}") for c in ("a", "b")])
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns of the conversations that no other contains as a prefix."""
-    rows = materialise(prefixes(turns))
+    rows, same = materialise(prefixes(turns)), ["n_turns", "hash_a", "hash_b"]
     lengths = rows.groupBy("conv_id").agg(F.max("position").alias("n_turns")).withColumnRenamed("conv_id", "of")
-    rows = rows.join(lengths, rows["conv_id"].eqNullSafe(lengths["of"])).select("conv_id", "position", "hash", "n_turns")
-    whole = materialise(rows.filter("position = n_turns").select("conv_id", "n_turns", "hash"))
-    inside = rows.filter("position < n_turns").select(F.col("position").alias("n_turns"), "hash").distinct()
-    first = whole.groupBy("n_turns", "hash").agg(F.min("conv_id").alias("first"))
-    left = first.join(inside, ["n_turns", "hash"], "left_anti")
+    rows = rows.hint("merge").join(lengths, rows["conv_id"].eqNullSafe(lengths["of"])).select("conv_id", "position", "hash_a", "hash_b", "n_turns")
+    whole = materialise(rows.filter("position = n_turns").select("conv_id", *same))
+    inside = rows.filter("position < n_turns").select(F.col("position").alias("n_turns"), "hash_a", "hash_b").distinct()
+    first = whole.groupBy(*same).agg(F.min("conv_id").alias("first"))
+    left = first.hint("merge").join(inside, same, "left_anti")
     return left.select(F.col("first").alias("conv_id"), "n_turns")
 
 
@@ -45,4 +55,4 @@ def rendered(turns: DataFrame) -> DataFrame:
     turns = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     kept = materialise(maximal(turns)).withColumnRenamed("conv_id", "kept")
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    return turns.join(kept, turns["conv_id"].eqNullSafe(kept["kept"])).select("conv_id", "turn", "role", "n_turns", line.alias("rendered"))
+    return turns.hint("merge").join(kept, turns["conv_id"].eqNullSafe(kept["kept"])).select("conv_id", "turn", "role", "n_turns", line.alias("rendered"))

@@ -93,7 +93,8 @@ s AS (SELECT substr(bits, 1, depth) AS shard, depth, sum(n_bytes) AS shard_bytes
 f AS (SELECT e.doc_id, e.n_bytes, s.shard, s.depth, s.shard_bytes, row_number() OVER (PARTITION BY e.doc_id ORDER BY s.depth) AS k FROM e JOIN s ON s.depth = e.depth AND s.shard = substr(e.bits, 1, e.depth))
 SELECT doc_id, n_bytes, shard, CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f WHERE k = 1""",
     "op10_chat_collapse": """
-WITH c AS (SELECT conv_id, count(*) AS n, list(coalesce(role, '?') || chr(1) || coalesce(text, '?') ORDER BY turn, role, text) AS said FROM conversations GROUP BY conv_id),
-k AS (SELECT conv_id, n FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.said[1] = c.said[1] AND o.conv_id <> c.conv_id AND (o.n > c.n OR o.n = c.n AND o.conv_id < c.conv_id) AND o.said[1:c.n] = c.said))
-SELECT conv_id, turn, role, n AS n_turns, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM conversations JOIN k USING (conv_id)""",
+WITH c AS (SELECT conv_id, count(*) AS n, list(CASE WHEN role IS NULL THEN 'n' ELSE 'r' || strlen(role) || ':' || role END || CASE WHEN text IS NULL THEN 'n' ELSE 't' || text END ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said FROM conversations GROUP BY conv_id),
+m AS (SELECT said, n, min(conv_id) AS conv_id FROM c GROUP BY said, n),
+k AS (SELECT conv_id, n FROM m WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.said[1] = m.said[1] AND o.n > m.n AND o.said[1:m.n] = m.said))
+SELECT t.conv_id, turn, role, n AS n_turns, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM conversations AS t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id""",
 }
