@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by random-hyperplane sign hashing.
 
-Equal vectors of a label become one class with a number of copies. Each of several tables hashes a class by the signs of its products with random hyperplanes; classes with equal signs share a bucket, and only buckets with two classes or more go on, with their vectors. A bucket is dealt out in parts of at most ``PART`` classes, and every two parts meet in a block of their own, so no task holds a hot bucket. A block computes exact cosines, keeps the links, and returns for each class the number of vectors that it is linked with and one link towards the smallest class it reaches there, never the pairs. A pair that shares several buckets counts in its first table only. The links' components are found by rounds of distributed joins.
+Equal vectors of a label become one class with a number of copies. Each of several tables hashes a class by the signs of its products with random hyperplanes; classes with equal signs share a bucket, and only buckets with two classes or more go on, with their vectors. A bucket is dealt out in parts of about ``PART`` classes (larger ones, up to ``MOST``, in buckets of over ``PART * PARTS``), and every two parts meet in a block of their own, so no task holds a hot bucket. A block computes exact cosines, keeps the links, and returns for each class the number of vectors that it is linked with and one link towards the smallest class it reaches there, never the pairs. A pair that shares several buckets counts in its first table only. The links' components are found by rounds of distributed joins; classes are named so that the smallest name of a component holds its smallest vec_id.
 
 With b bits, a pair at cosine 0.98 shares a bucket of one table with probability p = (1 - arccos(0.98) / pi)**b; the number of tables makes (1 - p)**tables at most ``MISS``. The bits grow with the logarithm of the rows, so buckets of unrelated vectors stay small.
 
@@ -15,15 +15,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import materialise, whole_groups
+from parcelspark.llm.common import materialise, tidy, whole_groups
 from parcelspark.llm.components import connected_components
 from parcelspark.llm.vectors import matrices, unit, usable
 
 MISS = 1e-6
-PART = 256
+PART, PARTS, MOST = 128, 16, 2048
 SEED = 4711
 #: Groups up to this size are compared pair by pair at once.
 SMALL = 24
@@ -31,7 +31,7 @@ SMALL = 24
 
 def shape_of_tables(rows: int, cosine: float) -> tuple[int, int]:
     """(bits of a table, tables) for so many vectors."""
-    bits = min(24, max(8, math.ceil(math.log2(max(2, rows))) - 2))
+    bits = max(8, math.ceil(math.log2(max(2, rows))) - 2)
     p = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-p)))
 
@@ -39,10 +39,11 @@ def shape_of_tables(rows: int, cosine: float) -> tuple[int, int]:
 def _coded(bits: int, tables: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(bits)).astype(np.int32)
+        kind = np.int32 if bits < 32 else np.int64
+        weights = (1 << np.arange(bits, dtype=np.int64)).astype(kind)
         for batch in batches:
             flat, at, sizes = matrices(batch["embedding"])
-            codes = np.zeros((batch.num_rows, tables), dtype=np.int32)
+            codes = np.zeros((batch.num_rows, tables), dtype=kind)
             for dim in np.unique(sizes).tolist():
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
@@ -99,37 +100,55 @@ def _linked(cosine: float, tables: int):
             add(np.concatenate(near_i), np.concatenate(near_j))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if hi - lo > SMALL:
-                    i, j = np.nonzero(np.triu(x[lo:hi] @ x[lo:hi].T >= cosine, 1))
-                    add(lo + i, lo + j)
+                    found = []
+                    for k in range(lo, hi, 512):
+                        i, j = np.nonzero(np.triu(x[k : min(k + 512, hi)] @ x[lo:hi].T >= cosine, k - lo + 1))
+                        found.append((k + i, lo + j))
+                    add(*(np.concatenate([f[side_] for f in found]) for side_ in (0, 1)))
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(to[some])), pa.array(links[some])], names=["a", "b", "links"])
 
     return run
 
 
+LEAST = -(1 << 63)
+
+
+def _ordered(number: Column) -> Column:
+    """Nine bytes in the order of the numbers, null last."""
+    shown = F.unhex(F.lpad(F.hex(F.coalesce(number, F.lit(0)).bitwiseXOR(F.lit(LEAST))), 16, "0"))
+    return F.concat(F.when(number.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), shown)
+
+
+def _id_of(place: Column) -> Column:
+    """The number that a name begins with."""
+    number = F.conv(F.hex(F.substring(place, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(LEAST))
+    return F.when(F.hex(F.substring(place, 1, 1)) == "00", number)
+
+
+@tidy
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors of its label at that cosine or more), component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     fit = usable(F.col("embedding")) & F.col("label").isNotNull()
     bits, tables = shape_of_tables(rows.count(), cosine)
-    coded = materialise(rows.filter(fit).mapInArrow(_coded(bits, tables), "vec_id long, label string, embedding array<double>, key binary, codes array<int>").withColumn("node", F.concat("key", F.lit("/").cast("binary"), F.col("label").cast("binary"))).drop("key"))
+    coded = materialise(rows.filter(fit).mapInArrow(_coded(bits, tables), f"vec_id long, label string, embedding array<double>, key binary, codes array<{'int' if bits < 32 else 'long'}>").withColumn("node", F.concat("key", F.lit("/").cast("binary"), F.col("label").cast("binary"))).drop("key"))
     classes = coded.groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.first("codes").alias("codes"))
-    classes = materialise(classes)
-    slim = classes.select("node", "label", F.posexplode("codes").alias("table", "code"))
+    classes = materialise(classes.withColumn("place", F.concat(_ordered(F.col("least_id")), "node")))
+    slim = classes.select(F.col("place").alias("node"), "label", F.posexplode("codes").alias("table", "code"))
     shared = slim.groupBy("table", "label", "code").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = slim.join(shared, ["table", "label", "code"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    parts = F.greatest(F.least(F.ceil(F.col("n") / PART), F.lit(PARTS)), F.ceil(F.col("n") / MOST)).cast("int")
+    dealt = slim.hint("merge").join(shared, ["table", "label", "code"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("node", "table", F.xxhash64("table", "label", "code", F.least("part", "other"), F.greatest("part", "other")).alias("block"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") != F.col("other")).alias("two_parts"))
-    blocks = dealt.join(classes.select("node", "embedding", "codes", "copies"), "node")
+    blocks = dealt.hint("merge").join(classes.select(F.col("place").alias("node"), "embedding", "codes", "copies"), "node")
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = materialise(blocks.repartition(width, "block").sortWithinPartitions("block").mapInArrow(_linked(cosine, tables), "a binary, b binary, links long"))
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b"))
-    named = classes.select("node", "least_id", "copies").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("least_id").alias("component")), "root").join(counts, F.col("node") == F.col("a"), "left")
-    named = named.select("node", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = coded.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component")
+    named = classes.select("node", "place", "copies").hint("merge").join(roots.withColumnRenamed("id", "place"), "place", "left").hint("merge").join(counts, F.col("place") == F.col("a"), "left")
+    named = named.select("node", _id_of(F.coalesce("root", "place")).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = coded.select("vec_id", "node").hint("merge").join(named, "node").select("vec_id", "n_links", "component")
     alone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
     out = linked.unionByName(alone).select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
