@@ -2,7 +2,7 @@
 
 A text's features are indicators of n-grams: words and word pairs, and the same over the words' shapes (case, digits, symbols, last byte, length, repeated or not), where a shape's indicator also says which share of the text's words have it. Features are hashed to ``SLOTS``. Each is scaled by the log of the ratio of its smoothed counts in the two classes, each text is brought to length 1, and dual coordinate descent fits a linear model with hinge loss. A logistic curve, fitted on a fifth of the sample that the model has not seen, turns margins into probabilities.
 
-The model is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids and one text for each, in one task; features are made, and all documents scored, in parallel. Only the sample's ids and the model (two numbers per slot) are sent to every task.
+The model is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids and one text for each, and of these in that order on the first whose features are at most ``SAMPLE_FEATURES``, in one task; features are made of whole texts, and all documents scored, in parallel. Only the sample's ids and the model (two numbers per slot) are sent to every task.
 
 Defined results: a null or empty text has no features and gets the score of the model's constant; rows with a null label, or with none, are not learned from; where a doc_id has two labels, or two texts, the smaller counts; without both classes every score is the share of label 1, (n1 + 1) / (n + 2); repeated rows are scored alike; extra columns are left alone.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -22,7 +22,8 @@ from parcelspark.llm.common import materialise
 from parcelspark.llm.words import chunks, mixed
 
 SLOTS = 1 << 18
-SAMPLE = 12_000
+#: What the model is fitted on at most: documents, and features of them all (four bytes each).
+SAMPLE, SAMPLE_FEATURES = 12_000, 50_000_000
 COST = 1.0
 EPOCHS = 8
 THRESHOLD = 0.7
@@ -137,15 +138,20 @@ def _model(rw: np.ndarray, r2: np.ndarray, constant: float, slope: float, offset
     return pa.RecordBatch.from_arrays([pa.array(x) for x in data], names=["rw", "r2", "constant", "slope", "offset"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """A broadcast model from labels (doc_id, quality 0 or 1) of docs (doc_id, text)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_FEATURES):
+    """A broadcast model from labels (doc_id, quality 0 or 1) of docs (doc_id, text). sample, most: labelled documents, and features of them, that it is fitted on at most."""
     named = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    named = named.orderBy(F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))), "doc_id").limit(sample)
+    order = F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string")))
+    named = named.orderBy(order, "doc_id").limit(sample)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(named), "doc_id")
     # One text per id, so that no id that repeats can swell the sample.
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "quality").agg(F.min("text").alias("text"))
     made = materialise(chosen.mapInArrow(_featured, "doc_id long, quality int, slots binary"))
-    model = made.coalesce(1).mapInArrow(_fit, "rw binary, r2 binary, constant double, slope double, offset double").first()
+    # The window is over the sample's ids and sizes alone.
+    sizes = made.select("doc_id", F.sum(F.octet_length("slots") / 4).over(Window.orderBy(order, "doc_id")).alias("so_far")).filter(F.col("so_far") <= most).select("doc_id")
+    model = made.join(F.broadcast(sizes), "doc_id", "left_semi").coalesce(1).mapInArrow(_fit, "rw binary, r2 binary, constant double, slope double, offset double").first()
+    if model is None:  # no document is labelled
+        model = dict(zip(("rw", "r2", "constant", "slope", "offset"), (bytes(4 * SLOTS), bytes(4 * SLOTS), 0.0, 0.0, 0.0), strict=True))
     parts = (np.frombuffer(model["rw"], np.float32), np.frombuffer(model["r2"], np.float32), model["constant"], model["slope"], model["offset"])
     return docs.sparkSession.sparkContext.broadcast(parts)
 
