@@ -1,14 +1,12 @@
 """Sharding by extendible hashing.
 
-Documents are hashed by id to ``BITS`` bits. The directory starts from the empty prefix, and only buckets over the byte limit split on another bit until each fits. Bytes are summed once per cell of a prefix fine enough for the table's size; every shorter prefix is a sum of cells, so the directory comes from one small aggregation, and only cells that are still too large are hashed finer in another round. A cell that no bit can split, one id that repeats, is cut along its rows (an overflow chain); a row that alone is over the limit is a shard of its own.
+Documents are hashed by id to ``BITS`` bits. The directory starts from the empty prefix, and only buckets over the byte limit split on another bit until each fits. A round looks ``FINER`` bits ahead: it sums the bytes of the cells that many bits below the buckets that are still too large, and of the prefixes between, so a prefix is a sum of 2**FINER cells at most; documents whose bucket fits are done, and only the others, those under prefixes over the limit, go on to the next round. A cell that no bit can split, one id that repeats, is cut along its rows (an overflow chain); a row that alone is over the limit is a shard of its own.
 
 Defined results: a null text has 0 bytes; a null doc_id hashes as a value of its own; rows that repeat a doc_id share a shard unless it overflows; an empty table gives no rows; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ from parcelspark.llm.common import materialise, prefix_sums
 
 BITS = 48
 LIMIT = 1 << 20
-#: Bits that another round adds.
-FINER = 8
+#: Bits that a round adds, and those up to which its table of prefixes, of 2**BROADCAST_BITS rows at most, is sent to every task.
+FINER, BROADCAST_BITS = 8, 16
 
 
 def hashed(doc_id: Column) -> Column:
@@ -34,18 +32,17 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, shard (the bucket's prefix bits; /k after it in an overflow chain), depth (bits), shard_bytes."""
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes.alias("n_bytes"), hashed(F.col("doc_id")).alias("hash")))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    fine = min(BITS, max(4, math.ceil(math.log2(max(1, total / limit) * 16))))
-    done, todo, coarse = None, rows, 0
+    done, todo, coarse, fine = None, rows, 0, FINER
     while True:
         # Depths that this round can settle; those above have been found too large.
         cells = todo.groupBy(F.shiftright("hash", BITS - fine).alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
-        deep = materialise(cells.withColumn("depth", F.explode(F.sequence(F.lit(coarse), F.lit(fine)))))
-        sums = deep.groupBy("depth", F.expr(f"shiftright(cell, {fine} - depth)").alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"))
+        deep = materialise(cells.withColumn("depth", F.explode(F.sequence(F.lit(coarse), F.lit(fine)))).withColumn("prefix", F.expr(f"shiftright(cell, {fine} - depth)")))
+        sums = deep.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"))
         fits = F.when(F.col("shard_bytes") <= limit, F.struct("depth", "shard_bytes"))
-        # The written table packs so well that its size on disk would pass for one to broadcast; its rows grow with the input.
-        found = deep.select("cell", "depth", F.expr(f"shiftright(cell, {fine} - depth)").alias("prefix")).hint("merge").join(sums, ["depth", "prefix"]).groupBy("cell").agg(F.min(fits).alias("fit"))
-        placed = todo.withColumn("cell", F.shiftright("hash", BITS - fine)).join(found, "cell")
+        found = materialise(deep.hint("merge").join(sums, ["depth", "prefix"]).groupBy("cell").agg(F.min(fits).alias("fit")))
+        placed = todo.withColumn("cell", F.shiftright("hash", BITS - fine))
+        # Beyond BROADCAST_BITS: the written table packs so well that its size on disk would pass for one to broadcast, while its rows grow with the input.
+        placed = placed.join(F.broadcast(found), "cell") if fine <= BROADCAST_BITS else placed.hint("merge").join(found, "cell")
         settled = placed.filter("fit is not null").select("doc_id", "n_bytes", _prefix(F.col("hash"), F.col("fit.depth")).alias("shard"), F.col("fit.depth").alias("depth"), F.col("fit.shard_bytes").alias("shard_bytes"))
         done = settled if done is None else done.unionByName(settled)
         todo = materialise(placed.filter("fit is null").select("doc_id", "n_bytes", "hash"))
