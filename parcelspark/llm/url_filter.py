@@ -2,9 +2,9 @@
 
 Everything here is DataFrame functions and Spark's own boosted trees (spark.ml); no Python runs on the executors. Host and path are cut out of the URL, rules are tested as an expression, and the trees see lengths, depth, shares of digits and letters, entropy, counts of parameters, labels and symbols, and statistics of suffixes: how often the last one and two labels of the host, and the first segment of the path, were blocked among the labelled URLs.
 
-The trees learn from at most ``SAMPLE`` labelled URLs, those with the smallest hashes; this also bounds the tables of suffixes, which are therefore sent to every task. Every URL is judged.
+The trees are fitted on at most ``SAMPLE`` labelled URLs, those with the smallest hashes; the statistics of suffixes count all labelled URLs, in tables that grow with them and are joined by sorting. Every URL is judged, each distinct one once, on its whole text.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and is judged by the trees; without both labels among the labelled URLs the verdict is allow; repeated rows are judged alike; an empty table gives no rows; extra columns pass through.
+Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and is judged by the trees; a long URL counts whole in every feature; a URL that is labelled both ways counts as blocked; of equal hashes the smaller URL is fitted on; without both labels among the labelled URLs the verdict is allow; repeated rows are judged alike; an empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -51,12 +51,13 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """The features that a URL alone has."""
     u = F.coalesce(url, F.lit(""))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    chars = F.split(F.substring(u, 1, 1024), "")
+    # -sum p log2 p = log2 n - (1/n) sum over the characters of log2 of how often each occurs, from the runs of the sorted characters in one pass.
+    chars = F.array_sort(F.split(u, ""))
     n = F.greatest(F.size(chars), F.lit(1))
-    # -sum p log2 p = log2 n - (1/n) sum over the characters of log2 of how often each occurs.
-    sorted_chars = F.array_sort(chars)
-    runs = F.transform(F.array_distinct(sorted_chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
-    entropy = F.log2(n) - F.aggregate(runs, F.lit(0.0), lambda acc, k: acc + k * F.log2(k)) / n
+    told = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("char"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda acc, c: F.when(acc["char"] == c, F.struct(c.alias("char"), (acc["run"] + 1).alias("run"), acc["sum"].alias("sum"))).otherwise(F.struct(c.alias("char"), F.lit(1.0).alias("run"), (acc["sum"] + told(acc["run"])).alias("sum")))
+    entropy = F.log2(n) - F.aggregate(chars, start, step, lambda acc: acc["sum"] + told(acc["run"])) / n
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda x: x != "")
     return {
         "url_length": F.length(u),
@@ -88,38 +89,39 @@ def _suffixes(host: Column, path: Column) -> dict[str, Column]:
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """pages (page_id, url, ...) with host, path, rule, verdict (allow or block) and blocked, the trees' probability where they decide.
+    """pages (page_id, url, ...) with __url_host, __url_path, __rule and __verdict (allow or block).
 
     labelled: url, blocked (0 or 1). Without it, the URLs that the rules decide are the labelled ones, so the trees carry the rules' policy over to URLs like those."""
-    at = pages.select(F.struct("*").alias("row"), F.col("url").cast("string").alias("url")).withColumns({"__host": host(F.col("url")), "__path": path(F.col("url"))})
-    at = at.withColumn("__hit", matching_rule(F.col("__host"), F.col("__path"), rules))
+    rows = pages.select(F.struct("*").alias("row"), F.col("url").cast("string").alias("url"))
+    h, p = F.col("host"), F.col("path")
+    placed = lambda df: df.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    at = materialise(placed(rows.select("url").distinct()).withColumn("hit", matching_rule(h, p, rules)))
     if labelled is None:
-        known = at.filter("__hit is not null").select("url", (F.col("__hit.verdict") == "block").cast("int").alias("blocked"))
+        known = at.filter("hit is not null and url is not null").select("url", "host", "path", (F.col("hit.verdict") == "block").cast("int").alias("blocked"))
     else:
-        known = labelled.filter("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked"))
-    h, p = F.col("__host"), F.col("__path")
-    chosen = known.groupBy("url").agg(F.max("blocked").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(sample)
-    chosen = chosen.withColumns({"__host": host(F.col("url")), "__path": path(F.col("url"))})
-    chosen = materialise(chosen.select("blocked", *[c.cast("double").alias(k) for k, c in lexical(F.col("url"), h, p).items()], *[c.alias(k) for k, c in _suffixes(h, p).items()]).coalesce(1))
-    n, ones = chosen.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    judged = at.withColumns({k: c.cast("double") for k, c in lexical(F.col("url"), h, p).items()} | _suffixes(h, p))
-    names = [*lexical(F.col("url"), h, p)]
-    if 0 < ones < n:
-        base = ones / n
-        rates = {k: materialise(chosen.groupBy(k).agg(((F.sum("blocked") + PRIOR * base) / (F.count("*") + PRIOR)).alias(f"{k}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{k}_seen")).withColumnRenamed(k, f"__{k}")) for k in ("suffix", "domain", "segment")}
-
-        def with_rates(df: DataFrame) -> DataFrame:
-            for k, rate in rates.items():
-                df = df.join(F.broadcast(rate), F.col(k) == F.col(f"__{k}"), "left").drop(f"__{k}").fillna({f"{k}_rate": base, f"{k}_seen": 0.0})
-            return df
-
-        names += [f"{k}_{x}" for k in rates for x in ("rate", "seen")]
-        vector = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep")
-        trees = GBTClassifier(labelCol="blocked", featuresCol="__features", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=STEP, seed=11, predictionCol="__prediction").setRawPredictionCol("__raw").setProbabilityCol("__probability")
-        learned = trees.fit(vector.transform(with_rates(chosen)).select("blocked", "__features"))
-        judged = learned.transform(vector.transform(with_rates(judged)))
-        judged = judged.withColumn("__blocks", F.col("__prediction") == 1.0)
+        known = labelled.filter("url is not null and blocked is not null").groupBy(F.col("url").cast("string").alias("url")).agg(F.max("blocked").cast("int").alias("blocked"))
+        known = materialise(placed(known))
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    if not 0 < ones < n:
+        judged = at.withColumn("blocks", F.lit(False))
     else:
-        judged = judged.withColumn("__blocks", F.lit(False))
-    by_method = F.when(F.col("__blocks"), "block").otherwise("allow")
-    return judged.select("row.*", h.alias("__url_host"), p.alias("__url_path"), F.col("__hit.rule").alias("__rule"), F.coalesce("__hit.verdict", by_method).alias("__verdict"))
+        base, numbers = ones / n, lexical(F.col("url"), h, p)
+        names, rates = [*numbers, *(f"{k}_{x}" for k in _suffixes(h, p) for x in ("rate", "seen"))], {}
+        for k, c in _suffixes(h, p).items():
+            counted = known.groupBy(c.alias(k)).agg(F.sum("blocked").alias("ones"), F.count("*").alias("n"))
+            rates[k] = materialise(counted.select(k, ((F.col("ones") + PRIOR * base) / (F.col("n") + PRIOR)).alias(f"{k}_rate"), F.log1p(F.col("n").cast("double")).alias(f"{k}_seen")))
+
+        def featured(df: DataFrame) -> DataFrame:
+            df = df.withColumns({k: c.cast("double") for k, c in numbers.items()} | _suffixes(h, p))
+            for k, rate in rates.items():
+                df = df.hint("merge").join(rate, k, "left").fillna({f"{k}_rate": base, f"{k}_seen": 0.0})
+            return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df.drop(*rates))
+
+        chosen = known.orderBy(F.xxhash64("url"), "url").limit(sample)
+        chosen = featured(chosen).select("blocked", "features").repartition(1).cache()
+        trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=STEP, seed=11)
+        judged = trees.fit(chosen).transform(featured(at)).withColumn("blocks", F.col("prediction") == 1.0)
+        chosen.unpersist()
+    by_method = F.when(F.col("blocks"), "block").otherwise("allow")
+    judged = judged.select(F.col("url").alias("of"), h.alias("__url_host"), p.alias("__url_path"), F.col("hit.rule").alias("__rule"), F.coalesce("hit.verdict", by_method).alias("__verdict"))
+    return rows.hint("merge").join(judged, rows["url"].eqNullSafe(judged["of"])).select("row.*", "__url_host", "__url_path", "__rule", "__verdict")
