@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import math
+import random
 import re
 from collections import Counter
 from contextlib import redirect_stdout
@@ -9,7 +11,7 @@ from contextlib import redirect_stdout
 import pytest
 
 from parcelspark.llm import chat, sharding, url_filter
-from parcelspark.llm.queries import RULES, op8_url_filter, op10_chat_collapse
+from parcelspark.llm.queries import ORACLES, RULES, op8_url_filter, op10_chat_collapse
 
 DOCS = "doc_id long, text string, hash string, shard int"
 
@@ -104,6 +106,28 @@ def test_trees_learn_from_labelled_urls(spark):
     assert right >= 0.95 * len(judged)
 
 
+def test_features_of_whole_urls(spark):
+    """Entropy counts every character of a long URL, and the shares all of it."""
+    from pyspark.sql import functions as F
+
+    urls = ["http://a.com/x", "http://b.org/" + "ab" * 700 + "".join(chr(97 + k % 26) for k in range(3000)), "é://ü", "", "aaaa"]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    made = url_filter.lexical(F.col("url"), url_filter.host(F.col("url")), url_filter.path(F.col("url")))
+    for r in frame.select("url", *[c.cast("double").alias(k) for k, c in made.items()]).collect():
+        u = r["url"]
+        want = -sum(n / len(u) * math.log2(n / len(u)) for n in Counter(u).values())
+        assert abs(r["entropy"] - want) < 1e-9 and r["url_length"] == len(u)
+        assert abs(r["digit_share"] - sum(c in "0123456789" for c in u) / max(len(u), 1)) < 1e-12
+
+
+def test_statistics_of_suffixes_count_all_labelled_urls(spark):
+    """A domain whose labels lie outside the sample is known all the same."""
+    labelled = [(f"http://good{k}.example/p/{k}", 0) for k in range(60)] + [(f"http://a{k}.bad.example/p/{k}", 1) for k in range(60)]
+    frame = spark.createDataFrame(labelled, "url string, blocked int")
+    asked = spark.createDataFrame([(k, f"http://b{k}.bad.example/p/{k}") for k in range(30)], "page_id long, url string")
+    assert {r["__verdict"] for r in url_filter.verdicts(asked, [], frame, sample=40).collect()} == {"block"}
+
+
 TURNS = "conv_id long, turn long, role string, text string, hash string, position int"
 
 
@@ -112,7 +136,7 @@ def brute_chat(turns):
     by = {}
     for c, turn, role, text in turns:
         by.setdefault(c, []).append((turn, role, text))
-    said = {c: [x[1:] for x in sorted(v, key=lambda x: (x[0], str(x[1])))] for c, v in by.items()}
+    said = {c: [x[1:] for x in sorted(v, key=lambda x: tuple((y is not None, y) for y in x))] for c, v in by.items()}
     kept = [c for c, s in said.items() if not any(o != c and t[: len(s)] == s and (len(t) > len(s) or o < c) for o, t in said.items())]
     return sorted((c, turn, role, len(by[c]), f"<|{role or 'unknown'}|>\n{text or ''}<|end|>\n") for c in kept for turn, role, text in by[c])
 
@@ -143,6 +167,32 @@ def test_rows_without_a_conversation_or_turn(spark):
     assert Counter(r["conv_id"] for r in chat.rendered(frame).collect()) == Counter({None: 2, 1: 2})
 
 
+def test_ties_and_nulls_are_as_in_sql(spark, tmp_path):
+    """Turns with one number are in the order of their texts, whatever those are; rows without an id are a conversation."""
+    import duckdb
+
+    rng = random.Random(3)
+    turns = [(None, 1, "user", "x"), (None, 2, None, "?"), (900, 1, "user", "x"), (900, 2, "?", None), (901, 1, "user", "x"), (902, None, None, None), (902, None, None, None), (903, None, None, None)]
+    for k in range(60):
+        words = rng.sample("abcdefghij", 3)
+        turns += [(2 * k, 1, "user", w) for w in sorted(words)[:2]] + [(2 * k + 1, 1, "user", w) for w in words]
+    turns += [(950, 1, "user", f"{'w' * 500}{k}") for k in range(300)] + [(951, 1, "user", f"{'w' * 500}{k}") for k in sorted(range(300), key=str)[:200]]
+    rng.shuffle(turns)
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/t")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/t/*.parquet')")
+    want = Counter(con.execute(ORACLES["op10_chat_collapse"]).fetchall())
+    assert Counter(map(tuple, chat.rendered(frame).collect())) == want
+    assert {r[0] for r in want} & {950, 951} == {950}
+
+
+def test_a_very_long_text_in_a_conversation(spark):
+    text = "word " * 200_000
+    frame = spark.createDataFrame([(1, 1, "user", text), (2, 1, "user", text), (2, 2, "user", "b"), (3, 1, "user", text + ".")], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"] for r in chat.rendered(frame).select("conv_id").collect()} == {2, 3}
+
+
 @pytest.mark.parametrize("make", [lambda s, d: chat.rendered(s.read.parquet(f"{d}/conversations.parquet")), lambda s, d: op8_url_filter(s, d)])
 def test_no_python_in_native_plans(spark, sf_dir, make):
     out = io.StringIO()

@@ -71,6 +71,39 @@ def test_odd_vectors(spark):
     assert ann.nearest(alone, F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+def test_repeats_do_not_take_the_places_of_others(spark):
+    """One row that repeats 20 times is one neighbour, and ids and vectors that are null take no part."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(100, [0.0, 1.0, 0.0])] + [(k, np.float32(rng.standard_normal(3)).tolist()) for k in range(1, 30)]
+    near = (50, [0.0, 1.0, 0.0009765625])
+    frame = spark.createDataFrame([(i, v, 0, "l", 1) for i, v in [*rows, *[near] * 20, *[(None, [0.0, 1.0, 0.0])] * 15]], VECTORS)
+    assert recall(ann.nearest(frame, F.col("vec_id") % 100 == 0, 10), [*rows, near], {100}) == 1.0
+
+
+def test_more_lists_than_two_thousand_and_short_ones(spark):
+    """Lists grow in number with the vectors; where those that a query reads hold fewer than k vectors, it reads more."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(k, np.float32(rng.standard_normal(4)).tolist()) for k in range(12_000)]
+    frame = spark.createDataFrame([(i, v, 0, "l", 1) for i, v in rows], VECTORS)
+    assert len(ann.Centroids(np.array([v for _, v in rows]), 3000).at) == 3000
+    assert recall(ann.nearest(frame, F.col("vec_id") % 500 == 0, 10, to_a_list=4), rows, {i for i, _ in rows if i % 500 == 0}) >= 0.9
+
+
+def test_a_hot_list_of_vectors_and_queries(spark, monkeypatch):
+    """Pages and parts of queries meet once each."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "PAGE", 40)
+    rng = np.random.default_rng(7)
+    rows = [(k, np.float32(np.ones(6) + 0.01 * rng.standard_normal(6)).tolist()) for k in range(600)]
+    frame = spark.createDataFrame([(i, v, 0, "l", 1) for i, v in rows], VECTORS)
+    assert recall(ann.nearest(frame, F.col("vec_id") % 2 == 0, 10), rows, {i for i, _ in rows if i % 2 == 0}) >= 0.9
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
