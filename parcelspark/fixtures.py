@@ -5,6 +5,7 @@ The texts run unchanged in Spark SQL and in other engines; coordinates are multi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PARCELS = """
 SELECT feature_idx, syscol, section, parcelle,
@@ -43,6 +44,18 @@ SELECT k, lpad(CAST(1430200 + k AS STRING), 8, '0') AS syscol,
  x1 + CASE WHEN k % 9 = 2 THEN 900 WHEN k % 3 = 0 THEN 300 ELSE 0 END AS x1, y1
 FROM ({COMMUNES_2013}) c13 WHERE k % 10 <> 4 AND k % 9 <> 3"""
 
+#: Parcels of five shapes, as what is cut out of their boxes (hx0 .. hy1): nothing, the upper right corner, a hole, a strip that leaves two parts; and right triangles (kind 4). Slivers stay boxes.
+SHAPED = f"""
+SELECT feature_idx, nicad_raw, kind, x0, y0, x1, y1,
+ CASE kind WHEN 1 THEN x0 + 20 WHEN 2 THEN x0 + 0.5 WHEN 3 THEN x0 + 15 ELSE x0 END AS hx0, CASE kind WHEN 1 THEN y0 + 15 WHEN 2 THEN y0 + 5 ELSE y0 END AS hy0,
+ CASE kind WHEN 1 THEN x1 WHEN 2 THEN x0 + 1 WHEN 3 THEN x0 + 25 ELSE x0 END AS hx1, CASE kind WHEN 1 THEN y1 WHEN 2 THEN y0 + 10 WHEN 3 THEN y1 ELSE y0 END AS hy1
+FROM (SELECT *, CASE WHEN feature_idx % 29 = 0 THEN 0 ELSE feature_idx % 5 END AS kind FROM ({PARCELS}) p) q"""
+
+#: Old and new communes of three shapes, in the same way: whole, without a corner, with a hole.
+_CUT = "CASE k % 3 WHEN 1 THEN x0 + 450 WHEN 2 THEN x0 + 100 ELSE x0 END AS hx0, CASE k % 3 WHEN 1 THEN y0 + 450 WHEN 2 THEN y0 + 100 ELSE y0 END AS hy0, CASE k % 3 WHEN 1 THEN x1 WHEN 2 THEN x0 + 300 ELSE x0 END AS hx1, CASE k % 3 WHEN 1 THEN y1 WHEN 2 THEN y0 + 500 ELSE y0 END AS hy1"
+SHAPED_2013 = f"SELECT *, CASE WHEN k % 3 = 0 THEN 0 ELSE k % 3 END AS kind, {_CUT} FROM ({COMMUNES_2013}) c"
+SHAPED_2026 = f"SELECT *, CASE WHEN k % 3 = 0 THEN 0 ELSE k % 3 END AS kind, {_CUT} FROM ({COMMUNES_2026}) c"
+
 #: Texts placed as points inside the parcels' grid.
 LABELS = """
 SELECT event_id AS label_idx, CAST(250000 + (event_id * 37) % 4000 + 0.5 AS DOUBLE) AS x,
@@ -74,6 +87,31 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PARCELS, "orders")
 
 
+def with_parts(df: DataFrame) -> DataFrame:
+    """The geometry of rows of SHAPED, SHAPED_2013 or SHAPED_2026 as an array of polygons."""
+    ring = lambda *corners: F.array(*[F.array(F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y) for x, y in (*corners, corners[0])])
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    shape = {
+        1: F.array(F.array(ring(("x0", "y0"), ("x1", "y0"), ("x1", "hy0"), ("hx0", "hy0"), ("hx0", "y1"), ("x0", "y1")))),
+        2: F.array(F.array(box("x0", "y0", "x1", "y1"), box("hx0", "hy0", "hx1", "hy1"))),
+        3: F.array(F.array(box("x0", "y0", "hx0", "y1")), F.array(box("hx1", "y0", "x1", "y1"))),
+        4: F.array(F.array(ring(("x0", "y0"), ("x1", "y0"), ("x0", "y1")))),
+    }
+    parts = F.array(F.array(box("x0", "y0", "x1", "y1")))
+    for kind, made in shape.items():
+        parts = F.when(F.col("kind") == kind, made).otherwise(parts)
+    return df.withColumn("parts", parts)
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_parts(_sql(spark, sf_dir, SHAPED, "orders").withColumns({c: F.col(c).cast("double") for c in ("hx0", "hy0", "hx1", "hy1")}))
+
+
+def shaped_communes(spark: SparkSession, sf_dir: str, vintage: int) -> DataFrame:
+    rows = _sql(spark, sf_dir, SHAPED_2013 if vintage == 2013 else SHAPED_2026, "nation", "region")
+    return with_parts(rows.withColumns({c: F.col(c).cast("double") for c in ("hx0", "hy0", "hx1", "hy1")}))
+
+
 def communes_2013(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, COMMUNES_2013, "nation", "region")
 

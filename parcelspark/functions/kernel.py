@@ -1,101 +1,14 @@
-"""Plane geometry that expressions cannot do: boolean operations on polygons, faces of line networks, hulls.
-
-Boolean operations cut the plane into horizontal slabs at every vertex and crossing. Within a slab no edges cross, so each polygon covers intervals between edges in order, and the result is a set of trapezoids: its area is exact, and neighbouring trapezoids are the result's geometry. The functions work on one or two polygons and are called from Arrow UDFs, a batch of rows at a time.
-"""
+"""Faces of a network of lines, which expressions cannot find: a drawing's block at a time, called from Arrow UDFs."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Ring = list[list[float]]
-OPERATIONS = {"intersection": lambda a, b: a and b, "difference": lambda a, b: a and not b, "union": lambda a, b: a or b}
-
-
-def _edges(rings: list[Ring], owner: int) -> list[tuple[float, float, float, float, int]]:
-    """Edges from lower to upper end, without level ones."""
-    out = []
-    for ring in rings:
-        closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        for (x1, y1), (x2, y2) in zip(closed, closed[1:], strict=False):
-            if y1 != y2:
-                out.append((x1, y1, x2, y2, owner) if y1 < y2 else (x2, y2, x1, y1, owner))
-    return out
-
-
-def _crossings(edges: list[tuple]) -> set[float]:
-    """Heights at which two edges cross."""
-    e = np.array([x[:4] for x in edges])
-    d = e[:, 2:] - e[:, :2]
-    i, j = np.triu_indices(len(e), 1)
-    den = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
-    gap = e[j, :2] - e[i, :2]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / den
-        u = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / den
-    hit = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-    return set((e[i[hit], 1] + t[hit] * d[i[hit], 1]).tolist())
-
-
-def trapezoids(a: list[Ring], b: list[Ring], operation: str) -> list[tuple[float, float, float, float, float, float]]:
-    """(y low, y high, left and right x at the low end, left and right x at the high end) of a op b; even-odd rule for holes."""
-    edges = _edges(a, 0) + _edges(b, 1)
-    if not edges:
-        return []
-    keep = OPERATIONS[operation]
-    levels = sorted({y for e in edges for y in (e[1], e[3])} | _crossings(edges))
-    out = []
-    for lo, hi in zip(levels, levels[1:], strict=False):
-        mid = (lo + hi) / 2
-        at = lambda e, y: e[0] + (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1])
-        live = sorted((e for e in edges if e[1] <= lo and e[3] >= hi), key=lambda e: at(e, mid))
-        inside, start = [False, False], None
-        for e in live:
-            before = keep(*inside)
-            inside[e[4]] = not inside[e[4]]
-            if keep(*inside) and not before:
-                start = e
-            elif before and not keep(*inside):
-                out.append((lo, hi, at(start, lo), at(e, lo), at(start, hi), at(e, hi)))
-    return [t for t in out if t[3] > t[2] or t[5] > t[4]]
 
 
-def area_of(parts: list[tuple]) -> float:
-    return float(sum((hi - lo) * ((r0 - l0) + (r1 - l1)) / 2 for lo, hi, l0, r0, l1, r1 in parts))
-
-
-def rings_of(parts: list[tuple]) -> list[Ring]:
-    """A closed ring for each trapezoid; those that continue each other upwards with straight sides become one."""
-    merged: list[list[float]] = []
-    for t in sorted(parts):
-        for m in merged:
-            if m[1] == t[0] and m[4] == t[2] and m[5] == t[3]:
-                side = lambda x0, x1, y0, y1: (x1 - x0) / (y1 - y0)
-                if abs(side(m[2], m[4], m[0], m[1]) - side(t[2], t[4], t[0], t[1])) < 1e-12 and abs(side(m[3], m[5], m[0], m[1]) - side(t[3], t[5], t[0], t[1])) < 1e-12:
-                    m[1], m[4], m[5] = t[1], t[4], t[5]
-                    break
-        else:
-            merged.append(list(t))
-    return [[[l0, lo], [r0, lo], [r1, hi], [l1, hi], [l0, lo]] for lo, hi, l0, r0, l1, r1 in merged]
-
-
-def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Counter-clockwise from the lowest x; collinear points are left out."""
-    p = sorted(set(points))
-    if len(p) < 3:
-        return p
-    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    halves = []
-    for seq in (p, p[::-1]):
-        half: list = []
-        for q in seq:
-            while len(half) > 1 and turn(half[-2], half[-1], q) <= 0:
-                half.pop()
-            half.append(q)
-        halves.append(half[:-1])
-    return halves[0] + halves[1]
+def ring_area(ring: Ring) -> float:
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
 
 
 def faces(lines: list[list[list[float]]], grid: float = 1e-3) -> list[Ring]:
@@ -149,17 +62,3 @@ def faces(lines: list[list[list[float]]], grid: float = 1e-3) -> list[Ring]:
             if len(ring) > 2 and area > 0:
                 out.append([[x * grid, y * grid] for x, y in [*ring, ring[0]]])
     return out
-
-
-@F.pandas_udf(T.DoubleType())
-def overlay_area(a: pd.Series, b: pd.Series, operation: pd.Series) -> pd.Series:
-    """Area of a op b for polygons as arrays of rings."""
-    rings = lambda p: [[list(map(float, v)) for v in r] for r in p] if p is not None else []
-    return pd.Series([area_of(trapezoids(rings(x), rings(y), op)) for x, y, op in zip(a, b, operation, strict=True)])
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
-def overlay_rings(a: pd.Series, b: pd.Series, operation: pd.Series) -> pd.Series:
-    """The parts of a op b, a closed ring each."""
-    rings = lambda p: [[list(map(float, v)) for v in r] for r in p] if p is not None else []
-    return pd.Series([rings_of(trapezoids(rings(x), rings(y), op)) for x, y, op in zip(a, b, operation, strict=True)])

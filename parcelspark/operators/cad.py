@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions.text import label_kind, layer_text
-from parcelspark.operators.spatial import points_in_boxes
+from parcelspark.operators.spatial import points_in
 
 # Geometry types, classes in their order with the names that mean them, names that exclude a layer, caps.
 SUPPORTED = ["Polygon", "MultiPolygon", "LineString", "MultiLineString", "GeometryCollection", "Point", "MultiPoint"]
@@ -89,8 +89,8 @@ def selected_or_all(entities: DataFrame) -> DataFrame:
 
 def labelled_parcels(labels: DataFrame, parcels: DataFrame, size: float = 60.0) -> DataFrame:
     """For each parcel with labels inside: its number, its name, and the other texts in order; the first label of a kind counts."""
-    boxes = parcels.select("feature_idx", "x0", "y0", "x1", "y1")
-    hit = points_in_boxes(labels.filter(F.trim("label") != ""), boxes, size, "label_idx", "feature_idx").filter("b_feature_idx is not null")
+    boxes = parcels.select("feature_idx", *[c for c in ("x0", "y0", "x1", "y1", "parts") if c in parcels.columns])
+    hit = points_in(labels.filter(F.trim("label") != ""), boxes, size, "label_idx", "feature_idx").filter("b_feature_idx is not null")
     rows = hit.select(F.col("b_feature_idx").alias("feature_idx"), "label_idx", F.trim("label").alias("label"), label_kind(F.col("label")).alias("kind"))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("feature_idx", "kind").orderBy("label_idx")))
     others = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("label_idx", "label")))), lambda s: s["label"])

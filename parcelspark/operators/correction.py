@@ -1,15 +1,15 @@
-"""Guided corrections of a layer: each takes features (feature_idx, nicad, polygon) and returns them changed.
+"""Guided corrections of a layer: each takes features (feature_idx, nicad, and a box x0, y0, x1, y1 or a geometry parts) and returns what changes.
 
 Corrections of many errors at once are joins; an action is allowed for its kind of error only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as geo
-from parcelspark.functions.kernel import overlay_area, overlay_rings
-from parcelspark.operators.spatial import box_join
+from parcelspark.functions import planar
+from parcelspark.operators.spatial import BOX, box_join, outline, overlap_area, own_area
 
 #: Actions by kind of error (fixed values).
 ACTIONS = {
@@ -31,61 +31,109 @@ def allowed(error_type, action):
     return out
 
 
-def with_polygon(parcels: DataFrame) -> DataFrame:
-    return parcels.withColumn("polygon", F.array(geo.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
+def with_parts(parcels: DataFrame) -> DataFrame:
+    return parcels if "parts" in parcels.columns else parcels.withColumn("parts", F.array(F.array(outline(parcels))))
 
 
 def clip(pairs: DataFrame, first: bool = True) -> DataFrame:
-    """pairs (i, j, a, b: polygons): the parts that stay of one of each pair when the other is taken away; fully covered ones have no part left."""
+    """pairs (i, j, a, b: geometries): what stays of one of each pair when the other is taken away: left_area, parts and deleted, true where the other covers all of it."""
     mine, other = ("a", "b") if first else ("b", "a")
-    done = pairs.withColumn("left_area", overlay_area(mine, other, F.lit("difference"))).withColumn("parts", overlay_rings(mine, other, F.lit("difference")))
-    return done.withColumn("deleted", F.col("left_area") <= 0)
+    own = planar.area(F.col(mine))
+    left = own - planar.shared_area(F.col("a"), F.col("b"))
+    # What a rounding leaves of a covered geometry is nothing.
+    left = F.when(left > 1e-9 * own, left).otherwise(0.0)
+    return pairs.withColumn("left_area", left).withColumn("parts", planar.overlay_parts(F.col(mine), F.col(other), "difference")).withColumn("deleted", F.col("left_area") <= 0)
 
 
 def truncate(features: DataFrame, boundary: DataFrame) -> DataFrame:
-    """The parts of features inside a boundary of one row (polygon as b)."""
-    both = features.join(F.broadcast(boundary))
-    return both.withColumn("left_area", overlay_area("polygon", "b", F.lit("intersection"))).withColumn("parts", overlay_rings("polygon", "b", F.lit("intersection")))
+    """The parts of features inside a boundary: the geometry b of its first row by k; of the others none is read."""
+    first = boundary.orderBy("k").limit(1).select("b")
+    both = with_parts(features).join(F.broadcast(first))
+    return both.withColumn("left_area", planar.shared_area(F.col("parts"), F.col("b"))).withColumn("parts", planar.overlay_parts(F.col("parts"), F.col("b"), "intersection"))
 
 
-def best_neighbours(features: DataFrame, size: float = 60.0) -> DataFrame:
-    """For each sliver the neighbour to merge it with: the one with the longest shared edge, else the largest that touches it; slivers are no neighbours. Boxes with is_sliver."""
-    slim = features.select("feature_idx", "x0", "y0", "x1", "y1", "area", "is_sliver")
+def best_neighbours(features: DataFrame, size: float = 60.0, tolerance: float = 5.0) -> DataFrame:
+    """For each sliver the neighbour to merge it with: the one along which the longest stretch of its outline runs, within the tolerance, else the largest that it touches; slivers are no neighbours. features: with is_sliver and area. sliver_idx, neighbour_idx, shared."""
+    slim = features.select("feature_idx", *[c for c in (*BOX, "parts", "area", "is_sliver") if c in features.columns])
     pairs = box_join(slim.filter("is_sliver"), slim.filter("not is_sliver"), size)
-    w = F.least("l_x1", "r_x1") - F.greatest("l_x0", "r_x0")
-    h = F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0")
-    level = F.when((F.col("l_y1") == F.col("r_y0")) | (F.col("l_y0") == F.col("r_y1")) | (F.col("l_y0") == F.col("r_y0")) | (F.col("l_y1") == F.col("r_y1")), w).otherwise(0.0)
-    upright = F.when((F.col("l_x1") == F.col("r_x0")) | (F.col("l_x0") == F.col("r_x1")) | (F.col("l_x0") == F.col("r_x0")) | (F.col("l_x1") == F.col("r_x1")), h).otherwise(0.0)
-    shared = F.greatest(F.lit(0.0), level) + F.greatest(F.lit(0.0), upright)
-    pairs = pairs.withColumn("shared", shared)
+    pairs = pairs.withColumn("shared", geo.shared_length(outline(pairs, "l_"), outline(pairs, "r_"), tolerance))
     order = F.struct(-F.col("shared"), -F.col("r_area"), F.col("r_feature_idx"))
     return pairs.groupBy(F.col("l_feature_idx").alias("sliver_idx")).agg(F.min_by(F.struct(F.col("r_feature_idx").alias("neighbour_idx"), "shared"), order).alias("n")).select("sliver_idx", "n.*")
 
 
+def joined(targets: DataFrame, pieces: DataFrame) -> DataFrame:
+    """targets (feature_idx, parts) with the geometries of pieces (target_idx, parts) united with them, in turn where one target gets several: feature_idx, parts, area. Only targets that get a piece come back.
+
+    Each piece is first cut to what its target does not have, so that what is put side by side does not overlap; the pieces of one target must not overlap each other."""
+    got = pieces.select(F.col("target_idx").alias("feature_idx"), F.col("parts").alias("piece"))
+    met = targets.select("feature_idx", "parts").join(got, "feature_idx").withColumn("new", planar.overlay_parts(F.col("piece"), F.col("parts"), "difference"))
+    new = met.groupBy("feature_idx").agg(F.flatten(F.collect_list("new")).alias("new"))
+    out = targets.select("feature_idx", "parts").join(new, "feature_idx").select("feature_idx", F.concat("parts", "new").alias("parts"))
+    return out.withColumn("area", planar.area(F.col("parts")))
+
+
+def merge_slivers(features: DataFrame, size: float = 60.0) -> DataFrame:
+    """The layer after every sliver with a neighbour has been merged into it: slivers that were merged are gone, their neighbours have their geometry. feature_idx, parts, area, merged (how many slivers it took)."""
+    f = with_parts(features)
+    best = best_neighbours(f, size)
+    pieces = f.select(F.col("feature_idx").alias("sliver_idx"), "parts").join(best, "sliver_idx").select("sliver_idx", F.col("neighbour_idx").alias("target_idx"), "parts")
+    took = pieces.groupBy(F.col("target_idx").alias("feature_idx")).agg(F.count("*").alias("merged"))
+    grown = joined(f, pieces).select("feature_idx", F.col("parts").alias("grown"), F.col("area").alias("grown_area"))
+    left = f.join(best.select(F.col("sliver_idx").alias("feature_idx")), "feature_idx", "left_anti").withColumn("own", own_area(f))
+    out = left.join(grown, "feature_idx", "left").join(took, "feature_idx", "left")
+    return out.select("feature_idx", F.coalesce("grown", "parts").alias("parts"), F.coalesce("grown_area", "own").alias("area"), F.coalesce("merged", F.lit(0)).alias("merged"))
+
+
+def delete(features: DataFrame, errors: DataFrame) -> DataFrame:
+    """features without those that an error (feature_idx, error_type, action) may delete and does."""
+    gone = errors.filter(allowed(F.col("error_type"), F.col("action")) & (F.col("action") == "delete")).select("feature_idx").distinct()
+    return features.join(gone, "feature_idx", "left_anti")
+
+
+def assign_gaps(features: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Gaps (gap_idx, parts, target_idx) become part of their targets: feature_idx, parts, area of the features that grow."""
+    return joined(with_parts(features), gaps)
+
+
+def committed(errors: DataFrame, requests: DataFrame) -> DataFrame:
+    """errors (error_id, error_type, corrected) after requests (error_id, action): those with an allowed action, or ignored, are marked; refused says why a request was not carried out."""
+    asked = requests.groupBy("error_id").agg(F.min("action").alias("action"))
+    rows = errors.join(asked, "error_id", "left")
+    may = allowed(F.col("error_type"), F.col("action"))
+    refused = F.when(F.col("action").isNotNull() & F.col("corrected"), "already corrected").when(F.col("action").isNotNull() & ~may, "action not allowed")
+    return rows.select("error_id", "error_type", "action", (F.col("corrected") | F.coalesce(may, F.lit(False))).alias("corrected"), refused.alias("refused"))
+
+
 def overlap_partners(features: DataFrame, size: float = 60.0) -> DataFrame:
     """For each feature the one that it shares the most area with; the lower id of equals."""
-    from parcelspark.operators.spatial import overlap_area
-
-    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx").withColumn("area", overlap_area()).filter("area > 0")
+    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx")
+    pairs = pairs.withColumn("area", overlap_area(pairs)).filter("area > 0")
     best = F.min_by(F.struct(F.col("r_feature_idx").alias("partner_idx"), F.col("area").alias("shared_area")), F.struct(-F.col("area"), F.col("r_feature_idx")))
     return pairs.groupBy(F.col("l_feature_idx").alias("feature_idx")).agg(best.alias("b")).select("feature_idx", "b.*")
 
 
 def top_partners(features: DataFrame, most: int, size: float = 60.0) -> DataFrame:
     """For each feature the ``most`` that it shares the most area with, in order: partner_idx, place. A feature's own neighbours meet, no more."""
-    from parcelspark.operators.spatial import overlap_area
-
-    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx").withColumn("area", overlap_area()).filter("area > 0")
+    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx")
+    pairs = pairs.withColumn("area", overlap_area(pairs)).filter("area > 0")
     place = F.row_number().over(Window.partitionBy("l_feature_idx").orderBy(F.desc("area"), "r_feature_idx"))
     return pairs.select(F.col("l_feature_idx").alias("feature_idx"), F.col("r_feature_idx").alias("partner_idx"), place.cast("bigint").alias("place")).filter(F.col("place") <= most)
 
 
+def _corner_keys(x: Column, y: Column, step: float) -> Column:
+    """The keys of a corner's cell and, where it lies within a hundredth of a cell of its edges, of the cells beyond them."""
+    near = lambda v: F.array_distinct(F.array(F.floor((v - 0.01 * step) / step), F.floor((v + 0.01 * step) / step)))
+    return F.flatten(F.transform(near(x), lambda i: F.transform(near(y), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
 def delete_matching(features: DataFrame, targets: DataFrame, digits: int = 7) -> DataFrame:
-    """features without those whose ring equals a target's within 1e-7, found by an equality of rounded corners and confirmed vertex by vertex."""
-    key = lambda c: F.xxhash64(F.transform(F.get(c, F.lit(0)), lambda v: F.round(v, 3)))
-    t = targets.select(key(F.col("ring")).alias("__key"), F.col("ring").alias("__ring"))
+    """features (ring) without those whose ring equals a target's within 10**-digits, vertex by vertex. They meet by the cell of their first corner; a target near a cell's edge is sought in the cells beyond it too, so no rounding parts two that are equal."""
+    step = 10.0 ** (3 - digits) * 100
+    corner = lambda k: F.get(F.get(F.col("ring"), F.lit(0)), F.lit(k))
+    t = targets.select(F.explode(_corner_keys(corner(0), corner(1), step)).alias("__key"), F.col("ring").alias("__ring"))
     close = (F.size("ring") == F.size("__ring")) & F.forall(F.zip_with("ring", "__ring", lambda a, b: F.forall(F.zip_with(a, b, lambda u, v: F.abs(u - v) < 10.0**-digits), lambda x: x)), lambda x: x)
-    return features.withColumn("__k", key(F.col("ring"))).join(t, (F.col("__k") == F.col("__key")) & close, "left_anti").drop("__k")
+    own = F.struct(F.floor(corner(0) / step).alias("i"), F.floor(corner(1) / step).alias("j"))
+    return features.withColumn("__k", own).join(t, (F.col("__k") == F.col("__key")) & close, "left_anti").drop("__k")
 
 
 def assign_auto(features: DataFrame, prefix: str = "AUTO_") -> DataFrame:

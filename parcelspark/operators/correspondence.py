@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions.text import half_up, name_key
-from parcelspark.operators.spatial import box_join, overlap_area
+from parcelspark.operators.spatial import BOX, box_join, overlap_area, own_area
 
 #: Least share of the old commune's area for a status, and for a fragment (fixed values).
 CONFIRMED, PROVISIONAL, FRAGMENT = 0.5, 0.1, 0.15
@@ -14,10 +14,11 @@ CONFIRMED, PROVISIONAL, FRAGMENT = 0.5, 0.1, 0.15
 
 def overlay(old: DataFrame, new: DataFrame, size: float = 1000.0) -> DataFrame:
     """Pairs of old and new communes that overlap: s13, s26, nom26, dept26 and the share of the old one's area."""
-    pairs = box_join(old.select("syscol", "x0", "y0", "x1", "y1"), new.select("syscol", "nom", "dept", "x0", "y0", "x1", "y1"), size)
-    whole = (F.col("l_x1") - F.col("l_x0")) * (F.col("l_y1") - F.col("l_y0"))
-    share = F.when(whole > 0, overlap_area() / whole)
-    return pairs.filter(overlap_area() > 0).select(F.col("l_syscol").alias("s13"), F.col("r_syscol").alias("s26"), F.col("r_nom").alias("nom26"), F.col("r_dept").alias("dept26"), share.alias("share"))
+    shape = [c for c in (*BOX, "parts") if c in old.columns and c in new.columns]
+    pairs = box_join(old.select("syscol", *shape), new.select("syscol", "nom", "dept", *shape), size)
+    pairs = pairs.withColumn("shared", overlap_area(pairs)).filter("shared > 0")
+    whole = own_area(pairs, "l_")
+    return pairs.select(F.col("l_syscol").alias("s13"), F.col("r_syscol").alias("s26"), F.col("r_nom").alias("nom26"), F.col("r_dept").alias("dept26"), F.when(whole > 0, F.col("shared") / whole).alias("share"))
 
 
 def recompute(old: DataFrame, new: DataFrame) -> DataFrame:

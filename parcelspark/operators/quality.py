@@ -1,17 +1,21 @@
 """Quality analysis of a parcel layer: identifiers, duplicates, slivers, overlaps, gaps, boundary; errors, counters, score.
 
-A parcel is a row of feature_idx, nicad_raw and a box x0, y0, x1, y1 (rectangles), or a ring. Errors are rows of error_type, severity, feature_idx, nicad1, nicad2, area, confidence.
+A parcel is a row of feature_idx, nicad_raw and a box x0, y0, x1, y1, which is the parcel itself or, where there is a column parts (an array of polygons), the bounds of its geometry. Errors are rows of error_type, severity, feature_idx, nicad1, nicad2, area, confidence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as geo
 from parcelspark.functions import nicad as nic
+from parcelspark.functions import planar
 from parcelspark.functions.text import half_up
-from parcelspark.operators.spatial import box_join, overlap_area
+from parcelspark.operators.grouping import whole_groups
+from parcelspark.operators.spatial import BOX, box_join, outline, overlap_area, own_area
 
 ERROR = ["error_type", "severity", "feature_idx", "nicad1", "nicad2", "area", "confidence"]
 #: The order of severities, which is not that of their names (fixed values).
@@ -72,18 +76,34 @@ def duplicate_errors(parcels: DataFrame) -> DataFrame:
 
 
 def duplicate_listing(parcels: DataFrame) -> DataFrame:
-    """For each duplicated identifier its occurrences, as a text of ids in order."""
-    rows = duplicates(parcels).withColumn("place", F.row_number().over(Window.partitionBy("nicad").orderBy("feature_idx")))
-    return rows.groupBy("nicad").agg(F.count("*").alias("occurrences"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "feature_idx"))), lambda s: s["feature_idx"].cast("string")), ", ").alias("object_ids"))
+    """For each duplicated identifier its occurrences, as a text of ids in order: the one place where a group's ids become one value, since that is what is asked for."""
+    ids = F.transform(F.array_sort(F.collect_list("feature_idx")), lambda i: i.cast("string"))
+    return duplicates(parcels).groupBy("nicad").agg(F.count("*").alias("occurrences"), F.array_join(ids, ", ").alias("object_ids"))
 
 
 def slivers(parcels: DataFrame) -> DataFrame:
-    """Parcels with area, aspect and whether they are slivers."""
+    """Parcels with area, aspect of the box and whether they are slivers."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    area = geo.ring_area(geo.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    area = own_area(parcels)
     return parcels.withColumn("area", area).withColumn("aspect", geo.aspect_ratio(w, h)).withColumn("is_sliver", geo.is_sliver(area, w, h, F.col("x0")))
 
 
+def is_valid(parcels: DataFrame) -> Column:
+    """A geometry is there, and the outer ring of a single polygon has four vertices; parcels of several polygons are not looked into."""
+    if "parts" not in parcels.columns:
+        return F.coalesce(F.least(*[F.col(c) for c in BOX]).isNotNull(), F.lit(False))
+    return F.coalesce((F.size("parts") > 1) | (F.size(F.get(F.get(F.col("parts"), F.lit(0)), F.lit(0))) >= 4), F.lit(False))
+
+
+def is_simple(parcels: DataFrame) -> Column:
+    """The stricter check of drawn parcels: a positive area, every ring closed with four vertices, and no ring whose edges cross."""
+    if "parts" not in parcels.columns:
+        return (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    rings = F.flatten("parts")
+    closed = F.forall(rings, lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)))
+    return F.coalesce((planar.area(F.col("parts")) > 0) & closed & ~F.exists(rings, geo.crosses_itself), F.lit(False))
+
+
 def sliver_errors(parcels: DataFrame) -> DataFrame:
     rows = slivers(trimmed(parcels)).filter("is_sliver")
     return _error(rows, "sliver", "medium", _named(F.col("nicad"), F.col("feature_idx")), None, F.col("area"), 0.9)
@@ -99,9 +119,9 @@ def overlaps(parcels: DataFrame, size: float = 60.0, least: float = 0.01, first:
     first and most give the report's caps: only the first features, only so many pairs in the order of (i, j). Without them every pair is found."""
     p = trimmed(parcels)
     p = p.filter(F.col("feature_idx") < first) if first else p
-    pairs = box_join(p, p, size, touching=False, self_join_on="feature_idx").withColumn("area", overlap_area()).filter(F.col("area") >= least)
-    own = lambda s: (F.col(f"{s}x1") - F.col(f"{s}x0")) * (F.col(f"{s}y1") - F.col(f"{s}y0"))
-    smaller = F.least(own("l_"), own("r_"))
+    pairs = box_join(p, p, size, touching=False, self_join_on="feature_idx")
+    pairs = pairs.withColumn("area", overlap_area(pairs)).filter(F.col("area") >= least)
+    smaller = F.least(own_area(pairs, "l_"), own_area(pairs, "r_"))
     percent = F.when(smaller > 0, F.col("area") / smaller * 100).otherwise(0.0)
     out = pairs.select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"), _named(F.col("l_nicad"), F.col("l_feature_idx")).alias("nicad1"), _named(F.col("r_nicad"), F.col("r_feature_idx")).alias("nicad2"), "area", percent.alias("percent"))
     out = out.withColumn("severity", overlap_severity(F.col("percent")))
@@ -114,10 +134,19 @@ def overlap_errors(parcels: DataFrame, **how) -> DataFrame:
 
 
 def partial_overlaps(parcels: DataFrame, size: float = 60.0) -> DataFrame:
-    """Pairs whose interiors meet where neither holds the other."""
-    pairs = box_join(parcels, parcels, size, touching=True, self_join_on="feature_idx").filter(overlap_area() > 0)
-    holds = lambda a, b: (F.col(f"{a}x0") <= F.col(f"{b}x0")) & (F.col(f"{a}y0") <= F.col(f"{b}y0")) & (F.col(f"{a}x1") >= F.col(f"{b}x1")) & (F.col(f"{a}y1") >= F.col(f"{b}y1"))
-    return pairs.filter(~holds("l_", "r_") & ~holds("r_", "l_")).select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"))
+    """Pairs whose interiors meet where neither holds the other: both have area outside what they share."""
+    pairs = box_join(parcels, parcels, size, touching=True, self_join_on="feature_idx")
+    pairs = pairs.withColumn("shared", overlap_area(pairs)).filter("shared > 0")
+    more = lambda side: own_area(pairs, side) - F.col("shared") > 1e-9 * own_area(pairs, side)
+    return pairs.filter(more("l_") & more("r_")).select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"))
+
+
+def intersecting(left: DataFrame, right: DataFrame, size: float = 60.0) -> DataFrame:
+    """Pairs of rows whose geometries have a point in common, be it of their outlines: their interiors meet, or an outline comes within 1e-9 of the other's vertices or crosses it."""
+    pairs = box_join(left, right, size, touching=True)
+    if not {"l_parts", "r_parts"} <= set(pairs.columns):
+        return pairs
+    return pairs.withColumn("shared", overlap_area(pairs)).filter((F.col("shared") > 0) | geo.touches(F.flatten("l_parts"), F.flatten("r_parts"))).drop("shared")
 
 
 def boundary_errors(parcels: DataFrame, boundary: DataFrame) -> DataFrame:
@@ -127,10 +156,93 @@ def boundary_errors(parcels: DataFrame, boundary: DataFrame) -> DataFrame:
     return _error(out, "boundary_cross", "high", _named(F.col("nicad"), F.col("feature_idx")), None, None, 0.9)
 
 
-def errors(parcels: DataFrame) -> DataFrame:
-    """The table of errors of a layer."""
-    out = missing_nicad(parcels)
-    for more in (duplicate_errors(parcels), sliver_errors(parcels), overlap_errors(parcels)):
+def _covered(cell: float):
+    """From (cx, cy, parts) in whole cells to the area that each cell's geometries cover in it."""
+
+    def run(batches):
+        for t in whole_groups(batches, ["cx", "cy"], 20_000):
+            cx, cy = t["cx"].to_numpy(), t["cy"].to_numpy()
+            new = np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])]
+            x0, y0 = cx[new] * cell, cy[new] * cell
+            area = planar.covered(t["parts"].combine_chunks(), np.cumsum(new) - 1, np.stack([x0, y0, x0 + cell, y0 + cell], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(area)], names=["area"])
+
+    return run
+
+
+def _hulls(batches):
+    """One row: the hull of all vertices of the batches."""
+    kept = np.zeros((0, 2))
+    for batch in batches:
+        x, y, _, _ = planar.vertices(batch["parts"])
+        kept = planar.hull(np.r_[kept[:, 0], x], np.r_[kept[:, 1], y])
+    yield pa.RecordBatch.from_arrays([pa.array([kept[:, 0].tolist()], pa.list_(pa.float64())), pa.array([kept[:, 1].tolist()], pa.list_(pa.float64()))], names=["x", "y"])
+
+
+def with_parts(parcels: DataFrame) -> DataFrame:
+    """parcels with a geometry: that of their boxes, if they have no other."""
+    return parcels if "parts" in parcels.columns else parcels.withColumn("parts", F.array(F.array(outline(parcels))))
+
+
+def union_area(parcels: DataFrame, cell: float = 120.0) -> DataFrame:
+    """One row, area_union: what all parcels cover together. Every parcel goes to the cells that its box touches, a cell's task adds up what is covered in the cell, and the cells' areas are summed, so no geometry of the whole layer is ever made."""
+    p = with_parts(parcels).filter(F.least(*[F.col(c) for c in BOX]).isNotNull())
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    cells = p.select("parts", F.explode(F.sequence(at("x0"), at("x1"))).alias("cx"), "y0", "y1").select("parts", "cx", F.explode(F.sequence(at("y0"), at("y1"))).alias("cy"))
+    width = max(1, int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = cells.select("cx", "cy", F.col("parts").cast(planar.PARTS).alias("parts")).repartition(width, "cx", "cy").sortWithinPartitions("cx", "cy")
+    return met.mapInArrow(_covered(cell), "area double").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area_union"))
+
+
+def hull(parcels: DataFrame) -> DataFrame:
+    """One row: x, y, the vertices of the layer's convex hull, and area_hull. Tasks reduce their vertices to hulls, and the hull of these few is the layer's."""
+    parts = with_parts(parcels).select(F.col("parts").cast(planar.PARTS).alias("parts")).mapInArrow(_hulls, "x array<double>, y array<double>")
+    ring = F.transform(F.arrays_zip("x", "y"), lambda v: F.array(v["x"], v["y"]))
+    again = parts.filter(F.size("x") > 0).select(F.array(F.array(ring)).alias("parts")).coalesce(1).mapInArrow(_hulls, "x array<double>, y array<double>")
+    closed = F.concat(ring, F.slice(ring, F.lit(1), F.lit(1)))
+    return again.select("x", "y", F.when(F.size("x") > 2, geo.ring_area(closed)).otherwise(0.0).alias("area_hull"))
+
+
+def gap(parcels: DataFrame, cell: float = 120.0) -> DataFrame:
+    """One row: area_hull, area_union, gap (what the hull has and no parcel covers) and its severity: high over 100 square metres, medium over 1, else null."""
+    both = hull(parcels).select("area_hull").join(F.broadcast(union_area(parcels, cell)))  # one row each
+    size = F.col("area_hull") - F.col("area_union")
+    return both.withColumn("gap", size).withColumn("severity", F.when(size > 100, "high").when(size > 1, "medium"))
+
+
+def gap_neighbours(parcels: DataFrame, first: int = 30, within: float = 200.0) -> DataFrame:
+    """Of the layer's first features, those whose mean vertex lies nearer than ``within`` metres to the place that the gap is reported at, the mean vertex of the hull: feature_idx, nicad, distance. Without ``first`` all features are looked at."""
+    centre = hull(parcels).filter(F.size("x") > 0).select((F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")).alias("gx"), (F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y")).alias("gy"))
+    rows = trimmed(with_parts(parcels))
+    rows = rows.orderBy("feature_idx").limit(first) if first else rows
+    x, y = geo.open_mean(outline(rows))
+    distance = F.sqrt(F.pow(x - F.col("gx"), 2) + F.pow(y - F.col("gy"), 2))
+    return rows.join(F.broadcast(centre)).select("feature_idx", _named(F.col("nicad"), F.col("feature_idx")).alias("nicad"), distance.alias("distance")).filter(F.col("distance") < within)
+
+
+def gap_errors(parcels: DataFrame) -> DataFrame:
+    rows = gap(parcels).filter("severity is not null").withColumn("feature_idx", F.lit(None).cast("long"))
+    return _error(rows, "gap", F.col("severity"), F.lit("gap"), None, F.col("gap"), 0.9)
+
+
+def row_errors(parcels: DataFrame) -> DataFrame:
+    """The errors that a row shows by itself, from one scan: identifiers that are missing, slivers, invalid geometries."""
+    rows = slivers(trimmed(parcels))
+    name = _named(F.col("nicad"), F.col("feature_idx"))
+    none = F.lit(None)
+    fault = lambda kind, severity, nicad1, area, confidence: F.struct(F.lit(kind).alias("error_type"), F.lit(severity).alias("severity"), "feature_idx", nicad1.cast("string").alias("nicad1"), none.cast("string").alias("nicad2"), area.cast("double").alias("area"), F.lit(confidence).alias("confidence"))
+    found = F.array(
+        F.when(F.col("missing") | (F.length("nicad") < 8), fault("missing_nicad", "critical", none, none, 1.0)),
+        F.when(F.col("is_sliver") & is_valid(rows), fault("sliver", "medium", name, F.col("area"), 0.9)),
+        F.when(~is_valid(rows), fault("invalid_geom", "high", name, none, 1.0)),
+    )
+    return rows.select(F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
+def errors(parcels: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
+    """The table of errors of a layer: by row, duplicates, overlaps, the gap, and with a boundary the parcels that leave it."""
+    out = row_errors(parcels)
+    for more in (duplicate_errors(parcels), overlap_errors(parcels), gap_errors(parcels), *([boundary_errors(parcels, boundary)] if boundary is not None else [])):
         out = out.unionByName(more)
     return out
 
@@ -145,9 +257,9 @@ def score(critical: Column, high: Column, medium: Column, features: Column) -> C
     return half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - penalty)), 1)
 
 
-def conformity(parcels: DataFrame) -> DataFrame:
+def conformity(parcels: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """One row: features, errors by severity and the score."""
-    counts = errors(parcels).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    counts = errors(parcels, boundary).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
     total = parcels.agg(F.count("*").alias("features"))
     both = total.join(F.broadcast(counts))  # one row each
     return both.withColumn("score", score(F.col("critical"), F.col("high"), F.col("medium"), F.col("features")))

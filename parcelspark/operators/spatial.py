@@ -1,6 +1,10 @@
-"""Spatial joins over boxes by a grid of cells.
+"""Spatial joins by a grid of cells.
 
-Every box is written to the cells it covers, cells are joined by equality, and the exact predicate follows; a pair that shares several cells is kept in its lowest one, so no distinct is needed. The work is an equi-join that Spark shuffles, splits and broadcasts as any other. The caller picks a cell about as large as the larger of the usual boxes, so a box covers a few cells.
+Every box is written to the cells it covers, cells are joined by equality, and the exact predicate follows; a pair that shares several cells is kept in its lowest one, so no distinct is needed. The work is an equi-join that Spark shuffles and splits as any other.
+
+Cells come in levels, each ``STEP`` times as wide as the one before. A box belongs to the first level where it is at most ``STEP`` cells wide and high, so it covers a bounded number of cells whatever its size, and is written to the coarser levels that are in use too; a pair meets at the coarser level of its two. The caller picks the cells of the first level about as large as the usual boxes.
+
+Tables may have a geometry besides the box, ``parts`` (an array of polygons); then the box only finds candidates, and the predicate is that of the polygons. Boxes with a null or non-finite side meet nothing.
 """
 
 from __future__ import annotations
@@ -8,44 +12,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.functions import geometry as geo
+from parcelspark.functions import planar
+
 BOX = ["x0", "y0", "x1", "y1"]
+STEP, LEVELS = 8, 16
+
 
+def with_box(df: DataFrame) -> DataFrame:
+    """df with the bounds of its parts as x0, y0, x1, y1."""
+    return df.withColumns(planar.bounds(F.col("parts")))
 
-def _cell(v: Column, size: float) -> Column:
+
+def _cell(v: Column, size: Column | float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _gridded(df: DataFrame, prefix: str, size: float) -> DataFrame:
+def _level(df: DataFrame, prefix: str, size: float) -> DataFrame:
+    x0, y0, x1, y1 = (F.col(f"{prefix}{c}") for c in BOX)
+    fit = (x0 <= x1) & (y0 <= y1) & (F.greatest(*[F.abs(v) for v in (x0, y0, x1, y1)]) < float("inf"))
+    wide = F.greatest(x1 - x0, y1 - y0)
+    level = F.ceil(F.log(float(STEP), F.greatest(wide / (size * STEP), F.lit(1.0)))).cast("int")
+    return df.filter(fit).withColumn(f"{prefix}level", F.least(level, F.lit(LEVELS)))
+
+
+def _levels(*leveled: tuple[DataFrame, str]) -> list[int]:
+    """The levels in use, a few numbers."""
+    found = None
+    for df, prefix in leveled:
+        own = df.select(F.col(f"{prefix}level").alias("level")).distinct()
+        found = own if found is None else found.unionByName(own)
+    return sorted({r["level"] for r in found.distinct().collect()})
+
+
+def _gridded(df: DataFrame, prefix: str, size: float, levels: list[int]) -> DataFrame:
     x0, y0, x1, y1 = (F.col(f"{prefix}{c}") for c in BOX)
-    cells = F.transform(F.sequence(_cell(x0, size), _cell(x1, size)), lambda x: F.transform(F.sequence(_cell(y0, size), _cell(y1, size)), lambda y: F.struct(x.alias("cx"), y.alias("cy"))))
+    at = F.explode(F.filter(F.array(*map(F.lit, levels or [0])), lambda level: level >= F.col(f"{prefix}level")))
+    df = df.withColumn("level", at)
+    width = F.pow(F.lit(float(STEP)), F.col("level")) * size
+    cells = F.transform(F.sequence(_cell(x0, width), _cell(x1, width)), lambda x: F.transform(F.sequence(_cell(y0, width), _cell(y1, width)), lambda y: F.struct(x.alias("cx"), y.alias("cy"))))
     return df.withColumn("__cell", F.explode(F.flatten(cells))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, touching: bool = True, self_join_on: str | None = None, how: str = "inner") -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, size: float, touching: bool = True, self_join_on: str | None = None) -> DataFrame:
     """Pairs of rows whose boxes (x0, y0, x1, y1) meet; columns come back as l_* and r_*.
 
     touching: whether boxes that only share an edge meet. self_join_on: for a join of a table with itself, only pairs with l < r in this column."""
-    lft = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
-    rgt = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    g1, g2 = _gridded(lft, "l_", size), _gridded(rgt, "r_", size)
-    lowest = (F.col("cx") == _cell(F.greatest("l_x0", "r_x0"), size)) & (F.col("cy") == _cell(F.greatest("l_y0", "r_y0"), size))
+    lft = _level(left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]), "l_", size)
+    rgt = _level(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_", size)
+    levels = _levels((lft, "l_")) if self_join_on and left is right else _levels((lft, "l_"), (rgt, "r_"))
+    g1, g2 = _gridded(lft, "l_", size, levels), _gridded(rgt, "r_", size, levels)
+    width = F.pow(F.lit(float(STEP)), F.col("level")) * size
+    lowest = (F.col("cx") == _cell(F.greatest("l_x0", "r_x0"), width)) & (F.col("cy") == _cell(F.greatest("l_y0", "r_y0"), width))
     le = (lambda a, b: F.col(a) <= F.col(b)) if touching else (lambda a, b: F.col(a) < F.col(b))
     meet = le("l_x0", "r_x1") & le("r_x0", "l_x1") & le("l_y0", "r_y1") & le("r_y0", "l_y1")
-    joined = g1.join(g2, ["cx", "cy"]).filter(meet & lowest).drop("cx", "cy")
+    coarser = F.col("level") == F.greatest("l_level", "r_level")
+    joined = g1.join(g2, ["level", "cx", "cy"]).filter(coarser & meet & lowest).drop("level", "cx", "cy", "l_level", "r_level")
     return joined.filter(F.col(f"l_{self_join_on}") < F.col(f"r_{self_join_on}")) if self_join_on else joined
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, id_: str, order: str) -> DataFrame:
-    """Each point with the first box (by ``order``) that holds it, or nulls: columns of points, then b_*. The boundary counts as inside."""
-    p = points.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
-    b = _gridded(boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns]), "b_", size)
-    hit = p.join(b, ["cx", "cy"]).filter(F.col("x").between(F.col("b_x0"), F.col("b_x1")) & F.col("y").between(F.col("b_y0"), F.col("b_y1")))
-    first = hit.groupBy(id_).agg(F.min_by(F.struct(*[f"b_{c}" for c in boxes.columns]), F.col(f"b_{order}")).alias("__b"))
-    return points.join(first, id_, "left").select(*points.columns, *[F.col("__b")[f"b_{c}"].alias(f"b_{c}") for c in boxes.columns])
+def points_in(points: DataFrame, areas: DataFrame, size: float, id_: str, order: str) -> DataFrame:
+    """Each point (x, y) with the first of the areas (by ``order``) that holds it, or nulls: columns of points, then b_*. The boundary counts as inside. areas: boxes, or polygons as parts with their boxes."""
+    b = _level(areas.select(*[F.col(c).alias(f"b_{c}") for c in areas.columns]), "b_", size)
+    levels = _levels((b, "b_")) or [0]
+    p = points.select(id_, "x", "y").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    width = F.pow(F.lit(float(STEP)), F.col("level")) * size
+    p = p.withColumn("cx", _cell(F.col("x"), width)).withColumn("cy", _cell(F.col("y"), width))
+    b = _gridded(b, "b_", size, levels).filter("level = b_level").drop("b_level")
+    hit = p.join(b, ["level", "cx", "cy"]).filter(F.col("x").between(F.col("b_x0"), F.col("b_x1")) & F.col("y").between(F.col("b_y0"), F.col("b_y1")))
+    if "parts" in areas.columns:
+        hit = hit.filter(planar.holds(F.col("b_parts"), F.col("x"), F.col("y")))
+    first = hit.groupBy(id_).agg(F.min_by(F.struct(*[f"b_{c}" for c in areas.columns]), F.col(f"b_{order}")).alias("__b"))
+    return points.join(first, id_, "left").select(*points.columns, *[F.col("__b")[f"b_{c}"].alias(f"b_{c}") for c in areas.columns])
 
 
-def overlap_area(l: str = "l_", r: str = "r_") -> Column:
-    """The area that two boxes share."""
-    w = F.least(f"{l}x1", f"{r}x1") - F.greatest(f"{l}x0", f"{r}x0")
-    h = F.least(f"{l}y1", f"{r}y1") - F.greatest(f"{l}y0", f"{r}y0")
+def overlap_area(pairs: DataFrame) -> Column:
+    """The area that the two sides (l_*, r_*) of a pair share: that of their polygons, where both have parts, else of their boxes."""
+    if {"l_parts", "r_parts"} <= set(pairs.columns):
+        return planar.shared_area(F.col("l_parts"), F.col("r_parts"))
+    w = F.least("l_x1", "r_x1") - F.greatest("l_x0", "r_x0")
+    h = F.least("l_y1", "r_y1") - F.greatest("l_y0", "r_y0")
     return F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+
+
+def own_area(df: DataFrame, prefix: str = "") -> Column:
+    """The area of a row's polygons, or of its box."""
+    if f"{prefix}parts" in df.columns:
+        return planar.area(F.col(f"{prefix}parts"))
+    return (F.col(f"{prefix}x1") - F.col(f"{prefix}x0")) * (F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
+
+
+def outline(df: DataFrame, prefix: str = "") -> Column:
+    """A row's first outer ring, or its box as a ring."""
+    if f"{prefix}parts" in df.columns:
+        return F.get(F.get(F.col(f"{prefix}parts"), F.lit(0)), F.lit(0))
+    return geo.rectangle(*[F.col(f"{prefix}{c}") for c in BOX])

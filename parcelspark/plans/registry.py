@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Named parts that oracles may use before their own SELECT.
-PARTS = {"P": fx.PARCELS, "C13": fx.COMMUNES_2013, "C26": fx.COMMUNES_2026, "L": fx.LABELS, "E": fx.LAYERS}
+PARTS = {"P": fx.PARCELS, "C13": fx.COMMUNES_2013, "C26": fx.COMMUNES_2026, "L": fx.LABELS, "W": fx.SHAPED, "W13": fx.SHAPED_2013, "W26": fx.SHAPED_2026, "E": fx.LAYERS}
 
 
 def query(oracle: str | None = None, parts: str = "", more: str = ""):

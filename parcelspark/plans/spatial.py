@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from parcelspark import fixtures as fx
 from parcelspark.functions import geometry as geo
-from parcelspark.functions.kernel import overlay_area
+from parcelspark.functions import planar
 from parcelspark.functions.text import half_up
 from parcelspark.operators import correction, quality
-from parcelspark.operators.spatial import box_join, overlap_area, points_in_boxes
+from parcelspark.operators.spatial import box_join, overlap_area, points_in, with_box
 from parcelspark.plans.registry import query, table
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -131,26 +131,32 @@ def boolean_overlap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.partial_overlaps(fx.parcels(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
+GAP = """H AS (SELECT (max(x1) - min(x0)) * (max(y1) - min(y0)) AS area_hull, sum((x1 - x0) * (y1 - y0)) - (SELECT sum(area) FROM O) AS area_union FROM P),
+G AS (SELECT area_hull, area_union, area_hull - area_union AS gap, CASE WHEN area_hull - area_union > 100 THEN 'high' WHEN area_hull - area_union > 1 THEN 'medium' END AS severity FROM H)"""
+
+
 ERRORS = """R AS (SELECT 'missing_nicad' AS error_type, 'critical' AS severity FROM P WHERE nicad_raw IN ('N/A', '') OR length(nicad_raw) < 8
  UNION ALL SELECT 'duplicate', 'critical' FROM (SELECT count(*) OVER (PARTITION BY nicad_raw) AS n FROM P WHERE length(nicad_raw) >= 8) WHERE n > 1
  UNION ALL SELECT 'sliver', 'medium' FROM P WHERE (x1 - x0) * (y1 - y0) < 1 OR greatest((x1 - x0) / (y1 - y0), (y1 - y0) / (x1 - x0)) > 50
- UNION ALL SELECT 'overlap', severity FROM S)"""
+ UNION ALL SELECT 'overlap', severity FROM S
+ UNION ALL SELECT 'gap', severity FROM G WHERE severity IS NOT NULL
+ UNION ALL SELECT 'boundary_cross', 'high' FROM P WHERE x0 < 250000 OR y0 < 1600000 OR x1 > 250900 OR y1 > 1600900)"""
 
 
-@query("SELECT error_type, severity, count(*) AS n FROM R GROUP BY error_type, severity", "P", f"{OVERLAP}, {ERRORS}")
+@query("SELECT error_type, severity, count(*) AS n FROM R GROUP BY error_type, severity", "P", f"{OVERLAP}, {GAP}, {ERRORS}")
 def error_counts_by_type_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.error_counts(quality.errors(fx.parcels(spark, sf_dir)))
+    return quality.error_counts(quality.errors(fx.parcels(spark, sf_dir), fx.communes_2013(spark, sf_dir)))
 
 
-@query("SELECT features, critical, high, medium, low, floor(greatest(0.0, least(100.0, 100.0 - CAST(critical * 10 + high * 5 + medium * 2 AS DOUBLE) / greatest(features, 1) * 10)) * 10 + 0.5) / 10 AS score FROM (SELECT (SELECT count(*) FROM P) AS features, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM R)", "P", f"{OVERLAP}, {ERRORS}")
+@query("SELECT features, critical, high, medium, low, floor(greatest(0.0, least(100.0, 100.0 - CAST(critical * 10 + high * 5 + medium * 2 AS DOUBLE) / greatest(features, 1) * 10)) * 10 + 0.5) / 10 AS score FROM (SELECT (SELECT count(*) FROM P) AS features, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM R)", "P", f"{OVERLAP}, {GAP}, {ERRORS}")
 def conformity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.conformity(fx.parcels(spark, sf_dir))
+    return quality.conformity(fx.parcels(spark, sf_dir), fx.communes_2013(spark, sf_dir))
 
 
 @query("SELECT label_idx, min(feature_idx) AS feature_idx FROM L LEFT JOIN P ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY label_idx", "P L")
 def pip_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = fx.parcels(spark, sf_dir).select("feature_idx", *BOX)
-    return points_in_boxes(fx.labels(spark, sf_dir), boxes, 60.0, "label_idx", "feature_idx").select("label_idx", F.col("b_feature_idx").alias("feature_idx"))
+    return points_in(fx.labels(spark, sf_dir), boxes, 60.0, "label_idx", "feature_idx").select("label_idx", F.col("b_feature_idx").alias("feature_idx"))
 
 
 SECTIONS = "SELECT r_regionkey * 7 + i AS section_idx, CAST(250000 + i * 643 AS DOUBLE) AS x0, CAST(1600000 + r_regionkey * 900 AS DOUBLE) AS y0, CAST(250000 + i * 643 + 643 AS DOUBLE) AS x1, CAST(1600000 + r_regionkey * 900 + 900 AS DOUBLE) AS y1 FROM region CROSS JOIN (SELECT unnest(range(0, 7)) AS i)"
@@ -165,13 +171,13 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT feature_idx, min(section_idx) AS section_idx FROM (SELECT feature_idx, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM P) p LEFT JOIN N ON x >= N.x0 AND x <= N.x1 AND y >= N.y0 AND y <= N.y1 GROUP BY feature_idx", "P", f"N AS ({SECTIONS})")
 def section_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx.parcels(spark, sf_dir).select("feature_idx", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return points_in_boxes(points, _sections(spark, sf_dir), 900.0, "feature_idx", "section_idx").select("feature_idx", F.col("b_section_idx").alias("section_idx"))
+    return points_in(points, _sections(spark, sf_dir), 900.0, "feature_idx", "section_idx").select("feature_idx", F.col("b_section_idx").alias("section_idx"))
 
 
 @query("SELECT feature_idx, count(*) AS pools, sum(area) AS area FROM (SELECT label_idx, CAST(label_idx % 40 AS DOUBLE) / 2 AS area, min(feature_idx) AS feature_idx FROM L JOIN P ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY label_idx) GROUP BY feature_idx", "P L")
 def pool_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pools = fx.labels(spark, sf_dir).withColumn("area", (F.col("label_idx") % 40).cast("double") / 2)
-    hit = points_in_boxes(pools, fx.parcels(spark, sf_dir).select("feature_idx", *BOX), 60.0, "label_idx", "feature_idx").filter("b_feature_idx is not null")
+    hit = points_in(pools, fx.parcels(spark, sf_dir).select("feature_idx", *BOX), 60.0, "label_idx", "feature_idx").filter("b_feature_idx is not null")
     return hit.groupBy(F.col("b_feature_idx").alias("feature_idx")).agg(F.count("*").alias("pools"), F.sum("area").alias("area"))
 
 
@@ -219,7 +225,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping neighbours with their polygons."""
     p = fx.parcels(spark, sf_dir).select("feature_idx", *BOX)
     pairs = box_join(p, p, 60.0, touching=False, self_join_on="feature_idx")
-    return pairs.select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"), *[F.array(geo.rectangle(*[F.col(f"{s}{c}") for c in BOX])).alias(n) for s, n in (("l_", "a"), ("r_", "b"))], overlap_area().alias("shared"))
+    return pairs.select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"), *[F.array(F.array(geo.rectangle(*[F.col(f"{s}{c}") for c in BOX]))).alias(n) for s, n in (("l_", "a"), ("r_", "b"))])
 
 
 @query("SELECT i, j, (a.x1 - a.x0) * (a.y1 - a.y0) - area AS left_area, (a.x1 - a.x0) * (a.y1 - a.y0) - area <= 0 AS deleted FROM O JOIN P a ON a.feature_idx = i", "P", OVERLAP)
@@ -234,26 +240,69 @@ def clip_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT i, j, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - area AS area FROM O JOIN P a ON a.feature_idx = i JOIN P b ON b.feature_idx = j", "P", OVERLAP)
 def union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("i", "j", overlay_area("a", "b", F.lit("union")).alias("area"))
+    return _pairs(spark, sf_dir).select("i", "j", (planar.area(F.col("a")) + planar.area(F.col("b")) - planar.shared_area(F.col("a"), F.col("b"))).alias("area"))
 
 
 @query("SELECT feature_idx, greatest(0.0, least(x1, 250900.0) - greatest(x0, 250000.0)) * greatest(0.0, least(y1, 1600900.0) - greatest(y0, 1600000.0)) AS left_area FROM P WHERE x1 > 250900 OR y1 > 1600900", "P")
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = fx.communes_2013(spark, sf_dir).orderBy("k").limit(1).select(F.array(_ring()).alias("b"))
-    outside = correction.with_polygon(fx.parcels(spark, sf_dir)).filter("x1 > 250900 or y1 > 1600900").select("feature_idx", "polygon")
-    return correction.truncate(outside, first).select("feature_idx", "left_area")
+    boundary = fx.communes_2013(spark, sf_dir).select("k", F.array(F.array(_ring())).alias("b"))
+    p = fx.parcels(spark, sf_dir)
+    outside = p.join(quality.boundary_errors(p, fx.communes_2013(spark, sf_dir)).select("feature_idx"), "feature_idx")
+    return correction.truncate(outside, boundary).select("feature_idx", "left_area")
 
 
-NEIGHBOUR = """Z AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, (x1 - x0) * (y1 - y0) < 1 OR greatest((x1 - x0) / (y1 - y0), (y1 - y0) / (x1 - x0)) > 50 AS sl FROM P),
-M AS (SELECT s.feature_idx AS sliver_idx, n.feature_idx AS neighbour_idx, n.area, greatest(0.0, CASE WHEN s.y1 = n.y0 OR s.y0 = n.y1 OR s.y0 = n.y0 OR s.y1 = n.y1 THEN least(s.x1, n.x1) - greatest(s.x0, n.x0) ELSE 0.0 END) + greatest(0.0, CASE WHEN s.x1 = n.x0 OR s.x0 = n.x1 OR s.x0 = n.x0 OR s.x1 = n.x1 THEN least(s.y1, n.y1) - greatest(s.y0, n.y0) ELSE 0.0 END) AS shared
- FROM Z s JOIN Z n ON s.sl AND NOT n.sl AND s.x0 <= n.x1 AND n.x0 <= s.x1 AND s.y0 <= n.y1 AND n.y0 <= s.y1)"""
+#: Each side of a sliver counts for its longest stretch beside a side of the neighbour that is at most 5 m off.
+_BESIDE = "greatest(CASE WHEN abs({v} - n.{a}) <= 5 THEN greatest(0.0, least(s.{q}, n.{q}) - greatest(s.{p}, n.{p})) ELSE 0.0 END, CASE WHEN abs({v} - n.{b}) <= 5 THEN greatest(0.0, least(s.{q}, n.{q}) - greatest(s.{p}, n.{p})) ELSE 0.0 END)"
+_SHARED = " + ".join(_BESIDE.format(v=f"s.{v}", a=a, b=b, p=p, q=q) for v, a, b, p, q in (("y0", "y0", "y1", "x0", "x1"), ("y1", "y0", "y1", "x0", "x1"), ("x0", "x0", "x1", "y0", "y1"), ("x1", "x0", "x1", "y0", "y1")))
+# A side of at most 5 m is also within 5 m of the neighbour's sides across it, as far as those reach along it: not at all.
+NEIGHBOUR = f"""Z AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, (x1 - x0) * (y1 - y0) < 1 OR greatest((x1 - x0) / (y1 - y0), (y1 - y0) / (x1 - x0)) > 50 AS sl FROM P),
+M AS (SELECT s.feature_idx AS sliver_idx, n.feature_idx AS neighbour_idx, n.area, s.area AS sliver_area, {_SHARED} AS shared,
+  greatest(0.0, least(s.x1, n.x1) - greatest(s.x0, n.x0)) * greatest(0.0, least(s.y1, n.y1) - greatest(s.y0, n.y0)) AS lap
+ FROM Z s JOIN Z n ON s.sl AND NOT n.sl AND s.x0 <= n.x1 AND n.x0 <= s.x1 AND s.y0 <= n.y1 AND n.y0 <= s.y1),
+B AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sliver_idx ORDER BY shared DESC, area DESC, neighbour_idx) AS place FROM M) WHERE place = 1)"""
 
 
-@query("SELECT sliver_idx, neighbour_idx, shared FROM (SELECT *, row_number() OVER (PARTITION BY sliver_idx ORDER BY shared DESC, area DESC, neighbour_idx) AS place FROM M) WHERE place = 1", "P", NEIGHBOUR)
+@query("SELECT sliver_idx, neighbour_idx, shared FROM B", "P", NEIGHBOUR)
 def merge_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.best_neighbours(quality.slivers(fx.parcels(spark, sf_dir))).select("sliver_idx", "neighbour_idx", "shared")
 
 
+@query("SELECT Z.feature_idx, Z.area + coalesce(more, 0.0) AS area, coalesce(n, 0) AS merged FROM Z LEFT JOIN (SELECT neighbour_idx, sum(sliver_area - lap) AS more, count(*) AS n FROM B GROUP BY neighbour_idx) g ON g.neighbour_idx = Z.feature_idx WHERE Z.feature_idx NOT IN (SELECT sliver_idx FROM B)", "P", NEIGHBOUR)
+def merge_slivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer after all its slivers have been merged into their neighbours."""
+    return correction.merge_slivers(quality.slivers(fx.parcels(spark, sf_dir))).select("feature_idx", "area", "merged")
+
+
+@query("SELECT feature_idx FROM Z WHERE NOT (sl AND feature_idx % 2 = 0)", "P", NEIGHBOUR)
+def delete_slivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slivers with even ids are asked to be deleted, and so is one parcel by an action that its kind of error does not allow."""
+    rows = quality.slivers(fx.parcels(spark, sf_dir))
+    asked = rows.filter("is_sliver and feature_idx % 2 = 0").select("feature_idx", F.lit("sliver").alias("error_type"), F.lit("delete").alias("action"))
+    refused = rows.filter("feature_idx = 7").select("feature_idx", F.lit("overlap").alias("error_type"), F.lit("delete").alias("action"))
+    return correction.delete(rows, asked.unionByName(refused)).select("feature_idx")
+
+
+@query("SELECT syscol, (x1 - x0) * (y1 - y0) + 100 * (y1 - y0) - 50 * 400 AS area FROM C13 WHERE k % 5 <> 4", "C13")
+def assign_to_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of 100 m beyond communes, with a hole, become part of them; half of each strip's width lies in the commune already."""
+    c = fx.communes_2013(spark, sf_dir)
+    strip = geo.rectangle(F.col("x1") - 50, F.col("y0"), F.col("x1") + 100, F.col("y1"))
+    hole = geo.rectangle(F.col("x1") + 20, F.col("y0") + 100, F.col("x1") + 70, F.col("y0") + 500)
+    gaps = c.filter("k % 5 <> 4").select(F.col("k").alias("gap_idx"), F.array(F.array(strip, hole)).alias("parts"), F.col("k").alias("target_idx"))
+    grown = correction.assign_gaps(c.withColumn("feature_idx", F.col("k")), gaps)
+    return grown.join(c.select(F.col("k").alias("feature_idx"), "syscol"), "feature_idx").select("syscol", "area")
+
+
+@query("SELECT event_id, upper(event_type) AS error_type, CASE event_id % 4 WHEN 0 THEN 'ignore' WHEN 1 THEN 'delete' END AS action, event_id % 7 = 0 OR event_id % 4 = 0 OR (event_id % 4 = 1 AND event_id % 3 = 0) AS corrected, CASE WHEN event_id % 4 < 2 AND event_id % 7 = 0 THEN 'already corrected' WHEN event_id % 4 = 1 AND event_id % 3 <> 0 THEN 'action not allowed' END AS refused FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'sliver' WHEN 1 THEN 'overlap' ELSE 'gap' END AS event_type FROM events)")
+def commit_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to ignore or delete, on errors of three kinds, some of them corrected before."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("error_id"))
+    kind = F.when(F.col("error_id") % 3 == 0, "SLIVER").when(F.col("error_id") % 3 == 1, "OVERLAP").otherwise("GAP")
+    errors = e.select("error_id", kind.alias("error_type"), (F.col("error_id") % 7 == 0).alias("corrected"))
+    requests = e.filter("error_id % 4 < 2").select("error_id", F.when(F.col("error_id") % 4 == 0, "ignore").otherwise("delete").alias("action"))
+    return correction.committed(errors, requests).withColumnRenamed("error_id", "event_id")
+
+
 @query("SELECT feature_idx, partner_idx, area AS shared_area FROM (SELECT *, row_number() OVER (PARTITION BY feature_idx ORDER BY area DESC, partner_idx) AS place FROM (SELECT i AS feature_idx, j AS partner_idx, area FROM O UNION ALL SELECT j, i, area FROM O)) WHERE place = 1", "P", OVERLAP)
 def overlap_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.overlap_partners(fx.parcels(spark, sf_dir).select("feature_idx", *BOX))
@@ -272,34 +321,29 @@ def assign_auto_nicad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.assign_auto(p)
 
 
-@query("SELECT k, area_hull, area_union, area_hull - area_union AS gap, CASE WHEN area_hull - area_union > 100 THEN 'high' WHEN area_hull - area_union > 1 THEN 'medium' END AS severity FROM (SELECT k, 2 * (x1 - x0) * (y1 - y0) + (x1 - x0) * (y1 - y0) AS area_hull, 2 * (x1 - x0) * (y1 - y0) AS area_union FROM C13)", "C13")
+@query("SELECT area_hull, area_union, gap, severity FROM G", "P", f"{OVERLAP}, {GAP}")
 def gap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two boxes side by side with one box's width between them: the hull's area less their union's."""
-    from parcelspark.functions.kernel import area_of, convex_hull, trapezoids
+    """The whole layer's hull less what its parcels cover; the corners of the tables' parcels make the hull a rectangle, and no three parcels overlap."""
+    return quality.gap(fx.parcels(spark, sf_dir))
 
-    @F.pandas_udf("double")
-    def hull_area(points: pd.Series) -> pd.Series:
-        return pd.Series([area_of(trapezoids([[list(p) for p in convex_hull([tuple(map(float, v)) for v in x])]], [], "union")) for x in points])
 
-    a = fx.communes_2013(spark, sf_dir)
-    w = F.col("x1") - F.col("x0")
-    second = geo.rectangle(F.col("x0") + 2 * w, F.col("y0"), F.col("x1") + 2 * w, F.col("y1"))
-    out = a.select("k", hull_area(F.concat(_ring(), second)).alias("area_hull"), overlay_area(F.array(_ring()), F.array(second), F.lit("union")).alias("area_union"))
-    gap = F.col("area_hull") - F.col("area_union")
-    return out.select("k", "area_hull", "area_union", gap.alias("gap"), F.when(gap > 100, "high").when(gap > 1, "medium").alias("severity"))
+@query("SELECT feature_idx, CASE WHEN trim(nicad_raw) <> '' THEN trim(nicad_raw) ELSE 'feature_' || feature_idx END AS nicad, sqrt(pow((x0 + x1) / 2 - 252002, 2) + pow((y0 + y1) / 2 - (SELECT (max(y1) + min(y0)) / 2 FROM P), 2)) AS distance FROM P WHERE sqrt(pow((x0 + x1) / 2 - 252002, 2) + pow((y0 + y1) / 2 - (SELECT (max(y1) + min(y0)) / 2 FROM P), 2)) < 200", "P")
+def gap_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features within 200 m of the hull's centre."""
+    return quality.gap_neighbours(fx.parcels(spark, sf_dir), first=None)
 
 
 @query("SELECT k, CAST(4 AS BIGINT) AS faces, (x1 - x0) * (y1 - y0) AS area FROM C13", "C13")
 def polygonize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box's sides and two crossing middle lines, as loose lines, give four faces."""
-    from parcelspark.functions.kernel import area_of, faces, trapezoids
+    from parcelspark.functions.kernel import faces, ring_area
 
     @F.pandas_udf("faces long, area double")
     def found(lines: pd.Series) -> pd.DataFrame:
         rows = []
         for ls in lines:
             fs = faces([[list(map(float, p)) for p in line] for line in ls])
-            rows.append((len(fs), round(sum(area_of(trapezoids([f], [], "union")) for f in fs), 6)))
+            rows.append((len(fs), round(sum(ring_area(f) for f in fs), 6)))
         return pd.DataFrame(rows, columns=["faces", "area"])
 
     x0, y0, x1, y1 = (F.col(c) for c in BOX)

@@ -4,16 +4,18 @@ import io
 import math
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as geo
-from parcelspark.functions import kernel
+from parcelspark.functions import kernel, planar
 from parcelspark.functions import nicad as nic
 from parcelspark.operators import correction, listing
-from parcelspark.operators.spatial import points_in_boxes
+from parcelspark.operators.spatial import box_join, points_in
 from parcelspark.sources import cad, export, geojson, tables
 
 SQUARE = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]]
@@ -36,27 +38,69 @@ def test_identifier_parts(spark):
     assert tuple(r) == ("34567", "none", "345", "00000000", "12300000", "0000000100200003", None, True)
 
 
+def geometries(*polygons):
+    return pa.array([[p] if p else [] for p in polygons], pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
+
+
 @pytest.mark.parametrize("a, b, operation, area", [(SQUARE, SHIFTED, "intersection", 4.0), (SQUARE, SHIFTED, "union", 28.0), (SQUARE, SHIFTED, "difference", 12.0), (HOLE, SQUARE, "intersection", 15.0), (TRIANGLE, SQUARE, "intersection", 16.0), (TRIANGLE, SHIFTED, "intersection", 8.0), (SQUARE, [], "intersection", 0.0), (SQUARE, SQUARE, "difference", 0.0)])
 def test_overlay(a, b, operation, area):
-    parts = kernel.trapezoids(a, b, operation)
-    assert abs(kernel.area_of(parts) - area) < 1e-9
-    assert abs(sum(kernel.area_of(kernel.trapezoids([r], [], "union")) for r in kernel.rings_of(parts)) - area) < 1e-9
+    x, y = geometries(a, SQUARE, a), geometries(b, SQUARE, b)
+    assert np.allclose(planar.areas(x, y, operation), [area, 0.0 if operation == "difference" else 16.0, area])
+    made = planar.pieces(x, y, operation)
+    assert np.allclose(planar.areas(made, geometries([], [], []), "first"), [area, 0.0 if operation == "difference" else 16.0, area])
+
+
+def test_overlay_of_nulls():
+    x = pa.array([None, [SQUARE], []], pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
+    assert planar.areas(x, geometries(SQUARE, SHIFTED, SQUARE), "intersection").tolist() == [0.0, 4.0, 0.0]
+    assert planar.pieces(x, geometries(SQUARE, SHIFTED, SQUARE), "intersection").to_pylist()[0] == []
+    assert planar.areas(x.slice(0, 0), x.slice(0, 0), "union").tolist() == []
+
+
+def hull_of(points):
+    h = planar.hull(np.array([p[0] for p in points], float), np.array([p[1] for p in points], float))
+    return [h.tolist()]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=3, max_size=7, unique=True), st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=3, max_size=7, unique=True))
 def test_areas_add_up(p, q):
-    a, b = ([[[float(x), float(y)] for x, y in kernel.convex_hull(s)]] for s in (p, q))
+    a, b = hull_of(p), hull_of(q)
     if len(a[0]) < 3 or len(b[0]) < 3:
         return
-    area = lambda op, x=a, y=b: kernel.area_of(kernel.trapezoids(x, y, op))
-    assert math.isclose(area("union"), area("union", a, []) + area("union", b, []) - area("intersection"), abs_tol=1e-6)
-    assert math.isclose(area("difference"), area("union", a, []) - area("intersection"), abs_tol=1e-6)
+    x, y = geometries(a), geometries(b)
+    area = lambda op, x=x, y=y: planar.areas(x, y, op)[0]
+    assert math.isclose(area("first"), kernel.ring_area(a[0]), abs_tol=1e-6)
+    assert math.isclose(area("union"), area("first") + area("first", y) - area("intersection"), abs_tol=1e-6)
+    assert math.isclose(area("difference"), area("first") - area("intersection"), abs_tol=1e-6)
+    # What two geometries cover together, in one cell and in four.
+    both = geometries(a, b)
+    whole = planar.covered(both, np.array([0, 0]), np.array([[-1.0, -1.0, 21.0, 21.0]]))
+    quarters = np.array([[i * 10.0, j * 10.0, i * 10 + 10.0, j * 10 + 10.0] for i in range(2) for j in range(2)])
+    four = planar.covered(pa.concat_arrays([both] * 4), np.repeat(np.arange(4), 2), quarters)
+    assert math.isclose(whole[0], area("union"), abs_tol=1e-6) and math.isclose(four.sum(), area("union"), abs_tol=1e-6)
+
+
+def test_a_hull_of_many_points():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 100, (5000, 2)).astype(float)
+    h = planar.hull(points[:, 0], points[:, 1])
+    side = (np.roll(h, -1, 0) - h)[:, None] * (points[None] - h[:, None])[..., ::-1]
+    assert (side[..., 0] - side[..., 1] >= -1e-9).all() and {tuple(p) for p in h} <= {tuple(p) for p in points}
+
+
+def test_boxes_of_any_size_meet(spark):
+    """One bad coordinate does not make millions of cells."""
+    boxes = [(0, 0.0, 0.0, 1_000_000.0, 2_000_000.0), (1, 5.0, 5.0, 2e6, 3e6), (2, 10.0, 10.0, 20.0, 20.0), (3, 19.0, 19.0, 700.0, 700.0), (4, -1e9, -1e9, 1e9, 1e9), (5, 3e6, 3e6, 3e6 + 1, 3e6 + 1), (6, None, 0.0, 1.0, 1.0), (7, float("nan"), 0.0, 1.0, 1.0), (8, float("-inf"), 0.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(boxes, "k long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["l_k"], r["r_k"]) for r in box_join(frame, frame, 60.0, self_join_on="k").collect()}
+    meet = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    assert got == {(a[0], b[0]) for a in boxes[:6] for b in boxes[:6] if a[0] < b[0] and meet(a, b)}
 
 
 def test_faces_of_a_network():
     rings = kernel.faces([[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]], [[2.0, -1.0], [2.0, 5.0]], [[9.0, 9.0], [9.5, 9.5]]])
-    assert sorted(kernel.area_of(kernel.trapezoids([r], [], "union")) for r in rings) == [8.0, 8.0]
+    assert sorted(map(kernel.ring_area, rings)) == [8.0, 8.0]
 
 
 def test_geometry_expressions(spark):
@@ -74,7 +118,7 @@ def test_geometry_expressions(spark):
 def test_points_find_the_first_box(spark):
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, 5.0, 5.0, 200.0, 20.0)], "box_idx long, x0 double, y0 double, x1 double, y1 double")
     points = spark.createDataFrame([(1, 6.0, 6.0), (2, 150.0, 7.0), (3, 10.0, 10.0), (4, -5.0, 0.0), (5, None, 1.0)], "p long, x double, y double")
-    got = {r["p"]: r["b_box_idx"] for r in points_in_boxes(points, boxes, 7.0, "p", "box_idx").collect()}
+    got = {r["p"]: r["b_box_idx"] for r in points_in(points, boxes, 7.0, "p", "box_idx").collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: None, 5: None}
 
 
@@ -219,7 +263,7 @@ def test_csv_rules(spark, tmp_path):
 def test_corrections(spark):
     allowed = one(spark, correction.allowed(F.lit("overlap"), F.lit("clip_first")), correction.allowed(F.lit("gap"), F.lit("delete")))
     assert tuple(allowed) == (True, False)
-    pairs = spark.createDataFrame([(1, 2, SQUARE, SHIFTED), (3, 4, SQUARE, SQUARE)], "i long, j long, a array<array<array<double>>>, b array<array<array<double>>>")
+    pairs = spark.createDataFrame([(1, 2, [SQUARE], [SHIFTED]), (3, 4, [SQUARE], [SQUARE])], f"i long, j long, a {planar.PARTS}, b {planar.PARTS}")
     rows = {r["i"]: r for r in correction.clip(pairs).collect()}
     assert rows[1]["left_area"] == 12.0 and not rows[1]["deleted"] and rows[3]["deleted"]
 
