@@ -124,3 +124,60 @@ def resolved(nicad: Column, section_code: Column, syscol: Column, section: Colum
     by_columns = key(syscol_number(syscol), F.when(given(section), pad_left(digits(section), 3)).otherwise(F.lit("001")), own)
     by_code = key(F.substring(code, 1, 8), F.substring(code, 9, 3), own)
     return F.when(F.length(whole) == 16, key(F.substring(whole, 1, 8), F.substring(whole, 9, 3), F.substring(whole, 12, 5))).when(F.length(code) == 11, by_code).when(given(syscol), by_columns)
+
+
+def section_prefix(syscol: Column, section: Column) -> Column:
+    """The first eleven digits of a section's identifiers."""
+    return F.concat(pad_left(syscol, 8), pad_left(section, 3))
+
+
+def parts(nicad: Column) -> Column:
+    """An identifier as a struct of its parts; null unless it has 16 digits."""
+    c = cleaned(nicad)
+    return F.when(c.rlike("^[0-9]{16}$"), F.struct(syscol_of(nicad).alias("syscol"), section_of(nicad).alias("section"), parcel_of(nicad).alias("num_parcelle"), c.alias("full")))
+
+
+#: Names under which imports have their attributes, in the order in which they count (fixed values).
+COMMUNE_2013 = {
+    "syscol": ["Syscol", "SYSCOL", "syscol", "COD_SYSCOL", "cod_syscol"],
+    "nom": ["NomCommune", "NOM_COMMUN", "NOM", "nom", "Commune", "COMMUNE"],
+}
+COMMUNE_2026 = {
+    "syscol": ["COD_SYSCOL", "Syscol", "SYSCOL", "syscol", "cod_syscol"],
+    "nom": ["NomCommune", "NOM_COMMUN", "NOM", "nom", "Commune", "COMMUNE"],
+    "region": ["REGION", "Region", "region", "NOM_REGION"],
+    "departement": ["DEPARTEMEN", "DEPARTEMENT", "Departement", "departement"],
+}
+SECTION = {
+    "code": ["Num_sect_N", "NUM_SECT_N"],
+    "numero": ["Num_sectio", "Num_sect", "NUM_SECT", "NUMSECT", "numSection", "NUM_SECTION", "SECTION"],
+    "nom": ["NOM_SECT", "NOMSECT", "nomSection", "NOM_SECTION", "NAME"],
+    "commune": ["COM_ARROND", "NomCommune", "NOM_COMMUN", "NOM", "nom"],
+    "region": ["REGION", "region"],
+    "departement": ["ARRONDISSE", "DEPARTEMENT", "departement"],
+}
+PARCEL = {
+    "commune": ["commune", "NomCommune", "NOM_COMMUN", "NOM"],
+    "region": ["region", "REGION"],
+    "departement": ["departemen", "DEPARTEMENT", "departement"],
+    "quartier": ["Quartier", "QUARTIER", "quartier", "NOM_QUART"],
+    "num_lot": ["NumLot", "NUM_LOT", "NUMLOT", "numLot"],
+    "titre": ["TitreParce", "TITRE_PARC", "TITREPARCE", "titreParce"],
+    "type_document": ["TypeDocFon", "TYPE_DOC", "TYPEDOC", "typeDocFon"],
+    "nature": ["NatJuri", "NAT_JURI", "NATJURI", "natJuri"],
+    "destination": ["TypeDestin", "TYPE_DEST", "TYPEDEST", "typeDestin"],
+    "occupation": ["CatOcup", "CAT_OCUP", "CATOCUP", "catOcup"],
+    "superficie": ["SupLegale", "SupReelle", "SUPERFICIE", "superficie", "Shape_Area"],
+    "proprietaire": ["TitulaireD", "Occupant", "nomProprietaire"],
+}
+#: The identifier's names in the two map clients, which know fewer than imports do (fixed values).
+MAP_NICAD, LEAFLET_NICAD = ["NICAD", "nicad", "NIC", "Nicad"], ["NICAD", "nicad", "NIC"]
+
+
+def first_of(props: Column, names: list[str]) -> Column:
+    """The first of a map's entries that is not null; empty if none is."""
+    return F.coalesce(*[F.try_element_at(props, F.lit(n)) for n in names], F.lit(""))
+
+
+def attributes(props: Column, names: dict[str, list[str]]) -> dict[str, Column]:
+    return {k: first_of(props, v).alias(k) for k, v in names.items()}

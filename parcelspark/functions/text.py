@@ -72,3 +72,46 @@ def table_cells(line: Column) -> Column:
     inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
     rule = inner.rlike(r"^[\s:|-]+$") & F.contains(inner, F.lit("-"))
     return F.when(line.rlike(r"^\s*\|.*\|\s*$") & ~rule, F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)))
+
+
+def file_name(c: Column) -> Column:
+    """A name that is safe on disks: the last part of a path, with anything but letters, digits, dot, dash and underline replaced."""
+    return F.regexp_replace(F.regexp_extract(c, r"([^/]*)/*$", 1), "[^a-zA-Z0-9._-]", "_")
+
+
+def folder_name(c: Column) -> Column:
+    """A commune's name as a folder."""
+    return F.upper(F.regexp_replace(c, "[^a-zA-Z0-9_-]", "_"))
+
+
+def stored_name(user: Column, at: Column, name: Column) -> Column:
+    """user_milliseconds_name.geojson for an uploaded file; archives change their ending."""
+    safe = F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9._-]", "_"), "(?i)\\.zip$", ".geojson")
+    safe = F.when(F.endswith(safe, F.lit(".geojson")), safe).otherwise(F.concat(safe, F.lit(".geojson")))
+    return F.concat_ws("_", F.coalesce(user, F.lit("anon")), F.unix_millis(at).cast("string"), safe)
+
+
+#: Kinds of report and how they are called (fixed values).
+REPORTS = {"EXPERT": "d'Expert", "DETAILED": "Détaillé"}
+
+
+def report_title(kind: Column, name: Column) -> Column:
+    called = F.lit("Résumé")
+    for k, v in REPORTS.items():
+        called = F.when(kind == k, v).otherwise(called)
+    return F.concat(F.lit("Rapport "), called, F.lit(" — "), name)
+
+
+def iso(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def from_base64(c: Column) -> Column:
+    """The text that a base64 string holds; a data URL's head is left out."""
+    return F.decode(F.unbase64(F.regexp_replace(c, "^data:[^,]*,", "")), "UTF-8")
+
+
+def overridden(props: Column, more: Column) -> Column:
+    """A map with the entries of another laid over it; the other's win."""
+    kept = F.map_filter(props, lambda k, _: ~F.array_contains(F.map_keys(more), k))
+    return F.when(more.isNull(), props).when(props.isNull(), more).otherwise(F.map_concat(kept, more))

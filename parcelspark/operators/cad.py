@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelspark.functions import nicad as nic
+from parcelspark.functions import planar
 from parcelspark.functions.text import label_kind, layer_text
 from parcelspark.operators.spatial import points_in
 
@@ -65,26 +67,99 @@ def audit(entities: DataFrame) -> DataFrame:
     return classified(entities).groupBy("cls").agg(F.count("*").alias("n"))
 
 
-def capped(entities: DataFrame, text_cap: int | None = TEXT_CAP, other_cap: int | None = OTHER_TEXT_CAP) -> DataFrame:
-    """The selection in its order, outlines by class, then texts by class up to their caps; None sets no cap (the form for large inputs)."""
-    order = {c: k for k, c in enumerate([*OUTLINES, *TEXTS])}
-    rank = F.lit(len(order))
-    for c, k in order.items():
-        rank = F.when(F.col("cls") == c, k).otherwise(rank)
-    rows = classified(entities).withColumn("class_rank", rank)
+def capped(entities: DataFrame, text_cap: int | None = TEXT_CAP, other_cap: int | None = OTHER_TEXT_CAP, total: int | None = RETURNED_CAP) -> DataFrame:
+    """The selection in its order, outlines by class, then texts by class up to their caps, and of all that the first ``total``; None sets no cap (the form for large inputs). place is the place in the class."""
+    # One reference to the class: it stands for a long expression.
+    rows = classified(entities).withColumn("class_rank", F.array_position(F.array(*map(F.lit, [*OUTLINES, *TEXTS])), F.col("cls")))
     if text_cap is None:
         return rows
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("feature_idx"))
+    # Ranges of ids are counted first, so that no task numbers a whole class.
+    rows = rows.withColumn("range", F.floor(F.col("feature_idx") / SPAN))
+    sizes = rows.groupBy("class_rank", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("class_rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("class_rank", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("class_rank", "range").orderBy("feature_idx"))
     cap = F.when(F.col("cls").isin(OUTLINES), F.lit(2**31 - 1)).when(F.col("cls").isin("numero_parcelle", "numero_section"), text_cap).otherwise(min(text_cap, other_cap))
-    return rows.withColumn("place", place).filter(F.col("place") <= cap)
+    rows = rows.join(starts, ["class_rank", "range"]).withColumn("place", place).filter(F.col("place") <= cap).drop("range", "start")
+    if total is None:
+        return rows
+    # One row for each class: how many come before it.
+    kept = rows.groupBy("class_rank").agg(F.count("*").alias("n"))
+    ahead = kept.select("class_rank", F.coalesce(F.sum("n").over(Window.orderBy("class_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return rows.join(F.broadcast(ahead), "class_rank").filter(F.col("ahead") + F.col("place") <= total).drop("ahead")
 
 
-def selected_or_all(entities: DataFrame) -> DataFrame:
-    """The classified entities; where none is, all of a supported type as a fallback class."""
+def selected_or_all(entities: DataFrame, total: int | None = RETURNED_CAP) -> DataFrame:
+    """The classified entities; where none is, the first ``total`` of a supported type as a fallback class. Raises where nothing is of a supported type."""
+    supported = entities.filter(F.col("geom_type").isin(SUPPORTED))
+    if supported.isEmpty():
+        raise ValueError("no entity of a supported geometry type")
     rows = classified(entities).select("feature_idx", "layer", "geom_type", "label", "cls")
     none = rows.agg((F.count("*") == 0).alias("none"))
-    everything = entities.filter(F.col("geom_type").isin(SUPPORTED)).join(F.broadcast(none), F.col("none")).select("feature_idx", "layer", "geom_type", "label", F.lit(FALLBACK).alias("cls"))
-    return rows.unionByName(everything)
+    everything = supported.join(F.broadcast(none), F.col("none")).select("feature_idx", "layer", "geom_type", "label", F.lit(FALLBACK).alias("cls"))
+    return rows.unionByName(everything if total is None else everything.orderBy("feature_idx").limit(total))
+
+
+#: What each class's polygons and texts become (fixed values), and the limits of a drawn parcel's area in square metres.
+POOL, SECTION, IGNORED = "piscine", "limites_sections", ["batiment"]
+LABELS = {"numero_parcelle": "numero", "numero_tf": "numero", "numero_lot": "lot", "proprietaire": "proprietaire", "titre_parcelle": "denomination", "numero_batiment": "autre", "nb_nv_bati": "autre"}
+LEAST_AREA, MOST_AREA = 5.0, 50_000.0
+#: Plausible metres of UTM zone 28: least and most x and y (fixed values).
+METRES = (100000.0, 900000.0, 1000000.0, 2200000.0)
+SPAN = 4096
+
+
+def label_of_layer(cls: Column) -> Column:
+    """The kind of text that a class holds; null where the text itself must tell."""
+    out = F.lit(None).cast("string")
+    for c, kind in LABELS.items():
+        out = F.when(cls == c, kind).otherwise(out)
+    return out
+
+
+def plausible(parts: Column) -> Column:
+    """Whether every vertex lies within METRES."""
+    points = F.flatten(F.flatten(parts))
+    return F.coalesce((F.size(points) > 0) & F.forall(points, lambda p: F.get(p, F.lit(0)).between(METRES[0], METRES[2]) & F.get(p, F.lit(1)).between(METRES[1], METRES[3])), F.lit(False))
+
+
+def routed(drawn: DataFrame) -> DataFrame:
+    """Drawn polygons (feature_idx, cls, parts) with area and ``route``: outside, pool, section, ignored, invalid, too_large or parcel. Sections and pools have no limit of area."""
+    from parcelspark.operators.quality import is_simple
+
+    rows = drawn.withColumn("area", planar.area(F.col("parts")))
+    cls = F.coalesce("cls", F.lit(""))
+    kind = F.when(cls == POOL, "pool").when(cls == SECTION, "section").when(cls.isin(IGNORED), "ignored")
+    route = F.when(~plausible(F.col("parts")), "outside").when(kind == "ignored", kind).when(~is_simple(rows), "invalid").when(kind.isNotNull(), kind).when(F.col("area") > MOST_AREA, "too_large").otherwise("parcel")
+    return rows.withColumn("route", route)
+
+
+def assigned(parcels: DataFrame, found: DataFrame) -> DataFrame:
+    """Drawn parcels (feature_idx, section, numero) with the commune that their place lies in (found: feature_idx, syscol, approx): syscol, approx and nicad; none without a commune or a number."""
+    rows = parcels.join(found, "feature_idx", "left")
+    built = nic.built(F.col("syscol"), F.col("section"), F.col("numero"))
+    return rows.select("feature_idx", "syscol", F.coalesce("approx", F.lit(False)).alias("approx"), F.when(F.col("syscol").isNotNull(), built).alias("nicad"))
+
+
+def report(drawn: DataFrame, parcels: DataFrame) -> DataFrame:
+    """One row of counters over a drawing: its routed polygons, and its parcels (feature_idx, numero, denomination, proprietaire, section, syscol, approx, geom_hash)."""
+    r = routed(drawn)
+    n = lambda route: F.count_if(F.col("route") == route)
+    one = r.agg(n("parcel").alias("nb_parcelles_dessinees"), n("pool").alias("nb_piscines"), n("too_large").alias("nb_enveloppes_ignorees"), n("outside").alias("nb_hors_emprise"), n("invalid").alias("nb_invalides"), n("ignored").alias("nb_autres_couches"), F.coalesce(F.sum(F.when(F.col("route") == "parcel", F.col("area"))), F.lit(0.0)).alias("surface_totale"), F.coalesce(F.sum(F.when(F.col("route") == "pool", F.col("area"))), F.lit(0.0)).alias("surface_piscines"))
+    lacks = lambda c: F.count_if(F.col(c).isNull()).alias(f"nb_sans_{c}")
+    bad = F.col("numero").isNotNull() & ~F.coalesce(F.col("numero").rlike("^[0-9]{5}$"), F.lit(False))
+    two = parcels.agg(F.count("*").alias("nb_parcelles"), *[lacks(c) for c in ("numero", "denomination", "proprietaire", "section", "syscol")], F.count_if(F.coalesce("approx", F.lit(False))).alias("nb_commune_approx"), F.count_if(bad).alias("nb_numero_non_conforme"))
+    same = parcels.groupBy("geom_hash").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("nb_doublons"))
+    return one.join(F.broadcast(two)).join(F.broadcast(same))  # one row each
+
+
+def audit_row(entities: DataFrame, names: int = 50) -> DataFrame:
+    """One row: entities in all, selected, for each class, and the first layer names in order."""
+    each = classified(entities).groupBy("cls").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = each.agg(total(F.col("n")).alias("selected"), *[total(F.when(F.col("cls") == c, F.col("n"))).alias(c) for c in (*OUTLINES, *TEXTS)])
+    layers = entities.select("layer").filter("layer is not null").distinct().orderBy("layer").limit(names).agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"))
+    return entities.agg(F.count("*").alias("entities")).join(F.broadcast(counts)).join(F.broadcast(layers))  # one row each
 
 
 def labelled_parcels(labels: DataFrame, parcels: DataFrame, size: float = 60.0) -> DataFrame:

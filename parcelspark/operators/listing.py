@@ -13,6 +13,12 @@ def page(df: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def clamped_page(df: DataFrame, order: list[Column], limit: int, number: int) -> DataFrame:
+    """The page of that number, from 0; one beyond the last is the last, one before the first the first."""
+    last = max(0, -(-df.count() // limit) - 1)
+    return page(df, order, limit, limit * max(0, min(number, last)))
+
+
 def contains_any(columns: list[Column], term: str) -> Column:
     """Whether a text is part of any column, without regard to case; a blank term matches all."""
     if not term.strip():

@@ -95,3 +95,53 @@ def dashboard(parcels: DataFrame, communes_2013: DataFrame, communes_2026: DataF
     for name, table in (("communes_2013", communes_2013), ("communes_2026", communes_2026)):
         out = out.join(F.broadcast(table.agg(F.count("*").alias(name))))  # one row each
     return out
+
+
+def update_fields(table: DataFrame, changes: DataFrame, key: str, fields: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
+    """changes into table by key: of rows that exist only ``fields`` change, new rows come whole, with defaults for what they lack. Of several changes to one key the last (by pos) counts."""
+    columns = [c for c in table.columns if c != key]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c in changes.columns]), F.col("pos")).alias("__new")).withColumnRenamed(key, "__key")
+    out = table.withColumn("__old", F.lit(True)).join(last, table[key] == last["__key"], "full_outer")
+    is_old, has_new = F.coalesce("__old", F.lit(False)), F.col("__key").isNotNull()
+
+    def value(c: str) -> Column:
+        new = F.col("__new")[c] if c in changes.columns else F.lit(None)
+        fresh = F.coalesce(new, defaults[c]) if defaults and c in defaults else new
+        return F.when(~is_old, fresh).when(has_new & F.lit(c in fields), new).otherwise(F.col(c)).alias(c)
+
+    return out.select(F.coalesce(key, "__key").alias(key), *[value(c) for c in columns])
+
+
+def new_sections(requests: DataFrame, communes: DataFrame, existing: DataFrame) -> DataFrame:
+    """requests (request_id, syscol, section) with the padded key and ``status``: ok, commune (unknown), exists; of several requests for one section the first counts."""
+    r = requests.select("request_id", pad_left(F.col("syscol"), 8).alias("syscol"), pad_left(F.col("section"), 3).alias("section"))
+    first = r.groupBy("syscol", "section").agg(F.min("request_id").alias("first_id"))
+    known = communes.select("syscol", F.lit(True).alias("known")).distinct()
+    there = existing.select("syscol", "section", F.lit(True).alias("there")).distinct()
+    out = r.join(first, ["syscol", "section"]).join(known, "syscol", "left").join(there, ["syscol", "section"], "left")
+    status = F.when(F.col("known").isNull(), "commune").when(F.coalesce("there", F.lit(False)) | (F.col("request_id") > F.col("first_id")), "exists").otherwise("ok")
+    return out.select("request_id", "syscol", "section", status.alias("status"))
+
+
+def operation_log(opened: DataFrame, closed: DataFrame) -> DataFrame:
+    """Operations (op_id, kind) with what closed them (op_id, pos, ok, failed), the last one by pos: status en_cours, succes or echec, and the numbers."""
+    last = closed.groupBy("op_id").agg(F.max_by(F.struct("ok", "failed"), F.col("pos")).alias("end"))
+    rows = opened.join(last, "op_id", "left")
+    zero = F.lit(0).cast("bigint")
+    status = F.when(F.col("end").isNull(), "en_cours").when(F.col("end.failed") > 0, "echec").otherwise("succes")
+    return rows.select("op_id", "kind", status.alias("status"), F.coalesce("end.ok", zero).alias("ok"), F.coalesce("end.failed", zero).alias("failed"))
+
+
+def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """rows with ``batch`` (from 1), so many in each in their order; numbers come from ranges that are counted first."""
+    from parcelspark.operators.listing import renumbered
+
+    return renumbered(rows, order).withColumn("batch", F.floor(F.col("position") / size) + 1)
+
+
+def dependents(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
+    """Parents with a count of rows in each child table, which a cascading deletion would take along."""
+    out = parents.select(key)
+    for name, child in children.items():
+        out = out.join(child.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

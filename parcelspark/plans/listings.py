@@ -89,10 +89,10 @@ def parcels_by_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.parcels(spark, sf_dir).groupBy("syscol").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c.syscol || ';' || CASE WHEN contains(c.nom, ';') THEN '\"' || c.nom || '\"' ELSE c.nom END || ';' || CAST(coalesce(n, 0) AS VARCHAR) AS line FROM C13 c LEFT JOIN (SELECT syscol, count(*) AS n FROM P WHERE feature_idx % 2 = 1 AND syscol < '01430115' GROUP BY syscol) p ON p.syscol = c.syscol", "C13 P")
+@query("SELECT c.syscol || ';' || CASE WHEN contains(c.nom, ';') THEN '\"' || c.nom || '\"' ELSE c.nom END || ';' || CAST(coalesce(n, 0) AS VARCHAR) AS line FROM C13 c LEFT JOIN (SELECT syscol, count(*) AS n FROM P GROUP BY syscol) p ON p.syscol = c.syscol", "C13 P")
 def communes_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the export of communes with their numbers of parcels, 0 where none."""
-    n = fx.parcels(spark, sf_dir).filter("feature_idx % 2 = 1 and syscol < '01430115'").groupBy("syscol").agg(F.count("*").alias("n"))
+    n = fx.parcels(spark, sf_dir).groupBy("syscol").agg(F.count("*").alias("n"))
     rows = fx.communes_2013(spark, sf_dir).join(n, "syscol", "left")
     return rows.select(listing.csv_line([F.col("syscol"), F.col("nom"), F.coalesce("n", F.lit(0))]).alias("line"))
 

@@ -68,13 +68,6 @@ def registry_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.dashboard(_registry(spark, sf_dir), fx.communes_2013(spark, sf_dir), fx.communes_2026(spark, sf_dir))
 
 
-@query("SELECT s13, nom13, s26 FROM R WHERE contains(lower(nom13), 'ia') OR contains(s13, 'IA') OR contains(lower(coalesce(nom26, '')), 'ia') OR contains(coalesce(s26, ''), 'IA') ORDER BY region NULLS LAST, nom13 LIMIT 10 OFFSET 2", "C13 C26", RECOMPUTED)
-def correspondence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of the search; its limit is the feature."""
-    found = co.search(_recomputed(spark, sf_dir), "IA")
-    return listing.page(found, [F.asc_nulls_last("region"), F.col("nom13")], 10, 2).select("s13", "nom13", "s26")
-
-
 @query("SELECT s13, s26, CASE WHEN statut = 'provisoire' AND s26 IS NOT NULL THEN 'confirme' ELSE statut END AS statut FROM R WHERE region = 'ASIA'", "C13 C26", RECOMPUTED)
 def confirm_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.confirmed(co.search(_recomputed(spark, sf_dir), region="ASIA")).select("s13", "s26", "statut")

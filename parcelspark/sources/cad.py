@@ -9,9 +9,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspark.functions.geometry import to_wgs84
+
 SHAPES = "path string, feature_idx long, geom_type string, rings array<array<array<double>>>, props map<string,string>, utm28 boolean"
 ENTITIES = "path string, feature_idx long, kind string, layer string, label string, points array<array<double>>, closed boolean"
 #: Formats in an archive, the first that it holds counts (fixed values).
@@ -84,21 +86,38 @@ def _shapes(path: str, shp: bytes, dbf: bytes | None, prj: str) -> Iterator[tupl
         yield path, k, "Polygon" if rings and len(rings[0]) > 1 else "Point" if rings else None, rings, props[k] if k < len(props) else {}, utm
 
 
-def read_shapefiles(spark: SparkSession, folder: str) -> DataFrame:
-    """All shapefiles of a folder (.shp with .dbf and .prj of the same name beside it). A file set meets in one task by its name."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content").filter(F.col("path").rlike(r"(?i)\.(shp|dbf|prj)$"))
-    files = files.withColumn("stem", F.regexp_replace("path", r"(?i)\.[a-z]+$", "")).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)))
+def shapes(parts: DataFrame) -> DataFrame:
+    """Features of shapefiles from their parts (stem, kind, content: shp, dbf, prj); the parts of one meet in one task by its stem."""
 
     def parse(pdf: pd.DataFrame) -> pd.DataFrame:
         by = dict(zip(pdf["kind"], pdf["content"], strict=True))
         rows = list(_shapes(pdf["stem"].iloc[0], by["shp"], by.get("dbf"), (by.get("prj") or b"").decode("latin-1"))) if "shp" in by else []
         return pd.DataFrame(rows, columns=["path", "feature_idx", "geom_type", "rings", "props", "utm28"])
 
-    return files.groupBy("stem").applyInPandas(parse, SHAPES)
+    return parts.select("stem", "kind", "content").groupBy("stem").applyInPandas(parse, SHAPES)
 
 
-def archive_members(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, member, kind, content) of what counts in each zip: the first format of PRECEDENCE that it holds, of shapefiles all parts; names without regard to case."""
+def read_shapefiles(spark: SparkSession, folder: str) -> DataFrame:
+    """All shapefiles of a folder (.shp with .dbf and .prj of the same name beside it)."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "content").filter(F.col("path").rlike(r"(?i)\.(shp|dbf|prj)$"))
+    return shapes(files.withColumn("stem", F.regexp_replace("path", r"(?i)\.[a-z]+$", "")).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))))
+
+
+def zipped_shapes(archives: DataFrame) -> DataFrame:
+    """Features of all shapefiles in archives (path, content)."""
+    inside = members(archives).filter(F.col("kind").isin("shp", "dbf", "prj"))
+    return shapes(inside.withColumn("stem", F.concat_ws("/", "path", F.regexp_replace("member", r"(?i)\.[a-z]+$", ""))))
+
+
+def in_degrees(features: DataFrame) -> DataFrame:
+    """Features with rings in longitudes and latitudes: those of UTM zone 28, vertex by vertex; the others as they are."""
+    point = lambda p: F.array(*to_wgs84(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    moved = F.transform("rings", lambda r: F.transform(r, point))
+    return features.withColumn("rings", F.when(F.col("utm28"), moved).otherwise(F.col("rings")))
+
+
+def members(archives: DataFrame) -> DataFrame:
+    """archives (path, content) to (path, member, kind, content) of what counts in each zip: the first format of PRECEDENCE that it holds, of shapefiles all parts; names without regard to case."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,8 +130,22 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
                     rows += [(path, n, k, z.read(n)) for n, k in sorted(names.items()) if k in wanted]
             yield pd.DataFrame(rows, columns=["path", "member", "kind", "content"])
 
-    files = spark.read.format("binaryFile").load(folder).select("path", "content").filter(F.lower("path").endswith(".zip"))
-    return files.mapInPandas(parse, "path string, member string, kind string, content binary")
+    return archives.select("path", "content").mapInPandas(parse, "path string, member string, kind string, content binary")
+
+
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The members that count of a folder's zips."""
+    return members(spark.read.format("binaryFile").load(folder).filter(F.lower("path").endswith(".zip")))
+
+
+#: Formats of uploaded files, the first that fits the name counts (fixed values).
+FORMATS = ["shp", "zip", "geojson", "json", "kml", "csv", "dgn", "dxf"]
+
+
+def format_of(path: Column) -> Column:
+    """The format that a file is read as, by its ending; null for others."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(ending.isin(FORMATS), F.when(ending == "json", "geojson").otherwise(ending))
 
 
 def _groups(text: str) -> list[tuple[int, str]]:

@@ -25,7 +25,11 @@ def write_json(df: DataFrame, path: str, geometry: str | None = None) -> None:
 
 
 def shapefile_archives(parcels: DataFrame, part_rows: int = 50_000) -> DataFrame:
-    """(syscol, part, name, n, content): a zip of .shp, .shx, .dbf and .prj for each commune; parcels of a commune beyond part_rows go to further parts, so that none is too large for a task. parcels: feature_idx, syscol, section, parcelle, nicad, rings."""
+    """Geometries are rings of one polygon, or parts (polygons), whose rings then stand side by side in one record.
+
+    (syscol, part, name, n, content): a zip of .shp, .shx, .dbf and .prj for each commune; parcels of a commune beyond part_rows go to further parts, so that none is too large for a task. parcels: feature_idx, syscol, section, parcelle, nicad, rings."""
+    if "parts" in parcels.columns:
+        parcels = parcels.withColumn("rings", F.flatten("parts")).drop("parts")
     sizes = parcels.groupBy("syscol").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     dealt = parcels.join(sizes, "syscol").withColumn("part", F.pmod(F.xxhash64("feature_idx"), "parts").cast("int"))
 

@@ -60,3 +60,26 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 def read_quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with ; and doubled quotes."""
     return spark.read.schema(schema).csv(path, sep=";", quote='"', escape='"', header=True)
+
+
+#: Boxes of the regions: name, code, least and most longitude, least and most latitude (fixed values).
+REGIONS = [
+    ("Dakar", "DK", -17.52, -17.15, 14.63, 14.83),
+    ("Thiès", "TH", -17.40, -16.30, 14.60, 15.10),
+    ("Diourbel", "DB", -16.60, -15.50, 14.50, 15.00),
+    ("Fatick", "FK", -16.80, -15.70, 13.80, 14.60),
+    ("Kaolack", "KL", -16.40, -15.00, 13.60, 14.40),
+    ("Kaffrine", "KF", -15.80, -14.20, 13.50, 14.30),
+    ("Tambacounda", "TC", -15.00, -11.50, 12.00, 14.00),
+    ("Kolda", "KD", -16.00, -14.00, 12.20, 13.40),
+    ("Sédhiou", "SD", -16.20, -14.80, 12.40, 13.20),
+    ("Ziguinchor", "ZG", -16.80, -15.00, 12.20, 13.00),
+    ("Saint-Louis", "SL", -16.80, -13.80, 15.00, 16.70),
+    ("Louga", "LG", -17.20, -14.80, 14.80, 16.00),
+    ("Matam", "MT", -14.50, -12.00, 14.50, 16.00),
+    ("Kédougou", "KG", -12.80, -11.20, 12.00, 13.00),
+]
+
+
+def region_boxes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REGIONS, "name string, code string, x0 double, x1 double, y0 double, y1 double")
