@@ -107,3 +107,22 @@ def outline(df: DataFrame, prefix: str = "") -> Column:
     if f"{prefix}parts" in df.columns:
         return F.get(F.get(F.col(f"{prefix}parts"), F.lit(0)), F.lit(0))
     return geo.rectangle(*[F.col(f"{prefix}{c}") for c in BOX])
+
+
+def nearest_area(points: DataFrame, areas: DataFrame, size: float, within: float, id_: str, code: str) -> DataFrame:
+    """For each point (x, y) the area that holds it, else the nearest one within so many metres of it; ties by code. Columns id_, code, distance and approx (it lies outside); points without any are left out.
+
+    areas: boxes, or polygons as parts with their boxes."""
+    around = points.select(id_, "x", "y", (F.col("x") - within).alias("x0"), (F.col("y") - within).alias("y0"), (F.col("x") + within).alias("x1"), (F.col("y") + within).alias("y1"))
+    near = box_join(around, areas, size)
+    if "parts" in areas.columns:
+        x, y = F.col("l_x"), F.col("l_y")
+        outlines = F.flatten(F.col("r_parts"))
+        d = F.when(planar.holds(F.col("r_parts"), x, y), 0.0).otherwise(F.array_min(F.transform(outlines, lambda r: geo.distance_to_ring(x, y, r))))
+    else:
+        dx = F.greatest(F.col("r_x0") - F.col("l_x"), F.lit(0.0), F.col("l_x") - F.col("r_x1"))
+        dy = F.greatest(F.col("r_y0") - F.col("l_y"), F.lit(0.0), F.col("l_y") - F.col("r_y1"))
+        d = F.sqrt(dx * dx + dy * dy)
+    near = near.withColumn("d", d).filter(F.col("d") <= within)
+    best = near.groupBy(F.col(f"l_{id_}").alias(id_)).agg(F.min(F.struct("d", F.col(f"r_{code}").alias(code))).alias("b"))
+    return best.select(id_, F.col("b")[code].alias(code), F.col("b.d").alias("distance"), (F.col("b.d") > 0).alias("approx"))

@@ -11,8 +11,9 @@ from parcelspark import fixtures as fx
 from parcelspark.functions import geometry as geo
 from parcelspark.functions import planar
 from parcelspark.operators import correction, correspondence, quality
-from parcelspark.operators.spatial import points_in, with_box
+from parcelspark.operators.spatial import nearest_area, points_in, with_box
 from parcelspark.plans.registry import query
+from parcelspark.plans.spatial import SITES, _sites
 
 
 def _box(a: str, pa: str, b: str, pb: str) -> str:
@@ -98,3 +99,40 @@ def geometry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = F.when(F.col("feature_idx") % 6 == k, made).otherwise(parts)
     p = fx.parcels(spark, sf_dir).withColumn("parts", parts)
     return p.select("feature_idx", quality.is_valid(p).alias("valid"), quality.is_simple(p).alias("simple"))
+
+
+def _off(x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"CASE WHEN {x1} > {x0} AND {y1} > {y0} THEN sqrt(pow(greatest({x0} - x, 0.0, x - ({x1})), 2) + pow(greatest({y0} - y, 0.0, y - ({y1})), 2)) ELSE 1e9 END"
+
+
+# A box less a cut is what lies left, right, below and above the cut; a whole one's cut is empty at its lower left corner.
+_OFF = f"least({_off('x0', 'y0', 'hx0', 'y1')}, {_off('hx1', 'y0', 'x1', 'y1')}, {_off('x0', 'y0', 'x1', 'hy0')}, {_off('x0', 'hy1', 'x1', 'y1')})"
+
+
+@query(f"SELECT c_custkey, syscol, round(d, 6) AS distance, d > 0 AS approx FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, syscol) AS place FROM (SELECT c_custkey, syscol, {_OFF} AS d FROM Q JOIN W26 ON x >= x0 - 50 AND x <= x1 + 50 AND y >= y0 - 50 AND y <= y1 + 50) WHERE d <= 50) WHERE place = 1", "W26", f"Q AS ({SITES})")
+def shape_point_to_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commune that holds a point, else the nearest within 50 m: points in holes and cut corners lie outside."""
+    areas = fx.shaped_communes(spark, sf_dir, 2026).select("syscol", "x0", "y0", "x1", "y1", "parts")
+    return nearest_area(_sites(spark, sf_dir), areas, 1000.0, 50.0, "c_custkey", "syscol").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"SELECT feature_idx, min(syscol) AS syscol FROM (SELECT feature_idx, (x0 + x1) / 2 + 0.3 AS x, (y0 + y1) / 2 + 0.1 AS y FROM P) p JOIN (SELECT syscol, kind, x0, y0, x1, y1, hx0, hy0, hx1, hy1 FROM W13) w ON {_IN} GROUP BY feature_idx", "P W13")
+def shape_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels in communes with cut corners and holes, by a point of theirs."""
+    points = fx.parcels(spark, sf_dir).select("feature_idx", ((F.col("x0") + F.col("x1")) / 2 + 0.3).alias("x"), ((F.col("y0") + F.col("y1")) / 2 + 0.1).alias("y"))
+    areas = fx.shaped_communes(spark, sf_dir, 2013).select("syscol", "x0", "y0", "x1", "y1", "parts")
+    return points_in(points, areas, 900.0, "feature_idx", "syscol").filter("b_syscol is not null").select("feature_idx", F.col("b_syscol").alias("syscol"))
+
+
+@query(f"SELECT feature_idx, count(*) AS pools, sum(area) AS area FROM (SELECT label_idx, CAST(label_idx % 40 AS DOUBLE) / 2 AS area, min(feature_idx) AS feature_idx FROM L JOIN W ON {_IN} GROUP BY label_idx) GROUP BY feature_idx", "L W")
+def shape_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools by the parcel whose polygons hold them."""
+    pools = fx.labels(spark, sf_dir).withColumn("area", (F.col("label_idx") % 40).cast("double") / 2)
+    hit = points_in(pools, fx.shaped(spark, sf_dir).select("feature_idx", "x0", "y0", "x1", "y1", "parts"), 60.0, "label_idx", "feature_idx").filter("b_feature_idx is not null")
+    return hit.groupBy(F.col("b_feature_idx").alias("feature_idx")).agg(F.count("*").alias("pools"), F.sum("area").alias("area"))
+
+
+@query("SELECT feature_idx, partner_idx, round(area, 6) AS shared_area FROM (SELECT *, row_number() OVER (PARTITION BY feature_idx ORDER BY round(area, 6) DESC, partner_idx) AS place FROM (SELECT i AS feature_idx, j AS partner_idx, area FROM A WHERE area > 0 UNION ALL SELECT j, i, area FROM A WHERE area > 0)) WHERE place = 1", "W", LAPS)
+def shape_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour that each parcel shares the most area with."""
+    return correction.overlap_partners(fx.shaped(spark, sf_dir)).select("feature_idx", "partner_idx", F.round("shared_area", 6).alias("shared_area"))

@@ -11,12 +11,12 @@ from parcelspark.functions import geometry as geo
 from parcelspark.functions import planar
 from parcelspark.functions.text import half_up
 from parcelspark.operators import correction, quality
-from parcelspark.operators.spatial import box_join, overlap_area, points_in, with_box
+from parcelspark.operators.spatial import box_join, nearest_area, points_in
 from parcelspark.plans.registry import query, table
 
 BOX = ("x0", "y0", "x1", "y1")
-#: Plausible extents (fixed values): degrees, and UTM metres.
-DEGREES, METRES = (-17.6, 12.2, -11.3, 16.8), (100000.0, 900000.0, 1000000.0, 2200000.0)
+#: Plausible extent in degrees (fixed values).
+DEGREES = (-17.6, 12.2, -11.3, 16.8)
 
 
 def _ring():
@@ -193,12 +193,8 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_to_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commune that holds a point, else the nearest within 50 m; ties by code."""
     sites = _sites(spark, sf_dir)
-    around = sites.select("c_custkey", "x", "y", (F.col("x") - 50).alias("x0"), (F.col("y") - 50).alias("y0"), (F.col("x") + 50).alias("x1"), (F.col("y") + 50).alias("y1"))
-    dx = F.greatest(F.col("r_x0") - F.col("l_x"), F.lit(0.0), F.col("l_x") - F.col("r_x1"))
-    dy = F.greatest(F.col("r_y0") - F.col("l_y"), F.lit(0.0), F.col("l_y") - F.col("r_y1"))
-    near = box_join(around, fx.communes_2026(spark, sf_dir).select("syscol", *BOX), 1000.0).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter("d <= 50")
-    best = near.groupBy(F.col("l_c_custkey").alias("c_custkey")).agg(F.min(F.struct("d", F.col("r_syscol").alias("syscol"))).alias("b")).select("c_custkey", "b.syscol", (F.col("b.d") > 0).alias("approx"))
-    return sites.select("c_custkey").join(best, "c_custkey", "left")
+    best = nearest_area(sites, fx.communes_2026(spark, sf_dir).select("syscol", *BOX), 1000.0, 50.0, "c_custkey", "syscol")
+    return sites.select("c_custkey").join(best.drop("distance"), "c_custkey", "left")
 
 
 @query("SELECT feature_idx, d FROM (SELECT feature_idx, sqrt(pow(x0 - 251003, 2) + pow(y0 - 1600207, 2)) AS d FROM P WHERE x0 BETWEEN 250503 AND 251503 AND y0 BETWEEN 1599707 AND 1600707) ORDER BY d, feature_idx LIMIT 1", "P")

@@ -62,6 +62,11 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep=";", quote='"', escape='"', header=True)
 
 
+def quoted_records(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
+    """lines with ``record``, the fields of a line separated by semicolons, quoted or not, quotes doubled inside."""
+    return lines.withColumn("record", F.from_csv(F.col(line), schema, {"sep": ";", "quote": '"', "escape": '"'})).drop(line)
+
+
 #: Boxes of the regions: name, code, least and most longitude, least and most latitude (fixed values).
 REGIONS = [
     ("Dakar", "DK", -17.52, -17.15, 14.63, 14.83),
