@@ -65,7 +65,7 @@ SELECT event_id AS label_idx, CAST(250000 + (event_id * 37) % 4000 + 0.5 AS DOUB
    WHEN 5 THEN 'bloc ' || CAST(event_id % 300 AS STRING) || 'A' ELSE event_type END AS label
 FROM events"""
 
-#: CAD entities: layer names and geometry types over the documents' ids, their first words as text.
+#: CAD entities: layer names and geometry types over the documents' ids, a number as text.
 LAYERS = """
 SELECT doc_id AS feature_idx,
  CASE doc_id % 16 WHEN 0 THEN 'Limites-Parcelles' WHEN 1 THEN 'NUMERO_PARCELLE' WHEN 2 THEN 'Limites_Sections' WHEN 3 THEN 'numero section'

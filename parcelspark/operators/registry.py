@@ -23,13 +23,17 @@ def anomalies(nicad: Column, syscol: Column, section: Column, parcel: Column) ->
     return F.when(F.size(own) > 0, own).otherwise(against)
 
 
-def next_numbers(requests: DataFrame, used: DataFrame) -> DataFrame:
+def next_numbers(requests: DataFrame, used: DataFrame, span: int = 4096) -> DataFrame:
     """requests (request_id, syscol, section) get the numbers after the largest that is used in their section, in the order of request_id: number and nicad; null where a section's 99999 are used up.
 
-    The largest number is an aggregate joined on; places within a section come from a window over the requests of that section."""
-    last = used.groupBy("syscol", "section").agg(F.max(F.expr("try_cast(parcelle AS BIGINT)")).alias("last"))
-    place = F.row_number().over(Window.partitionBy("syscol", "section").orderBy("request_id"))
-    out = requests.join(last, ["syscol", "section"], "left").withColumn("number", F.coalesce("last", F.lit(0)) + place)
+    The largest number is an aggregate joined on. Places within a section come from ranges of ids that are counted first, so no task numbers all requests of a section."""
+    key = ["syscol", "section"]
+    last = used.groupBy(*key).agg(F.max(F.expr("try_cast(parcelle AS BIGINT)")).alias("last"))
+    ranged = requests.withColumn("__range", F.floor(F.col("request_id") / span))
+    before = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*key, "__range").agg(F.count("*").alias("__n")).select(*key, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.row_number().over(Window.partitionBy(*key, "__range").orderBy("request_id"))
+    out = ranged.join(starts, [*key, "__range"]).withColumn("place", place).join(last, key, "left").withColumn("number", F.coalesce("last", F.lit(0)) + F.col("place"))
     fits = F.col("number") <= 99999
     return out.select("request_id", "syscol", "section", F.when(fits, F.col("number")).alias("number"), F.when(fits, nic.generated(F.col("syscol"), F.col("section"), F.col("number"))).alias("nicad"))
 
