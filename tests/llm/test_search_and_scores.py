@@ -129,7 +129,7 @@ def test_losses_are_those_of_plain_counts(spark):
     got = scored()
     by_id = lambda rows: sorted(rows, key=str)
     assert by_id(got) == by_id(scored(1)) == by_id(scored(8))
-    known = {w for t in target for w in words(t)}
+    known = {w for t in [*target, *background] for w in words(t)}
     models = [brute_model(target, known), brute_model(background, known)]
     totals = [sum(n for w, n in one.items() if w is not None) for one, _ in models]
     scale = [1.0, totals[0] / totals[1]]
@@ -148,6 +148,22 @@ def test_losses_are_those_of_plain_counts(spark):
                 total -= math.log((s * two[before, word] + lm_score.BACKOFF * lower) / (s * one[before] + lm_score.BACKOFF))
             losses.append(total / len(w))
         assert abs(r["target_loss"] - losses[0]) < 1e-8 and abs(r["background_loss"] - losses[1]) < 1e-8 and abs(r["score"] - losses[0] + losses[1]) < 1e-8
+    # Documents that are the background themselves.
+    own = spark.createDataFrame([(*d, 1, 1) for d in docs], schema)
+    several = lambda *heavy: by_id(lm_score.cross_entropy_difference(own, frame(target), own, *heavy).collect())
+    assert several() == several(1) == several(8)
+    ours = {w for t in [*target, *(t for _, t in docs)] for w in words(t)}
+    mine = brute_model([t for _, t in docs], ours)
+    for r in several():
+        if r["doc_id"] == 5:
+            s = totals[0] / sum(n for w, n in mine[0].items() if w is not None)
+            size = len(ours) + 1
+            lower = (s * mine[0]["unseen"] + lm_score.UNIFORM / size) / (totals[0] + lm_score.UNIFORM)
+            assert abs(r["background_loss"] + math.log((s * mine[1][None, "unseen"] + lm_score.BACKOFF * lower) / (s * mine[0][None] + lm_score.BACKOFF))) < 1e-8
+    # Words beyond the vocabulary are one sign, of however many kinds, and a very long text counts whole.
+    few = lm_score.cross_entropy_difference(frame(["x y " * 50_000, "the zz", "the qq"]), frame(target), frame(background), 8, 1, 1).collect()
+    assert few[[r["doc_id"] for r in few].index(0)]["n_tokens"] == 100_000
+    assert len({r["score"] for r in few if r["doc_id"] > 0}) == 1
     nothing = spark.createDataFrame([], schema)
     assert lm_score.cross_entropy_difference(nothing, nothing, nothing).count() == 0
     assert [r["score"] for r in lm_score.cross_entropy_difference(frame(["a b"]), nothing, nothing).collect()] == [0.0]
