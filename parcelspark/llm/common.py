@@ -70,6 +70,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+LEAST = -(1 << 63)
+
+
+def ordered(number: Column) -> Column:
+    """Nine bytes in the order of the numbers, null last: names that begin with them have the smallest number first."""
+    shown = F.unhex(F.lpad(F.hex(F.coalesce(number, F.lit(0)).bitwiseXOR(F.lit(LEAST))), 16, "0"))
+    return F.concat(F.when(number.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), shown)
+
+
+def number_of(name: Column) -> Column:
+    """The number that a name begins with."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(LEAST))
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number)
+
+
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before, in the order of (bucket, order).
 

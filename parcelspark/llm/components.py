@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import materialise
 
 
+#: Parts in which the ids of one component meet what becomes of it.
+SALT = 32
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b of any one type that can be ordered. Returns id, root for every id in a link; root is the smallest id of its component.
 
@@ -27,3 +31,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         left = left.hint("merge").join(near.withColumnRenamed("to", "b_to"), F.col("b") == F.col("node"))
         links = materialise(left.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).filter("a < b").distinct())
     return found
+
+
+def further(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, root) after more links (a, b): only the links between components are worked on, as links of their roots."""
+    for c in ("a", "b"):
+        links = links.hint("merge").join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    more = connected_components(links)
+    # A component may hold a third of all ids: what becomes of it is repeated, so that they learn it in SALT tasks.
+    to = more.select(F.col("id").alias("root"), F.col("root").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    old = roots.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).hint("merge").join(to, ["root", "salt"], "left").select("id", F.coalesce("to", "root").alias("root"))
+    new = more.hint("merge").join(roots.select("id"), "id", "left_anti")
+    return materialise(old.unionByName(new.hint("merge").join(roots.select(F.col("root").alias("id")).distinct(), "id", "left_anti").select("id", "root")))

@@ -15,10 +15,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import materialise, tidy, whole_groups
+from parcelspark.llm.common import materialise, number_of, ordered, tidy, whole_groups
 from parcelspark.llm.components import connected_components
 from parcelspark.llm.vectors import matrices, unit, usable
 
@@ -111,21 +111,6 @@ def _linked(cosine: float, tables: int):
     return run
 
 
-LEAST = -(1 << 63)
-
-
-def _ordered(number: Column) -> Column:
-    """Nine bytes in the order of the numbers, null last."""
-    shown = F.unhex(F.lpad(F.hex(F.coalesce(number, F.lit(0)).bitwiseXOR(F.lit(LEAST))), 16, "0"))
-    return F.concat(F.when(number.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), shown)
-
-
-def _id_of(place: Column) -> Column:
-    """The number that a name begins with."""
-    number = F.conv(F.hex(F.substring(place, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(LEAST))
-    return F.when(F.hex(F.substring(place, 1, 1)) == "00", number)
-
-
 @tidy
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors of its label at that cosine or more), component_id, kept."""
@@ -134,7 +119,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     bits, tables = shape_of_tables(rows.count(), cosine)
     coded = materialise(rows.filter(fit).mapInArrow(_coded(bits, tables), f"vec_id long, label string, embedding array<double>, key binary, codes array<{'int' if bits < 32 else 'long'}>").withColumn("node", F.concat("key", F.lit("/").cast("binary"), F.col("label").cast("binary"))).drop("key"))
     classes = coded.groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.first("codes").alias("codes"))
-    classes = materialise(classes.withColumn("place", F.concat(_ordered(F.col("least_id")), "node")))
+    classes = materialise(classes.withColumn("place", F.concat(ordered(F.col("least_id")), "node")))
     slim = classes.select(F.col("place").alias("node"), "label", F.posexplode("codes").alias("table", "code"))
     shared = slim.groupBy("table", "label", "code").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.greatest(F.least(F.ceil(F.col("n") / PART), F.lit(PARTS)), F.ceil(F.col("n") / MOST)).cast("int")
@@ -147,7 +132,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("a", "b"))
     named = classes.select("node", "place", "copies").hint("merge").join(roots.withColumnRenamed("id", "place"), "place", "left").hint("merge").join(counts, F.col("place") == F.col("a"), "left")
-    named = named.select("node", _id_of(F.coalesce("root", "place")).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.select("node", number_of(F.coalesce("root", "place")).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = coded.select("vec_id", "node").hint("merge").join(named, "node").select("vec_id", "n_links", "component")
     alone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
     out = linked.unionByName(alone).select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))

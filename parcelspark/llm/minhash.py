@@ -5,7 +5,7 @@ Texts with equal shingle sets become one node, so copies cost one row. A node's
 * In a region of at most ``REGION`` nodes, every two nodes are compared.
 * The nodes of larger regions are sorted by the tree's whole order, ranges of it to a task, and each is compared with its ``WINDOW`` neighbours on either side, those that share the longest prefixes with it. So depth adapts to the region, and groups of copies gather here. This alone would lose links, so what it leaves apart goes an exact way: larger regions that are not one component yet are joined to zones (regions with a node in common), each zone's nodes are dealt into parts, and every two parts meet once in a block of their own, whatever the number of trees that they share. Nodes of the zone's largest component meet those outside it alone. So the cost is the square of the nodes outside the largest component, in blocks of a bounded size.
 
-Two nodes are compared by their signatures, which must agree in as many values as all but ``MISS`` of the pairs at the threshold do, and by their sizes. Candidates are confirmed on the full sets: first every node with its smallest partner among those that agree best, so that groups gather around few nodes, then what is not in one component yet. Where a region or block has many candidates, the full sets of its nodes meet in it instead; it counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs. Every text is shuffled once, and only for nodes that have candidates.
+Two nodes are compared by their signatures, which must agree in as many values as all but ``MISS`` of the pairs at the threshold do, and by their sizes. Candidates are confirmed on the full sets; where a region has many, and in sorted orders, only each node's with a few partners that agree best, the smallest among them, so that groups gather around few nodes. What is not in one component then meets in blocks, and where a block has many candidates, the full sets of its nodes meet in it; it counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs. Every text is shuffled once, and only for nodes that have candidates.
 
 A pair at similarity 0.8 is missed by all 21 trees with probability (1 - 0.8**3)**21, 3e-7, and by the comparison of signatures with ``MISS``, however many nodes share its prefixes; pairs above are missed less often.
 
@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import materialise, tidy, whole_groups
-from parcelspark.llm.components import connected_components
+from parcelspark.llm.common import materialise, number_of, ordered, tidy, whole_groups
+from parcelspark.llm.components import connected_components, further
 from parcelspark.llm.words import shingle_sets
 
 HASHES = 64
@@ -37,6 +37,8 @@ REGION, WINDOW = 256, 8
 SHINGLES = 1 << 21
 #: A part of a zone has about PART nodes, and more in zones of over PART * PARTS, up to MOST.
 PART, PARTS, MOST = 128, 16, 2048
+#: Parts in which the nodes of one zone meet what is known of it.
+SALT = 64
 #: Share of the pairs at the threshold whose signatures may agree less than is asked for.
 MISS = 1e-5
 #: Groups up to this size are compared pair by pair at once.
@@ -63,7 +65,7 @@ def _sketch(words: int):
                 signs.append(signature(s) if len(s) else np.zeros(HASHES, np.uint32))
             flat = pa.array(np.concatenate(signs).view(np.int32) if signs else [], type=pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(range(0, HASHES * len(signs) + 1, HASHES), type=pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "mark", "n_shingles", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["doc_id", "mark", "n_shingles", "digest", "signature"])
 
     return run
 
@@ -73,7 +75,7 @@ def _sets(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [s.tobytes() for s in shingle_sets(batch["text"].slice(at, 256), words)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "set"])
 
     return run
 
@@ -165,7 +167,7 @@ def _neighbouring(percent: int):
             key, sizes, nodes = t["key"].to_numpy(), t["n"].to_numpy(), t["node"].combine_chunks()
             signs = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
             order = np.empty(len(key), dtype=np.int64)  # places of the nodes among themselves; equal nodes are equal
-            names, at = np.unique(np.array(nodes.to_pylist(), dtype="S16"), return_inverse=True)
+            names, at = np.unique(np.array(nodes.to_pylist(), dtype="S25"), return_inverse=True)
             order[:] = len(names) - 1 - at
             best, to = np.full(len(key), -1, dtype=np.int64), np.zeros(len(key), dtype=np.int64)
             for d in range(1, min(WINDOW, len(key) - 1) + 1):
@@ -285,7 +287,9 @@ def _blocks(wide: DataFrame, roots: DataFrame) -> DataFrame:
     each = placed.groupBy("zone", "root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     whole = each.groupBy("zone").agg(F.max(F.struct("nodes", "shingles", "root")).alias("main"), F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"))
     whole = whole.select("zone", F.col("main.root").alias("main"), _parts(F.col("main.nodes"), F.col("main.shingles")).alias("mains"), _parts(F.col("nodes") - F.col("main.nodes"), F.col("shingles") - F.col("main.shingles")).alias("others"))
-    dealt = _met(placed, whole, "zone").withColumn("in_main", F.col("root") == F.col("main"))
+    # A zone may hold a third of all nodes: its row is repeated, so that they join in SALT tasks.
+    whole = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = _met(placed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALT)).cast("int")), whole, ["zone", "salt"]).withColumn("in_main", F.col("root") == F.col("main"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))))
     meets = lambda kind, a, b, side, two: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"), two.alias("two"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -303,8 +307,8 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -
     ids = _met(nodes.select("node", "of"), wanted, "node", "left_semi").select("of.mark", F.col("of.doc_id").alias("of_id")).distinct()
     marked = docs.withColumn("mark", F.xxhash64("text"))
     texts = marked.join(ids.hint("shuffle_hash"), (marked["mark"] == ids["mark"]) & marked["doc_id"].eqNullSafe(ids["of_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "node binary, set binary").filter("node is not null")
-    return materialise(_met(sets, wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = texts.mapInArrow(_sets(words), "digest binary, set binary").filter("digest is not null")
+    return materialise(_met(sets, wanted.select("node", F.substring("node", 10, 16).alias("digest")), "digest").dropDuplicates(["node"]).select("node", "set"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -318,17 +322,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _best(found: DataFrame) -> DataFrame:
-    """Of the candidates (a, b, grade) each node's with its smallest partner among those that agree best."""
+    """Of the candidates (a, b, grade) each node's with its smallest partner among those that agree best, and with two more of these, taken by a hash."""
     either = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "grade").unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other"), "grade"))
-    best = either.groupBy("node").agg(F.min(F.struct((-F.col("grade")).alias("g"), "other")).alias("best"))
-    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
-
-
-def _apart(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """The candidates whose nodes are not in one component."""
-    root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-    rooted = _met(_met(found, root("a"), "a", "left"), root("b"), "b", "left")
-    return rooted.filter("coalesce(a_root, a) <> coalesce(b_root, b)").drop("a_root", "b_root")
+    by = lambda *order: F.min(F.struct((-F.col("grade")).alias("g"), *order, "other"))["other"]
+    best = either.groupBy("node").agg(F.array(by(), by(F.xxhash64(F.lit(1), "other").alias("h")), by(F.xxhash64(F.lit(2), "other").alias("h"))).alias("best"))
+    return best.select("node", F.explode(F.array_distinct("best")).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 @tidy
@@ -337,9 +335,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     in_blocks = lambda df: df.repartition(width, "block").sortWithinPartitions("block", "node")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_sketch(words), "doc_id long, mark long, n_shingles long, node binary, signature array<int>"))
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("mark", "doc_id")).alias("of"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    nodes = materialise(nodes)
+    sketched = materialise(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_sketch(words), "doc_id long, mark long, n_shingles long, digest binary, signature array<int>"))
+    # A node's name begins with its smallest id, so the smallest name of a component has the component's.
+    nodes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("mark", "doc_id")).alias("of"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    nodes = materialise(nodes.withColumn("node", F.concat(ordered(F.col("first_id")), "digest")))
     narrow, wide = _regions(nodes)
     has_wide = not wide.isEmpty()
 
@@ -347,20 +346,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = in_blocks(regions).mapInArrow(_compared(percent), CANDIDATES)
     if has_wide:
         order = F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + 1, HASHES // 2)
-        sorted_ = wide.withColumn("order", order).repartitionByRange(width, "tree", "order").sortWithinPartitions("tree", "order")
+        sorted_ = wide.withColumn("order", order).repartitionByRange(width, "tree", F.slice("order", 1, 3 * DEPTH)).sortWithinPartitions("tree", "order")
         found = found.unionByName(sorted_.select("key", "node", "n", "signature").mapInArrow(_neighbouring(percent), CANDIDATES).withColumn("block", F.lit(None).cast("long")))
     found = materialise(found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "grade", "dense"))
     sets = _sets_of(_ends(found), docs, nodes, words)
-    first = materialise(_best(found))
-    links = _verified(first, sets, percent)
-    roots = connected_components(links)
-
-    # Candidates between components: all of the regions that gave all, and each node's best of the sorted orders.
-    apart = materialise(_met(_apart(found, roots), first, ["a", "b"], "left_anti"))
-    more = apart.filter("block is not null and not dense").select("a", "b").unionByName(_best(apart.filter("block is null or dense"))).distinct()
-    if not apart.isEmpty():
-        links = links.unionByName(_verified(more, sets, percent))
-        roots = connected_components(links)
+    easy = F.col("block").isNotNull() & ~F.col("dense")
+    pairs = found.filter(easy).select("a", "b").unionByName(_best(found.filter(~easy))).distinct()
+    roots = connected_components(_verified(pairs, sets, percent))
 
     # What is still apart in dense regions and in the larger ones meets in blocks.
     blocks = []
@@ -380,16 +372,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         wanted = _ends(pairs).unionByName(full.select("node")).distinct()
         lacking = _met(wanted, sets.select("node"), "node", "left_anti")
         sets = sets.unionByName(_sets_of(materialise(lacking), docs, nodes, words))
-        links = links.unionByName(_verified(pairs, sets, percent))
+        links = _verified(pairs, sets, percent)
         if not full.isEmpty():
             whole = in_blocks(_met(full, sets, "node")).select("block", "side", "two", "node", "set")
             links = links.unionByName(materialise(whole.mapInArrow(_joined(percent), "a binary, b binary")))
-        roots = connected_components(links)
+        roots = further(roots, links)
 
-    rooted = _met(nodes.select("node", "first_id"), roots.withColumnRenamed("id", "node"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
-    named = _met(rooted, least, "root").select(F.col("node").alias("of"), "least")
-    out = _met(sketched.select("doc_id", "n_shingles", "node"), named, F.col("node") == F.col("of"), "left")
+    rooted = _met(nodes.select("digest", "node"), roots.withColumnRenamed("id", "node"), "node", "left").select(F.col("digest").alias("of"), number_of(F.coalesce("root", "node")).alias("least"))
+    out = _met(sketched.select("doc_id", "n_shingles", "digest"), rooted, F.col("digest") == F.col("of"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

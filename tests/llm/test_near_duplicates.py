@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from parcelspark.llm import embed_dedup, minhash
-from parcelspark.llm.components import connected_components
+from parcelspark.llm.components import connected_components, further
 from parcelspark.llm.queries import op4_minhash_forest, op5_embedding_dedup
 
 DOCS = "doc_id long, text string, node string, label int, kept string"
@@ -176,3 +176,10 @@ def test_components(spark, links):
     real = [(a, b) for a, b in links if a is not None and b is not None and a != b]
     ids = sorted({x for link in real for x in link})
     assert got == dict(zip(ids, components(ids, [(ids.index(a), ids.index(b)) for a, b in real]), strict=True))
+
+
+@pytest.mark.parametrize("first, more", [([(1, 2), (4, 5)], [(2, 5), (7, 8), (9, 9)]), ([], [(3, 2)]), ([(1, 2)], []), ([(5, 6), (3, 4), (1, 9)], [(6, 4), (9, 10), (10, 3)])])
+def test_components_after_more_links(spark, first, more):
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    got = {r["id"]: r["root"] for r in further(connected_components(frame(first)), frame(more)).collect()}
+    assert got == {r["id"]: r["root"] for r in connected_components(frame(first + more)).collect()}
