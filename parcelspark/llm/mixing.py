@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within its source the keys are put in order by ranges, token counts are summed along that order in two steps (sums of the ranges, then inside each range), and the order is cut at the source's exact budget. A budget beyond the source's size repeats whole epochs first. What a source's cut comes to is one row (epochs, key at the cut, words left there), so the decision reaches the documents by that small table and texts are never shuffled.
+Every document gets a hash-random key. Within its source the keys are put in order by ranges, token counts are summed along that order in two steps (sums of the ranges, then inside each range), and the order is cut at the source's exact budget. A budget beyond the source's size repeats whole epochs first. What a source's cut comes to is one row (epochs, key at the cut, words left there), so the decision reaches the documents by that small table and texts are never shuffled. The targets depend on all sources at once and are computed over their table, one row each, in one window; documents take no part in it.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; documents with one key (a doc_id that repeats, or null ids) share what is left at the cut equally, rounded down; a source of size 0 has target 0; an empty table gives no rows; extra columns pass through ``mix`` and are ignored by ``plan``.
 """
