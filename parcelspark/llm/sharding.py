@@ -15,7 +15,7 @@ from parcelspark.llm.common import materialise, prefix_sums
 BITS = 48
 LIMIT = 1 << 20
 #: Bits that a round adds, and those up to which its table of prefixes, of 2**BROADCAST_BITS rows at most, is sent to every task.
-FINER, BROADCAST_BITS = 8, 16
+FINER, BROADCAST_BITS = 8, 8
 
 
 def hashed(doc_id: Column) -> Column:
