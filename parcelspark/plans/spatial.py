@@ -219,9 +219,10 @@ def commune_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping neighbours with their polygons."""
-    p = fx.parcels(spark, sf_dir).select("feature_idx", *BOX)
+    # The geometries are made before the join, so that they are columns after it and not expressions that every use repeats.
+    p = correction.with_parts(fx.parcels(spark, sf_dir).select("feature_idx", *BOX))
     pairs = box_join(p, p, 60.0, touching=False, self_join_on="feature_idx")
-    return pairs.select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"), *[F.array(F.array(geo.rectangle(*[F.col(f"{s}{c}") for c in BOX]))).alias(n) for s, n in (("l_", "a"), ("r_", "b"))])
+    return pairs.select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"), F.col("l_parts").alias("a"), F.col("r_parts").alias("b"))
 
 
 @query("SELECT i, j, (a.x1 - a.x0) * (a.y1 - a.y0) - area AS left_area, (a.x1 - a.x0) * (a.y1 - a.y0) - area <= 0 AS deleted FROM O JOIN P a ON a.feature_idx = i", "P", OVERLAP)
