@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions import nicad as nic
+from parcelspark.functions.text import pad_left
 
 #: Rows of listings that have a limit (fixed values).
 GEOMETRY_LIMIT, NEWEST = 500, 20
 
 
 def equals(column: str, value: str, width: int) -> Column:
-    return F.col(column) == F.lpad(F.lit(value), width, "0")
+    return F.col(column) == pad_left(F.lit(value), width)
 
 
 def by_key(df: DataFrame, syscol: str | None = None, section: str | None = None, parcelle: str | None = None, version: str | None = None) -> DataFrame:

@@ -205,7 +205,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.file_name(F.concat(F.lit("/tmp/x/a b_"), number, F.lit(".zip"))).alias("file"), text.folder_name(F.concat(F.lit("Commune n° "), number)).alias("folder"), text.stored_name(F.when(k % 2 == 0, "u1"), at, F.concat(F.lit("x "), number, ending)).alias("stored"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Rapport d''Expert — ' WHEN 1 THEN 'Rapport Détaillé — ' ELSE 'Rapport Résumé — ' END || event_type AS title, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(date_part('millisecond', ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, strftime(ts, '%Y%m%d') AS stamp, strftime(ts, '%Y-%m-%d') AS day, epoch_ms(ts) AS ms FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Rapport d''Expert — ' WHEN 1 THEN 'Rapport Détaillé — ' ELSE 'Rapport Résumé — ' END || event_type AS title, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(date_part('millisecond', ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, strftime(ts, '%Y%m%d') AS stamp, strftime(ts, '%Y-%m-%d') AS day, epoch_us(ts) // 1000 AS ms FROM events")
 def report_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles by kind of report, and time stamps in the forms that files and lists have."""
     kind = F.when(F.col("event_id") % 3 == 0, "EXPERT").when(F.col("event_id") % 3 == 1, "DETAILED").otherwise("SUMMARY")

@@ -19,10 +19,12 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v):
-    """A value as both engines give it: numbers as text of nine digits."""
+    """A value as both engines give it: whole numbers exactly, others as text of nine digits."""
     if isinstance(v, bool) or v is None:
         return str(v)
-    if isinstance(v, (int, float, decimal.Decimal)):
+    if isinstance(v, int) or isinstance(v, decimal.Decimal) and v == v.to_integral_value():
+        return str(int(v))
+    if isinstance(v, (float, decimal.Decimal)):
         return f"{float(v):.9g}" if v else "0"
     if isinstance(v, (list, tuple)):
         return [plain(x) for x in v]

@@ -1,5 +1,6 @@
 """Operators, functions and formats on small cases: trips through files, hand-made geometry, odd values."""
 
+import decimal
 import io
 import math
 import zipfile
@@ -15,8 +16,10 @@ from parcelspark.functions import geometry as geo
 from parcelspark.functions import kernel, planar
 from parcelspark.functions import nicad as nic
 from parcelspark.operators import correction, listing
+from parcelspark.operators.lookups import by_key
 from parcelspark.operators.spatial import box_join, points_in
 from parcelspark.sources import cad, export, geojson, tables
+from tests.oracle import plain
 
 SQUARE = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]]
 HOLE = [*SQUARE, [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0], [1.0, 1.0]]]
@@ -128,7 +131,7 @@ def test_geojson_forms(spark):
     rows = {r["doc"]: r for r in geojson.features(frame).collect()}
     assert set(rows) == {1, 2} and rows[1]["props"] == {"nicad": "1", "NICAD": "2"} and rows[1]["rings"][0][2] == [1.0, 1.0] and rows[2]["props"] == {}
     bad = spark.createDataFrame([(1, '{"type":"Point"}')], "doc long, value string")
-    assert geojson.features(bad, strict=False).count() == 0
+    assert [(r["feature_idx"], r["geom_type"]) for r in geojson.features(bad, strict=False).collect()] == [(0, None)]
     with pytest.raises(Exception, match="invalid GeoJSON"):
         geojson.features(bad).collect()
 
@@ -271,3 +274,13 @@ def test_corrections(spark):
 def test_renumbering(spark):
     frame = spark.createDataFrame([(k,) for k in (5, 1, 90_000, 7, 4097)], "k long")
     assert {r["k"]: r["position"] for r in listing.renumbered(frame, "k").collect()} == {1: 0, 5: 1, 7: 2, 4097: 3, 90_000: 4}
+
+
+def test_keys_that_are_too_long_find_nothing(spark):
+    rows = spark.createDataFrame([("14301039", "001", "00001", "2026")], "syscol string, section string, parcelle string, version string")
+    found = lambda **k: by_key(rows, **k).count()
+    assert found(syscol="14301039", section="1", parcelle="1") == 1 and found(syscol="143010391") == 0 and found(section="0011") == 0 and found(parcelle="000012") == 0
+
+
+def test_whole_numbers_are_compared_exactly():
+    assert plain(1704067207179) != plain(1704067207180) and plain(3) == plain(3.0) == plain(decimal.Decimal("3.00"))
