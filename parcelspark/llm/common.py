@@ -35,11 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[list[str]] = [[]]
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost only their tasks."""
+def materialise(df: DataFrame, **options) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost only their tasks. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import ann, chat, embed_dedup, lm_score, minhash, mixing, packing, quality, sharding, url_filter
+from parcelspark.llm import ann, chat, embed_dedup, infill, lm_score, minhash, mixing, packing, quality, sharding, url_filter
 from parcelspark.llm.common import table
 
 
@@ -66,7 +66,11 @@ def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op3_nearest_neighbours, op4_minhash_forest, op5_embedding_dedup, op6_cross_entropy_difference, op7_extendible_sharding, op8_url_filter, op9_quality_nbsvm, op10_chat_collapse)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.infilled(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op3_nearest_neighbours, op4_minhash_forest, op5_embedding_dedup, op6_cross_entropy_difference, op7_extendible_sharding, op8_url_filter, op9_quality_nbsvm, op10_chat_collapse, op13_fill_in_middle)}
 
 ORACLES: dict[str, str] = {
     "op2_mixing": r"""
@@ -97,4 +101,13 @@ WITH c AS (SELECT conv_id, count(*) AS n, list(CASE WHEN role IS NULL THEN 'n' E
 m AS (SELECT said, n, min(conv_id) AS conv_id FROM c GROUP BY said, n),
 k AS (SELECT conv_id, n FROM m WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.said[1] = m.said[1] AND o.n > m.n AND o.said[1:m.n] = m.said))
 SELECT t.conv_id, turn, role, n AS n_turns, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM conversations AS t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+e AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM e),
+g AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM g""",
 }
