@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import ann, chat, embed_dedup, infill, lm_score, minhash, mixing, packing, quality, sharding, url_filter
+from parcelspark.llm import ann, chat, decontaminate, embed_dedup, infill, lm_score, minhash, mixing, packing, quality, sharding, spelling, url_filter
 from parcelspark.llm.common import table
 
 
@@ -66,11 +66,19 @@ def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.infilled(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op3_nearest_neighbours, op4_minhash_forest, op5_embedding_dedup, op6_cross_entropy_difference, op7_extendible_sharding, op8_url_filter, op9_quality_nbsvm, op10_chat_collapse, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_mixing, op3_nearest_neighbours, op4_minhash_forest, op5_embedding_dedup, op6_cross_entropy_difference, op7_extendible_sharding, op8_url_filter, op9_quality_nbsvm, op10_chat_collapse, op11_spelling_variants, op12_decontamination, op13_fill_in_middle)}
 
 ORACLES: dict[str, str] = {
     "op2_mixing": r"""
@@ -101,6 +109,30 @@ WITH c AS (SELECT conv_id, count(*) AS n, list(CASE WHEN role IS NULL THEN 'n' E
 m AS (SELECT said, n, min(conv_id) AS conv_id FROM c GROUP BY said, n),
 k AS (SELECT conv_id, n FROM m WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.said[1] = m.said[1] AND o.n > m.n AND o.said[1:m.n] = m.said))
 SELECT t.conv_id, turn, role, n AS n_turns, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM conversations AS t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+u AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+v AS (SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS x, count(*) AS n FROM u WHERE length(run) >= 7 GROUP BY ALL),
+c AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], [CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT) FOR k IN range(length(x) // 2)]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM v, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM x AS a JOIN x AS b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM x AS a JOIN w AS b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM x AS a JOIN w AS b ON a.less = b.word),
+q AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, ROW(-other_n, other)) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM w LEFT JOIN q USING (word)),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word JOIN f AS e ON e.word = r.root WHERE e.form IS NULL""",
+    "op12_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+j AS (SELECT item_id, w, least(10, len(w)) AS l, unnest(range(greatest(len(w) - 10, 0) + 1)) AS s FROM i WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, l, array_to_string(w[s + 1:s + l], ' ') AS p FROM j),
+e AS (SELECT d.r, d.w, k.l, unnest(range(len(d.w) - k.l + 1)) AS s FROM d, (SELECT DISTINCT l FROM x) AS k WHERE len(d.w) >= k.l),
+h AS (SELECT r, s, e.l, item_id FROM (SELECT r, s, l, array_to_string(w[s + 1:s + l], ' ') AS p FROM e) AS e JOIN x ON e.l = x.l AND e.p = x.p),
+c AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + l)) AS pos FROM h) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)""",
     "op13_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 e AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
