@@ -115,7 +115,7 @@ def to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(metres, F.degrees(lon)).otherwise(x), F.when(metres, F.degrees(lat)).otherwise(y)
 
 
-def _edges(ring: Column) -> Column:
+def edges_of(ring: Column) -> Column:
     """Structs of a vertex and the next."""
     n = F.size(ring)
     return F.zip_with(F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -125,14 +125,14 @@ def on_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point lies on an edge."""
     g = lambda p, k: F.get(p, F.lit(k))
     cross = lambda s: (g(s["b"], 0) - g(s["a"], 0)) * (y - g(s["a"], 1)) - (g(s["b"], 1) - g(s["a"], 1)) * (x - g(s["a"], 0))
-    return F.exists(_edges(ring), lambda s: (cross(s) == 0) & x.between(F.least(g(s["a"], 0), g(s["b"], 0)), F.greatest(g(s["a"], 0), g(s["b"], 0))) & y.between(F.least(g(s["a"], 1), g(s["b"], 1)), F.greatest(g(s["a"], 1), g(s["b"], 1))))
+    return F.exists(edges_of(ring), lambda s: (cross(s) == 0) & x.between(F.least(g(s["a"], 0), g(s["b"], 0)), F.greatest(g(s["a"], 0), g(s["b"], 0))) & y.between(F.least(g(s["a"], 1), g(s["b"], 1)), F.greatest(g(s["a"], 1), g(s["b"], 1))))
 
 
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting by an expression; points on the boundary count as inside."""
     g = lambda p, k: F.get(p, F.lit(k))
     crosses = lambda s: ((g(s["a"], 1) > y) != (g(s["b"], 1) > y)) & (x < (g(s["b"], 0) - g(s["a"], 0)) * (y - g(s["a"], 1)) / (g(s["b"], 1) - g(s["a"], 1)) + g(s["a"], 0))
-    return on_ring(x, y, ring) | (F.size(F.filter(_edges(ring), crosses)) % 2 == 1)
+    return on_ring(x, y, ring) | (F.size(F.filter(edges_of(ring), crosses)) % 2 == 1)
 
 
 def distance_to_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -146,7 +146,7 @@ def distance_to_ring(x: Column, y: Column, ring: Column) -> Column:
         u, v = g(s["a"], 0) + t * dx - x, g(s["a"], 1) + t * dy - y
         return F.sqrt(u * u + v * v)
 
-    return F.array_min(F.transform(_edges(ring), to_edge))
+    return F.array_min(F.transform(edges_of(ring), to_edge))
 
 
 def shared_length(ring: Column, other: Column, tolerance: float) -> Column:
@@ -161,13 +161,13 @@ def shared_length(ring: Column, other: Column, tolerance: float) -> Column:
         stretch = F.least(long, F.greatest(along(o["a"]), along(o["b"]))) - F.greatest(F.lit(0.0), F.least(along(o["a"]), along(o["b"])))
         return F.when((long > 0) & (off(o["a"]) <= tolerance) & (off(o["b"]) <= tolerance), F.greatest(F.lit(0.0), stretch)).otherwise(0.0)
 
-    each = F.transform(_edges(ring), lambda s: F.coalesce(F.array_max(F.transform(_edges(other), lambda o: beside(s, o))), F.lit(0.0)))
+    each = F.transform(edges_of(ring), lambda s: F.coalesce(F.array_max(F.transform(edges_of(other), lambda o: beside(s, o))), F.lit(0.0)))
     return F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def crosses_itself(ring: Column) -> Column:
     """Whether two edges of a ring cross between their ends."""
-    return F.exists(_edges(ring), lambda s: F.exists(_edges(ring), lambda o: _cross(s, o)))
+    return F.exists(edges_of(ring), lambda s: F.exists(edges_of(ring), lambda o: _cross(s, o)))
 
 
 def _cross(s: Column, o: Column) -> Column:
@@ -181,7 +181,7 @@ def touches(rings: Column, others: Column) -> Column:
     """Whether a vertex of one outline lies on an edge of the other, or two edges cross."""
     g = lambda p, k: F.get(p, F.lit(k))
     on = lambda a, b: F.exists(a, lambda r: F.exists(r, lambda p: F.exists(b, lambda o: on_ring(g(p, 0), g(p, 1), o))))
-    crossing = F.exists(rings, lambda r: F.exists(others, lambda o: F.exists(_edges(r), lambda s: F.exists(_edges(o), lambda e: _cross(s, e)))))
+    crossing = F.exists(rings, lambda r: F.exists(others, lambda o: F.exists(edges_of(r), lambda s: F.exists(edges_of(o), lambda e: _cross(s, e)))))
     return on(rings, others) | on(others, rings) | crossing
 
 
@@ -195,14 +195,14 @@ def open_mean(ring: Column) -> tuple[Column, Column]:
 def spherical_ring_area(ring: Column) -> Column:
     """Square metres inside a ring of longitudes and latitudes on the sphere."""
     g = lambda p, k: F.radians(F.get(p, F.lit(k)))
-    total = F.aggregate(_edges(ring), F.lit(0.0), lambda acc, s: acc + (g(s["b"], 0) - g(s["a"], 0)) * (F.sin(g(s["a"], 1)) + F.sin(g(s["b"], 1))))
+    total = F.aggregate(edges_of(ring), F.lit(0.0), lambda acc, s: acc + (g(s["b"], 0) - g(s["a"], 0)) * (F.sin(g(s["a"], 1)) + F.sin(g(s["b"], 1))))
     return F.abs(total) * EARTH_RADIUS**2 / 2
 
 
 def ring_length(ring: Column) -> Column:
     """The length of a line or outline in the plane."""
     g = lambda p, k: F.get(p, F.lit(k))
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda acc, s: acc + F.sqrt(F.pow(g(s["b"], 0) - g(s["a"], 0), 2) + F.pow(g(s["b"], 1) - g(s["a"], 1), 2)))
+    return F.aggregate(edges_of(ring), F.lit(0.0), lambda acc, s: acc + F.sqrt(F.pow(g(s["b"], 0) - g(s["a"], 0), 2) + F.pow(g(s["b"], 1) - g(s["a"], 1), 2)))
 
 
 def point_on(ring: Column) -> tuple[Column, Column]:

@@ -1,6 +1,8 @@
 """Overlays of polygons, a batch of rows at a time, in numpy.
 
-A geometry is an array of polygons, a polygon an array of rings, outer first; by the even-odd rule, what lies in an odd number of rings is inside. Each row's plane is cut into level slabs at every vertex and crossing. Within a slab no edges cross, so the edges that pass through it, in order from left to right, bound trapezoids: their areas are exact, and they are the geometry of the result. All rows of a batch go through the same few array operations, whatever their numbers of edges. Coordinates count from a vertex of the row, which keeps sums exact at the size of projected coordinates.
+A geometry is an array of polygons, a polygon an array of rings, outer first; by the even-odd rule, what lies in an odd number of rings is inside. Each row's plane is cut into level slabs at every vertex and crossing. Within a slab no edges cross, so the edges that pass through it, in order from left to right, bound trapezoids, whose areas are exact. Sides that two trapezoids share cancel, the others are chained to rings, and holes are nested: that is the geometry of the result. All rows of a batch go through the same few array operations, whatever their numbers of edges. Coordinates count from a vertex of the row, which keeps sums exact at the size of projected coordinates.
+
+Rows with many edges are worked on in strips of about ``STRIP`` vertices each, in which only the edges that pass through a strip meet; so outlines of tens of thousands of vertices do not meet edge by edge.
 
 Nulls and empty geometries have no area; rings need not be closed.
 """
@@ -20,6 +22,8 @@ from parcelspark.functions import geometry as geo
 PARTS = "array<array<array<array<double>>>>"
 #: Pairs of edges that are looked at together.
 MOST = 2_000_000
+#: Vertices of a strip, and how far apart two nodes of one level are at least.
+STRIP, APART = 64, 1e-8
 
 KEEP = {"intersection": lambda a, b: a & b, "difference": lambda a, b: a & ~b, "union": lambda a, b: a | b, "first": lambda a, b: a}
 
@@ -78,62 +82,139 @@ def origins(n: int, *geometries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ox, oy
 
 
-def _pairs(counts: np.ndarray, starts: np.ndarray, other_counts: np.ndarray, other_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) of the ranges starts + [0, counts) and other_starts + [0, other_counts), range by range."""
-    each = counts * other_counts
-    group = np.repeat(np.arange(len(each)), each)
-    within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    wide = np.maximum(other_counts, 1)[group]
-    return starts[group] + within // wide, other_starts[group] + within % wide
+def _strips(row: np.ndarray, y0: np.ndarray, y1: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(edge, strip, low, high, row of each strip): rows cut into strips at some of their vertices' heights, strips of a row one after the other, and the part of each edge that lies in each strip that it passes."""
+    count = np.bincount(row, minlength=n)
+    of = np.arange(n)
+    if (count <= 2 * STRIP).all():
+        return np.arange(len(row)), row, y0, y1, of
+    order = np.lexsort((y0, row))
+    start = np.cumsum(count) - count
+    strips = np.maximum(1, count // STRIP)
+    base = np.cumsum(strips) - strips
+    of = np.repeat(of, strips)
+    k = np.arange(strips.sum()) - base[of]
+    # The lower bound of a strip; the first has none, and a strip ends where the next begins.
+    bound = np.where(k > 0, y0[order][np.minimum(start[of] + k * STRIP, max(len(row) - 1, 0))], -np.inf)
+    upper = np.r_[np.where(k[1:] > 0, bound[1:], np.inf), np.inf]
+    # Edges and bounds of all rows share one order, so that one search places them.
+    values, at = np.unique(np.r_[y0, y1, bound], return_inverse=True)
+    m, width = len(row), len(values) + 1
+    key = of * width + at[2 * m :]
+    first = np.searchsorted(key, row * width + at[:m], side="right") - 1
+    last = np.searchsorted(key, row * width + at[m : 2 * m], side="left") - 1
+    each = np.maximum(last - first + 1, 0)
+    edge = np.repeat(np.arange(m), each)
+    strip = first[edge] + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    low, high = np.maximum(y0[edge], bound[strip]), np.minimum(y1[edge], upper[strip])
+    some = low < high
+    return edge[some], strip[some], low[some], high[some], of
 
 
 def trapezoids(a: pa.Array, b: pa.Array, operation: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, low y, high y, left and right x at the low end, the same at the high end, left edge, right edge) of a op b, for a few rows at a time, from left to right and upwards within a row."""
-    n = len(a)
-    origin = origins(n, a, b)
+    """(row, low y, high y, left and right x at the low end, the same at the high end, left edge, right edge, area) of a op b, for a few strips at a time, from left to right and upwards within a row. Coordinates count from the row's origin."""
+    origin = origins(len(a), a, b)
     both = [np.concatenate(c) for c in zip(edges(a, 0, origin), edges(b, 1, origin), strict=True)]
-    order = np.argsort(both[0], kind="stable")
-    row, owner, x0, y0, x1, y1 = (c[order] for c in both)
-    count = np.bincount(row, minlength=n)
+    yield from _in_strips(*both, len(a), lambda s, e, x, owner: _two(s, e, x, owner, KEEP[operation]))
+
+
+def united(lists: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """As trapezoids, of the union of all geometries in each row's list."""
+    offsets = _offsets(lists) if len(lists) else np.zeros(1, np.int64)
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(lists) else pa.array([], pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
+    of = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    ox, oy = origins(len(flat), flat)
+    first = np.minimum(np.searchsorted(of, np.arange(len(lists))), max(len(of) - 1, 0))
+    ox, oy = (ox[first][of], oy[first][of]) if len(of) else (ox, oy)
+    row, _, *ends = edges(flat, 0, (ox, oy))
+    yield from _in_strips(of[row] if len(of) else row, row, *ends, len(lists), _deep)
+
+
+def _in_strips(row, owner, x0, y0, x1, y1, n, inside) -> Iterator[tuple[np.ndarray, ...]]:
+    edge, strip, low, high, of = _strips(row, y0, y1, n)
+    order = np.argsort(strip, kind="stable")
+    edge, strip, low, high = edge[order], strip[order], low[order], high[order]
+    count = np.bincount(strip, minlength=len(of))
     at = np.cumsum(count) - count
-    # A row of e edges has e * e pairs, and no more slabs than vertices and crossings.
+    # A strip of e edges has e * e pairs, and no more slabs than vertices and crossings.
     cost = np.cumsum(count.astype(np.int64) ** 2)
     lo = 0
-    while lo < n:
+    while lo < len(of):
         hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + MOST, side="right")))
         part = slice(at[lo], at[hi - 1] + count[hi - 1])
         if part.stop > part.start:
-            yield _slabs(row[part] - lo, owner[part], x0[part], y0[part], x1[part], y1[part], hi - lo, KEEP[operation], lo, origin)
+            k = edge[part]
+            out = _slabs(strip[part] - lo, owner[k], x0[k], y0[k], x1[k], y1[k], low[part], high[part], hi - lo, inside)
+            yield (of[lo + out[0]], *out[1:7], k[out[7]], k[out[8]], out[9])
         lo = hi
 
 
-def _slabs(row, owner, x0, y0, x1, y1, n, keep, base, origin) -> tuple[np.ndarray, ...]:
-    s, e, low, high, slab_row = _slab_edges(row, x0, y0, x1, y1, n)
-    dx, dy = x1 - x0, y1 - y0
-    x_at = lambda y: x0[e] + dx[e] * ((y - y0[e]) / dy[e])
-    order = np.lexsort((owner[e], x_at((low[s] + high[s]) / 2), s))
+def _two(s, e, x, owner, keep) -> tuple[np.ndarray, np.ndarray]:
+    """Where the result begins and ends in each slab: (order of the edges, whether it is inside behind each), by the parity of both owners' edges."""
+    order = np.lexsort((owner[e], x, s))
     s, e = s[order], e[order]
-    first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-    begin = np.flatnonzero(first)
-    of_slab = np.cumsum(first) - 1
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    of_slab = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
     state = []
     for who in (0, 1):
         mine = np.cumsum(owner[e] == who)
         before = mine[begin] - (owner[e[begin]] == who)
-        state.append((mine - before[of_slab]) % 2 == 1 if len(s) else np.zeros(0, bool))
-    now = keep(*state)
-    earlier = np.r_[False, now[:-1]] & ~first if len(s) else now
+        state.append((mine - before[of_slab]) % 2 == 1)
+    return order, keep(*state)
+
+
+def _signs(s, e, x, owner) -> np.ndarray:
+    """Whether each edge enters (1) its owner or leaves it (-1): they take turns."""
+    order = np.lexsort((x, owner[e], s))
+    so, eo = s[order], owner[e[order]]
+    new = np.r_[True, (so[1:] != so[:-1]) | (eo[1:] != eo[:-1])]
+    place = np.arange(len(so)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    sign = np.empty(len(s), dtype=np.int64)
+    sign[order] = np.where(place % 2 == 0, 1, -1)
+    return sign
+
+
+def _depth(s: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Running sums within each slab."""
+    depth = np.cumsum(sign)
+    new = np.r_[True, s[1:] != s[:-1]]
+    first = np.flatnonzero(new)
+    return depth - np.r_[0, depth][first][np.cumsum(new) - 1]
+
+
+def _deep(s, e, x, owner) -> tuple[np.ndarray, np.ndarray]:
+    """As _two, for what lies in any owner."""
+    sign = _signs(s, e, x, owner)
+    order = np.lexsort((-sign, x, s))
+    return order, _depth(s[order], sign[order]) > 0
+
+
+def _deep_in_first(s, e, x, owner) -> tuple[np.ndarray, np.ndarray]:
+    """As _two, for what lies in owner 0 and in any other."""
+    sign = _signs(s, e, x, owner)
+    order = np.lexsort((-sign, x, s))
+    so, sign, mine = s[order], sign[order], owner[e[order]] == 0
+    return order, (_depth(so, np.where(mine, sign, 0)) > 0) & (_depth(so, np.where(mine, 0, sign)) > 0)
+
+
+def _slabs(row, owner, x0, y0, x1, y1, bottom, top, n, inside) -> tuple[np.ndarray, ...]:
+    s, e, low, high, slab_row = _slab_edges(row, x0, y0, x1, y1, bottom, top, n)
+    if not len(s):
+        return (np.zeros(0, np.int64), *[np.zeros(0)] * 6, *[np.zeros(0, np.int64)] * 2, np.zeros(0))
+    dx, dy = x1 - x0, y1 - y0
+    at_ = lambda k, y: np.where(y == y0[k], x0[k], np.where(y == y1[k], x1[k], x0[k] + dx[k] * ((y - y0[k]) / dy[k])))
+    order, now = inside(s, e, at_(e, (low[s] + high[s]) / 2), owner)
+    s, e = s[order], e[order]
+    first = np.r_[True, s[1:] != s[:-1]]
+    earlier = np.r_[False, now[:-1]] & ~first
     opens, closes = np.flatnonzero(now & ~earlier), np.flatnonzero(~now & earlier)
     left, right, slab = e[opens], e[closes], s[opens]
     y_lo, y_hi = low[slab], high[slab]
-    at_ = lambda k, y: x0[k] + dx[k] * ((y - y0[k]) / dy[k])
     l0, r0, l1, r1 = at_(left, y_lo), at_(right, y_lo), at_(left, y_hi), at_(right, y_hi)
     # Edges that cross at a slab's end may miss each other there by a rounding.
     r0, r1 = np.maximum(l0, r0), np.maximum(l1, r1)
     real = (r0 > l0) | (r1 > l1)
-    r = slab_row[slab]
-    ox, oy = origin[0][base + r], origin[1][base + r]
-    out = (base + r, y_lo + oy, y_hi + oy, l0 + ox, r0 + ox, l1 + ox, r1 + ox, left, right, (y_hi - y_lo) * ((r0 - l0) + (r1 - l1)) / 2)
+    out = (slab_row[slab], y_lo, y_hi, l0, r0, l1, r1, left, right, (y_hi - y_lo) * ((r0 - l0) + (r1 - l1)) / 2)
     return tuple(c[real] for c in out)
 
 
@@ -144,26 +225,161 @@ def areas(a: pa.Array, b: pa.Array, operation: str) -> np.ndarray:
     return out
 
 
+def dissolved(found: Iterator[tuple[np.ndarray, ...]], n: int, origin: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """Trapezoids of n rows as geometries: polygons with an outer ring counter-clockwise and their holes, closed, without vertices that lie between their neighbours."""
+    columns = [np.concatenate(c) for c in zip(*[t[:9] for t in found], strict=True)] or [np.zeros(0, np.int64), *[np.zeros(0)] * 6, *[np.zeros(0, np.int64)] * 2]
+    row, lo, hi, l0, r0, l1, r1, of_left, of_right = columns
+    m = len(row)
+    # Nodes: the corners of a level that are not APART are one.
+    at_row, at_y, at_x = np.tile(row, 4), np.r_[lo, lo, hi, hi], np.r_[l0, r0, l1, r1]
+    order = np.lexsort((at_x, at_y, at_row))
+    ys, xs, rs = at_y[order], at_x[order], at_row[order]
+    level = np.r_[True, (rs[1:] != rs[:-1]) | (ys[1:] != ys[:-1])] if m else np.zeros(0, bool)
+    fresh = level | np.r_[True, np.diff(xs) > APART] if m else level
+    node = np.empty(4 * m, dtype=np.int64)
+    node[order] = np.cumsum(fresh) - 1
+    x, y, of = xs[fresh], ys[fresh], rs[fresh]
+    a, b, c, d = node[:m], node[m : 2 * m], node[2 * m : 3 * m], node[3 * m :]
+    # Level sides: bottoms count up, tops down, between each node and the next of its level.
+    bar = np.zeros(len(x) + 1, dtype=np.int64)
+    for u, v, sign in ((a, b, 1), (c, d, -1)):
+        np.add.at(bar, u, sign)
+        np.add.at(bar, v, -sign)
+    bar = np.cumsum(bar)[:-1] if len(x) else bar[:0]
+    right, left = np.flatnonzero(bar > 0), np.flatnonzero(bar < 0)
+    # Slanted sides: those that one trapezoid ends at and another begins at cancel.
+    pair, some, at = np.unique(np.r_[b * (len(x) + 1) + d, a * (len(x) + 1) + c], return_index=True, return_inverse=True)
+    net = np.bincount(at, weights=np.r_[np.ones(m), -np.ones(m)], minlength=len(pair)).astype(np.int64)
+    up, down = pair[net > 0], pair[net < 0]
+    start = np.r_[right, left + 1, up // (len(x) + 1), down % (len(x) + 1)]
+    end = np.r_[right + 1, left, up % (len(x) + 1), down // (len(x) + 1)]
+    along = np.r_[of_right, of_left][some]  # the edge that a side lies on; level sides are told by their direction
+    along = np.r_[np.full(len(right), -1), np.full(len(left), -2), along[net > 0], along[net < 0]]
+    rings = _rings(start, end, along, x, y)
+    return _geometries(rings, x, y, of, n, origin)
+
+
+def _rings(start: np.ndarray, end: np.ndarray, along: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Nodes of the rings of directed edges that have the inside on their left; where rings touch, each keeps to its own wedge."""
+    m = len(start)
+    angle = np.r_[np.arctan2(y[end] - y[start], x[end] - x[start]), np.arctan2(y[start] - y[end], x[start] - x[end])]
+    # Around a node: the edges that leave it, and those that come in, seen from it. One that comes in goes on with the next clockwise that leaves.
+    at, kind = np.r_[start, end], np.r_[np.zeros(m, np.int64), np.ones(m, np.int64)]
+    order = np.lexsort((kind, angle, at))
+    follows = np.empty(m, dtype=np.int64)
+    group = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0, True]) if m else np.zeros(1, np.int64)
+    sizes = np.diff(group)
+    simple = np.repeat(sizes == 2, sizes)
+    two = order[simple].reshape(-1, 2)
+    incoming = np.where(kind[two[:, 0]] == 1, two[:, 0], two[:, 1]) - m
+    follows[incoming] = np.where(kind[two[:, 0]] == 1, two[:, 1], two[:, 0])
+    for k in np.flatnonzero(sizes != 2).tolist():
+        around = order[group[k] : group[k + 1]].tolist()
+        leaves = [i for i, e in enumerate(around) if e < m]
+        free = set(leaves)
+        for i, e in enumerate(around):
+            if e >= m:
+                j = i - 1
+                while j % len(around) not in free:
+                    j -= 1
+                free.discard(j % len(around))
+                follows[e - m] = around[j % len(around)]
+    seen, rings, to = np.zeros(m, dtype=bool), [], follows.tolist()
+    for first in range(m):
+        if not seen[first]:
+            ring, e = [], first
+            while not seen[e]:
+                seen[e] = True
+                ring.append(e)
+                e = to[e]
+            side = along[ring]
+            nodes = start[ring][side != np.roll(side, 1)]
+            nodes = _turning(nodes, x[nodes].tolist(), y[nodes].tolist())
+            if len(nodes) >= 3:
+                rings.append(nodes)
+    return rings
+
+
+def _turning(nodes: np.ndarray, x: list[float], y: list[float]) -> np.ndarray:
+    """The nodes of a ring without those that lie between the one kept before and the next."""
+    kept: list[int] = []
+    for k in range(len(x)):
+        p, q = (kept[-1] if kept else k - 1), (k + 1) % len(x)
+        ax, ay, bx, by = x[k] - x[p], y[k] - y[p], x[q] - x[p], y[q] - y[p]
+        if abs(ax * by - ay * bx) > APART / 10 * (abs(bx) + abs(by)):
+            kept.append(k)
+    return nodes[kept]
+
+
+def _geometries(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray, of: np.ndarray, n: int, origin: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    area = np.array([float(np.sum(x[r] * np.roll(y[r], -1) - np.roll(x[r], -1) * y[r])) / 2 for r in rings])
+    row = np.array([of[r[0]] for r in rings], dtype=np.int64)
+    shells = [[] for _ in range(n)]
+    holes: dict[int, list[int]] = {}
+    for k in np.flatnonzero(area > 0).tolist():
+        shells[row[k]].append(k)
+    for k in np.flatnonzero(area < 0).tolist():
+        own = [s for s in shells[row[k]] if area[s] >= -area[k]]
+        if len(own) > 1:
+            # The middle of an edge is on no other ring.
+            px, py = (x[rings[k][0]] + x[rings[k][1]]) / 2, (y[rings[k][0]] + y[rings[k][1]]) / 2
+            own = [s for s in own if _inside(px, py, x[rings[s]], y[rings[s]])] or own
+        if own:
+            holes.setdefault(min(own, key=lambda s: area[s]), []).append(k)
+    order = [[[s, *holes.get(s, [])] for s in shells[i]] for i in range(n)]
+    flat = [k for polygons in order for p in polygons for k in p]
+    closed = [np.r_[rings[k], rings[k][:1]] for k in flat]
+    nodes = np.concatenate(closed) if closed else np.zeros(0, np.int64)
+    points = np.stack([x[nodes] + origin[0][of[nodes]], y[nodes] + origin[1][of[nodes]]], axis=1).ravel() if len(nodes) else np.zeros(0)
+    ends = lambda sizes: pa.array(np.r_[0, np.cumsum(np.array(sizes, dtype=np.int64))], type=pa.int32())
+    level = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(nodes) + 1, 2), type=pa.int32()), pa.array(points))
+    for sizes in ([len(c) for c in closed], [len(p) for polygons in order for p in polygons], [len(polygons) for polygons in order]):
+        level = pa.ListArray.from_arrays(ends(sizes), level)
+    return level
+
+
+def _inside(px: float, py: float, x: np.ndarray, y: np.ndarray) -> bool:
+    bx, by = np.roll(x, -1), np.roll(y, -1)
+    crosses = (y > py) != (by > py)
+    return bool(np.sum(x[crosses] + (py - y[crosses]) * (bx[crosses] - x[crosses]) / (by[crosses] - y[crosses]) > px) % 2)
+
+
 def pieces(a: pa.Array, b: pa.Array, operation: str) -> pa.Array:
-    """The result as an array of polygons of one closed ring each: trapezoids that continue each other between the same two edges are one."""
-    rows, rings = [], []
-    for row, lo, hi, l0, r0, l1, r1, left, right, _ in trapezoids(a, b, operation):
-        order = np.lexsort((lo, right, left, row))
-        row, lo, hi, l0, r0, l1, r1, left, right = (c[order] for c in (row, lo, hi, l0, r0, l1, r1, left, right))
-        goes_on = np.r_[False, (row[1:] == row[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (lo[1:] == hi[:-1])] if len(row) else np.zeros(0, bool)
-        begin = np.flatnonzero(~goes_on)
-        end = np.r_[begin[1:], len(row)] - 1 if len(begin) else begin
-        rows.append(row[begin])
-        rings.append(np.stack([l0[begin], lo[begin], r0[begin], lo[begin], r1[end], hi[end], l1[end], hi[end], l0[begin], lo[begin]], axis=1))
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    flat = np.concatenate(rings).ravel() if rings else np.zeros(0)
-    order = np.argsort(row, kind="stable")
-    flat = flat.reshape(-1, 10)[order].ravel()
-    every = lambda n, step: pa.array(np.arange(0, n * step + 1, step), type=pa.int32())
-    points = pa.ListArray.from_arrays(every(5 * len(row), 2), pa.array(flat))
-    ring = pa.ListArray.from_arrays(every(len(row), 5), points)
-    polygon = pa.ListArray.from_arrays(every(len(row), 1), ring)
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(a) + 1)), type=pa.int32()), polygon)
+    """a op b as geometries."""
+    return dissolved(trapezoids(a, b, operation), len(a), origins(len(a), a, b))
+
+
+def united_rows(lists: pa.Array) -> pa.Array:
+    """The union of each row's list of geometries, as one geometry."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ox, oy = np.zeros(len(lists)), np.zeros(len(lists))
+    if len(lists):
+        offsets = _offsets(lists)
+        fx, fy = origins(int(offsets[-1] - offsets[0]), lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        ox[some], oy[some] = fx[offsets[some] - offsets[0]], fy[offsets[some] - offsets[0]]
+    return dissolved(united(lists), len(lists), (ox, oy))
+
+
+def united_parts(lists: Column) -> Column:
+    """The union of an array of geometries, as one geometry."""
+
+    @arrow_udf(PARTS)
+    def made(g: pa.Array) -> pa.Array:
+        return united_rows(g)
+
+    return made(lists)
+
+
+def centre(g: Column) -> tuple[Column, Column]:
+    """The centroid of a geometry's area, counted from its first vertex; its holes count against it. Null without area."""
+    ox, oy = (F.get(F.get(F.get(F.get(g, F.lit(0)), F.lit(0)), F.lit(0)), F.lit(k)) for k in (0, 1))
+    v = lambda p, k: F.get(p, F.lit(k)) - (oy if k else ox)
+    cross = lambda s: v(s["a"], 0) * v(s["b"], 1) - v(s["b"], 0) * v(s["a"], 1)
+    total = lambda r, f: F.aggregate(geo.edges_of(r), F.lit(0.0), lambda acc, s: acc + f(s))
+    sums = lambda f: F.aggregate(F.flatten(F.transform(g, lambda p: F.transform(p, lambda r, i: F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(total(r, cross)) * total(r, f)))), F.lit(0.0), lambda acc, x: acc + x)
+    double = sums(cross)
+    return tuple(o + F.try_divide(sums(lambda s, k=k: (v(s["a"], k) + v(s["b"], k)) * cross(s)), 3 * double) for k, o in ((0, ox), (1, oy)))
 
 
 def overlay_parts(a: Column, b: Column, operation: str) -> Column:
@@ -200,6 +416,17 @@ def shared_area(a: Column, b: Column) -> Column:
     return F.when(box, side("min_x", "max_x") * side("min_y", "max_y")).otherwise(others)
 
 
+def contact(a: Column, b: Column, tolerance: float) -> Column:
+    """A struct of shared, the length of a's outlines that runs along b's within the tolerance, and touches, whether they have a point in common."""
+
+    @arrow_udf("struct<shared: double, touches: boolean>")
+    def made(x: pa.Array, y: pa.Array) -> pa.Array:
+        shared, touches = beside(x, y, tolerance)
+        return pa.StructArray.from_arrays([pa.array(shared), pa.array(touches)], names=["shared", "touches"])
+
+    return made(a, b)
+
+
 def bounds(g: Column) -> dict[str, Column]:
     """x0, y0, x1, y1 of a geometry; null if it has no vertex."""
     points = F.flatten(F.flatten(g))
@@ -236,82 +463,122 @@ def covered(geometries: pa.Array, group: np.ndarray, cells: np.ndarray) -> np.nd
     for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):
         ends.append((np.arange(n), np.zeros(n, np.int64), boxes[:, a, 0] - cells[:, 0], boxes[:, a, 1] - cells[:, 1], boxes[:, b, 0] - cells[:, 0], boxes[:, b, 1] - cells[:, 1]))
     g, own, xa, ya, xb, yb = (np.concatenate(c) for c in zip(*ends, strict=True))
-    real = ya != yb
+    real = (ya != yb) & np.isfinite(xa + ya + xb + yb)
     g, own, xa, ya, xb, yb = (c[real] for c in (g, own, xa, ya, xb, yb))
     up = ya < yb
-    x0, y0, x1, y1 = np.where(up, xa, xb), np.where(up, ya, yb), np.where(up, xb, xa), np.where(up, yb, ya)
-    order = np.argsort(g, kind="stable")
-    g, own, x0, y0, x1, y1 = (c[order] for c in (g, own, x0, y0, x1, y1))
-    count = np.bincount(g, minlength=n)
-    at, lo = np.cumsum(count) - count, 0
-    cost = np.cumsum(count.astype(np.int64) ** 2)
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + MOST, side="right")))
-        part = slice(at[lo], at[hi - 1] + count[hi - 1])
-        out[lo:hi] = _depth(g[part] - lo, own[part], x0[part], y0[part], x1[part], y1[part], hi - lo)
-        lo = hi
+    for t in _in_strips(g, own, np.where(up, xa, xb), np.where(up, ya, yb), np.where(up, xb, xa), np.where(up, yb, ya), n, _deep_in_first):
+        np.add.at(out, t[0], t[-1])
     return out
 
 
-def _crossing_levels(row, x0, y0, x1, y1, n):
+def _blocks(counts: np.ndarray) -> Iterator[slice]:
+    """Ranges of rows with about MOST counts together."""
+    sums, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + MOST, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _meeting(row, lo, hi) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of edges of one row whose ranges [lo, hi] meet, each once, in blocks of a bounded size."""
+    values, at = np.unique(np.r_[lo, hi], return_inverse=True)
+    width = len(values) + 1
+    key = row * width + at[: len(lo)]
+    order = np.argsort(key, kind="stable")
+    last = np.searchsorted(key[order], (row * width + at[len(lo) :])[order], side="right")
+    counts = np.maximum(last - np.arange(len(order)) - 1, 0)
+    for part in _blocks(counts):
+        c = counts[part]
+        i = np.repeat(np.arange(part.start, part.stop), c)
+        j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        yield order[i], order[j]
+
+
+def _crossing_levels(row, x0, y0, x1, y1, bottom, top, n):
     """(levels, their rows): the heights of ends and crossings, each once."""
-    count = np.bincount(row, minlength=n)
-    start = np.cumsum(count) - count
-    i, j = _pairs(count, start, count, start)
-    near = (i < j) & (y0[i] < y1[j]) & (y0[j] < y1[i])
-    i, j = i[near], j[near]
     dx, dy = x1 - x0, y1 - y0
-    turn = dx[i] * dy[j] - dy[i] * dx[j]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((x0[j] - x0[i]) * dy[j] - (y0[j] - y0[i]) * dx[j]) / turn
-        u = ((x0[j] - x0[i]) * dy[i] - (y0[j] - y0[i]) * dx[i]) / turn
-    cross = (turn != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-    i, t = i[cross], t[cross]
-    level, of = np.concatenate([y0, y1, y0[i] + t * dy[i]]), np.concatenate([row, row, row[i]])
+    levels, rows = [bottom, top], [row, row]
+    for i, j in _meeting(row, np.minimum(x0, x1), np.maximum(x0, x1)):
+        near = (bottom[i] < top[j]) & (bottom[j] < top[i])
+        i, j = i[near], j[near]
+        turn = dx[i] * dy[j] - dy[i] * dx[j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((x0[j] - x0[i]) * dy[j] - (y0[j] - y0[i]) * dx[j]) / turn
+            u = ((x0[j] - x0[i]) * dy[i] - (y0[j] - y0[i]) * dx[i]) / turn
+        cross = (turn != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        i, j, t = i[cross], j[cross], t[cross]
+        height = y0[i] + t * dy[i]
+        here = (height > np.maximum(bottom[i], bottom[j])) & (height < np.minimum(top[i], top[j]))
+        levels.append(height[here])
+        rows.append(row[i[here]])
+    level, of = np.concatenate(levels), np.concatenate(rows)
     order = np.lexsort((level, of))
     level, of = level[order], of[order]
     new = np.r_[True, (level[1:] != level[:-1]) | (of[1:] != of[:-1])] if len(level) else np.zeros(0, bool)
     return level[new], of[new]
 
 
-def _slab_edges(row, x0, y0, x1, y1, n):
+def _slab_edges(row, x0, y0, x1, y1, bottom, top, n):
     """(slab of each edge that passes through one, edge, slabs' low and high ends and rows)."""
-    level, of = _crossing_levels(row, x0, y0, x1, y1, n)
-    count = np.bincount(row, minlength=n)
-    start = np.cumsum(count) - count
+    level, of = _crossing_levels(row, x0, y0, x1, y1, bottom, top, n)
     same = np.flatnonzero(of[1:] == of[:-1])
     low, high, slab_row = level[same], level[same + 1], of[same]
-    slabs = np.bincount(slab_row, minlength=n)
-    s, e = _pairs(slabs, np.cumsum(slabs) - slabs, count, start)
-    live = (y0[e] <= low[s]) & (y1[e] >= high[s])
-    return s[live], e[live], low, high, slab_row
+    # A slab begins at a level, so an edge passes through those from its own low level up to its high one.
+    values, at = np.unique(np.r_[low, bottom, top], return_inverse=True)
+    width = len(values) + 1
+    key = slab_row * width + at[: len(low)]
+    first = np.searchsorted(key, row * width + at[len(low) : len(low) + len(row)], side="left")
+    last = np.searchsorted(key, row * width + at[len(low) + len(row) :], side="left")
+    each = np.maximum(last - first, 0)
+    e = np.repeat(np.arange(len(row)), each)
+    s = first[e] + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return s, e, low, high, slab_row
+
+
+def all_edges(geometries: pa.Array, origin: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(row, ax, ay, bx, by) of all edges of a length, with the rings closed, in the order of rows."""
+    x, y, ring, row = vertices(geometries)
+    if not len(x):
+        return np.zeros(0, np.int64), *[np.zeros(0)] * 4
+    x, y = x - origin[0][row], y - origin[1][row]
+    first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
+    follows = np.arange(1, len(x) + 1)
+    follows[np.r_[first[1:], len(x)] - 1] = first
+    real = (x != x[follows]) | (y != y[follows])
+    return row[real], x[real], y[real], x[follows][real], y[follows][real]
 
 
-def _depth(row, own, x0, y0, x1, y1, n) -> np.ndarray:
-    """For each row the area that lies in owner 0 and in any other owner."""
-    s, e, low, high, slab_row = _slab_edges(row, x0, y0, x1, y1, n)
-    out = np.zeros(n)
-    if not len(s):
-        return out
-    mid = (low[s] + high[s]) / 2
-    x = x0[e] + (x1[e] - x0[e]) * ((mid - y0[e]) / (y1[e] - y0[e]))
-    order = np.lexsort((x, own[e], s))  # an owner's edges enter and leave by turns
-    s, e, x = s[order], e[order], x[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (own[e[1:]] != own[e[:-1]])]
-    place = np.arange(len(s)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    sign = np.where(place % 2 == 0, 1, -1)
-    order = np.lexsort((x, s))
-    s, x, sign, mine = s[order], x[order], sign[order], own[e[order]] == 0
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    slab = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
-    depth = []
-    for who in (mine, ~mine):
-        d = np.cumsum(np.where(who, sign, 0))
-        depth.append(d - np.r_[0, d][first][slab])
-    width = np.where((s[1:] == s[:-1]) & (depth[0][:-1] > 0) & (depth[1][:-1] > 0), x[1:] - x[:-1], 0.0)
-    # Within a slab every width is linear in height, so the one at the middle is the mean.
-    np.add.at(out, slab_row[s[:-1]], width * (high[s[:-1]] - low[s[:-1]]))
-    return out
+def beside(a: pa.Array, b: pa.Array, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(length, touches) of each row: how much of a's outlines, holes included, runs within the tolerance of an edge of b's (for each edge the longest stretch beside one edge whose ends are that close to its line), and whether the geometries have a point in common."""
+    n = len(a)
+    origin = origins(n, a, b)
+    row, ax, ay, bx, by = all_edges(a, origin)
+    other, cx, cy, ex, ey = all_edges(b, origin)
+    start, stop = np.searchsorted(other, np.arange(n)), np.searchsorted(other, np.arange(n), side="right")
+    counts = (stop - start)[row]
+    best, touch = np.zeros(len(row)), areas(a, b, "intersection") > 0
+    for part in _blocks(counts):
+        c = counts[part]
+        i = np.repeat(np.arange(part.start, part.stop), c)
+        j = start[row[i]] + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        dx, dy = bx[i] - ax[i], by[i] - ay[i]
+        long = np.hypot(dx, dy)
+        along = lambda px, py: ((px - ax[i]) * dx + (py - ay[i]) * dy) / long  # noqa: B023, E731
+        off = lambda px, py: ((px - ax[i]) * dy - (py - ay[i]) * dx) / long  # noqa: B023, E731
+        s, t, u, v = along(cx[j], cy[j]), along(ex[j], ey[j]), off(cx[j], cy[j]), off(ex[j], ey[j])
+        stretch = np.minimum(long, np.maximum(s, t)) - np.maximum(0.0, np.minimum(s, t))
+        np.maximum.at(best, i, np.where((np.abs(u) <= tolerance) & (np.abs(v) <= tolerance), stretch, 0.0))
+        # They touch if they cross, or an end of one lies on the other.
+        gx, gy = ex[j] - cx[j], ey[j] - cy[j]
+        wide = np.hypot(gx, gy)
+        p, q = ((ax[i] - cx[j]) * gy - (ay[i] - cy[j]) * gx) / wide, ((bx[i] - cx[j]) * gy - (by[i] - cy[j]) * gx) / wide
+        k, m = ((ax[i] - cx[j]) * gx + (ay[i] - cy[j]) * gy) / wide, ((bx[i] - cx[j]) * gx + (by[i] - cy[j]) * gy) / wide
+        eps = 1e-9
+        on = lambda far, at, end: (np.abs(far) <= eps) & (at >= -eps) & (at <= end + eps)
+        meet = ((u * v < 0) & (p * q < 0)) | on(u, s, long) | on(v, t, long) | on(p, k, wide) | on(q, m, wide)
+        touch[row[i[meet]]] = True
+    return np.bincount(row, weights=best, minlength=n), touch
 
 
 def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:

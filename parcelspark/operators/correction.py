@@ -53,35 +53,31 @@ def truncate(features: DataFrame, boundary: DataFrame) -> DataFrame:
 
 
 def best_neighbours(features: DataFrame, size: float = 60.0, tolerance: float = 5.0) -> DataFrame:
-    """For each sliver the neighbour to merge it with: the one along which the longest stretch of its outline runs, within the tolerance, else the largest that it touches; slivers are no neighbours. features: with is_sliver and area. sliver_idx, neighbour_idx, shared."""
-    slim = features.select("feature_idx", *[c for c in (*BOX, "parts", "area", "is_sliver") if c in features.columns])
-    pairs = box_join(slim.filter("is_sliver"), slim.filter("not is_sliver"), size)
-    pairs = pairs.withColumn("shared", geo.shared_length(outline(pairs, "l_"), outline(pairs, "r_"), tolerance))
-    order = F.struct(-F.col("shared"), -F.col("r_area"), F.col("r_feature_idx"))
-    return pairs.groupBy(F.col("l_feature_idx").alias("sliver_idx")).agg(F.min_by(F.struct(F.col("r_feature_idx").alias("neighbour_idx"), "shared"), order).alias("n")).select("sliver_idx", "n.*")
+    """For each sliver the neighbour to merge it with: the one along which the longest stretch of its outlines runs, within the tolerance, else the largest that it touches; slivers are no neighbours. All rings of all parts count. features: with is_sliver and area. sliver_idx, neighbour_idx, shared."""
+    slim = with_parts(features).select("feature_idx", *BOX, "parts", "area", "is_sliver")
+    pairs = box_join(slim.filter("is_sliver"), slim.filter("not is_sliver"), size, ids=("feature_idx", "feature_idx"))
+    pairs = pairs.withColumn("c", planar.contact(F.col("l_parts"), F.col("r_parts"), tolerance)).filter("c.shared > 0 or c.touches")
+    order = F.struct(-F.col("c.shared"), -F.col("r_area"), F.col("r_feature_idx"))
+    return pairs.groupBy(F.col("l_feature_idx").alias("sliver_idx")).agg(F.min_by(F.struct(F.col("r_feature_idx").alias("neighbour_idx"), F.col("c.shared").alias("shared")), order).alias("n")).select("sliver_idx", "n.*")
 
 
 def joined(targets: DataFrame, pieces: DataFrame) -> DataFrame:
-    """targets (feature_idx, parts) with the geometries of pieces (target_idx, parts) united with them, in turn where one target gets several: feature_idx, parts, area. Only targets that get a piece come back.
-
-    Each piece is first cut to what its target does not have, so that what is put side by side does not overlap; the pieces of one target must not overlap each other."""
-    got = pieces.select(F.col("target_idx").alias("feature_idx"), F.col("parts").alias("piece"))
-    met = targets.select("feature_idx", "parts").join(got, "feature_idx").withColumn("new", planar.overlay_parts(F.col("piece"), F.col("parts"), "difference"))
-    new = met.groupBy("feature_idx").agg(F.flatten(F.collect_list("new")).alias("new"))
-    out = targets.select("feature_idx", "parts").join(new, "feature_idx").select("feature_idx", F.concat("parts", "new").alias("parts"))
-    return out.withColumn("area", planar.area(F.col("parts")))
+    """targets (feature_idx, parts) united with the geometries of pieces (target_idx, parts), which may overlap each other: feature_idx, parts, area, taken (how many pieces). Only targets that get a piece come back."""
+    got = pieces.groupBy(F.col("target_idx").alias("feature_idx")).agg(F.collect_list("parts").alias("more"), F.count("*").alias("taken"))
+    out = targets.select("feature_idx", "parts").join(got, "feature_idx").select("feature_idx", planar.united_parts(F.concat(F.array("parts"), "more")).alias("parts"), "taken")
+    return out.select("feature_idx", "parts", planar.area(F.col("parts")).alias("area"), "taken")
 
 
 def merge_slivers(features: DataFrame, size: float = 60.0) -> DataFrame:
     """The layer after every sliver with a neighbour has been merged into it: slivers that were merged are gone, their neighbours have their geometry. feature_idx, parts, area, merged (how many slivers it took)."""
     f = with_parts(features)
     best = best_neighbours(f, size)
-    pieces = f.select(F.col("feature_idx").alias("sliver_idx"), "parts").join(best, "sliver_idx").select("sliver_idx", F.col("neighbour_idx").alias("target_idx"), "parts")
-    took = pieces.groupBy(F.col("target_idx").alias("feature_idx")).agg(F.count("*").alias("merged"))
-    grown = joined(f, pieces).select("feature_idx", F.col("parts").alias("grown"), F.col("area").alias("grown_area"))
-    left = f.join(best.select(F.col("sliver_idx").alias("feature_idx")), "feature_idx", "left_anti").withColumn("own", own_area(f))
-    out = left.join(grown, "feature_idx", "left").join(took, "feature_idx", "left")
-    return out.select("feature_idx", F.coalesce("grown", "parts").alias("parts"), F.coalesce("grown_area", "own").alias("area"), F.coalesce("merged", F.lit(0)).alias("merged"))
+    shapes = f.select("feature_idx", "parts")
+    pieces = shapes.withColumnRenamed("feature_idx", "sliver_idx").join(best, "sliver_idx").select(F.col("neighbour_idx").alias("target_idx"), "parts")
+    grown = joined(shapes, pieces).withColumnRenamed("taken", "merged")
+    touched = best.select(F.explode(F.array("sliver_idx", "neighbour_idx")).alias("feature_idx")).distinct()
+    rest = f.withColumn("own", own_area(f)).select("feature_idx", "parts", F.col("own").alias("area")).join(touched, "feature_idx", "left_anti")
+    return rest.withColumn("merged", F.lit(0).cast("long")).unionByName(grown)
 
 
 def delete(features: DataFrame, errors: DataFrame) -> DataFrame:
@@ -92,7 +88,7 @@ def delete(features: DataFrame, errors: DataFrame) -> DataFrame:
 
 def assign_gaps(features: DataFrame, gaps: DataFrame) -> DataFrame:
     """Gaps (gap_idx, parts, target_idx) become part of their targets: feature_idx, parts, area of the features that grow."""
-    return joined(with_parts(features), gaps)
+    return joined(with_parts(features), gaps).drop("taken")
 
 
 def committed(errors: DataFrame, requests: DataFrame) -> DataFrame:
@@ -106,7 +102,7 @@ def committed(errors: DataFrame, requests: DataFrame) -> DataFrame:
 
 def overlap_partners(features: DataFrame, size: float = 60.0) -> DataFrame:
     """For each feature the one that it shares the most area with; the lower id of equals."""
-    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx")
+    pairs = box_join(features, features, size, ids=("feature_idx", "feature_idx")).filter("l_feature_idx <> r_feature_idx")
     pairs = pairs.withColumn("area", overlap_area(pairs)).filter("area > 0")
     best = F.min_by(F.struct(F.col("r_feature_idx").alias("partner_idx"), F.col("area").alias("shared_area")), F.struct(-F.col("area"), F.col("r_feature_idx")))
     return pairs.groupBy(F.col("l_feature_idx").alias("feature_idx")).agg(best.alias("b")).select("feature_idx", "b.*")
@@ -114,7 +110,7 @@ def overlap_partners(features: DataFrame, size: float = 60.0) -> DataFrame:
 
 def top_partners(features: DataFrame, most: int, size: float = 60.0) -> DataFrame:
     """For each feature the ``most`` that it shares the most area with, in order: partner_idx, place. A feature's own neighbours meet, no more."""
-    pairs = box_join(features, features, size).filter("l_feature_idx <> r_feature_idx")
+    pairs = box_join(features, features, size, ids=("feature_idx", "feature_idx")).filter("l_feature_idx <> r_feature_idx")
     pairs = pairs.withColumn("area", overlap_area(pairs)).filter("area > 0")
     place = F.row_number().over(Window.partitionBy("l_feature_idx").orderBy(F.desc("area"), "r_feature_idx"))
     return pairs.select(F.col("l_feature_idx").alias("feature_idx"), F.col("r_feature_idx").alias("partner_idx"), place.cast("bigint").alias("place")).filter(F.col("place") <= most)

@@ -14,8 +14,10 @@ from parcelspark.functions import geometry as geo
 from parcelspark.functions import nicad as nic
 from parcelspark.functions import planar
 from parcelspark.functions.text import half_up
+from parcelspark.operators.components import connected
 from parcelspark.operators.grouping import whole_groups
-from parcelspark.operators.spatial import BOX, box_join, outline, overlap_area, own_area
+from parcelspark.operators.lineage import materialise, tidy
+from parcelspark.operators.spatial import BOX, STEP, box_join, outline, overlap_area, own_area
 
 ERROR = ["error_type", "severity", "feature_idx", "nicad1", "nicad2", "area", "confidence"]
 #: The order of severities, which is not that of their names (fixed values).
@@ -119,7 +121,7 @@ def overlaps(parcels: DataFrame, size: float = 60.0, least: float = 0.01, first:
     first and most give the report's caps: only the first features, only so many pairs in the order of (i, j). Without them every pair is found."""
     p = trimmed(parcels)
     p = p.filter(F.col("feature_idx") < first) if first else p
-    pairs = box_join(p, p, size, touching=False, self_join_on="feature_idx")
+    pairs = box_join(p, p, size, touching=False, self_join_on="feature_idx", ids=("feature_idx", "feature_idx"))
     pairs = pairs.withColumn("area", overlap_area(pairs)).filter(F.col("area") >= least)
     smaller = F.least(own_area(pairs, "l_"), own_area(pairs, "r_"))
     percent = F.when(smaller > 0, F.col("area") / smaller * 100).otherwise(0.0)
@@ -135,7 +137,7 @@ def overlap_errors(parcels: DataFrame, **how) -> DataFrame:
 
 def partial_overlaps(parcels: DataFrame, size: float = 60.0) -> DataFrame:
     """Pairs whose interiors meet where neither holds the other: both have area outside what they share."""
-    pairs = box_join(parcels, parcels, size, touching=True, self_join_on="feature_idx")
+    pairs = box_join(parcels, parcels, size, touching=True, self_join_on="feature_idx", ids=("feature_idx", "feature_idx"))
     pairs = pairs.withColumn("shared", overlap_area(pairs)).filter("shared > 0")
     more = lambda side: own_area(pairs, side) - F.col("shared") > 1e-9 * own_area(pairs, side)
     return pairs.filter(more("l_") & more("r_")).select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"))
@@ -156,18 +158,17 @@ def boundary_errors(parcels: DataFrame, boundary: DataFrame) -> DataFrame:
     return _error(out, "boundary_cross", "high", _named(F.col("nicad"), F.col("feature_idx")), None, None, 0.9)
 
 
-def _covered(cell: float):
-    """From (cx, cy, parts) in whole cells to the area that each cell's geometries cover in it."""
-
-    def run(batches):
-        for t in whole_groups(batches, ["cx", "cy"], 20_000):
-            cx, cy = t["cx"].to_numpy(), t["cy"].to_numpy()
-            new = np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])]
-            x0, y0 = cx[new] * cell, cy[new] * cell
-            area = planar.covered(t["parts"].combine_chunks(), np.cumsum(new) - 1, np.stack([x0, y0, x0 + cell, y0 + cell], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(area)], names=["area"])
-
-    return run
+def _covered(batches):
+    """From (cell, cx, cy, h1, h2, parts) in whole cells to the area that each cell's geometries cover in it. Copies, equal in both hashes, count once."""
+    for t in whole_groups(batches, ["cx", "cy"], 20_000):
+        cx, cy, cell = (t[c].to_numpy() for c in ("cx", "cy", "cell"))
+        group = np.cumsum(np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])]) - 1
+        _, once = np.unique(np.stack([group, t["h1"].to_numpy(), t["h2"].to_numpy()], axis=1), axis=0, return_index=True)
+        t, group = t.take(pa.array(once)), group[once]
+        at = np.unique(group, return_index=True)[1]
+        x0, y0, size = cx[once][at] * cell[once][at], cy[once][at] * cell[once][at], cell[once][at]
+        area = planar.covered(t["parts"].combine_chunks(), group, np.stack([x0, y0, x0 + size, y0 + size], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(area)], names=["area"])
 
 
 def _hulls(batches):
@@ -184,19 +185,102 @@ def with_parts(parcels: DataFrame) -> DataFrame:
     return parcels if "parts" in parcels.columns else parcels.withColumn("parts", F.array(F.array(outline(parcels))))
 
 
+def finite(parcels: DataFrame) -> DataFrame:
+    """Parcels whose box has no null, infinite or inverted side."""
+    x0, y0, x1, y1 = map(F.col, BOX)
+    return parcels.filter((x0 <= x1) & (y0 <= y1) & (F.greatest(*[F.abs(v) for v in (x0, y0, x1, y1)]) < float("inf")))
+
+
+#: Cells for each parcel, and besides, that are made at most; larger cells are taken beyond.
+CELLS_EACH, CELLS = 16, 1 << 20
+
+
+def _cell_size(parcels: DataFrame, cell: float, whole: bool) -> DataFrame:
+    """One row, cell: the width of cells, STEP times as wide until the parcels' boxes (whole: or the layer's extent) are in few enough."""
+    width = [cell * STEP**k for k in range(24)]
+    span = lambda lo, hi, w: F.floor(hi / w) - F.floor(lo / w) + 1.0
+    boxes = [F.sum(span(F.col("x0"), F.col("x1"), w) * span(F.col("y0"), F.col("y1"), w)) for w in width]
+    extent = [span(F.min("x0"), F.max("x1"), w) * span(F.min("y0"), F.max("y1"), w) for w in width]
+    most = CELLS_EACH * F.count("*") + CELLS
+    fits = [F.when((F.greatest(n, e) if whole else n) <= most, F.lit(w)) for n, e, w in zip(boxes, extent, width, strict=True)]
+    return parcels.agg(F.coalesce(*fits, F.lit(width[-1])).alias("cell"))
+
+
+def _in_cells(parcels: DataFrame, cell: DataFrame) -> DataFrame:
+    """cell, cx, cy, h1, h2, parts: parcels in each cell that their box touches."""
+    p = finite(with_parts(parcels)).select(*BOX, F.col("parts").cast(planar.PARTS).alias("parts"))
+    p = p.select("*", F.xxhash64("parts").alias("h1"), F.xxhash64(F.lit(1), "parts").alias("h2")).join(F.broadcast(cell))
+    at = lambda c: F.floor(F.col(c) / F.col("cell")).cast("long")
+    return p.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1")))).select("cell", "cx", "cy", "h1", "h2", "parts")
+
+
 def union_area(parcels: DataFrame, cell: float = 120.0) -> DataFrame:
-    """One row, area_union: what all parcels cover together. Every parcel goes to the cells that its box touches, a cell's task adds up what is covered in the cell, and the cells' areas are summed, so no geometry of the whole layer is ever made."""
-    p = with_parts(parcels).filter(F.least(*[F.col(c) for c in BOX]).isNotNull())
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    cells = p.select("parts", F.explode(F.sequence(at("x0"), at("x1"))).alias("cx"), "y0", "y1").select("parts", "cx", F.explode(F.sequence(at("y0"), at("y1"))).alias("cy"))
+    """One row, area_union: what all parcels cover together. Every parcel goes to the cells that its box touches, a cell's task adds up what is covered in the cell, and the cells' areas are summed, so no geometry of the whole layer is ever made. Boxes that are not finite count for nothing; very large ones make the cells larger, not more."""
+    width = max(1, int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = _in_cells(parcels, _cell_size(finite(parcels), cell, whole=False))
+    met = cells.repartition(width, "cx", "cy").sortWithinPartitions("cx", "cy")
+    return met.mapInArrow(_covered, "area double").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area_union"))
+
+
+def _voids(batches):
+    """From (cell, cx, cy, frame, parts) in whole cells, frame: the layer's hull, to the pieces of the hull that no geometry covers in the cell."""
+    for t in whole_groups(batches, ["cx", "cy"], 5_000):
+        cx, cy = t["cx"].to_numpy(), t["cy"].to_numpy()
+        at = np.flatnonzero(np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])])
+        ends = np.r_[at[1:], len(cx)]
+        size = t["cell"].to_numpy()[at]
+        x, y = cx[at] * size, cy[at] * size
+        box = [[[[[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]]] for x, y, w in zip(x.tolist(), y.tolist(), size.tolist(), strict=True)]
+        kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+        inside = planar.pieces(t["frame"].take(pa.array(at)).combine_chunks().cast(kind), pa.array(box, kind), "intersection")
+        parts = t["parts"].to_pylist()
+        lists = pa.array([[p for p in parts[i:j] if p is not None] for i, j in zip(at.tolist(), ends.tolist(), strict=True)], pa.list_(kind))
+        left = planar.pieces(inside, planar.united_rows(lists), "difference").to_pylist()
+        rows = [(int(cx[at[k]]), int(cy[at[k]]), i, [p], [x[k], y[k], size[k]]) for k, g in enumerate(left) for i, p in enumerate(g)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), kind, pa.list_(pa.float64())), strict=True)], names=["cx", "cy", "k", "parts", "cell"])
+
+
+def void_pieces(parcels: DataFrame, cell: float = 120.0) -> DataFrame:
+    """void, parts, area, x, y: the pieces, one cell each, of what the layer's hull has and no parcel covers, with their centres; void: the same for pieces that hang together across the edges of cells."""
     width = max(1, int(parcels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = cells.select("cx", "cy", F.col("parts").cast(planar.PARTS).alias("parts")).repartition(width, "cx", "cy").sortWithinPartitions("cx", "cy")
-    return met.mapInArrow(_covered(cell), "area double").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area_union"))
+    ring = F.transform(F.arrays_zip("x", "y"), lambda v: F.array(v["x"], v["y"]))
+    some = finite(parcels)
+    frame = hull(some).filter(F.size("x") > 2).select(F.array(F.array(ring)).alias("frame"))
+    size = materialise(_cell_size(some, cell, whole=True))
+    extent = some.agg(*[f(c).alias(n) for f, c, n in ((F.min, "x0", "x0"), (F.min, "y0", "y0"), (F.max, "x1", "x1"), (F.max, "y1", "y1"))]).join(F.broadcast(size))  # one row each
+    at = lambda c: F.floor(F.col(c) / F.col("cell")).cast("long")
+    every = extent.filter("x0 is not null").withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).repartition(width, "cx").withColumn("cy", F.explode(F.sequence(at("y0"), at("y1")))).select("cell", "cx", "cy", F.lit(None).cast(planar.PARTS).alias("parts"))
+    met = every.unionByName(_in_cells(parcels, size).dropDuplicates(["cx", "cy", "h1", "h2"]).drop("h1", "h2")).join(F.broadcast(frame))  # the hull: one row
+    pieces = met.select("cell", "cx", "cy", F.col("frame").cast(planar.PARTS).alias("frame"), "parts").repartition(width, "cx", "cy").sortWithinPartitions("cx", "cy")
+    pieces = pieces.mapInArrow(_voids, f"cx long, cy long, k int, parts {planar.PARTS}, cell array<double>")
+    own = planar.area(F.col("parts"))
+    pieces = materialise(pieces.withColumn("area", own).filter("area > 1e-6").withColumn("id", F.unhex(F.md5(F.concat_ws(",", "cx", "cy", "k")))))
+    # Where pieces lie on an edge of their cell: stretches of that edge, named by the cell behind it.
+    x0, y0, w = (F.get("cell", F.lit(k)) for k in range(3))
+    v = lambda p, k: F.get(p, F.lit(k))
+    sides = F.flatten(F.transform(F.flatten("parts"), geo.edges_of))
+    on = lambda k, value: F.filter(sides, lambda s: (F.abs(v(s["a"], k) - value) < 1e-7) & (F.abs(v(s["b"], k) - value) < 1e-7))
+    stretch = lambda k, value, kind, c, d: F.transform(on(k, value), lambda s: F.struct(F.lit(kind).alias("kind"), c.alias("c"), d.alias("d"), F.least(v(s["a"], 1 - k), v(s["b"], 1 - k)).alias("lo"), F.greatest(v(s["a"], 1 - k), v(s["b"], 1 - k)).alias("hi")))
+    cx, cy = F.col("cx"), F.col("cy")
+    low = pieces.select("id", F.explode(F.concat(stretch(0, x0, "x", cx, cy), stretch(1, y0, "y", cx, cy))).alias("s")).select("id", "s.*")
+    high = pieces.select(F.col("id").alias("b"), F.explode(F.concat(stretch(0, x0 + w, "x", cx + 1, cy), stretch(1, y0 + w, "y", cx, cy + 1))).alias("s")).select("b", "s.kind", "s.c", "s.d", F.col("s.lo").alias("lo2"), F.col("s.hi").alias("hi2"))
+    links = low.join(high, ["kind", "c", "d"]).filter(F.least("hi", "hi2") - F.greatest("lo", "lo2") > 1e-6).select(F.col("id").alias("a"), "b")
+    of = connected(links.unionByName(pieces.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    mx, my = planar.centre(F.col("parts"))
+    return pieces.join(of, "id").select(F.hex("root").alias("void"), "parts", "area", mx.alias("x"), my.alias("y"))
+
+
+@tidy
+def voids(parcels: DataFrame, cell: float = 120.0) -> DataFrame:
+    """One row for each void of the layer: void, area, x, y (its centre, that of its pieces weighed by their areas)."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("area")) / F.sum("area")).alias(c)
+    return void_pieces(parcels, cell).groupBy("void").agg(mean("x"), mean("y"), F.sum("area").alias("area"))
 
 
 def hull(parcels: DataFrame) -> DataFrame:
     """One row: x, y, the vertices of the layer's convex hull, and area_hull. Tasks reduce their vertices to hulls, and the hull of these few is the layer's."""
-    parts = with_parts(parcels).select(F.col("parts").cast(planar.PARTS).alias("parts")).mapInArrow(_hulls, "x array<double>, y array<double>")
+    parts = finite(with_parts(parcels)).select(F.col("parts").cast(planar.PARTS).alias("parts")).mapInArrow(_hulls, "x array<double>, y array<double>")
     ring = F.transform(F.arrays_zip("x", "y"), lambda v: F.array(v["x"], v["y"]))
     again = parts.filter(F.size("x") > 0).select(F.array(F.array(ring)).alias("parts")).coalesce(1).mapInArrow(_hulls, "x array<double>, y array<double>")
     closed = F.concat(ring, F.slice(ring, F.lit(1), F.lit(1)))
@@ -210,14 +294,16 @@ def gap(parcels: DataFrame, cell: float = 120.0) -> DataFrame:
     return both.withColumn("gap", size).withColumn("severity", F.when(size > 100, "high").when(size > 1, "medium"))
 
 
-def gap_neighbours(parcels: DataFrame, first: int = 30, within: float = 200.0) -> DataFrame:
-    """Of the layer's first features, those whose mean vertex lies nearer than ``within`` metres to the place that the gap is reported at, the mean vertex of the hull: feature_idx, nicad, distance. Without ``first`` all features are looked at."""
-    centre = hull(parcels).filter(F.size("x") > 0).select((F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")).alias("gx"), (F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y")).alias("gy"))
+def gap_neighbours(parcels: DataFrame, gaps: DataFrame, within: float = 200.0, first: int | None = None) -> DataFrame:
+    """For each gap (void, x, y: its own centre) the features whose mean vertex lies nearer than ``within`` metres: void, feature_idx, nicad, distance. first: only that many features of the layer, in their order, as a report has it."""
     rows = trimmed(with_parts(parcels))
     rows = rows.orderBy("feature_idx").limit(first) if first else rows
     x, y = geo.open_mean(outline(rows))
-    distance = F.sqrt(F.pow(x - F.col("gx"), 2) + F.pow(y - F.col("gy"), 2))
-    return rows.join(F.broadcast(centre)).select("feature_idx", _named(F.col("nicad"), F.col("feature_idx")).alias("nicad"), distance.alias("distance")).filter(F.col("distance") < within)
+    means = rows.select("feature_idx", _named(F.col("nicad"), F.col("feature_idx")).alias("nicad"), x.alias("mx"), y.alias("my")).select("*", F.col("mx").alias("x0"), F.col("my").alias("y0"), F.col("mx").alias("x1"), F.col("my").alias("y1"))
+    around = gaps.select("void", "x", "y", *[(F.col(c[0]) + d).alias(c) for c, d in zip(BOX, (-within, -within, within, within), strict=True)])
+    pairs = box_join(around, means, within)
+    distance = F.sqrt(F.pow(F.col("r_mx") - F.col("l_x"), 2) + F.pow(F.col("r_my") - F.col("l_y"), 2))
+    return pairs.select(F.col("l_void").alias("void"), F.col("r_feature_idx").alias("feature_idx"), F.col("r_nicad").alias("nicad"), distance.alias("distance")).filter(F.col("distance") < within)
 
 
 def gap_errors(parcels: DataFrame) -> DataFrame:

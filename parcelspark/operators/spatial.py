@@ -36,51 +36,62 @@ def _level(df: DataFrame, prefix: str, size: float) -> DataFrame:
     return df.filter(fit).withColumn(f"{prefix}level", F.least(level, F.lit(LEVELS)))
 
 
-def _levels(*leveled: tuple[DataFrame, str]) -> list[int]:
-    """The levels in use, a few numbers."""
-    found = None
+def _levels(*leveled: tuple[DataFrame, str]) -> DataFrame:
+    """One row, levels: an array of those in use, from an aggregate of bits, in the same query."""
+    bits = None
     for df, prefix in leveled:
-        own = df.select(F.col(f"{prefix}level").alias("level")).distinct()
-        found = own if found is None else found.unionByName(own)
-    return sorted({r["level"] for r in found.distinct().collect()})
+        own = df.select(F.expr(f"shiftleft(1, {prefix}level)").alias("bit"))
+        bits = own if bits is None else bits.unionByName(own)
+    bits = bits.agg(F.coalesce(F.bit_or("bit"), F.lit(1)).alias("bits"))
+    return bits.select(F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.getbit("bits", k) == 1).alias("levels"))
 
 
-def _gridded(df: DataFrame, prefix: str, size: float, levels: list[int]) -> DataFrame:
+def _gridded(df: DataFrame, prefix: str, size: float, levels: DataFrame) -> DataFrame:
+    """df with level, cx, cy of each cell that a box covers, in its own level and in coarser ones that are in use."""
     x0, y0, x1, y1 = (F.col(f"{prefix}{c}") for c in BOX)
-    at = F.explode(F.filter(F.array(*map(F.lit, levels or [0])), lambda level: level >= F.col(f"{prefix}level")))
-    df = df.withColumn("level", at)
+    df = df.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda level: level >= F.col(f"{prefix}level")))).drop("levels")
     width = F.pow(F.lit(float(STEP)), F.col("level")) * size
-    cells = F.transform(F.sequence(_cell(x0, width), _cell(x1, width)), lambda x: F.transform(F.sequence(_cell(y0, width), _cell(y1, width)), lambda y: F.struct(x.alias("cx"), y.alias("cy"))))
-    return df.withColumn("__cell", F.explode(F.flatten(cells))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
+    df = df.withColumn("cx", F.explode(F.sequence(_cell(x0, width), _cell(x1, width))))
+    return df.withColumn("cy", F.explode(F.sequence(_cell(y0, width), _cell(y1, width))))
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, touching: bool = True, self_join_on: str | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, size: float, touching: bool = True, self_join_on: str | None = None, by: list[str] | None = None, ids: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of rows whose boxes (x0, y0, x1, y1) meet; columns come back as l_* and r_*.
 
-    touching: whether boxes that only share an edge meet. self_join_on: for a join of a table with itself, only pairs with l < r in this column."""
-    lft = _level(left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]), "l_", size)
-    rgt = _level(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_", size)
+    touching: whether boxes that only share an edge meet. self_join_on: for a join of a table with itself, only pairs with l < r in this column. by: columns that must be equal too. ids: unique columns of both sides; then geometries (parts) stay out of the cells and are joined to the pairs by them."""
+    heavy = [c for c in ("parts",) if ids]
+    side = lambda df, p: _level(df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in heavy]), p, size)
+    lft, rgt = side(left, "l_"), side(right, "r_")
     levels = _levels((lft, "l_")) if self_join_on and left is right else _levels((lft, "l_"), (rgt, "r_"))
     g1, g2 = _gridded(lft, "l_", size, levels), _gridded(rgt, "r_", size, levels)
+    if by:
+        g1, g2 = (g.withColumns({f"__by{k}": F.col(f"{p}{c}") for k, c in enumerate(by)}) for g, p in ((g1, "l_"), (g2, "r_")))
+    same = [f"__by{k}" for k in range(len(by or []))]
     width = F.pow(F.lit(float(STEP)), F.col("level")) * size
     lowest = (F.col("cx") == _cell(F.greatest("l_x0", "r_x0"), width)) & (F.col("cy") == _cell(F.greatest("l_y0", "r_y0"), width))
     le = (lambda a, b: F.col(a) <= F.col(b)) if touching else (lambda a, b: F.col(a) < F.col(b))
     meet = le("l_x0", "r_x1") & le("r_x0", "l_x1") & le("l_y0", "r_y1") & le("r_y0", "l_y1")
     coarser = F.col("level") == F.greatest("l_level", "r_level")
-    joined = g1.join(g2, ["level", "cx", "cy"]).filter(coarser & meet & lowest).drop("level", "cx", "cy", "l_level", "r_level")
-    return joined.filter(F.col(f"l_{self_join_on}") < F.col(f"r_{self_join_on}")) if self_join_on else joined
+    joined = g1.join(g2, ["level", "cx", "cy", *same]).filter(coarser & meet & lowest).drop("level", "cx", "cy", "l_level", "r_level", *same)
+    joined = joined.filter(F.col(f"l_{self_join_on}") < F.col(f"r_{self_join_on}")) if self_join_on else joined
+    for df, p, id_ in ((left, "l_", (ids or ("",))[0]), (right, "r_", (ids or ("",))[-1])):
+        if ids and "parts" in df.columns:
+            joined = joined.join(df.select(F.col(id_).alias(f"{p}{id_}"), F.col("parts").alias(f"{p}parts")), f"{p}{id_}")
+    return joined
 
 
 def points_in(points: DataFrame, areas: DataFrame, size: float, id_: str, order: str) -> DataFrame:
-    """Each point (x, y) with the first of the areas (by ``order``) that holds it, or nulls: columns of points, then b_*. The boundary counts as inside. areas: boxes, or polygons as parts with their boxes."""
-    b = _level(areas.select(*[F.col(c).alias(f"b_{c}") for c in areas.columns]), "b_", size)
-    levels = _levels((b, "b_")) or [0]
-    p = points.select(id_, "x", "y").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    """Each point (x, y) with the first of the areas (by ``order``) that holds it, or nulls: columns of points, then b_*. The boundary counts as inside. areas: with an ``order`` of their own each, boxes, or polygons as parts with their boxes."""
+    heavy = "parts" in areas.columns
+    b = _level(areas.select(*[F.col(c).alias(f"b_{c}") for c in areas.columns if c != "parts"]), "b_", size)
+    levels = _levels((b, "b_"))
+    p = points.select(id_, "x", "y").join(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")
     width = F.pow(F.lit(float(STEP)), F.col("level")) * size
     p = p.withColumn("cx", _cell(F.col("x"), width)).withColumn("cy", _cell(F.col("y"), width))
     b = _gridded(b, "b_", size, levels).filter("level = b_level").drop("b_level")
     hit = p.join(b, ["level", "cx", "cy"]).filter(F.col("x").between(F.col("b_x0"), F.col("b_x1")) & F.col("y").between(F.col("b_y0"), F.col("b_y1")))
-    if "parts" in areas.columns:
+    if heavy:
+        hit = hit.join(areas.select(F.col(order).alias(f"b_{order}"), F.col("parts").alias("b_parts")), f"b_{order}")
         hit = hit.filter(planar.holds(F.col("b_parts"), F.col("x"), F.col("y")))
     first = hit.groupBy(id_).agg(F.min_by(F.struct(*[f"b_{c}" for c in areas.columns]), F.col(f"b_{order}")).alias("__b"))
     return points.join(first, id_, "left").select(*points.columns, *[F.col("__b")[f"b_{c}"].alias(f"b_{c}") for c in areas.columns])

@@ -18,7 +18,7 @@ from parcelspark.operators import quality
 from parcelspark.plans.identifiers import _classes
 from parcelspark.plans.registry import query, table
 from parcelspark.plans.shapes import OWN
-from parcelspark.sources import cad, export, geojson
+from parcelspark.sources import cad, dxf, export, geojson
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -118,20 +118,23 @@ def zip_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", cad.format_of(F.col("path")).alias("format")).join(inside, "path", "left")
 
 
-@query("SELECT n_nationkey AS k, 'P' || n_nationkey AS layer, CAST(kind AS VARCHAR) AS label, x, y FROM (SELECT n_nationkey, 1 AS kind, CAST(100 + 2 AS DOUBLE) AS x, CAST(n_nationkey + 3 AS DOUBLE) AS y FROM nation UNION ALL SELECT n_nationkey, 2, CAST(100 - 2 * (10 + 3) AS DOUBLE), CAST(n_nationkey + 2 * 5 AS DOUBLE) FROM nation)")
+@query("SELECT n_nationkey AS k, CAST(idx AS BIGINT) AS feature_idx, geom_type, layer, label, points FROM (SELECT *, 'P' || n_nationkey AS p, n_nationkey AS n FROM nation), LATERAL (VALUES (0, 'Polygon', p, '', '120 ' || n + 5 || ',120 ' || n + 13 || ',116 ' || n + 13 || ',120 ' || n + 5), (1, 'LineString', 'WALL', '', '100 ' || n + 5 || ',102 ' || n + 5), (2, 'LineString', p, '', '101 ' || n + 1 || ',102 ' || n + 3), (3, 'Point', 'N', 'Lot' || chr(10) || n, n || ' 1'), (4, 'Point', '0', '', '1 ' || n)) AS v(idx, geom_type, layer, label, points)")
 def dxf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawings with a text in a block that is inserted, and one in a block within a block: scaled twice and turned by a right angle. Layer 0 takes the insert's."""
+    """Drawings with a block three levels deep, scaled twice and turned by a right angle: a closed polyline, a line, an old polyline; and a text of several chunks and a point of the drawing itself. Layer 0 takes the insert's."""
     group = lambda *pairs: "".join(f"{c}\n{v}\n" for c, v in pairs)
-    inner = group((0, "BLOCK"), (2, "IN"), (10, 0), (20, 0), (0, "TEXT"), (8, 0), (1, 2), (10, 5), (20, 3), (0, "ENDBLK"))
-    outer = group((0, "BLOCK"), (2, "OUT"), (10, 0), (20, 0), (0, "INSERT"), (8, 0), (2, "IN"), (10, 0), (20, 10), (0, "ENDBLK"))
-    flat = group((0, "BLOCK"), (2, "ONE"), (10, 0), (20, 0), (0, "TEXT"), (8, 0), (1, 1), (10, 2), (20, 3), (0, "ENDBLK"))
-    head = group((0, "SECTION"), (2, "BLOCKS")) + inner + outer + flat + group((0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES"))
+    block = lambda name, *pairs: group((0, "BLOCK"), (2, name), (10, 0), (20, 0), *pairs, (0, "ENDBLK"))
+    deep = block("DEEP", (0, "LWPOLYLINE"), (8, 0), (70, 1), (10, 0), (20, 0), (10, 4), (20, 0), (10, 4), (20, 2))
+    middle = block("MIDDLE", (0, "INSERT"), (8, 0), (2, "DEEP"), (10, 10), (20, 0), (50, 90), (0, "LINE"), (8, "WALL"), (10, 0), (20, 0), (11, 1), (21, 0))
+    outer = block("OUTER", (0, "INSERT"), (8, 0), (2, "MIDDLE"), (10, 0), (20, 5), (41, 2), (42, 2), (0, "POLYLINE"), (8, 0), (0, "VERTEX"), (10, 1), (20, 1), (0, "VERTEX"), (10, 2), (20, 3), (0, "SEQEND"))
+    head = group((0, "SECTION"), (2, "BLOCKS")) + deep + middle + outer + group((0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES"))
     k = F.col("n_nationkey").cast("string")
-    insert = lambda name, sx, turn: F.concat(F.lit(group((0, "INSERT"), (2, name), (41, sx), (42, sx), (50, turn))), F.lit("8\nP"), k, F.lit("\n10\n100\n20\n"), k, F.lit("\n"))
-    text = F.concat(F.lit(head), insert("ONE", 1, 0), insert("OUT", 2, 90), F.lit(group((0, "ENDSEC"), (0, "EOF"))))
-    rows = cad.dxf_features(table(spark, sf_dir, "nation").select(k.alias("path"), F.encode(text, "UTF-8").alias("content")))
-    at = lambda c: F.round(F.get(F.get("points", F.lit(0)), F.lit(c)), 6)
-    return rows.select(F.col("path").cast("int").alias("k"), "layer", "label", at(0).alias("x"), at(1).alias("y"))
+    insert = F.concat(F.lit(group((0, "INSERT"), (2, "OUTER"))), F.lit("8\nP"), k, F.lit("\n10\n100\n20\n"), k, F.lit("\n"))
+    label = F.concat(F.lit(group((0, "MTEXT"), (8, "N"), (3, "Lot\\P"))), F.lit("1\n"), k, F.lit("\n10\n"), k, F.lit("\n20\n1\n"))
+    point = F.concat(F.lit(group((0, "POINT"), (10, 1))), F.lit("20\n"), k, F.lit("\n"))
+    text = F.concat(F.lit(head), insert, label, point, F.lit(group((0, "ENDSEC"), (0, "EOF"))))
+    rows = dxf.dxf_features(table(spark, sf_dir, "nation").select(k.alias("path"), F.encode(text, "UTF-8").alias("content")))
+    points = F.array_join(F.transform("points", lambda p: F.array_join(F.transform(p, lambda v: F.round(v).cast("bigint").cast("string")), " ")), ",")
+    return rows.select(F.col("path").cast("int").alias("k"), "feature_idx", "geom_type", "layer", "label", points.alias("points"))
 
 
 DRAWN = "D AS (SELECT feature_idx, CASE feature_idx % 6 WHEN 0 THEN 'piscine' WHEN 1 THEN 'limites_sections' WHEN 2 THEN 'batiment' WHEN 3 THEN 'limites_tf' ELSE 'limites_parcelles' END AS cls, CASE WHEN feature_idx % 17 = 0 THEN 0 ELSE x0 END AS x0, y0, CASE WHEN feature_idx % 17 = 0 THEN 1 ELSE CASE WHEN feature_idx % 10 = 9 THEN x0 + 2000 WHEN feature_idx % 13 = 1 THEN x0 ELSE x1 END END AS x1, y1 FROM P), Y AS (SELECT feature_idx, (x1 - x0) * (y1 - y0) AS area, CASE WHEN x0 < 100000 THEN 'outside' WHEN cls = 'batiment' THEN 'ignored' WHEN x1 <= x0 THEN 'invalid' WHEN cls = 'piscine' THEN 'pool' WHEN cls = 'limites_sections' THEN 'section' WHEN (x1 - x0) * (y1 - y0) > 50000 THEN 'too_large' ELSE 'parcel' END AS route FROM D)"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from parcelspark import fixtures as fx
 from parcelspark.functions import geometry as geo
 from parcelspark.functions import planar
 from parcelspark.functions.text import half_up
-from parcelspark.operators import correction, quality
+from parcelspark.operators import cad, correction, network, quality
 from parcelspark.operators.spatial import box_join, nearest_area, points_in
 from parcelspark.plans.registry import query, table
 
@@ -221,7 +220,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping neighbours with their polygons."""
     # The geometries are made before the join, so that they are columns after it and not expressions that every use repeats.
     p = correction.with_parts(fx.parcels(spark, sf_dir).select("feature_idx", *BOX))
-    pairs = box_join(p, p, 60.0, touching=False, self_join_on="feature_idx")
+    pairs = box_join(p, p, 60.0, touching=False, self_join_on="feature_idx", ids=("feature_idx", "feature_idx"))
     return pairs.select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"), F.col("l_parts").alias("a"), F.col("r_parts").alias("b"))
 
 
@@ -324,27 +323,36 @@ def gap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.gap(fx.parcels(spark, sf_dir))
 
 
-@query("SELECT feature_idx, CASE WHEN trim(nicad_raw) <> '' THEN trim(nicad_raw) ELSE 'feature_' || feature_idx END AS nicad, sqrt(pow((x0 + x1) / 2 - 252002, 2) + pow((y0 + y1) / 2 - (SELECT (max(y1) + min(y0)) / 2 FROM P), 2)) AS distance FROM P WHERE sqrt(pow((x0 + x1) / 2 - 252002, 2) + pow((y0 + y1) / 2 - (SELECT (max(y1) + min(y0)) / 2 FROM P), 2)) < 200", "P")
+#: A parcel of half a metre's height leaves a void up to the next row, less what its left neighbour covers; at the right end the hull goes 4 m on.
+VOIDS = "W AS (SELECT feature_idx AS k, CASE WHEN feature_idx % 100 > 0 THEN (feature_idx - 1) % 5 ELSE 0 END AS l, CASE WHEN feature_idx % 100 = 99 THEN 44 ELSE 40 END AS r, x0, y0 FROM P WHERE feature_idx % 29 = 0), O2 AS (SELECT (r - l) * 29.5 AS area, x0 + CAST(l + r AS DOUBLE) / 2 AS x, y0 + 15.25 AS y FROM W)"
+
+
+@query("SELECT area, x, y FROM O2", "P", VOIDS)
+def layer_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each gap of the layer, with its own area and centre."""
+    return quality.voids(fx.parcels(spark, sf_dir)).select(F.round("area", 3).alias("area"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("SELECT O2.x, O2.y, feature_idx, CASE WHEN trim(nicad_raw) <> '' THEN trim(nicad_raw) ELSE 'feature_' || feature_idx END AS nicad, round(sqrt(pow((x0 + x1) / 2 - O2.x, 2) + pow((y0 + y1) / 2 - O2.y, 2)), 3) AS distance FROM P JOIN O2 ON abs((x0 + x1) / 2 - O2.x) < 60 AND abs((y0 + y1) / 2 - O2.y) < 60 AND sqrt(pow((x0 + x1) / 2 - O2.x, 2) + pow((y0 + y1) / 2 - O2.y, 2)) < 60", "P", VOIDS)
 def gap_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features within 200 m of the hull's centre."""
-    return quality.gap_neighbours(fx.parcels(spark, sf_dir), first=None)
+    """The features within 60 m of each gap's own centre."""
+    gaps = quality.voids(fx.parcels(spark, sf_dir))
+    near = quality.gap_neighbours(fx.parcels(spark, sf_dir), gaps, 60.0)
+    return near.join(gaps.drop("area"), "void").select(F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "feature_idx", "nicad", F.round("distance", 3).alias("distance"))
+
+
+NET = "V AS (SELECT feature_idx AS k, CAST(250000 + 40 * (feature_idx % 100) AS DOUBLE) AS x, CAST(1600000 + 30 * (feature_idx // 100) AS DOUBLE) AS y FROM P), F AS (SELECT *, CASE WHEN k % 7 = 0 THEN 4 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 20 ELSE 0 END AS gone, 1 + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS n FROM V)"
 
 
-@query("SELECT k, CAST(4 AS BIGINT) AS faces, (x1 - x0) * (y1 - y0) AS area FROM C13", "C13")
+@query("SELECT x, y, CAST(CASE WHEN k % 3 = 0 THEN 600 ELSE 1200 END - gone AS DOUBLE) AS area, n AS rings, CASE WHEN k % 3 = 0 THEN 4 ELSE 5 END AS points FROM F UNION ALL SELECT x, y, 600.0, 1, 4 FROM F WHERE k % 3 = 0 UNION ALL SELECT x + 33, y + 2, 20.0, 1, 5 FROM F WHERE k % 11 = 0", "P", NET)
 def polygonize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box's sides and two crossing middle lines, as loose lines, give four faces."""
-    from parcelspark.functions.kernel import faces, ring_area
-
-    @F.pandas_udf("faces long, area double")
-    def found(lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for ls in lines:
-            fs = faces([[list(map(float, p)) for p in line] for line in ls])
-            rows.append((len(fs), round(sum(ring_area(f) for f in fs), 6)))
-        return pd.DataFrame(rows, columns=["faces", "area"])
-
-    x0, y0, x1, y1 = (F.col(c) for c in BOX)
-    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
-    line = lambda ax, ay, bx, by: F.array(F.array(ax, ay), F.array(bx, by))
-    lines = F.array(line(x0, y0, x1, y0), line(x1, y0, x1, y1), line(x1, y1, x0, y1), line(x0, y1, x0, y0), line(mx, y0 - 5, mx, y1 + 5), line(x0 - 5, my, x1 + 5, my))
-    return fx.communes_2013(spark, sf_dir).select("k", found(lines).alias("f")).select("k", "f.faces", "f.area")
+    """The faces of one drawing: the sides of all cells as loose lines, which neighbours repeat, and lines along whole rows; diagonals, lines that end in a cell, and islands, of which the smaller ones are under the limit and leave a hole only."""
+    k = F.col("feature_idx")
+    x, y = (250000 + 40 * (k % 100)).cast("double"), (1600000 + 30 * F.floor(k / 100)).cast("double")
+    line = lambda *at: F.array(*[F.array(x + dx, y + dy) for dx, dy in at])
+    ring = lambda x0, y0, x1, y1: line((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+    lines = F.array(line((0, 0), (40, 0)), line((40, 0), (40, 30)), line((40, 30), (0, 30)), line((0, 30), (0, 0)), F.when(k % 3 == 0, line((0, 0), (40, 30))), F.when(k % 5 == 0, line((0, 30), (3, 27))), F.when(k % 7 == 0, ring(30, 3, 32, 5)), F.when(k % 11 == 0, ring(33, 2, 37, 7)), F.when(k % 100 == 0, line((0, 0), (4000, 0))))
+    drawing = fx.parcels(spark, sf_dir).select(F.lit("drawing").alias("net"), F.explode(lines).alias("points")).filter("points is not null")
+    outer = F.get("rings", F.lit(0))
+    least = lambda c: F.array_min(F.transform(outer, lambda p: F.round(F.get(p, F.lit(c)), 3)))
+    return network.polygonize(drawing, least=cad.LEAST_AREA).select(least(0).alias("x"), least(1).alias("y"), F.round("area", 6).alias("area"), F.size("rings").alias("rings"), F.size(outer).alias("points"))

@@ -1,9 +1,8 @@
-"""Binary and drawing files: shapefiles, DXF drawings, archives. One file is one task's work; files are spread over tasks."""
+"""Binary files: shapefiles and archives. One file is one task's work; files are spread over tasks."""
 
 from __future__ import annotations
 
 import io
-import math
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -15,10 +14,8 @@ from pyspark.sql import functions as F
 from parcelspark.functions.geometry import to_wgs84
 
 SHAPES = "path string, feature_idx long, geom_type string, rings array<array<array<double>>>, props map<string,string>, utm28 boolean"
-ENTITIES = "path string, feature_idx long, kind string, layer string, label string, points array<array<double>>, closed boolean"
 #: Formats in an archive, the first that it holds counts (fixed values).
 PRECEDENCE = ["dxf", "dgn", "geojson", "json", "shp"]
-DEEPEST = 16
 
 
 def polygon_records(data: bytes) -> Iterator[list[list[list[float]]]]:
@@ -146,112 +143,3 @@ def format_of(path: Column) -> Column:
     """The format that a file is read as, by its ending; null for others."""
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(ending.isin(FORMATS), F.when(ending == "json", "geojson").otherwise(ending))
-
-
-def _groups(text: str) -> list[tuple[int, str]]:
-    """(code, value) pairs of a drawing."""
-    lines = text.splitlines()
-    return [(int(a.strip()), b.strip()) for a, b in zip(lines[::2], lines[1::2], strict=False) if a.strip().lstrip("-").isdigit()]
-
-
-def _entities(pairs: list[tuple[int, str]]) -> Iterator[dict]:
-    """Entities of a run of groups: kind, layer, text, points, closed flag, and an insert's block, scales and angle. A POLYLINE takes the points of its vertices."""
-    current, poly = None, None
-    for code, value in [*pairs, (0, "END")]:
-        if code == 0:
-            if current:
-                if current["kind"] == "VERTEX" and poly:
-                    poly["points"] += current["points"][:1]
-                elif current["kind"] == "SEQEND" and poly:
-                    yield poly
-                    poly = None
-                elif current["kind"] == "POLYLINE":
-                    poly = current | {"points": []}
-                elif current["kind"] not in ("VERTEX", "SEQEND"):
-                    yield current
-            current = {"kind": value, "layer": "0", "label": "", "points": [], "closed": False, "name": "", "sx": 1.0, "sy": 1.0, "angle": 0.0}
-        elif current is None:
-            continue
-        elif code == 8:
-            current["layer"] = value
-        elif code in (1, 3):
-            current["label"] += value
-        elif code == 2:
-            current["name"] = value
-        elif code in (10, 11):
-            current["points"].append([float(value), 0.0])
-        elif code in (20, 21) and current["points"]:
-            current["points"][-1][1] = float(value)
-        elif code == 70:
-            current["closed"] = bool(int(value) & 1)
-        elif code in (41, 42):
-            current["sx" if code == 41 else "sy"] = float(value)
-        elif code == 50:
-            current["angle"] = float(value)
-
-
-def drawing(text: str) -> Iterator[dict]:
-    """Entities of a DXF drawing with inserted blocks expanded: placed, scaled and turned, to a depth of 16; layer 0 in a block takes the insert's layer."""
-    sections: dict[str, list] = {}
-    name, fresh = None, False
-    for code, value in _groups(text):
-        if (code, value) == (0, "SECTION"):
-            fresh = True
-        elif (code, value) == (0, "ENDSEC"):
-            name = None
-        elif fresh and code == 2:
-            name, fresh = value, False
-            sections[name] = []
-        elif name:
-            sections[name].append((code, value))
-    blocks: dict[str, list[dict]] = {}
-    base: dict[str, list[float]] = {}
-    block = None
-    for e in _entities(sections.get("BLOCKS", [])):
-        if e["kind"] == "BLOCK":
-            block = e["name"]
-            blocks[block], base[block] = [], (e["points"] or [[0.0, 0.0]])[0]
-        elif e["kind"] == "ENDBLK":
-            block = None
-        elif block is not None:
-            blocks[block].append(e)
-
-    def placed(e: dict, depth: int, layer: str | None) -> Iterator[dict]:
-        own = layer if layer and e["layer"] == "0" else e["layer"]
-        if e["kind"] != "INSERT":
-            yield e | {"layer": own}
-        elif depth < DEEPEST:
-            a, (dx, dy) = math.radians(e["angle"]), (e["points"] or [[0.0, 0.0]])[0]
-            bx, by = base.get(e["name"], (0.0, 0.0))
-            for inner in blocks.get(e["name"], []):
-                for x in placed(inner, depth + 1, own):
-                    moved = [[((px - bx) * e["sx"]) * math.cos(a) - ((py - by) * e["sy"]) * math.sin(a) + dx, ((px - bx) * e["sx"]) * math.sin(a) + ((py - by) * e["sy"]) * math.cos(a) + dy] for px, py in x["points"]]
-                    yield x | {"points": moved}
-
-    for e in _entities(sections.get("ENTITIES", [])):
-        yield from placed(e, 0, None)
-
-
-def geometry_of(e: dict) -> tuple[str, list] | None:
-    """The type and points that an entity is emitted with: texts and points are points, lines lines, closed ones of 3 points or more polygons."""
-    kind, points = e["kind"], e["points"]
-    if kind in ("TEXT", "MTEXT", "POINT"):
-        return ("Point", points[:1]) if points else None
-    if kind in ("LINE", "LWPOLYLINE", "POLYLINE") and len(points) >= 2:
-        closed = e["closed"] and kind != "LINE" and len(points) >= 3
-        return ("Polygon", points if points[0] == points[-1] else [*points, points[0]]) if closed else ("LineString", points)
-    return None
-
-
-def dxf_features(files: DataFrame) -> DataFrame:
-    """files (path, content) of drawings to rows of path, feature_idx, geom_type, layer, label, points."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                found = ((e, g) for e in drawing(bytes(content).decode("utf-8", "replace")) if (g := geometry_of(e)))
-                rows += [(path, k, g[0], e["layer"], e["label"].replace("\\P", "\n"), g[1]) for k, (e, g) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["path", "feature_idx", "geom_type", "layer", "label", "points"])
-
-    return files.mapInPandas(parse, "path string, feature_idx long, geom_type string, layer string, label string, points array<array<double>>")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as geo
-from parcelspark.functions import kernel, planar
+from parcelspark.functions import planar
 from parcelspark.functions import nicad as nic
 from parcelspark.operators import correction, listing
 from parcelspark.operators.lookups import by_key
@@ -73,7 +73,7 @@ def test_areas_add_up(p, q):
         return
     x, y = geometries(a), geometries(b)
     area = lambda op, x=x, y=y: planar.areas(x, y, op)[0]
-    assert math.isclose(area("first"), kernel.ring_area(a[0]), abs_tol=1e-6)
+    assert math.isclose(area("first"), abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(a[0], a[0][1:] + a[0][:1], strict=True))) / 2, abs_tol=1e-6)
     assert math.isclose(area("union"), area("first") + area("first", y) - area("intersection"), abs_tol=1e-6)
     assert math.isclose(area("difference"), area("first") - area("intersection"), abs_tol=1e-6)
     # What two geometries cover together, in one cell and in four.
@@ -101,11 +101,6 @@ def test_boxes_of_any_size_meet(spark):
     assert got == {(a[0], b[0]) for a in boxes[:6] for b in boxes[:6] if a[0] < b[0] and meet(a, b)}
 
 
-def test_faces_of_a_network():
-    rings = kernel.faces([[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]], [[2.0, -1.0], [2.0, 5.0]], [[9.0, 9.0], [9.5, 9.5]]])
-    assert sorted(map(kernel.ring_area, rings)) == [8.0, 8.0]
-
-
 def test_geometry_expressions(spark):
     ring, polygon = F.lit(SQUARE[0]), F.lit(HOLE)
     inside = lambda x, y: geo.point_in_ring(F.lit(x), F.lit(y), ring)
@@ -164,95 +159,6 @@ def test_shapefile_archives(spark, tmp_path):
     assert {m["kind"] for m in members} == {"shp", "dbf", "prj"} and len(members) == 3 * len(rows)
 
 
-DXF = """0
-SECTION
-2
-BLOCKS
-0
-BLOCK
-2
-B
-10
-0
-20
-0
-0
-LINE
-8
-0
-10
-0
-20
-0
-11
-1
-21
-0
-0
-ENDBLK
-0
-ENDSEC
-0
-SECTION
-2
-ENTITIES
-0
-INSERT
-2
-B
-8
-PARCELLES
-10
-5
-20
-5
-50
-90
-41
-2
-0
-LWPOLYLINE
-8
-P
-70
-1
-10
-0
-20
-0
-10
-4
-20
-0
-10
-4
-20
-4
-0
-TEXT
-8
-N
-1
-Lot\\P12
-10
-1
-20
-2
-0
-ENDSEC
-0
-EOF
-"""
-
-
-def test_drawings(spark):
-    frame = spark.createDataFrame([("a.dxf", bytearray(DXF.encode()))], "path string, content binary")
-    rows = sorted(cad.dxf_features(frame).collect(), key=lambda r: r["feature_idx"])
-    assert [(r["geom_type"], r["layer"]) for r in rows] == [("LineString", "PARCELLES"), ("Polygon", "P"), ("Point", "N")]
-    assert all(abs(a - b) < 1e-9 for p, q in zip(rows[0]["points"], [[5, 5], [5, 7]], strict=True) for a, b in zip(p, q, strict=True))
-    assert rows[1]["points"] == [[0, 0], [4, 0], [4, 4], [0, 0]] and rows[2]["label"] == "Lot\n12"
-
-
 def test_csv_rules(spark, tmp_path):
     assert [tables.separator(h) for h in ("a;b,c", "a\tb,c", "a,b")] == [";", "\t", ","]
     lines = spark.createDataFrame([("'1'\t\"x\"",), ("2",)], "value string")
