@@ -61,10 +61,14 @@ def _cuts(pairs: DataFrame) -> DataFrame:
 
 def edges(segs: DataFrame, size: float) -> DataFrame:
     """net, ax, ay, bx, by: the segments cut where they meet; each edge once. size: of the cells in which segments meet."""
-    boxes = segs.select("net", *ENDS, F.struct(*ENDS).alias("seg"), *[(f("a" + c, "b" + c) + step).cast("double").alias(f"{c}{k}") for f, step, k in ((F.least, -1, 0), (F.greatest, 1, 1)) for c in "xy"])
-    pairs = box_join(boxes, boxes, size, self_join_on="seg", by=["net"])
-    at = _cuts(pairs).unionByName(segs.select("net", *ENDS, F.col("ax").alias("x"), F.col("ay").alias("y"))).unionByName(segs.select("net", *ENDS, F.col("bx").alias("x"), F.col("by").alias("y"))).distinct()
+    # Long segments meet others by pieces of about a cell, whose boxes are small whatever their direction.
     d = lambda c: F.col(c).cast("double")
+    parts = F.greatest(F.lit(1.0), F.ceil(F.greatest(F.abs(d("bx") - d("ax")), F.abs(d("by") - d("ay"))) / size)).cast("int")
+    pieces = segs.select("net", *ENDS, F.struct(*ENDS).alias("seg"), parts.alias("parts")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = lambda c, k: d(f"a{c}") + (d(f"b{c}") - d(f"a{c}")) * k / F.col("parts")
+    boxes = pieces.select("net", *ENDS, "seg", *[(f(at(c, F.col("k")), at(c, F.col("k") + 1)) + step).alias(f"{c}{e}") for f, step, e in ((F.least, -1, 0), (F.greatest, 1, 1)) for c in "xy"])
+    pairs = box_join(boxes, boxes, size, self_join_on="seg", by=["net"])
+    at = _cuts(pairs.select("l_net", *[f"{p}_{c}" for p in "lr" for c in ENDS]).distinct()).unionByName(segs.select("net", *ENDS, F.col("ax").alias("x"), F.col("ay").alias("y"))).unionByName(segs.select("net", *ENDS, F.col("bx").alias("x"), F.col("by").alias("y"))).distinct()
     along = (d("x") - d("ax")) * (d("bx") - d("ax")) + (d("y") - d("ay")) * (d("by") - d("ay"))
     order = Window.partitionBy("net", *ENDS).orderBy("along", "x", "y")
     node = F.struct("x", "y")

@@ -46,10 +46,21 @@ def _levels(*leveled: tuple[DataFrame, str]) -> DataFrame:
     return bits.select(F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.getbit("bits", k) == 1).alias("levels"))
 
 
-def _gridded(df: DataFrame, prefix: str, size: float, levels: DataFrame) -> DataFrame:
-    """df with level, cx, cy of each cell that a box covers, in its own level and in coarser ones that are in use."""
+#: How a pair of boxes meets in a cell: the left one in its own level, or in a coarser one, where the right one is in its own. Two boxes that are both in a coarser level than theirs never meet there.
+OWN, LIFTED = 0, 1
+
+
+def _gridded(df: DataFrame, prefix: str, size: float, levels: DataFrame, left: bool = True) -> DataFrame:
+    """df with level, meets, cx, cy of each cell that a box covers, in its own level and in coarser ones that are in use."""
     x0, y0, x1, y1 = (F.col(f"{prefix}{c}") for c in BOX)
-    df = df.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda level: level >= F.col(f"{prefix}level")))).drop("levels")
+    df = df.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda level: level >= F.col(f"{prefix}level"))))
+    own = F.col("level") == F.col(f"{prefix}level")
+    if left:
+        df = df.withColumn("meets", F.when(own, OWN).otherwise(LIFTED))
+    else:
+        finer = F.array_min("levels") < F.col("level")
+        df = df.withColumn("meets", F.explode(F.when(own & finer, F.array(F.lit(OWN), F.lit(LIFTED))).otherwise(F.array(F.lit(OWN)))))
+    df = df.drop("levels")
     width = F.pow(F.lit(float(STEP)), F.col("level")) * size
     df = df.withColumn("cx", F.explode(F.sequence(_cell(x0, width), _cell(x1, width))))
     return df.withColumn("cy", F.explode(F.sequence(_cell(y0, width), _cell(y1, width))))
@@ -63,7 +74,7 @@ def box_join(left: DataFrame, right: DataFrame, size: float, touching: bool = Tr
     side = lambda df, p: _level(df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in heavy]), p, size)
     lft, rgt = side(left, "l_"), side(right, "r_")
     levels = _levels((lft, "l_")) if self_join_on and left is right else _levels((lft, "l_"), (rgt, "r_"))
-    g1, g2 = _gridded(lft, "l_", size, levels), _gridded(rgt, "r_", size, levels)
+    g1, g2 = _gridded(lft, "l_", size, levels), _gridded(rgt, "r_", size, levels, left=False)
     if by:
         g1, g2 = (g.withColumns({f"__by{k}": F.col(f"{p}{c}") for k, c in enumerate(by)}) for g, p in ((g1, "l_"), (g2, "r_")))
     same = [f"__by{k}" for k in range(len(by or []))]
@@ -71,8 +82,7 @@ def box_join(left: DataFrame, right: DataFrame, size: float, touching: bool = Tr
     lowest = (F.col("cx") == _cell(F.greatest("l_x0", "r_x0"), width)) & (F.col("cy") == _cell(F.greatest("l_y0", "r_y0"), width))
     le = (lambda a, b: F.col(a) <= F.col(b)) if touching else (lambda a, b: F.col(a) < F.col(b))
     meet = le("l_x0", "r_x1") & le("r_x0", "l_x1") & le("l_y0", "r_y1") & le("r_y0", "l_y1")
-    coarser = F.col("level") == F.greatest("l_level", "r_level")
-    joined = g1.join(g2, ["level", "cx", "cy", *same]).filter(coarser & meet & lowest).drop("level", "cx", "cy", "l_level", "r_level", *same)
+    joined = g1.join(g2, ["level", "meets", "cx", "cy", *same]).filter(meet & lowest).drop("level", "meets", "cx", "cy", "l_level", "r_level", *same)
     joined = joined.filter(F.col(f"l_{self_join_on}") < F.col(f"r_{self_join_on}")) if self_join_on else joined
     for df, p, id_ in ((left, "l_", (ids or ("",))[0]), (right, "r_", (ids or ("",))[-1])):
         if ids and "parts" in df.columns:
@@ -88,7 +98,7 @@ def points_in(points: DataFrame, areas: DataFrame, size: float, id_: str, order:
     p = points.select(id_, "x", "y").join(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")
     width = F.pow(F.lit(float(STEP)), F.col("level")) * size
     p = p.withColumn("cx", _cell(F.col("x"), width)).withColumn("cy", _cell(F.col("y"), width))
-    b = _gridded(b, "b_", size, levels).filter("level = b_level").drop("b_level")
+    b = _gridded(b, "b_", size, levels).filter("level = b_level").drop("b_level", "meets")
     hit = p.join(b, ["level", "cx", "cy"]).filter(F.col("x").between(F.col("b_x0"), F.col("b_x1")) & F.col("y").between(F.col("b_y0"), F.col("b_y1")))
     if heavy:
         hit = hit.join(areas.select(F.col(order).alias(f"b_{order}"), F.col("parts").alias("b_parts")), f"b_{order}")
