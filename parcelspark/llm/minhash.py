@@ -1,11 +1,13 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Texts with equal shingle sets become one node, so copies cost one row. A node's signature has ``HASHES`` least hash values; tree t reads it in the cyclic order that starts at its t-th group of ``DEPTH`` values. Nodes that share those first values are a region of the tree, and a node's candidates are the nodes of its regions:
+Texts with equal shingle sets become one node, so copies cost one row. A node's signature has ``HASHES`` least hash values; tree t reads it in the cyclic order that starts at its t-th group of ``DEPTH`` values, and all nodes of a tree that share at least those values with another are sorted by that order. A region is a run of nodes with the same first ``DEPTH`` values. Within it each node is compared with its ``WINDOW`` neighbours on either side, those that share the longest prefixes with it: the more crowded a region is, the deeper are the prefixes that neighbours share. Regions of at most ``WINDOW`` + 1 nodes are thereby compared in full. All links are first sought in these sorted orders.
 
-* In a region of at most ``REGION`` nodes, every two nodes are compared.
-* The nodes of larger regions are sorted by the tree's whole order, ranges of it to a task, and each is compared with its ``WINDOW`` neighbours on either side, those that share the longest prefixes with it. So depth adapts to the region, and groups of copies gather here. This alone would lose links, so what it leaves apart goes an exact way: larger regions that are not one component yet are joined to zones (regions with a node in common), each zone's nodes are dealt into parts, and every two parts meet once in a block of their own, whatever the number of trees that they share. Nodes of the zone's largest component meet those outside it alone. So the cost is the square of the nodes outside the largest component, in blocks of a bounded size.
+In larger regions neighbours alone would lose links, so what they leave apart goes an exact way. It is taken only by regions that are not one component yet:
 
-Two nodes are compared by their signatures, which must agree in as many values as all but ``MISS`` of the pairs at the threshold do, and by their sizes. Candidates are confirmed on the full sets; where a region has many, and in sorted orders, only each node's with a few partners that agree best, the smallest among them, so that groups gather around few nodes. What is not in one component then meets in blocks, and where a block has many candidates, the full sets of its nodes meet in it; it counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs. Every text is shuffled once, and only for nodes that have candidates.
+* Regions of at most ``REGION`` nodes become a block each.
+* Larger regions are joined to zones (regions with a node in common), each zone's nodes are dealt into parts, and every two parts meet once in a block of their own, whatever the number of trees that they share. Nodes of the zone's largest component meet those outside it alone. So the cost is the square of the nodes outside the largest component, in blocks of a bounded size.
+
+Two nodes are compared by their signatures, which must agree in as many values as all but ``MISS`` of the pairs at the threshold do, and by their sizes. Candidates are confirmed on the full sets; in larger regions, only each node's with a few partners that agree best, the smallest among them, so that groups gather around few nodes. In blocks, only pairs of different components are compared, and where a block has many candidates, the full sets of its nodes meet in it; it counts what all its pairs share and returns for each node one link towards the smallest that it reaches, never the pairs. To confirm, all texts are shuffled by a hash to the nodes that have candidates, and once more if blocks have candidates that the sorted orders did not; a task of that join holds the ids of its share of such nodes.
 
 A pair at similarity 0.8 is missed by all 21 trees with probability (1 - 0.8**3)**21, 3e-7, and by the comparison of signatures with ``MISS``, however many nodes share its prefixes; pairs above are missed less often.
 
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from parcelspark.llm.words import shingle_sets
 HASHES = 64
 DEPTH = 3
 TREES = HASHES // DEPTH
-#: Nodes of a region, and neighbours on either side in larger ones.
+#: Nodes of a region that is one block, and neighbours on either side in sorted orders.
 REGION, WINDOW = 256, 8
 #: Shingles that the sets of a region, or of a part of a zone, have about at most.
 SHINGLES = 1 << 21
@@ -155,7 +156,7 @@ def _compared(percent: int):
 
 
 def _neighbouring(percent: int):
-    """From (key, node, n, signature) in the order of a tree to the best candidate of each node among its neighbours there."""
+    """From (key, nodes, node, n, signature) in the order of a tree to candidates among neighbours there: all of regions that a window holds, else the best one of each node. dense: whether it is such a best one."""
     share = percent / 100
     agree = least_agreement(share)
 
@@ -165,6 +166,7 @@ def _neighbouring(percent: int):
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             key, sizes, nodes = t["key"].to_numpy(), t["n"].to_numpy(), t["node"].combine_chunks()
+            whole = t["nodes"].to_numpy() <= WINDOW + 1
             signs = t["signature"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
             order = np.empty(len(key), dtype=np.int64)  # places of the nodes among themselves; equal nodes are equal
             names, at = np.unique(np.array(nodes.to_pylist(), dtype="S25"), return_inverse=True)
@@ -175,12 +177,15 @@ def _neighbouring(percent: int):
                 same = (signs[i] == signs[i + d]).sum(axis=1)
                 ok = (same >= agree) & (100 * np.minimum(sizes[i], sizes[i + d]) >= percent * np.maximum(sizes[i], sizes[i + d]))
                 i, grade = i[ok], _grade(same[ok], share).astype(np.int64)
+                small = whole[i]
+                yield from _candidates(np.zeros(len(key), np.int64), nodes, i[small], i[small] + d, grade[small].astype(np.int32), np.zeros(int(small.sum()), bool))
+                i, grade = i[~small], grade[~small]
                 for x, y in ((i, i + d), (i + d, i)):
                     rank = grade * len(key) + order[y]
                     better = rank > best[x]
                     best[x[better]], to[x[better]] = rank[better], y[better]
             some = np.flatnonzero(best >= 0)
-            yield from _candidates(np.zeros(len(key), np.int64), nodes, some, to[some], (best[some] // max(len(key), 1)).astype(np.int32), np.zeros(len(some), bool))
+            yield from _candidates(np.zeros(len(key), np.int64), nodes, some, to[some], (best[some] // max(len(key), 1)).astype(np.int32), np.ones(len(some), bool))
             held = t.slice(max(0, t.num_rows - WINDOW))
 
     return run
@@ -256,16 +261,22 @@ def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame
     return left.hint("merge").join(right.hint("merge"), on, how)
 
 
-def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tree, key, node, n, signature) of the regions in which all nodes are compared, and of the larger ones."""
+def _regions(nodes: DataFrame) -> DataFrame:
+    """tree, key, nodes, narrow, node, n, signature of the nodes that share their first values in a tree with others: nodes says with how many, narrow whether they may be one block."""
     value = lambda t, k: F.element_at("signature", F.lit((t * DEPTH + k) % HASHES + 1))
     trees = [F.xxhash64(F.lit(t), *[value(t, k) for k in range(DEPTH)]) for t in range(TREES)]
     rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode(F.array(*trees)).alias("tree", "key"))
     several = rows.groupBy("tree", "key").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).filter("nodes > 1")
     narrow = (F.col("nodes") <= REGION) & ((F.col("shingles") <= SHINGLES) | (F.col("nodes") == 2))
-    rows = _met(rows, several.select("tree", "key", narrow.alias("narrow")), ["tree", "key"])
-    rows = materialise(_met(rows, nodes.select("node", "signature"), "node").select("tree", "key", "narrow", "node", "n", "signature"))
-    return rows.filter("narrow").drop("narrow"), rows.filter("not narrow").drop("narrow")
+    rows = _met(rows, several.select("tree", "key", "nodes", narrow.alias("narrow")), ["tree", "key"])
+    return materialise(_met(rows, nodes.select("node", "signature"), "node").select("tree", "key", "nodes", "narrow", "node", "n", "signature"))
+
+
+def _sorted(rows: DataFrame, width: int) -> DataFrame:
+    """rows in each tree's order, dealt to tasks by ranges of it: a narrow region is in one task, a larger one may be in several."""
+    order = F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + 1, HASHES // 2)
+    upto = F.when(F.col("narrow"), F.slice("order", 1, DEPTH)).otherwise(F.slice("order", 1, 3 * DEPTH))
+    return rows.withColumn("order", order).repartitionByRange(width, "tree", upto).sortWithinPartitions("tree", "order", "node")
 
 
 #: What meets in a block: of two sides only the pairs across are compared, if ``two``.
@@ -329,6 +340,15 @@ def _best(found: DataFrame) -> DataFrame:
     return best.select("node", F.explode(F.array_distinct("best")).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
+def _by_orders(rows: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, root) of the components that the sorted orders of rows find, and the sets of their candidates."""
+    found = _sorted(rows, width).select("key", "nodes", "node", "n", "signature").mapInArrow(_neighbouring(percent), CANDIDATES)
+    found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "grade", "dense").distinct())
+    sets = _sets_of(_ends(found), docs, nodes, words)
+    pairs = found.filter("not dense").select("a", "b").unionByName(_best(found.filter("dense"))).distinct()
+    return connected_components(_verified(pairs, sets, percent)), sets
+
+
 @tidy
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked whose sets of shingles of ``words`` words have a Jaccard similarity of at least ``percent`` / 100."""
@@ -339,32 +359,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # A node's name begins with its smallest id, so the smallest name of a component has the component's.
     nodes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("mark", "doc_id")).alias("of"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     nodes = materialise(nodes.withColumn("node", F.concat(ordered(F.col("first_id")), "digest")))
-    narrow, wide = _regions(nodes)
-    has_wide = not wide.isEmpty()
-
-    regions = narrow.select(F.xxhash64("tree", "key").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("two"), "node", "n", "signature", F.col("node").alias("root"))
-    found = in_blocks(regions).mapInArrow(_compared(percent), CANDIDATES)
-    if has_wide:
-        order = F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + 1, HASHES // 2)
-        sorted_ = wide.withColumn("order", order).repartitionByRange(width, "tree", F.slice("order", 1, 3 * DEPTH)).sortWithinPartitions("tree", "order")
-        found = found.unionByName(sorted_.select("key", "node", "n", "signature").mapInArrow(_neighbouring(percent), CANDIDATES).withColumn("block", F.lit(None).cast("long")))
-    found = materialise(found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "grade", "dense"))
-    sets = _sets_of(_ends(found), docs, nodes, words)
-    easy = F.col("block").isNotNull() & ~F.col("dense")
-    pairs = found.filter(easy).select("a", "b").unionByName(_best(found.filter(~easy))).distinct()
-    roots = connected_components(_verified(pairs, sets, percent))
-
-    # What is still apart in dense regions and in the larger ones meets in blocks.
-    blocks = []
-    dense = found.filter("dense").select("block").distinct()
-    if not dense.isEmpty():
-        rows = _met(_met(regions.select("block", "side", "two", "node"), dense, "block", "left_semi"), roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rows.groupBy("block").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("block")
-        blocks.append(_met(rows, split, "block", "left_semi").select("block", "side", "two", "node", "root"))
-    if has_wide:
-        blocks.append(_blocks(wide, roots))
-    blocks = materialise(reduce(DataFrame.unionByName, blocks)) if blocks else None
-    if blocks is not None and not blocks.isEmpty():
+    rows = _regions(nodes)
+    roots, sets = _by_orders(rows, docs, nodes, words, percent, width)
+
+    # What is still apart in regions that are larger than a window meets in blocks.
+    wide = rows.filter("not narrow")
+    some = rows.filter(f"narrow and nodes > {WINDOW + 1}").select(F.xxhash64("tree", "key").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("two"), "node")
+    some = _met(some, roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = some.groupBy("block").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("block")
+    blocks = _met(some, split, "block", "left_semi").select("block", "side", "two", "node", "root")
+    if not wide.isEmpty():
+        blocks = blocks.unionByName(_blocks(wide, roots))
+    blocks = materialise(blocks)
+    if not blocks.isEmpty():
         met = _met(blocks, nodes.select("node", "n", "signature"), "node").select(*MEETING)
         found = materialise(in_blocks(met).mapInArrow(_compared(percent), CANDIDATES))
         pairs = found.filter("not dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -183,3 +183,19 @@ def test_components_after_more_links(spark, first, more):
     frame = lambda links: spark.createDataFrame(links, "a long, b long")
     got = {r["id"]: r["root"] for r in further(connected_components(frame(first)), frame(more)).collect()}
     assert got == {r["id"]: r["root"] for r in connected_components(frame(first + more)).collect()}
+
+
+def test_sorted_orders_carry_the_links(spark, sf_dir, monkeypatch):
+    """On the given tables: how many nodes the sorted orders join to others, of those that are joined in the end."""
+    seen = {}
+    by_orders = minhash._by_orders
+
+    def counted(rows, docs, nodes, *rest):
+        roots, sets = by_orders(rows, docs, nodes, *rest)
+        seen["nodes"], seen["joined"] = nodes.count(), roots.count() - roots.select("root").distinct().count()
+        return roots, sets
+
+    monkeypatch.setattr(minhash, "_by_orders", counted)
+    out = minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 80).filter("n_shingles > 0")
+    joined = seen["nodes"] - out.select("component_id").distinct().count()
+    assert joined > 0 and seen["joined"] >= 0.95 * joined
