@@ -98,21 +98,78 @@ def series() -> tuple[float, list[float], list[float]]:
     return radius, beta, delta
 
 
+def let(use, *values: Column) -> Column:
+    """use(values), with each value worked out once however often ``use`` refers to it: an expression that is repeated doubles at every step."""
+    row = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
+    return F.get(F.transform(F.array(row), lambda s: use(*[s[f"v{k}"] for k in range(len(values))])), F.lit(0))
+
+
 def to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     """(longitude, latitude) of UTM 28 north; a point that already is one in degrees stays."""
     radius, beta, delta = series()
-    xi, eta = y / (SCALE * radius), (x - FALSE_EAST) / (SCALE * radius)
-    xp, ep = xi, eta
-    for k, b in enumerate(beta, 1):
-        xp = xp - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-        ep = ep - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
-    lat = chi
-    for k, d in enumerate(delta, 1):
-        lat = lat + d * F.sin(2 * k * chi)
-    lon = F.lit(math.radians(CENTRAL)) + F.atan2(F.sinh(ep), F.cos(xp))
+
+    def conformal(xi: Column, eta: Column) -> Column:
+        xp, ep = xi, eta
+        for k, b in enumerate(beta, 1):
+            xp = xp - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+            ep = ep - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        return let(geodetic, xp, ep)
+
+    def geodetic(xp: Column, ep: Column) -> Column:
+        lon = F.lit(math.radians(CENTRAL)) + F.atan2(F.sinh(ep), F.cos(xp))
+        return let(lambda lon, chi: F.struct(F.degrees(lon).alias("lon"), F.degrees(sum((d * F.sin(2 * k * chi) for k, d in enumerate(delta, 1)), chi)).alias("lat")), lon, F.asin(F.sin(xp) / F.cosh(ep)))
+
+    at = let(conformal, y / (SCALE * radius), (x - FALSE_EAST) / (SCALE * radius))
     metres = (F.abs(x) > 180) | (F.abs(y) > 90)
-    return F.when(metres, F.degrees(lon)).otherwise(x), F.when(metres, F.degrees(lat)).otherwise(y)
+    return F.when(metres, at["lon"]).otherwise(x), F.when(metres, at["lat"]).otherwise(y)
+
+
+def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(x, y) of UTM 28 north in metres; a point that is in metres already stays."""
+    n = FLATTENING / (2 - FLATTENING)
+    alpha = [n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3 + 41 / 180 * n**4, 13 / 48 * n**2 - 3 / 5 * n**3 + 557 / 1440 * n**4, 61 / 240 * n**3 - 103 / 140 * n**4, 49561 / 161280 * n**4]
+    e, radius = 2 * math.sqrt(n) / (1 + n), series()[0]
+
+    def projected(xi: Column, eta: Column) -> Column:
+        north, east = xi, eta
+        for k, a in enumerate(alpha, 1):
+            north = north + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+            east = east + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        return F.struct((FALSE_EAST + SCALE * radius * east).alias("x"), (SCALE * radius * north).alias("y"))
+
+    spherical = lambda t, turn: let(projected, F.atan2(t, F.cos(turn)), F.asinh(F.sin(turn) / F.sqrt(t * t + F.cos(turn) * F.cos(turn))))
+    at = let(lambda s, turn: let(spherical, F.sinh(F.atanh(s) - e * F.atanh(e * s)), turn), F.sin(F.radians(lat)), F.radians(lon - CENTRAL))
+    degrees = (F.abs(lon) <= 180) & (F.abs(lat) <= 90)
+    return F.when(degrees, at["x"]).otherwise(lon), F.when(degrees, at["y"]).otherwise(lat)
+
+
+def parts_to_utm(parts: Column) -> Column:
+    """A geometry of longitudes and latitudes in metres, vertex by vertex."""
+    point = lambda p: F.array(*to_utm(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    return F.transform(parts, lambda g: F.transform(g, lambda r: F.transform(r, point)))
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres on the ellipsoid between two points that are near each other: by the radii of curvature at their mean latitude, which is right to a millimetre within ten kilometres."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    length = lambda north, east: F.sqrt(north * north + east * east)
+    curved = lambda w, cosine, down, across: let(length, AXIS * (1 - e2) / (w * F.sqrt(w)) * down, AXIS / F.sqrt(w) * cosine * across)
+    between = lambda middle, down, across: let(curved, 1 - e2 * F.sin(middle) * F.sin(middle), F.cos(middle), down, across)
+    return let(lambda a, b, c, d: let(between, F.radians((b + d) / 2), F.radians(d - b), F.radians(c - a)), lon1, lat1, lon2, lat2)
+
+
+def nearest_on(x: Column, y: Column, rings: Column) -> Column:
+    """A struct of d, px, py: the nearest point of the outlines, and how far it is."""
+    g = lambda p, k: F.get(p, F.lit(k))
+
+    def foot(s: Column) -> Column:
+        dx, dy = g(s["b"], 0) - g(s["a"], 0), g(s["b"], 1) - g(s["a"], 1)
+        long = dx * dx + dy * dy
+        t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - g(s["a"], 0)) * dx + (y - g(s["a"], 1)) * dy) / long))).otherwise(0.0)
+        px, py = g(s["a"], 0) + t * dx, g(s["a"], 1) + t * dy
+        return F.struct(F.sqrt((px - x) * (px - x) + (py - y) * (py - y)).alias("d"), px.alias("px"), py.alias("py"))
+
+    return F.array_min(F.flatten(F.transform(rings, lambda r: F.transform(edges_of(r), foot))))
 
 
 def edges_of(ring: Column) -> Column:

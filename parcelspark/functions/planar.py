@@ -371,6 +371,21 @@ def united_parts(lists: Column) -> Column:
     return made(lists)
 
 
+def made_valid(g: Column) -> Column:
+    """The same region without faults: of each polygon what lies in an odd number of its rings, rings cut where they cross themselves or each other, and polygons that overlap united."""
+    return united_parts(F.transform(g, lambda p: F.array(p)))
+
+
+def odd_area(g: Column) -> Column:
+    """The area that lies in an odd number of a geometry's rings: for a valid one, that of its outer rings less that of its holes."""
+
+    @arrow_udf("double")
+    def odd(x: pa.Array) -> pa.Array:
+        return pa.array(areas(x, pa.nulls(len(x), x.type), "first"))
+
+    return odd(g)
+
+
 def centre(g: Column) -> tuple[Column, Column]:
     """The centroid of a geometry's area, counted from its first vertex; its holes count against it. Null without area."""
     ox, oy = (F.get(F.get(F.get(F.get(g, F.lit(0)), F.lit(0)), F.lit(0)), F.lit(k)) for k in (0, 1))

@@ -69,6 +69,8 @@ def audit(entities: DataFrame) -> DataFrame:
 
 def capped(entities: DataFrame, text_cap: int | None = TEXT_CAP, other_cap: int | None = OTHER_TEXT_CAP, total: int | None = RETURNED_CAP) -> DataFrame:
     """The selection in its order, outlines by class, then texts by class up to their caps, and of all that the first ``total``; None sets no cap (the form for large inputs). place is the place in the class."""
+    if total is not None and total > HARD_CAP:
+        raise ValueError(f"at most {HARD_CAP} entities are returned")
     # One reference to the class: it stands for a long expression.
     rows = classified(entities).withColumn("class_rank", F.array_position(F.array(*map(F.lit, [*OUTLINES, *TEXTS])), F.col("cls")))
     if text_cap is None:

@@ -122,14 +122,19 @@ def _corner_keys(x: Column, y: Column, step: float) -> Column:
     return F.flatten(F.transform(near(x), lambda i: F.transform(near(y), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def delete_matching(features: DataFrame, targets: DataFrame, digits: int = 7) -> DataFrame:
-    """features (ring) without those whose ring equals a target's within 10**-digits, vertex by vertex. They meet by the cell of their first corner; a target near a cell's edge is sought in the cells beyond it too, so no rounding parts two that are equal."""
+def equal_rings(features: DataFrame, targets: DataFrame, sought: str, digits: int = 7, how: str = "inner") -> DataFrame:
+    """features (ring) joined to targets whose ring, in the column ``sought``, equals theirs within 10**-digits, vertex by vertex. They meet by the cell of their first corner; a target near a cell's edge is sought in the cells beyond it too, so no rounding parts two that are equal."""
     step = 10.0 ** (3 - digits) * 100
-    corner = lambda k: F.get(F.get(F.col("ring"), F.lit(0)), F.lit(k))
-    t = targets.select(F.explode(_corner_keys(corner(0), corner(1), step)).alias("__key"), F.col("ring").alias("__ring"))
-    close = (F.size("ring") == F.size("__ring")) & F.forall(F.zip_with("ring", "__ring", lambda a, b: F.forall(F.zip_with(a, b, lambda u, v: F.abs(u - v) < 10.0**-digits), lambda x: x)), lambda x: x)
-    own = F.struct(F.floor(corner(0) / step).alias("i"), F.floor(corner(1) / step).alias("j"))
-    return features.withColumn("__k", own).join(t, (F.col("__k") == F.col("__key")) & close, "left_anti").drop("__k")
+    corner = lambda ring, k: F.get(F.get(F.col(ring), F.lit(0)), F.lit(k))
+    t = targets.withColumn("__key", F.explode(_corner_keys(corner(sought, 0), corner(sought, 1), step)))
+    close = (F.size("ring") == F.size(sought)) & F.forall(F.zip_with("ring", sought, lambda a, b: F.forall(F.zip_with(a, b, lambda u, v: F.abs(u - v) < 10.0**-digits), lambda x: x)), lambda x: x)
+    own = F.struct(F.floor(corner("ring", 0) / step).alias("i"), F.floor(corner("ring", 1) / step).alias("j"))
+    return features.withColumn("__k", own).join(t, (F.col("__k") == F.col("__key")) & close, how).drop("__k", "__key")
+
+
+def delete_matching(features: DataFrame, targets: DataFrame, digits: int = 7) -> DataFrame:
+    """features (ring) without those whose ring equals a target's within 10**-digits."""
+    return equal_rings(features, targets.select(F.col("ring").alias("__ring")), "__ring", digits, "left_anti")
 
 
 def assign_auto(features: DataFrame, prefix: str = "AUTO_") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions.text import half_up, name_key
+from parcelspark.operators.lookups import equals
 from parcelspark.operators.spatial import BOX, box_join, overlap_area, own_area
 
 #: Least share of the old commune's area for a status, and for a fragment (fixed values).
@@ -50,9 +51,11 @@ def by_name(old: DataFrame, new: DataFrame, present: DataFrame) -> DataFrame:
     return fresh.join(first, "key", "left").select(F.col("syscol").alias("s13"), F.col("nom").alias("nom13"), "s26", "nom26", "region", "dept", status.alias("statut"))
 
 
-def preview(correspondence: DataFrame, parcels: DataFrame) -> DataFrame:
-    """Active parcels of the old vintage for each commune that has a target."""
+def preview(correspondence: DataFrame, parcels: DataFrame, commune: str | None = None) -> DataFrame:
+    """Active parcels of the old vintage for each commune that has a target, or for one old commune, whose code may lack leading zeros."""
     usable = correspondence.filter("s26 is not null and statut <> 'sans_correspondance'")
+    if commune is not None:
+        usable, parcels = usable.filter(equals("s13", commune, 8)), parcels.filter(equals("syscol", commune, 8))
     counts = parcels.filter("version = '2013' and statut = 'actif'").groupBy(F.col("syscol").alias("s13")).agg(F.count("*").alias("n_parcels"))
     return usable.join(counts, "s13").select("s13", "s26", "nom13", "nom26", "statut", "n_parcels")
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from parcelspark.functions.text import half_up
 
 
+def locale_order(name: Column) -> Column:
+    """A name as a sort key that people expect: letters with and without marks, and in both cases, stand side by side."""
+    return F.collate(name, "UNICODE")
+
+
 def page(df: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of a sorted list; the order must decide ties, so that pages agree."""
     return df.orderBy(*order).offset(offset).limit(limit)

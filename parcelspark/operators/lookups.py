@@ -145,6 +145,15 @@ def found_features(errors: DataFrame, features: DataFrame) -> DataFrame:
     return rows.join(places.select("error_id", F.col("b_feature_idx").alias("by_place")), "error_id", "left").select("error_id", F.coalesce("by_name", "by_place").alias("feature_idx"))
 
 
+def found_by_geometry(errors: DataFrame, features: DataFrame, digits: int = 7) -> DataFrame:
+    """error_id and feature_idx of the first feature whose outline (ring) equals the error's within 10**-digits, vertex by vertex; null if there is none. They meet by the cell of their first corner."""
+    from parcelspark.operators.correction import equal_rings
+
+    e = errors.select("error_id", F.col("ring").alias("sought"))
+    hit = equal_rings(features.select("feature_idx", "ring"), e, "sought", digits).groupBy("error_id").agg(F.min("feature_idx").alias("feature_idx"))
+    return errors.select("error_id").join(hit, "error_id", "left")
+
+
 def card(df: DataFrame, nicad: str = "nicad") -> DataFrame:
     """The parts of an identifier, as cards show them."""
     return df.withColumn("card", nic.parts(F.col(nicad)))

@@ -98,12 +98,18 @@ def is_valid(parcels: DataFrame) -> Column:
 
 
 def is_simple(parcels: DataFrame) -> Column:
-    """The stricter check of drawn parcels: a positive area, every ring closed with four vertices, and no ring whose edges cross."""
+    """The stricter check of drawn parcels: a positive area, every ring closed with four vertices, and rings that cross neither themselves nor each other: then what lies in an odd number of rings is what the outer rings have more than the holes."""
     if "parts" not in parcels.columns:
         return (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     rings = F.flatten("parts")
     closed = F.forall(rings, lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)))
-    return F.coalesce((planar.area(F.col("parts")) > 0) & closed & ~F.exists(rings, geo.crosses_itself), F.lit(False))
+    crossed = F.exists(rings, geo.crosses_itself) | (F.abs(planar.odd_area(F.col("parts").cast(planar.PARTS)) - planar.area(F.col("parts"))) > 1e-9 * planar.area(F.col("parts")))
+    return F.coalesce((planar.area(F.col("parts")) > 0) & closed & ~crossed, F.lit(False))
+
+
+def repaired(parcels: DataFrame) -> DataFrame:
+    """parcels with their geometry made valid, and faulty: whether it was not."""
+    return parcels.withColumn("faulty", ~is_simple(parcels)).withColumn("parts", planar.made_valid(F.col("parts").cast(planar.PARTS)))
 
 
 def sliver_errors(parcels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -15,10 +16,12 @@ from parcelspark.functions import geometry as geo
 from parcelspark.functions import planar
 from parcelspark.operators import cad as layers
 from parcelspark.operators import quality
+from parcelspark.operators.lineage import shared_dir
+from parcelspark.operators.spatial import nearest_area
 from parcelspark.plans.identifiers import _classes
 from parcelspark.plans.registry import query, table
 from parcelspark.plans.shapes import OWN
-from parcelspark.sources import cad, dxf, export, geojson
+from parcelspark.sources import cad, dxf, export, geojson, shapefiles, stored
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -170,11 +173,12 @@ def layer_audit_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.audit_row(fx.layers(spark, sf_dir), 10)
 
 
-@query("SELECT feature_idx, CASE WHEN feature_idx % 7 > 0 THEN syscol END AS syscol, feature_idx % 7 > 0 AND feature_idx % 3 = 0 AS approx, CASE WHEN feature_idx % 7 > 0 AND feature_idx % 4 > 0 THEN syscol || CASE WHEN section = '000' THEN '000' ELSE section END || parcelle END AS nicad FROM P", "P")
+@query("SELECT p.feature_idx, p.code AS syscol, p.code IS NOT NULL AND coalesce(p.d, 0.0) > 0 AS approx, CASE WHEN p.code IS NOT NULL AND p.feature_idx % 4 > 0 THEN p.code || p.section || p.parcelle END AS nicad FROM (SELECT P.feature_idx, P.section, P.parcelle, min(d) AS d, arg_min(c.syscol, (d, c.syscol)) AS code FROM P LEFT JOIN (SELECT q.feature_idx, C26.syscol, sqrt(pow(greatest(C26.x0 - q.x, 0.0, q.x - C26.x1), 2) + pow(greatest(C26.y0 - q.y, 0.0, q.y - C26.y1), 2)) AS d FROM (SELECT feature_idx, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM P) AS q JOIN C26 ON q.x >= C26.x0 - 50 AND q.x <= C26.x1 + 50 AND q.y >= C26.y0 - 50 AND q.y <= C26.y1 + 50) AS c ON c.feature_idx = P.feature_idx AND c.d <= 50 GROUP BY P.feature_idx, P.section, P.parcelle) AS p", "P C26")
 def assign_nicad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers of drawn parcels from the communes that they lie in."""
+    """Identifiers of drawn parcels from the communes that their middles lie in, or within 50 m of."""
     k, p = F.col("feature_idx"), fx.parcels(spark, sf_dir)
-    found = p.filter("feature_idx % 7 > 0").select("feature_idx", "syscol", (k % 3 == 0).alias("approx"))
+    middles = p.select("feature_idx", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    found = nearest_area(middles, fx.communes_2026(spark, sf_dir).select("syscol", *BOX), 1000.0, 50.0, "feature_idx", "syscol").drop("distance")
     return layers.assigned(p.select("feature_idx", F.when(F.col("section") != "000", F.col("section")).alias("section"), F.when(k % 4 > 0, F.col("parcelle")).alias("numero")), found)
 
 
@@ -205,7 +209,51 @@ def intersecting_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.intersecting(p, p).filter("l_feature_idx < r_feature_idx").select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"))
 
 
-@query("SELECT feature_idx, json_object('nicad', nicad_raw, 'syscol', syscol) AS line FROM P", "P")
+@query("SELECT json_object('feature_idx', feature_idx, 'nicad_raw', nicad_raw, 'syscol', syscol) AS value FROM P", "P")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as JSON, without the geometry."""
-    return fx.parcels(spark, sf_dir).select("feature_idx", F.to_json(F.struct(F.col("nicad_raw").alias("nicad"), "syscol")).alias("line"))
+    rows = fx.parcels(spark, sf_dir).select("feature_idx", "nicad_raw", "syscol", F.array("x0", "y0").alias("geom"))
+    return export.json_lines(rows, "geom")
+
+
+@query("SELECT '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Polygon\",\"coordinates\":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]},\"properties\":{\"nicad_raw\":\"' || nicad_raw || '\",\"section\":\"' || section || '\"}}' AS value FROM (SELECT nicad_raw, section, CAST(feature_idx % 100 AS DOUBLE) AS x0, CAST(feature_idx % 100 + 1.5 AS DOUBLE) AS x1, 2.0::DOUBLE AS y0, 4.5::DOUBLE AS y1 FROM P WHERE section = '003' AND length(nicad_raw) = 16)", "P")
+def filtered_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered rows as GeoJSON features, with some of their columns."""
+    x = (F.col("feature_idx") % 100).cast("double")
+    ring = geo.rectangle(x, F.lit(2.0), x + 1.5, F.lit(4.5))
+    rows = fx.parcels(spark, sf_dir).filter("section = '003' and length(nicad_raw) = 16").withColumn("rings", F.array(ring))
+    return export.feature_lines(rows, "rings", ["nicad_raw", "section"])
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS BIGINT) AS n, c_custkey + 0.5::DOUBLE AS area, c_custkey % 2 = 0 AS ok, CASE WHEN c_custkey % 3 = 0 THEN CAST(7 AS BIGINT) END AS odd, CAST(NULL AS DATE) AS lacking FROM customer")
+def typed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of features as numbers, truths and dates; what is none is null."""
+    k = F.col("c_custkey")
+    odd = F.when(k % 3 == 0, '"7"').when(k % 3 == 1, '"x7"').otherwise("null")
+    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"n":'), k.cast("string"), F.lit(',"area":'), (k + 0.5).cast("double").cast("string"), F.lit(',"ok":'), (k % 2 == 0).cast("string"), F.lit(',"odd":'), odd, F.lit("}}"))
+    rows = geojson.features(table(spark, sf_dir, "customer").select("c_custkey", text.alias("value")))
+    return geojson.typed(rows, {"n": "bigint", "area": "double", "ok": "boolean", "odd": "bigint", "lacking": "date"}).select("c_custkey", "n", "area", "ok", "odd", "lacking")
+
+
+@query("SELECT section, count(*) AS n, sum(CASE WHEN section = '003' THEN feature_idx + 1 ELSE feature_idx END) AS ids FROM P WHERE section <> '005' AND NOT (section = '003' AND feature_idx % 2 = 1) GROUP BY section", "P")
+def layer_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers by section, after one has been replaced and one deleted."""
+    path = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+    rows = fx.parcels(spark, sf_dir).select("section", "feature_idx")
+    stored.put(rows.repartition("section"), path, "section")
+    stored.put(rows.filter("section = '003' and feature_idx % 2 = 0").withColumn("feature_idx", F.col("feature_idx") + 1), path, "section")
+    stored.delete(spark, path, "section", "005")
+    return stored.get(spark, path, "feature_idx bigint, section string").groupBy("section").agg(F.count("*").alias("n"), F.sum("feature_idx").alias("ids"))
+
+
+@query("SELECT CASE WHEN feature_idx % 17 = 0 THEN NULL ELSE nicad_raw END AS nicad, CASE WHEN feature_idx % 17 = 0 THEN 0.0 ELSE (x1 - x0) * (y1 - y0) END AS area, count(*) AS n FROM P GROUP BY ALL", "P")
+def shapefile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels written to shapefiles by the tasks that hold them and read again in ranges of records; some have neither geometry nor identifier."""
+    path = f"{shared_dir(spark)}/shapes-{uuid.uuid4().hex}"
+    there = F.col("feature_idx") % 17 > 0
+    rows = fx.parcels(spark, sf_dir).select(F.when(there, F.array(geo.rectangle(*[F.col(c) for c in BOX]))).alias("rings"), F.create_map(F.lit("NICAD"), F.when(there, F.col("nicad_raw"))).alias("props"))
+    shapefiles.write(rows.repartition(4), path, [("NICAD", 20)])
+    found = shapefiles.read(spark, path, records=1000)
+    nicad = F.when(F.size("rings") > 0, F.col("props")["NICAD"])
+    area = F.when(F.size("rings") > 0, geo.polygon_area(F.col("rings"))).otherwise(0.0)
+    return found.groupBy(nicad.alias("nicad"), area.alias("area")).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelspark import fixtures as fx
@@ -140,3 +140,11 @@ def delete_and_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     parcels = fx.parcels(spark, sf_dir)
     gone = parcels.filter("feature_idx % 4 = 2").select("feature_idx")
     return listing.renumbered(parcels.join(gone, "feature_idx", "left_anti"), "feature_idx").select("feature_idx", "position")
+
+
+@query("SELECT name, count(*) AS n, place FROM customer JOIN (VALUES (0, 'zèbre', 9), (1, 'Zone', 10), (2, 'école', 7), (3, 'Ecole', 6), (4, 'ecole', 5), (5, 'Abbé', 2), (6, 'abbe', 1), (7, 'côte', 4), (8, 'cote', 3), (9, 'Été', 8)) AS v(k, name, place) ON k = c_custkey % 10 GROUP BY name, place")
+def names_in_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with accents and in both cases, each with its place among them; their order of bytes would be another."""
+    names = F.array(*map(F.lit, ["zèbre", "Zone", "école", "Ecole", "ecole", "Abbé", "abbe", "côte", "cote", "Été"]))
+    rows = table(spark, sf_dir, "customer").groupBy(F.get(names, (F.col("c_custkey") % 10).cast("int")).alias("name")).agg(F.count("*").alias("n"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(listing.locale_order(F.col("name")))))  # a few names

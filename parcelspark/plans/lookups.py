@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark import fixtures as fx
+from parcelspark.functions import geometry as geo
 from parcelspark.functions import nicad as nic
 from parcelspark.functions import text
 from parcelspark.operators import correspondence as co
@@ -13,6 +14,7 @@ from parcelspark.operators import listing, lookups, registry
 from parcelspark.plans.correspondence import RECOMPUTED, REGISTRY, _recomputed, _registry
 from parcelspark.plans.listings import BOTH, _analyses, _errors
 from parcelspark.plans.registry import query, table
+from parcelspark.sources.tables import REGIONS, region_boxes
 
 NAMED = "N AS (SELECT feature_idx, 'P' || CAST(feature_idx % 40 AS VARCHAR) AS nicad FROM P)"
 
@@ -95,6 +97,12 @@ def migration_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("communes"), F.coalesce(F.sum("n_parcels"), F.lit(0)).alias("parcels"))
 
 
+@query("SELECT R.s13, R.s26, count(*) AS n_parcels FROM R JOIN G ON G.syscol = R.s13 WHERE R.s13 = '01430107' AND R.s26 IS NOT NULL AND R.statut <> 'sans_correspondance' AND G.version = '2013' AND G.statut = 'actif' GROUP BY R.s13, R.s26", "C13 C26 P", f"{RECOMPUTED}, {REGISTRY}")
+def migration_preview_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One commune's parcels, before they are moved."""
+    return co.preview(_recomputed(spark, sf_dir), _registry(spark, sf_dir), "1430107").select("s13", "s26", "n_parcels")
+
+
 @query("SELECT s13, nom13, s26 FROM R WHERE contains(lower(nom13), 'a') OR contains(s13, 'A') OR contains(lower(coalesce(nom26, '')), 'a') OR contains(coalesce(s26, ''), 'A') ORDER BY region NULLS LAST, nom13 LIMIT 10 OFFSET 2", "C13 C26", RECOMPUTED)
 def correspondence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a search with many hits; its limit is the feature."""
@@ -170,6 +178,17 @@ def found_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.found_features(errors, features)
 
 
+@query("SELECT feature_idx AS error_id, CASE WHEN feature_idx % 3 > 0 THEN feature_idx END AS found_idx FROM P WHERE feature_idx % 10 < 5", "P")
+def found_by_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors find the first feature of an equal outline: half of the parcels, two thirds of them with their own outline, the others a metre off; each outline is there twice."""
+    k = F.col("feature_idx")
+    rows = fx.parcels(spark, sf_dir).select("feature_idx", geo.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("ring"))
+    moved = F.transform("ring", lambda p: F.transform(p, lambda v: v + F.when(k % 3 == 0, 0.25).otherwise(1e-9)))
+    errors = rows.filter("feature_idx % 10 < 5").select(k.alias("error_id"), moved.alias("ring"))
+    copies = rows.unionByName(rows.withColumn("feature_idx", k + 10_000_000))
+    return lookups.found_by_geometry(errors, copies).withColumnRenamed("feature_idx", "found_idx")
+
+
 @query("SELECT feature_idx, lpad(syscol, 8, '0') || lpad(CAST(feature_idx % 100 AS VARCHAR), 3, '0') AS prefix, CASE WHEN length(nicad_raw) = 16 THEN substr(nicad_raw, 1, 8) WHEN length(nicad_raw) = 18 THEN substr(nicad_raw, 1, 8) END AS syscol, CASE WHEN length(nicad_raw) = 16 THEN substr(nicad_raw, 12, 5) WHEN length(nicad_raw) = 18 THEN substr(nicad_raw, 14, 5) END AS num_parcelle FROM P", "P")
 def identifier_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts that a card shows, and a section's prefix."""
@@ -185,14 +204,16 @@ def nicad_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.parcels(spark, sf_dir).select("feature_idx", prefix.alias("prefix"), nic.built(prefix, F.when(k % 5 != 0, F.col("section")), F.when(k % 4 > 0, F.col("parcelle"))).alias("nicad"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'nic' WHEN 2 THEN '' ELSE '' END AS map_nicad, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'nic' ELSE '' END AS leaflet_nicad, CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE '' END AS section, CASE WHEN c_custkey % 4 = 3 THEN 'r' ELSE '' END AS region FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'nic' WHEN 2 THEN '' ELSE '' END AS map_nicad, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'nic' ELSE '' END AS leaflet_nicad, CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE '' END AS section, CASE WHEN c_custkey % 4 = 3 THEN 'r' ELSE '' END AS region, CASE WHEN c_custkey % 4 = 3 THEN 'd2' ELSE '' END AS departement, CASE WHEN c_custkey % 4 = 3 THEN 'r' ELSE '' END AS commune_region, CASE c_custkey % 4 WHEN 0 THEN '12.5' ELSE '' END AS superficie, CASE c_custkey % 4 WHEN 1 THEN c_name ELSE '' END AS proprietaire, CASE c_custkey % 4 WHEN 1 THEN 'q' ELSE '' END AS quartier FROM customer")
 def import_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes under the first of their names that a file has."""
+    """Attributes of sections, communes and parcels under the first of their names that a file has."""
     k = F.col("c_custkey")
-    props = F.when(k % 4 == 0, F.create_map(F.lit("nicad"), F.lit("later"), F.lit("NICAD"), F.col("c_name"))).when(k % 4 == 1, F.create_map(F.lit("Nicad"), F.lit("last"), F.lit("NIC"), F.lit("nic"))).when(k % 4 == 2, F.create_map(F.lit("CODIF"), F.lit("other"))).otherwise(F.create_map(F.lit("NUMSECT"), F.col("c_name"), F.lit("region"), F.lit("r")))
+    entry = lambda *pairs: F.create_map(*[F.lit(v) if isinstance(v, str) else v for p in pairs for v in p])
+    name = F.col("c_name")
+    props = F.when(k % 4 == 0, entry(("nicad", "later"), ("NICAD", name), ("superficie", "7"), ("SupReelle", "12.5"))).when(k % 4 == 1, entry(("Nicad", "last"), ("NIC", "nic"), ("nomProprietaire", "later"), ("Occupant", name), ("quartier", "q"))).when(k % 4 == 2, entry(("CODIF", "other"))).otherwise(entry(("NUMSECT", name), ("region", "r"), ("departement", "d1"), ("DEPARTEMEN", "d2")))
     rows = table(spark, sf_dir, "customer").select("c_custkey", props.alias("props"))
-    section = nic.attributes(F.col("props"), nic.SECTION)
-    return rows.select("c_custkey", nic.first_of(F.col("props"), nic.MAP_NICAD).alias("map_nicad"), nic.first_of(F.col("props"), nic.LEAFLET_NICAD).alias("leaflet_nicad"), section["numero"].alias("section"), section["region"])
+    section, commune, parcel = (nic.attributes(F.col("props"), names) for names in (nic.SECTION, nic.COMMUNE_2026, nic.PARCEL))
+    return rows.select("c_custkey", nic.first_of(F.col("props"), nic.MAP_NICAD).alias("map_nicad"), nic.first_of(F.col("props"), nic.LEAFLET_NICAD).alias("leaflet_nicad"), section["numero"].alias("section"), section["region"], commune["departement"], commune["region"].alias("commune_region"), parcel["superficie"], parcel["proprietaire"], parcel["quartier"])
 
 
 @query("SELECT c_custkey, 'a_b_' || c_custkey || '.zip' AS file, 'COMMUNE_N__' || c_custkey AS folder, CASE WHEN c_custkey % 2 = 0 THEN 'u1' ELSE 'anon' END || '_1704067200123_x_' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '.geojson' WHEN c_custkey % 3 = 1 THEN '.geojson' ELSE '.kml.geojson' END AS stored FROM customer")
@@ -278,10 +299,15 @@ def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.clamped_page(_analyses(spark, sf_dir).select("analysis_id"), [F.col("analysis_id")], 100, 50)
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name, 14 AS n FROM region")
-def static_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inline table of the regions' boxes has fourteen rows, joined here to the tables' regions."""
-    from parcelspark.sources.tables import region_boxes
+_BOXES = ", ".join(f"('{name}', '{code}', {x0}, {x1}, {y0}, {y1})" for name, code, x0, x1, y0, y1 in REGIONS)
 
-    n = region_boxes(spark).filter("x1 > x0 and y1 > y0").agg(F.count("*").cast("int").alias("n"))
-    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("k"), F.col("r_name").alias("name")).join(F.broadcast(n))
+
+@query(f"SELECT code, name, count(lon) AS n, coalesce(sum(c_custkey), 0) AS ids FROM (VALUES {_BOXES}) AS r(name, code, x0, x1, y0, y1) LEFT JOIN (SELECT c_custkey, CAST(-18.0 + (c_custkey % 700) * 0.01 AS DOUBLE) AS lon, CAST(12.0 + (c_custkey % 490) * 0.01 AS DOUBLE) AS lat FROM customer) AS c ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY code, name")
+def static_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points lie in the box of each of the fourteen regions; boxes overlap, and some may have none."""
+    points = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CAST(-18.0 + (c_custkey % 700) * 0.01 AS DOUBLE) AS lon", "CAST(12.0 + (c_custkey % 490) * 0.01 AS DOUBLE) AS lat")
+    boxes = region_boxes(spark)  # fourteen rows
+    inside = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
+    found = points.join(F.broadcast(boxes), inside).groupBy("code").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("ids"))
+    zero = F.lit(0).cast("bigint")
+    return boxes.join(found, "code", "left").select("code", "name", F.coalesce("n", zero).alias("n"), F.coalesce("ids", zero).alias("ids"))

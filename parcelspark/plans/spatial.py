@@ -9,8 +9,8 @@ from parcelspark import fixtures as fx
 from parcelspark.functions import geometry as geo
 from parcelspark.functions import planar
 from parcelspark.functions.text import half_up
-from parcelspark.operators import cad, correction, network, quality
-from parcelspark.operators.spatial import box_join, nearest_area, points_in
+from parcelspark.operators import batch, cad, correction, network, quality
+from parcelspark.operators.spatial import box_join, nearest_area, nearest_in_degrees, points_in
 from parcelspark.plans.registry import query, table
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -196,6 +196,38 @@ def point_to_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("c_custkey").join(best.drop("distance"), "c_custkey", "left")
 
 
+@query(f"SELECT c_custkey, arg_min(syscol, (d, syscol)) AS syscol, min(d) > 0 AS approx FROM (SELECT c_custkey, syscol, CASE WHEN syscol IS NOT NULL THEN {NEAR} END AS d FROM T LEFT JOIN C26 ON {NEAR} <= 50.015) GROUP BY c_custkey", "C26", f"T AS ({SITES})")
+def point_to_commune_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from points and communes in degrees: 50 m on the ellipsoid, where the projection has 50.018 m."""
+    sites = _sites(spark, sf_dir)
+    lon, lat = geo.to_wgs84(F.col("x"), F.col("y"))
+    corner = lambda x, y: F.array(*geo.to_wgs84(F.col(x), F.col(y)))
+    areas = fx.communes_2026(spark, sf_dir).select("syscol", F.array(F.array(F.array(*[corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))]))).alias("parts"))
+    best = nearest_in_degrees(sites.select("c_custkey", lon.alias("lon"), lat.alias("lat")), areas, 1000.0, 50.0, "c_custkey", "syscol")
+    # A point on a boundary may come back a nanometre off it.
+    return sites.select("c_custkey").join(best.select("c_custkey", "syscol", (F.col("distance") > 1e-6).alias("approx")), "c_custkey", "left")
+
+
+@query("SELECT feature_idx, x0, y0 FROM P", "P")
+def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners to degrees and back."""
+    x, y = geo.to_utm(*geo.to_wgs84(F.col("x0"), F.col("y0")))
+    return fx.parcels(spark, sf_dir).select("feature_idx", F.round(x, 6).alias("x0"), F.round(y, 6).alias("y0"))
+
+
+@query("SELECT feature_idx, feature_idx % 4 IN (1, 2) AS faulty, CASE feature_idx % 4 WHEN 1 THEN (x1 - x0) * (y1 - y0) / 2 WHEN 3 THEN (x1 - x0) * (y1 - y0) * 0.75 ELSE (x1 - x0) * (y1 - y0) END AS area, CASE WHEN feature_idx % 4 IN (1, 2) THEN 2 ELSE 1 END AS n_parts FROM P", "P")
+def geometry_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes, bow-ties, boxes with a hole that leaves its shell, and boxes with a hole inside, made valid."""
+    x0, y0, x1, y1 = (F.col(c) for c in BOX)
+    at = lambda u, v: F.array(x0 + (x1 - x0) * u, y0 + (y1 - y0) * v)
+    ring = lambda *corners: F.array(*[at(u, v) for u, v in corners])
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d), (a, b))
+    k = F.col("feature_idx") % 4
+    parts = F.when(k == 0, F.array(F.array(box(0, 0, 1, 1)))).when(k == 1, F.array(F.array(ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))))).when(k == 2, F.array(F.array(box(0, 0, 1, 1), box(0.75, 0.25, 1.25, 0.75)))).otherwise(F.array(F.array(box(0, 0, 1, 1), box(0.25, 0.25, 0.75, 0.75))))
+    p = quality.repaired(fx.parcels(spark, sf_dir).withColumn("parts", parts))
+    return p.select("feature_idx", "faulty", F.round(planar.area(F.col("parts")), 6).alias("area"), F.size("parts").alias("n_parts"))
+
+
 @query("SELECT feature_idx, d FROM (SELECT feature_idx, sqrt(pow(x0 - 251003, 2) + pow(y0 - 1600207, 2)) AS d FROM P WHERE x0 BETWEEN 250503 AND 251503 AND y0 BETWEEN 1599707 AND 1600707) ORDER BY d, feature_idx LIMIT 1", "P")
 def knn_parcel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest parcel within a box around a point; one row is the feature."""
@@ -356,3 +388,42 @@ def polygonize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = F.get("rings", F.lit(0))
     least = lambda c: F.array_min(F.transform(outer, lambda p: F.round(F.get(p, F.lit(c)), 3)))
     return network.polygonize(drawing, least=cad.LEAST_AREA).select(least(0).alias("x"), least(1).alias("y"), F.round("area", 6).alias("area"), F.size("rings").alias("rings"), F.size(outer).alias("points"))
+
+
+#: Heights and widths of boxes, the overlap of a box with its right neighbour, and what is asked for: chains of requests on one feature (1: two clips, 4 and 5: a clip, a deletion, a clip of what is gone; 7: a gap and a boundary), a merge, and requests that are refused or ignored.
+BATCH = """H AS (SELECT feature_idx AS k, x0, y0, x1, y1, x1 - x0 AS w, y1 - y0 AS h, lead(y1 - y0) OVER (ORDER BY feature_idx) AS h2, lead((x1 - x0) * (y1 - y0)) OVER (ORDER BY feature_idx) AS area2 FROM P),
+I AS (SELECT *, (k % 5) * least(h, h2) AS lap, greatest(0.0, least(x1 + 1, 250900.0) - x0) * greatest(0.0, least(y1, 1600900.0) - y0) AS inner_area FROM H),
+N AS (SELECT k AS feature_idx, w * h - lap AS area FROM I WHERE k % 10 = 1 UNION ALL SELECT k, NULL FROM I WHERE k % 10 = 5
+ UNION ALL SELECT k, CASE WHEN inner_area > 0 THEN inner_area ELSE (w + 1) * h END FROM I WHERE k % 10 = 7
+ UNION ALL SELECT k, NULL FROM I WHERE k % 290 = 232 UNION ALL SELECT k + 1, w * h + area2 - lap FROM I WHERE k % 290 = 232),
+R AS (SELECT 10 * k + 1 AS request_id, NULL AS refused FROM I WHERE k % 10 = 1 UNION ALL SELECT 10 * k + 2, NULL FROM I WHERE k % 10 = 1 UNION ALL SELECT 10 * k + 3, NULL FROM I WHERE k % 10 = 4
+ UNION ALL SELECT 10 * k + 4, NULL FROM I WHERE k % 10 = 5 UNION ALL SELECT 10 * k + 5, 'not found' FROM I WHERE k % 10 = 5 UNION ALL SELECT 10 * k + 6, NULL FROM I WHERE k % 10 = 7
+ UNION ALL SELECT 10 * k + 7, CASE WHEN inner_area > 0 THEN NULL ELSE 'no intersection' END FROM I WHERE k % 10 = 7 UNION ALL SELECT 10 * k + 8, 'action not allowed' FROM I WHERE k % 10 = 8
+ UNION ALL SELECT 10 * k + 9, NULL FROM I WHERE k % 10 = 9 UNION ALL SELECT 10 * k, NULL FROM I WHERE k % 290 = 232)"""
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    layer = correction.with_parts(fx.parcels(spark, sf_dir).select("feature_idx", *BOX))
+    k = F.col("feature_idx")
+    strip = F.array(F.array(geo.rectangle(F.col("x1"), F.col("y0"), F.col("x1") + 1, F.col("y1"))))
+    ask = lambda when, id_, kind, action, of=k, other=None, gap=None: F.when(when, F.struct((10 * k + id_).alias("request_id"), F.lit(kind).alias("error_type"), F.lit(action).alias("action"), of.alias("feature_idx"), (F.lit(None) if other is None else other).cast("bigint").alias("other_idx"), (F.lit(None) if gap is None else gap).cast(planar.PARTS).alias("gap")))
+    t = k % 10
+    asked = [
+        ask(t == 1, 1, "OVERLAP", "clip_first", other=k + 1), ask(t == 1, 2, "OVERLAP", "clip_first", of=k + 1, other=k), ask(t == 4, 3, "OVERLAP", "clip_second", other=k + 1), ask(t == 5, 4, "INVALID_GEOM", "delete"), ask(t == 5, 5, "OVERLAP", "clip_first", other=k + 1),
+        ask(t == 7, 6, "GAP", "assign_to_neighbor", gap=strip), ask(t == 7, 7, "BOUNDARY_CROSS", "truncate"), ask(t == 8, 8, "SLIVER", "clip_first"), ask(t == 9, 9, "OVERLAP", "ignore"), ask(k % 290 == 232, 0, "SLIVER", "merge_neighbor", other=k + 1),
+    ]
+    requests = layer.select(F.explode(F.filter(F.array(*asked), lambda r: r.isNotNull())).alias("r")).select("r.*")
+    boundary = fx.communes_2013(spark, sf_dir).select("k", F.array(F.array(_ring())).alias("b"))
+    return batch.apply(layer, requests, boundary)
+
+
+@query("SELECT P.feature_idx, CASE WHEN N.feature_idx IS NULL THEN (x1 - x0) * (y1 - y0) ELSE N.area END AS area FROM P LEFT JOIN N USING (feature_idx) WHERE N.feature_idx IS NULL OR N.area IS NOT NULL", "P", BATCH)
+def correction_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer after a batch of corrections that depend on each other."""
+    return _batch(spark, sf_dir)[0].select("feature_idx", F.round(planar.area(F.col("parts")), 6).alias("area"))
+
+
+@query("SELECT request_id, refused IS NULL AS corrected, refused FROM R", "P", BATCH)
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each request."""
+    return _batch(spark, sf_dir)[1]

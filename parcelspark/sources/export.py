@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.sources.cad import dbf_bytes, shp_bytes
+from parcelspark.sources.geojson import feature_text
 
 #: Fields of the attribute table and their widths.
 FIELDS = [("NICAD", 16), ("SYSCOL", 8), ("SECTION", 3), ("PARCELLE", 5)]
@@ -19,9 +20,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep=";", header=True, quote='"', escape='"')
 
 
+def json_lines(df: DataFrame, geometry: str | None = None) -> DataFrame:
+    """Rows as JSON, one text each, without the geometry column unless it is wanted. A time is written in UTC, nulls are left in."""
+    df = df.drop(geometry) if geometry else df
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_json(df: DataFrame, path: str, geometry: str | None = None) -> None:
-    """Without the geometry column unless it is wanted."""
-    (df.drop(geometry) if geometry else df).write.json(path)
+    json_lines(df, geometry).write.text(path)
+
+
+def feature_lines(df: DataFrame, rings: str, columns: list[str]) -> DataFrame:
+    """Rows as GeoJSON features, one text each: polygons with the given columns as properties, by their names."""
+    props = F.create_map(*[c for name in columns for c in (F.lit(name), F.col(name).cast("string"))])
+    return df.select(feature_text(F.lit("Polygon"), F.col(rings), props).alias("value"))
 
 
 def shapefile_archives(parcels: DataFrame, part_rows: int = 50_000) -> DataFrame:

@@ -26,6 +26,11 @@ def features(documents: DataFrame, text: str = "value", strict: bool = True) ->
     return rows.select(*rest, F.col("feature_idx").cast("bigint").alias("feature_idx"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"), polygon.alias("rings"), parts.alias("parts"), F.coalesce("f.properties", F.create_map().cast("MAP<STRING, STRING>")).alias("props"))
 
 
+def typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
+    """rows (props) with some of their properties as columns of the given types; null where a text is none of its type."""
+    return rows.withColumns({name: F.try_element_at(F.col("props"), F.lit(name)).try_cast(kind) for name, kind in types.items()})
+
+
 def vertices(geom_type: Column, coordinates: Column) -> Column:
     """All vertices of a geometry of any type, from the JSON of its coordinates; null for collections of geometries."""
     of = lambda depth: F.from_json(coordinates, "ARRAY<" * depth + "DOUBLE" + ">" * depth)
