@@ -136,10 +136,10 @@ def test_written_tables_are_shared_and_go(spark, sf_dir):
     """Tables of an operator that is done are deleted, but for its result; on a cluster there must be a shared folder."""
     from unittest import mock
 
-    from parcelspark.llm import common
     from parcelspark.llm.queries import op5_embedding_dedup
+    from parcelspark.operators.lineage import shared_dir
 
-    folder = common.shared_dir(spark).replace("file:", "")
+    folder = shared_dir(spark).replace("file:", "")
     count = lambda: len([n for n in os.listdir(folder) if n.startswith("table-")])
     before = count()
     rows = op5_embedding_dedup(spark, sf_dir)
@@ -148,4 +148,4 @@ def test_written_tables_are_shared_and_go(spark, sf_dir):
     cluster.sparkContext.getCheckpointDir.return_value, cluster.sparkContext.master = None, "spark://host:7077"
     cluster.conf.get.return_value = None
     with pytest.raises(ValueError):
-        common.shared_dir(cluster)
+        shared_dir(cluster)
