@@ -1,6 +1,6 @@
 """Chat formatting with collapse of cumulative snapshots.
 
-A log may hold a conversation several times, each time a few turns longer. Every turn gets the hash of the conversation up to it, rolled on from turn to turn: the sums of two 60-bit parts of the SHA-256 of (position, role, text), which prefix sums compute without gathering a conversation. A conversation whose last hash, at its length, is a prefix hash of a longer one goes by an anti-join; of equal conversations the one with the smallest id stays. With 120 bits, no two different beginnings among 10^12 turns have one hash but with a chance of 1e-12. The turns of the maximal conversations are rendered, one row each, so the length of a conversation sets no task's size.
+A log may hold a conversation several times, each time a few turns longer. Every turn gets the hash of the conversation up to it, rolled on from turn to turn: the sums of two 60-bit parts of the SHA-256 of (position, role, text), which prefix sums compute without gathering a conversation. A conversation whose last hash, at its length, is a prefix hash of a longer one goes by an anti-join; of equal conversations the one with the smallest id stays. With 120 bits, no two different beginnings among 10^12 turns have one hash but with a chance of 1e-12. The turns of the maximal conversations are rendered, one row each. Where turns meet what is known of their conversation, they do so by conv_id: there a very long one is left to Spark's splitting of skewed joins.
 
 Turns are numbered after one sort by ranges: a row's place is the number of its conversation's rows in the ranges before, and within its range. So a long conversation, or one whose turns all have one number, is spread over tasks; only for the choice of ranges do texts count by their first characters.
 

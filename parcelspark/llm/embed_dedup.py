@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by random-hyperplane sign hashing.
 
-Equal vectors of a label become one class with a number of copies. Each of several tables hashes a class by the signs of its products with random hyperplanes; classes with equal signs share a bucket, and only buckets with two classes or more go on, with their vectors. A bucket is dealt out in parts of about ``PART`` classes (larger ones, up to ``MOST``, in buckets of over ``PART * PARTS``), and every two parts meet in a block of their own, so no task holds a hot bucket. A block computes exact cosines, keeps the links, and returns for each class the number of vectors that it is linked with and one link towards the smallest class it reaches there, never the pairs. A pair that shares several buckets counts in its first table only. The links' components are found by rounds of distributed joins; classes are named so that the smallest name of a component holds its smallest vec_id.
+Equal vectors of a label become one class with a number of copies. Each of several tables hashes a class by the signs of its products with random hyperplanes; classes with equal signs share a bucket, and only buckets with two classes or more go on, with their vectors. A bucket is dealt out in parts of about ``PART`` classes (larger ones, up to ``MOST``, in buckets of over ``PART * PARTS``), and every two parts meet in a block of their own, so no task compares a whole hot bucket. Only where classes meet the size of their bucket do they meet by the bucket; that join is left to Spark's splitting of skewed joins. A block computes exact cosines, keeps the links, and returns for each class the number of vectors that it is linked with and one link towards the smallest class it reaches there, never the pairs. A pair that shares several buckets counts in its first table only. The links' components are found by rounds of distributed joins; classes are named so that the smallest name of a component holds its smallest vec_id.
 
 With b bits, a pair at cosine 0.98 shares a bucket of one table with probability p = (1 - arccos(0.98) / pi)**b; the number of tables makes (1 - p)**tables at most ``MISS``. The bits grow with the logarithm of the rows, so buckets of unrelated vectors stay small.
 
