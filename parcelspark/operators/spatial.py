@@ -150,7 +150,7 @@ def nearest_area(points: DataFrame, areas: DataFrame, size: float, within: float
 
 
 def nearest_in_degrees(points: DataFrame, areas: DataFrame, size: float, within: float, id_: str, code: str) -> DataFrame:
-    """As nearest_area, for points (lon, lat) and polygons (parts) in degrees: candidates are found in metres of the projection, distances are those on the ellipsoid, from the nearest point of the outlines. Columns id_, code, distance and approx."""
+    """As nearest_area, for points (lon, lat) and polygons (parts) in degrees: candidates are found in metres of the projection, distances are those on the ellipsoid, from the nearest point of the outlines. A point within a micrometre of an outline, which is less than the projection's rounding, lies on it. Columns id_, code, distance and approx."""
     x, y = geo.to_utm(F.col("lon"), F.col("lat"))
     p = points.select(id_, x.alias("x"), y.alias("y"))
     # The projection's scale is within a thousandth of 1 in its zone.
@@ -161,6 +161,6 @@ def nearest_in_degrees(points: DataFrame, areas: DataFrame, size: float, within:
     near = box_join(around, shapes, size, ids=(id_, code))
     near = near.withColumn("inside", planar.holds(F.col("r_parts"), F.col("l_x"), F.col("l_y"))).withColumn("n", geo.nearest_on(F.col("l_x"), F.col("l_y"), F.flatten("r_parts")))
     ends = lambda n, x, y: geo.geodesic(*geo.to_wgs84(x, y), *geo.to_wgs84(n["px"], n["py"]))
-    near = near.withColumn("d", F.when(F.col("inside"), 0.0).otherwise(geo.let(ends, F.col("n"), F.col("l_x"), F.col("l_y")))).filter(F.col("d") <= within)
+    near = near.withColumn("d", F.when(F.col("inside") | (F.col("n.d") < 1e-6), 0.0).otherwise(geo.let(ends, F.col("n"), F.col("l_x"), F.col("l_y")))).filter(F.col("d") <= within)
     best = near.groupBy(F.col(f"l_{id_}").alias(id_)).agg(F.min(F.struct("d", F.col(f"r_{code}").alias(code))).alias("b"))
     return best.select(id_, F.col("b")[code].alias(code), F.col("b.d").alias("distance"), (F.col("b.d") > 0).alias("approx"))

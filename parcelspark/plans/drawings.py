@@ -235,7 +235,7 @@ def typed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.typed(rows, {"n": "bigint", "area": "double", "ok": "boolean", "odd": "bigint", "lacking": "date"}).select("c_custkey", "n", "area", "ok", "odd", "lacking")
 
 
-@query("SELECT section, count(*) AS n, sum(CASE WHEN section = '003' THEN feature_idx + 1 ELSE feature_idx END) AS ids FROM P WHERE section <> '005' AND NOT (section = '003' AND feature_idx % 2 = 1) GROUP BY section", "P")
+@query("SELECT section, count(*) AS n, CAST(sum(CASE WHEN section = '003' THEN feature_idx + 1 ELSE feature_idx END) AS BIGINT) AS ids FROM P WHERE section <> '005' AND NOT (section = '003' AND feature_idx % 2 = 1) GROUP BY section", "P")
 def layer_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers by section, after one has been replaced and one deleted."""
     path = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"

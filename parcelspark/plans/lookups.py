@@ -302,7 +302,7 @@ def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOXES = ", ".join(f"('{name}', '{code}', {x0}, {x1}, {y0}, {y1})" for name, code, x0, x1, y0, y1 in REGIONS)
 
 
-@query(f"SELECT code, name, count(lon) AS n, coalesce(sum(c_custkey), 0) AS ids FROM (VALUES {_BOXES}) AS r(name, code, x0, x1, y0, y1) LEFT JOIN (SELECT c_custkey, CAST(-18.0 + (c_custkey % 700) * 0.01 AS DOUBLE) AS lon, CAST(12.0 + (c_custkey % 490) * 0.01 AS DOUBLE) AS lat FROM customer) AS c ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY code, name")
+@query(f"SELECT code, name, count(lon) AS n, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS ids FROM (VALUES {_BOXES}) AS r(name, code, x0, x1, y0, y1) LEFT JOIN (SELECT c_custkey, CAST(-18.0 + (c_custkey % 700) * 0.01 AS DOUBLE) AS lon, CAST(12.0 + (c_custkey % 490) * 0.01 AS DOUBLE) AS lat FROM customer) AS c ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY code, name")
 def static_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many points lie in the box of each of the fourteen regions; boxes overlap, and some may have none."""
     points = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CAST(-18.0 + (c_custkey % 700) * 0.01 AS DOUBLE) AS lon", "CAST(12.0 + (c_custkey % 490) * 0.01 AS DOUBLE) AS lat")

@@ -204,8 +204,7 @@ def point_to_commune_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: F.array(*geo.to_wgs84(F.col(x), F.col(y)))
     areas = fx.communes_2026(spark, sf_dir).select("syscol", F.array(F.array(F.array(*[corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))]))).alias("parts"))
     best = nearest_in_degrees(sites.select("c_custkey", lon.alias("lon"), lat.alias("lat")), areas, 1000.0, 50.0, "c_custkey", "syscol")
-    # A point on a boundary may come back a nanometre off it.
-    return sites.select("c_custkey").join(best.select("c_custkey", "syscol", (F.col("distance") > 1e-6).alias("approx")), "c_custkey", "left")
+    return sites.select("c_custkey").join(best.drop("distance"), "c_custkey", "left")
 
 
 @query("SELECT feature_idx, x0, y0 FROM P", "P")
@@ -356,7 +355,7 @@ def gap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A parcel of half a metre's height leaves a void up to the next row, less what its left neighbour covers; at the right end the hull goes 4 m on.
-VOIDS = "W AS (SELECT feature_idx AS k, CASE WHEN feature_idx % 100 > 0 THEN (feature_idx - 1) % 5 ELSE 0 END AS l, CASE WHEN feature_idx % 100 = 99 THEN 44 ELSE 40 END AS r, x0, y0 FROM P WHERE feature_idx % 29 = 0), O2 AS (SELECT (r - l) * 29.5 AS area, x0 + CAST(l + r AS DOUBLE) / 2 AS x, y0 + 15.25 AS y FROM W)"
+VOIDS = "W AS (SELECT feature_idx AS k, CASE WHEN feature_idx % 100 > 0 THEN (feature_idx - 1) % 5 ELSE 0 END AS l, CASE WHEN feature_idx % 100 = 99 THEN 44 ELSE 40 END AS r, x0, y0 FROM P WHERE feature_idx % 29 = 0), O2 AS (SELECT CAST((r - l) * 29.5 AS DOUBLE) AS area, x0 + CAST(l + r AS DOUBLE) / 2 AS x, y0 + 15.25 AS y FROM W)"
 
 
 @query("SELECT area, x, y FROM O2", "P", VOIDS)
