@@ -6,16 +6,21 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from parcelspark.sources.cad import SHAPES, dbf_bytes, dbf_rows, polygon_records, shp_bytes
 
-#: Records that a task reads, and that a file which is written has at most.
-RECORDS, WRITTEN = 50_000, 50_000
+#: Records that a task reads at a time, and that a file which is written has at most; tasks that read, at least, before they take several ranges each.
+RECORDS, WRITTEN, TASKS = 50_000, 50_000, 256
 UTM28 = b'PROJCS["WGS 84 / UTM zone 28N"]'
+#: SHAPES in Arrow: batches of columns cross to Spark as they are, rows would be turned one value at a time. Rows of a batch.
+COLUMNS = pa.schema([("path", pa.string()), ("feature_idx", pa.int64()), ("geom_type", pa.string()), ("rings", pa.list_(pa.list_(pa.list_(pa.float64())))), ("props", pa.map_(pa.string(), pa.string())), ("utm28", pa.bool_())])
+BATCH = 10_000
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -24,12 +29,13 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Range(InputPartition):
-    """Records [first, last) of one file; last None: all, where there is no index."""
+    """Records [first, last) of one file, in steps that are read one after the other; last None: all, where there is no index."""
 
     stem: str
     names: dict[str, str]
     first: int
     last: int | None
+    step: int = RECORDS
 
 
 def _bytes(store: fs.FileSystem, name: str, at: int = 0, size: int | None = None) -> bytes:
@@ -39,7 +45,7 @@ def _bytes(store: fs.FileSystem, name: str, at: int = 0, size: int | None = None
 
 class Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.records = options["path"], int(options.get("records", RECORDS))
+        self.path, self.records, self.tasks = options["path"], int(options.get("records", RECORDS)), int(options.get("tasks", TASKS))
 
     def partitions(self) -> list[Range]:
         store, root = _store(self.path)
@@ -51,17 +57,27 @@ class Reader(DataSourceReader):
             if ending.lower() in ("shp", "shx", "dbf", "prj"):
                 stems.setdefault(stem, {})[ending.lower()] = name
         out = []
+        counts = {stem: (store.get_file_info(names["shx"]).size - 100) // 8 for stem, names in stems.items() if "shx" in names}
+        # Where there are many ranges, a task reads several in a row.
+        each = self.records * max(1, -(-sum(-(-n // self.records) for n in counts.values()) // self.tasks))
         for stem, names in stems.items():
             if "shx" in names:
-                n = (store.get_file_info(names["shx"]).size - 100) // 8
-                out += [Range(stem, names, k, min(k + self.records, n)) for k in range(0, n, self.records)]
+                n = counts[stem]
+                out += [Range(stem, names, k, min(k + each, n), self.records) for k in range(0, n, each)]
             elif "shp" in names:
                 out.append(Range(stem, names, 0, None))
         return [r for r in out if "shp" in r.names]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.last is None:
+            yield from self._read(partition, partition.first, None)
+        else:
+            for first in range(partition.first, partition.last, partition.step):
+                yield from self._read(partition, first, min(first + partition.step, partition.last))
+
+    def _read(self, partition: Range, first: int, last: int | None) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
-        names, first, last = partition.names, partition.first, partition.last
+        names = partition.names
         prj = _bytes(store, names["prj"]).decode("latin-1") if "prj" in names else ""
         utm = "UTM" in prj.upper() and "28" in prj
         if last is None:
@@ -78,9 +94,13 @@ class Reader(DataSourceReader):
             fields = _bytes(store, names["dbf"], 0, start)
             rows = _bytes(store, names["dbf"], start + first * width, max(upto - first, 0) * width)
             props = dbf_rows(fields[:4] + struct.pack("<I", max(upto - first, 0)) + fields[8:] + rows)
-        for k, rings in enumerate(polygon_records(shp)):
-            kind = "Polygon" if rings and len(rings[0]) > 1 else "Point" if rings else None
-            yield partition.stem, first + k, kind, rings, props[k] if k < len(props) else {}, utm
+        records, k = polygon_records(shp), 0
+        while shapes := list(islice(records, BATCH)):
+            kinds = ["Polygon" if rings and len(rings[0]) > 1 else "Point" if rings else None for rings in shapes]
+            named = [list(props[i].items()) if i < len(props) else [] for i in range(k, k + len(shapes))]
+            columns = [[partition.stem] * len(shapes), range(first + k, first + k + len(shapes)), kinds, shapes, named, [utm] * len(shapes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COLUMNS, strict=True)], schema=COLUMNS)
+            k += len(shapes)
 
 
 @dataclass
@@ -88,7 +108,7 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Rows of rings (array of rings) and props (a map of texts); options: path, fields as name:width, separated by commas."""
 
     def __init__(self, options, schema):
@@ -108,11 +128,11 @@ class Writer(DataSourceWriter):
 
     def write(self, iterator) -> Written:
         rings, props, held, names = self.columns.index("rings"), self.columns.index("props"), [], []
-        for row in iterator:
-            held.append((row[rings], row[props]))
-            if len(held) == WRITTEN:
-                names.append(self._flush(held))
-                held = []
+        for batch in iterator:
+            held += zip(batch.column(rings).to_pylist(), [dict(m or ()) for m in batch.column(props).to_pylist()], strict=True)
+            while len(held) >= WRITTEN:
+                names.append(self._flush(held[:WRITTEN]))
+                held = held[WRITTEN:]
         return Written(names + ([self._flush(held)] if held else []))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -146,7 +166,7 @@ class Shapefiles(DataSource):
 def read(spark: SparkSession, path: str, records: int = RECORDS) -> DataFrame:
     """The features of a shapefile, or of all in a folder: path, feature_idx, geom_type, rings, props, utm28."""
     spark.dataSource.register(Shapefiles)
-    return spark.read.format("shapefile").option("records", records).load(path)
+    return spark.read.format("shapefile").option("records", records).option("tasks", max(TASKS, 8 * spark.sparkContext.defaultParallelism)).load(path)
 
 
 def write(df: DataFrame, path: str, fields: list[tuple[str, int]]) -> None:

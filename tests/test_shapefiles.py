@@ -1,5 +1,7 @@
 """Shapefiles in ranges of records, written by several tasks and read again."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as geo
@@ -32,3 +34,12 @@ def test_tasks_write_files_of_their_own(spark, tmp_path):
     got = back.agg(F.count("*"), F.sum(F.col("props")["NICAD"].cast("long")), F.sum(geo.polygon_area(F.col("rings")))).first()
     assert tuple(got) == (5000, 5000 * 4999 // 2, 10_000.0)
     shapefiles.write(rows.limit(0), str(tmp_path / "none"), [("NICAD", 16)])
+
+
+def test_writing_grows_with_the_records():
+    """30,000 records take seconds of a processor, not the square of their number."""
+    boxes = [[[[k, 0.0], [k + 1.0, 0.0], [k + 1.0, 1.0], [k, 1.0], [k, 0.0]]] for k in map(float, range(30_000))]
+    start = time.process_time()
+    shp, shx = cad.shp_bytes(boxes)
+    assert time.process_time() - start < 6
+    assert (len(shp), len(shx)) == (100 + 30_000 * 136, 100 + 30_000 * 8)
