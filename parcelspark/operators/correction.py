@@ -100,18 +100,25 @@ def committed(errors: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("error_id", "error_type", "action", (F.col("corrected") | F.coalesce(may, F.lit(False))).alias("corrected"), refused.alias("refused"))
 
 
+def _sharing(features: DataFrame, size: float) -> DataFrame:
+    """l_feature_idx, r_feature_idx, area of features that share an area, in both directions. A pair meets and is measured once, and only where the boxes' interiors meet; only what that needs goes to the cells."""
+    slim = features.select("feature_idx", *BOX, *[c for c in ("parts",) if c in features.columns])
+    pairs = box_join(slim, slim, size, touching=False, self_join_on="feature_idx", ids=("feature_idx", "feature_idx"))
+    pairs = pairs.select("l_feature_idx", "r_feature_idx", overlap_area(pairs).alias("area")).filter("area > 0")
+    way = lambda a, b: F.struct(F.col(a).alias("l_feature_idx"), F.col(b).alias("r_feature_idx"))
+    return pairs.select(F.explode(F.array(way("l_feature_idx", "r_feature_idx"), way("r_feature_idx", "l_feature_idx"))).alias("p"), "area").select("p.*", "area")
+
+
 def overlap_partners(features: DataFrame, size: float = 60.0) -> DataFrame:
     """For each feature the one that it shares the most area with; the lower id of equals."""
-    pairs = box_join(features, features, size, ids=("feature_idx", "feature_idx")).filter("l_feature_idx <> r_feature_idx")
-    pairs = pairs.withColumn("area", overlap_area(pairs)).filter("area > 0")
+    pairs = _sharing(features, size)
     best = F.min_by(F.struct(F.col("r_feature_idx").alias("partner_idx"), F.col("area").alias("shared_area")), F.struct(-F.col("area"), F.col("r_feature_idx")))
     return pairs.groupBy(F.col("l_feature_idx").alias("feature_idx")).agg(best.alias("b")).select("feature_idx", "b.*")
 
 
 def top_partners(features: DataFrame, most: int, size: float = 60.0) -> DataFrame:
     """For each feature the ``most`` that it shares the most area with, in order: partner_idx, place. A feature's own neighbours meet, no more."""
-    pairs = box_join(features, features, size, ids=("feature_idx", "feature_idx")).filter("l_feature_idx <> r_feature_idx")
-    pairs = pairs.withColumn("area", overlap_area(pairs)).filter("area > 0")
+    pairs = _sharing(features, size)
     place = F.row_number().over(Window.partitionBy("l_feature_idx").orderBy(F.desc("area"), "r_feature_idx"))
     return pairs.select(F.col("l_feature_idx").alias("feature_idx"), F.col("r_feature_idx").alias("partner_idx"), place.cast("bigint").alias("place")).filter(F.col("place") <= most)
 

@@ -143,7 +143,9 @@ def overlap_errors(parcels: DataFrame, **how) -> DataFrame:
 
 def partial_overlaps(parcels: DataFrame, size: float = 60.0) -> DataFrame:
     """Pairs whose interiors meet where neither holds the other: both have area outside what they share."""
-    pairs = box_join(parcels, parcels, size, touching=True, self_join_on="feature_idx", ids=("feature_idx", "feature_idx"))
+    # Interiors meet only where those of the boxes do; only what that needs goes to the cells.
+    slim = parcels.select("feature_idx", *BOX, *[c for c in ("parts",) if c in parcels.columns])
+    pairs = box_join(slim, slim, size, touching=False, self_join_on="feature_idx", ids=("feature_idx", "feature_idx"))
     pairs = pairs.withColumn("shared", overlap_area(pairs)).filter("shared > 0")
     more = lambda side: own_area(pairs, side) - F.col("shared") > 1e-9 * own_area(pairs, side)
     return pairs.filter(more("l_") & more("r_")).select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"))
