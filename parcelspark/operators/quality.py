@@ -151,12 +151,20 @@ def partial_overlaps(parcels: DataFrame, size: float = 60.0) -> DataFrame:
     return pairs.filter(more("l_") & more("r_")).select(F.col("l_feature_idx").alias("i"), F.col("r_feature_idx").alias("j"))
 
 
-def intersecting(left: DataFrame, right: DataFrame, size: float = 60.0) -> DataFrame:
-    """Pairs of rows whose geometries have a point in common, be it of their outlines: their interiors meet, or an outline comes within 1e-9 of the other's vertices or crosses it."""
-    pairs = box_join(left, right, size, touching=True)
-    if not {"l_parts", "r_parts"} <= set(pairs.columns):
-        return pairs
-    return pairs.withColumn("shared", overlap_area(pairs)).filter((F.col("shared") > 0) | geo.touches(F.flatten("l_parts"), F.flatten("r_parts"))).drop("shared")
+def intersecting(left: DataFrame, right: DataFrame, size: float = 60.0, self_join_on: str | None = None) -> DataFrame:
+    """Pairs of rows whose geometries have a point in common, be it of their outlines: their interiors meet, or an outline comes within 1e-9 of the other's vertices or crosses it. Columns l_* and r_* without the geometries (parts). self_join_on: only pairs with l < r in this column.
+
+    Of two rows that are boxes the boxes tell; geometries of boxes are not moved, but made again where the other row is none."""
+    if not {"parts"} <= set(left.columns) & set(right.columns):
+        return box_join(left, right, size, touching=True, self_join_on=self_join_on)
+    thin = lambda df: df.filter("parts is not null").withColumn("parts", F.when(~F.coalesce(planar._is_box(F.col("parts")), F.lit(False)), F.col("parts")))
+    lft = thin(left)
+    pairs = box_join(lft, lft if right is left else thin(right), size, touching=True, self_join_on=self_join_on)
+    boxes = F.col("l_parts").isNull() & F.col("r_parts").isNull()
+    shape = lambda p: F.when(~boxes, F.coalesce(f"{p}parts", F.array(F.array(outline(pairs.drop(f"{p}parts"), p)))))
+    pairs = pairs.withColumns({"__a": shape("l_"), "__b": shape("r_")})
+    met = boxes | (planar.shared_area(F.col("__a"), F.col("__b")) > 0) | geo.touches(F.flatten("__a"), F.flatten("__b"))
+    return pairs.filter(met).drop("__a", "__b", "l_parts", "r_parts")
 
 
 def boundary_errors(parcels: DataFrame, boundary: DataFrame) -> DataFrame:

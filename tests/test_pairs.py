@@ -34,3 +34,14 @@ def test_boxes_that_only_touch_are_no_overlaps(spark, monkeypatch):
     met = _met(monkeypatch, quality)
     assert [tuple(r) for r in quality.partial_overlaps(_layer(spark)).collect()] == [(0, 1)]
     assert [m.count() for m in met] == [1]
+
+
+def test_boxes_that_touch_intersect_without_their_geometries(spark, monkeypatch):
+    met = _met(monkeypatch, quality)
+    layer = _layer(spark)
+    # A triangle whose box meets that of 12, but not 12 itself, and one that touches 0 in a corner.
+    far = spark.sql("SELECT 100L feature_idx, 25D x0, 15D y0, 45D x1, 45D y1, array(array(array(array(45D, 15D), array(45D, 45D), array(25D, 45D), array(45D, 15D)))) parts UNION ALL SELECT 101L, -9D, -9D, 0D, 0D, array(array(array(array(-9D, -9D), array(0D, 0D), array(-9D, 0D), array(-9D, -9D))))")
+    both = layer.filter("feature_idx in (0, 1, 2, 12)").unionByName(far)
+    got = {(r["l_feature_idx"], r["r_feature_idx"]) for r in quality.intersecting(both, both, self_join_on="feature_idx").collect()}
+    assert got == {(0, 1), (1, 2), (1, 12), (2, 12), (0, 101)}
+    assert met[0].filter("l_feature_idx < 100 and (l_parts is not null)").count() == 0
