@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import geometry as geo
 from parcelspark.operators.components import connected
 from parcelspark.operators.grouping import whole_groups
-from parcelspark.operators.lineage import materialise, tidy
+from parcelspark.operators.lineage import discard, materialise, tidy
 from parcelspark.operators.spatial import box_join
 
 ENDS = ["ax", "ay", "bx", "by"]
@@ -34,18 +34,20 @@ def segments(lines: DataFrame, grid: float) -> DataFrame:
 
 
 def _cuts(pairs: DataFrame) -> DataFrame:
-    """net, ends of a segment, x, y: where the segments of pairs (l_*, r_*) cut each other. Both get the same node: an end that is at most a cell away, else the rounded crossing."""
-    v = lambda side, c: F.col(f"{side}_{c}").cast("double")
+    """net, ends of a segment, x, y: where the segments of pairs (l_net, l_seg, r_seg) cut each other, but for their own ends. Both get the same node: an end that is at most a cell away, else the rounded crossing."""
+    # One step after the other, so that no expression is repeated inside the next.
+    v = lambda side, c: F.col(f"{side}_seg")[c].cast("double")
     dx, dy, ex, ey = v("l", "bx") - v("l", "ax"), v("l", "by") - v("l", "ay"), v("r", "bx") - v("r", "ax"), v("r", "by") - v("r", "ay")
     qx, qy = v("r", "ax") - v("l", "ax"), v("r", "ay") - v("l", "ay")
-    turn = dx * ey - dy * ex
-    t, u = F.try_divide(qx * ey - qy * ex, turn), F.try_divide(qx * dy - qy * dx, turn)
-    crosses = (turn != 0) & t.between(0, 1) & u.between(0, 1)
-    x, y = F.floor(v("l", "ax") + t * dx + 0.5).cast("long"), F.floor(v("l", "ay") + t * dy + 0.5).cast("long")
-    end = lambda side, e: F.struct(F.col(f"{side}_{e}x").alias("x"), F.col(f"{side}_{e}y").alias("y"))
-    close = lambda e: (F.abs(e["x"] - x) <= 1) & (F.abs(e["y"] - y) <= 1)
+    rows = pairs.select(F.col("l_net").alias("net"), "l_seg", "r_seg", (dx * ey - dy * ex).alias("turn"), (qx * ey - qy * ex).alias("t"), (qx * dy - qy * dx).alias("u"))
+    rows = rows.withColumns({"t": F.try_divide("t", "turn"), "u": F.try_divide("u", "turn")})
+    crosses = (F.col("turn") != 0) & F.col("t").between(0, 1) & F.col("u").between(0, 1)
+    x, y = (F.floor(v("l", f"a{c}") + F.col("t") * d + 0.5).cast("long") for c, d in (("x", dx), ("y", dy)))
+    rows = rows.select("net", "l_seg", "r_seg", F.when(crosses, x).alias("x"), F.when(crosses, y).alias("y"))
+    end = lambda side, e: F.struct(F.col(f"{side}_seg")[f"{e}x"].alias("x"), F.col(f"{side}_seg")[f"{e}y"].alias("y"))
+    close = lambda e: (F.abs(e["x"] - F.col("x")) <= 1) & (F.abs(e["y"] - F.col("y")) <= 1)
     ends = [end(side, e) for side in "lr" for e in "ab"]
-    crossing = F.when(crosses, F.coalesce(*[F.when(close(e), e) for e in ends], F.struct(x.alias("x"), y.alias("y"))))
+    crossing = F.when(F.col("x").isNotNull(), F.coalesce(*[F.when(close(e), e) for e in ends], F.struct("x", "y")))
 
     def on(p: Column, side: str) -> Column:
         """An end that lies on the other segment, at most half a cell off."""
@@ -55,8 +57,11 @@ def _cuts(pairs: DataFrame) -> DataFrame:
         off = px * sy - py * sx
         return F.when((along > 0) & (along < long) & (off * off <= 0.25 * long), p)
 
-    of = lambda side, others: F.transform(F.filter(F.array(crossing, *[on(p, side) for p in others]), lambda p: p.isNotNull()), lambda p: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in ENDS], p.alias("at")))
-    return pairs.select(F.col("l_net").alias("net"), F.explode(F.concat(of("l", ends[2:]), of("r", ends[:2]))).alias("c")).select("net", "c.*").select("net", *ENDS, "at.x", "at.y")
+    rows = rows.select("net", "l_seg", "r_seg", crossing.alias("at"), *[on(p, side).alias(f"{side}{k}") for side, others in (("l", ends[2:]), ("r", ends[:2])) for k, p in enumerate(others)])
+    inner = lambda side, c: F.when((F.col(c) != end(side, "a")) & (F.col(c) != end(side, "b")), F.struct(F.col(f"{side}_seg").alias("seg"), F.col(c).alias("at")))
+    found = [inner(side, c) for side in "lr" for c in ("at", f"{side}0", f"{side}1")]
+    rows = rows.filter(F.coalesce(*found).isNotNull()).select("net", F.explode(F.array(*found)).alias("c")).filter("c is not null")
+    return rows.select("net", "c.seg.*", "c.at.*")
 
 
 def edges(segs: DataFrame, size: float) -> DataFrame:
@@ -64,15 +69,22 @@ def edges(segs: DataFrame, size: float) -> DataFrame:
     # Long segments meet others by pieces of about a cell, whose boxes are small whatever their direction.
     d = lambda c: F.col(c).cast("double")
     parts = F.greatest(F.lit(1.0), F.ceil(F.greatest(F.abs(d("bx") - d("ax")), F.abs(d("by") - d("ay"))) / size)).cast("int")
-    pieces = segs.select("net", *ENDS, F.struct(*ENDS).alias("seg"), parts.alias("parts")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pieces = segs.select("net", *ENDS, parts.alias("parts")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     at = lambda c, k: d(f"a{c}") + (d(f"b{c}") - d(f"a{c}")) * k / F.col("parts")
-    boxes = pieces.select("net", *ENDS, "seg", *[(f(at(c, F.col("k")), at(c, F.col("k") + 1)) + step).alias(f"{c}{e}") for f, step, e in ((F.least, -1, 0), (F.greatest, 1, 1)) for c in "xy"])
-    pairs = box_join(boxes, boxes, size, self_join_on="seg", by=["net"])
-    at = _cuts(pairs.select("l_net", *[f"{p}_{c}" for p in "lr" for c in ENDS]).distinct()).unionByName(segs.select("net", *ENDS, F.col("ax").alias("x"), F.col("ay").alias("y"))).unionByName(segs.select("net", *ENDS, F.col("bx").alias("x"), F.col("by").alias("y"))).distinct()
+    boxes = pieces.select("net", F.struct(*ENDS).alias("seg"), *[(f(at(c, F.col("k")), at(c, F.col("k") + 1)) + step).alias(f"{c}{e}") for f, step, e in ((F.least, -1, 0), (F.greatest, 1, 1)) for c in "xy"])
+    # Pieces of the same two segments may meet more than once: what they cut is found again and counts once, so the pairs, which are many more than the cuts, need no distinct.
+    cuts = _cuts(box_join(boxes, boxes, size, self_join_on="seg", by=["net"]).select("l_net", "l_seg", "r_seg")).distinct()
     along = (d("x") - d("ax")) * (d("bx") - d("ax")) + (d("y") - d("ay")) * (d("by") - d("ay"))
-    order = Window.partitionBy("net", *ENDS).orderBy("along", "x", "y")
-    node = F.struct("x", "y")
-    rows = at.withColumn("along", along).select("net", node.alias("p"), F.lead(node).over(order).alias("q")).filter("q is not null and p <> q")
+    nodes = segs.select("net", *ENDS, F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(cuts)
+    # A segment is the row of its first end; the second end comes in where the order goes past it.
+    place, last = F.struct(along.alias("along"), "x", "y"), F.struct((F.pow(d("bx") - d("ax"), 2) + F.pow(d("by") - d("ay"), 2)).alias("along"), F.col("bx").alias("x"), F.col("by").alias("y"))
+    order = Window.partitionBy("net", *ENDS).orderBy(along, "x", "y")
+    rows = nodes.select("net", place.alias("p"), F.lead(place).over(order).alias("q"), last.alias("b"))
+    way = lambda p, q: F.struct(F.col(p).alias("p"), F.col(q).alias("q"))
+    passes = (F.col("p") < F.col("b")) & F.coalesce(F.col("q") > F.col("b"), F.lit(True))
+    rows = rows.select("net", F.explode(F.when(passes, F.array(way("p", "b"), way("b", "q"))).otherwise(F.array(way("p", "q")))).alias("s"))
+    node = lambda c: F.struct(F.col(f"s.{c}.x").alias("x"), F.col(f"s.{c}.y").alias("y"))
+    rows = rows.filter("s.q is not null").select("net", node("p").alias("p"), node("q").alias("q")).filter("p <> q")
     rows = rows.select("net", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     return rows.select("net", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
@@ -82,18 +94,19 @@ def _name(*of: Column | str) -> Column:
 
 
 def outlines(edge: DataFrame) -> DataFrame:
-    """Half-edges: net, ax, ay, bx, by (from a to b), e, next and outline, the same for all that follow each other."""
+    """Half-edges: net, ax, ay, bx, by (from a to b), cx, cy (to which the next one leads) and outline, the same for all that follow each other. Half-edges are named by hashes only where they are linked; tables keep their nodes, which pack well."""
     turned = edge.select("net", F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    half = edge.unionByName(turned).select("net", *ENDS, _name("net", *ENDS).alias("e"), _name("net", "bx", "by", "ax", "ay").alias("twin"))
-    angle = F.atan2((F.col("by") - F.col("ay")).cast("double"), (F.col("bx") - F.col("ax")).cast("double"))
-    around = Window.partitionBy("net", "ax", "ay").orderBy("angle", "e")
-    last = F.last("e").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    half = half.withColumn("angle", angle).withColumn("next_of_twin", F.coalesce(F.lag("e").over(around), last))
-    half = materialise(half.drop("angle"))
-    follows = half.select(F.col("twin").alias("a"), F.col("next_of_twin").alias("b"))
-    of = connected(follows).select(F.col("id").alias("e"), F.col("root").alias("outline"))
-    rows = half.select("net", *ENDS, "e").hint("merge").join(follows.select(F.col("a").alias("e"), F.col("b").alias("next")).hint("merge"), "e")
-    return materialise(rows.join(of.hint("merge"), "e"))
+    # Around the node b that half-edges lead to, in the order of the angles back to their a: the one before leads on.
+    angle = F.atan2((F.col("ay") - F.col("by")).cast("double"), (F.col("ax") - F.col("bx")).cast("double"))
+    around = Window.partitionBy("net", "bx", "by").orderBy(angle, "ax", "ay")
+    other = F.struct("ax", "ay")
+    before = F.coalesce(F.lag(other).over(around), F.last(other).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    half = edge.unionByName(turned).select("net", *ENDS, before.alias("c"))
+    half = materialise(half.select("net", *ENDS, F.col("c.ax").alias("cx"), F.col("c.ay").alias("cy")))
+    of = connected(half.select(_name("net", *ENDS).alias("a"), _name("net", "bx", "by", "cx", "cy").alias("b")))
+    out = materialise(half.withColumn("id", _name("net", *ENDS)).hint("merge").join(of.hint("merge"), "id").drop("id").withColumnRenamed("root", "outline"))
+    discard(half, of)
+    return out
 
 
 def bounding(half: DataFrame) -> DataFrame:
@@ -103,24 +116,32 @@ def bounding(half: DataFrame) -> DataFrame:
     return each.select("net", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
 
+RING = "net string, outline binary, ring array<array<double>>, outer boolean, area double, x0 double, y0 double, x1 double, y1 double"
+
+
 def _chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (outline, e, next, ax, ay) of whole outlines to their rings, from the smallest node on."""
+    """From (net, outline, ax, ay, bx, by, cx, cy) of whole outlines to their rings, from the smallest node on, with whether they run counter-clockwise, area and bounds, in cells. The area is exact, since it is added up in integers; outlines without one are left out."""
+    types = [pa.string(), pa.binary(), pa.list_(pa.list_(pa.float64())), pa.bool_(), *[pa.float64()] * 5]
     for t in whole_groups(batches, ["outline"], 20_000):
-        rows, rings = t.to_pylist(), []
-        first = 0
-        while first < len(rows):
+        net, outline = t["net"].to_pylist(), t["outline"].to_pylist()
+        a, b, c = (list(zip(t[f"{e}x"].to_pylist(), t[f"{e}y"].to_pylist(), strict=True)) for e in "abc")
+        rows, first = [], 0
+        while first < len(net):
             last = first
-            while last < len(rows) and rows[last]["outline"] == rows[first]["outline"]:
+            while last < len(net) and outline[last] == outline[first]:
                 last += 1
-            by = {r["e"]: r for r in rows[first:last]}
-            at = start = min(by.values(), key=lambda r: (r["ax"], r["ay"], r["e"]))
-            ring = [(at["ax"], at["ay"])]
-            while (at := by[at["next"]]) is not start:
-                ring.append((at["ax"], at["ay"]))
-            rings.append((start["outline"], [[float(x), float(y)] for x, y in [*ring, ring[0]]]))
+            leads = {(a[k], b[k]): c[k] for k in range(first, last)}
+            start = at = min(leads)
+            ring = [at[0]]
+            while (at := (at[1], leads[at])) != start:
+                ring.append(at[0])
+            twice = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, [*ring[1:], ring[0]], strict=True))
+            if twice:
+                x, y = zip(*ring, strict=True)
+                rows.append((net[first], outline[first], [[float(u), float(v)] for u, v in [*ring, ring[0]]], twice > 0, abs(twice) / 2, float(min(x)), float(min(y)), float(max(x)), float(max(y))))
             first = last
-        outline, ring = zip(*rings, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(outline, pa.binary()), pa.array(ring, pa.list_(pa.list_(pa.float64())))], names=["outline", "ring"])
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, types, strict=True)], names=[f.split()[0] for f in RING.split(", ")])
 
 
 @tidy
@@ -129,23 +150,22 @@ def polygonize(lines: DataFrame, grid: float = 1e-3, size: float = 50.0, least:
 
     grid: the cell to which nodes are rounded; size: about the usual length of a line; faces under ``least`` or over ``most`` square units are left out, after their holes have been taken off. Empty nets have no faces."""
     width = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edge = materialise(edges(materialise(segments(lines, grid)), size / grid))
+    segs = materialise(segments(lines, grid))
+    edge = materialise(edges(segs, size / grid))
+    discard(segs)
     half = outlines(edge)
     real = materialise(bounding(half))
     if real.count() < edge.count():
+        discard(half, edge)
         half = outlines(real)
-    # Twice the area in cells, exactly: a product of two differences of coordinates, summed as decimals.
-    origin = half.groupBy("net").agg(F.min("ax").alias("ox"), F.min("ay").alias("oy"))
-    rel = half.join(origin, "net")
-    d = lambda c, o: (F.col(c) - F.col(o)).cast("decimal(18,0)")
-    twice = d("ax", "ox") * d("by", "oy") - d("bx", "ox") * d("ay", "oy")
-    about = rel.groupBy("net", "outline").agg(F.sum(twice).alias("twice"), *[f(c).cast("double").alias(n) for f, c, n in ((F.min, "ax", "x0"), (F.min, "ay", "y0"), (F.max, "ax", "x1"), (F.max, "ay", "y1"))])
-    about = materialise(about.filter("twice <> 0").withColumn("area", F.abs("twice").cast("double") / 2))
-    rings = half.select("outline", "e", "next", "ax", "ay").repartition(width, "outline").sortWithinPartitions("outline").mapInArrow(_chained, "outline binary, ring array<array<double>>")
-    rings = materialise(about.hint("merge").join(rings.hint("merge"), "outline"))
-    faces, holes = rings.filter("twice > 0"), rings.filter("twice < 0")
+    rings = half.repartition(width, "outline").sortWithinPartitions("outline").mapInArrow(_chained, RING)
+    rings = materialise(rings)
+    discard(half, real)
+    faces, holes = rings.filter("outer"), rings.filter("not outer")
+    # What is as large as the largest face, as the outside of a whole drawing, is in no face.
+    holes_within = holes.join(F.broadcast(faces.agg(F.max("area").alias("largest"))), F.col("area") < F.col("largest"))  # one row
     box = ["x0", "y0", "x1", "y1"]
-    near = box_join(holes.select("net", "outline", "area", *box, F.get("ring", F.lit(0)).alias("p")), faces.select("net", "outline", "area", *box), size / grid, by=["net"])
+    near = box_join(holes_within.select("net", "outline", "area", *box, F.get("ring", F.lit(0)).alias("p")), faces.select("net", "outline", "area", *box), size / grid, by=["net"])
     around = (F.col("r_area") > F.col("l_area")) & (F.col("r_x0") <= F.col("l_x0")) & (F.col("r_y0") <= F.col("l_y0")) & (F.col("r_x1") >= F.col("l_x1")) & (F.col("r_y1") >= F.col("l_y1"))
     near = near.filter(around).hint("merge").join(faces.select(F.col("outline").alias("r_outline"), F.col("ring").alias("r_ring")).hint("merge"), "r_outline")
     near = near.filter(geo.point_in_ring(F.get("l_p", F.lit(0)), F.get("l_p", F.lit(1)), F.col("r_ring")))

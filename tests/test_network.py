@@ -6,10 +6,11 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from parcelspark.operators import components
+from parcelspark.operators import components, lineage, network
 from parcelspark.operators.components import connected
 from parcelspark.operators.network import polygonize
 from parcelspark.operators.running import running
+from parcelspark.operators.spatial import box_join
 
 LINES = "net string, points array<array<double>>"
 
@@ -110,3 +111,23 @@ def test_running_values(spark):
         for r in (r for r in got if r["g"] == g):
             s, m = s + (r["v"] or 0), r["i"] if r["v"] == 2 else m
             assert (r["s"], r["m"]) == (s, m)
+
+
+def test_components_leave_one_table(spark, tmp_path, monkeypatch):
+    """What rounds have written is deleted when it has been read; only the result stays."""
+    written = tmp_path / "shared"
+    written.mkdir()
+    monkeypatch.setattr(lineage, "shared_dir", lambda _: str(written))
+    monkeypatch.setattr(components, "FEW", 50)
+    name = lambda v: F.unhex(F.md5(v.cast("string")))
+    out = connected(spark.range(2000).filter("id % 20 <> 19").select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b")))
+    assert len(list(written.iterdir())) == 1
+    assert out.groupBy("root").count().filter("count = 20").count() == 100
+
+
+def test_shared_ends_are_no_cuts(spark):
+    """Segments that only share an end cut nothing; one that ends on another, or crosses it, does."""
+    segs = spark.createDataFrame([("n", 0, 0, 100, 0), ("n", 0, 0, 0, 100), ("n", 50, 0, 50, 80), ("n", 0, 40, 90, 40)], "net string, ax long, ay long, bx long, by long")
+    boxes = segs.select("net", F.struct(*network.ENDS).alias("seg"), *[F.col(f"{e}{c}").cast("double").alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"])
+    pairs = box_join(boxes, boxes, 60.0, self_join_on="seg", by=["net"]).select("l_net", "l_seg", "r_seg")
+    assert {(r.ax, r.ay, r.x, r.y) for r in network._cuts(pairs).collect()} == {(0, 0, 50, 0), (0, 0, 0, 40), (0, 40, 50, 40), (50, 0, 50, 40)}
