@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Test items are windows of ``size`` consecutive words; a shorter item is one window. Their terms are counted over all training documents, and each window is asked for by its ``RAREST`` rarest terms: only these terms need posting lists. The index is a table of postings (document, term, position) in the shared folder. The lists of a window's terms are taken less the terms' places in the window, so that each gives the places where the window would begin, and are intersected by document and beginning. What is left is confirmed on the documents' words, and gives exact phrases; ``proximities`` gives the places where the rarest terms only stand near each other.
+Test items are windows of ``size`` consecutive words; a shorter item is one window. Their terms are counted over all training documents, and each window is asked for by its ``RAREST`` rarest terms: only these terms need posting lists. Texts are cut into words once, and the words are stored. The index is a table of postings (document, term, position) in the shared folder. The lists of a window's terms are taken less the terms' places in the window, so that each gives the places where the window would begin, and are intersected by document and beginning. What is left is confirmed on the documents' words, and gives exact phrases; ``proximities`` gives the places where the rarest terms only stand near each other.
 
 Everything is an expression or a join. Tables of terms and windows are sent to every task where their measured size is under ``BROADCAST_BYTES``, and the keys of documents with candidates where there are at most ``BROADCAST_KEYS``; beyond that, the joins sort, and what is known of a term is repeated ``SALT`` times, since one term may have a third of all postings. Documents go by 128 bits of a hash of id and text, so rows that repeat share one result.
 
@@ -58,15 +58,20 @@ def windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return w.groupBy("window").agg(F.first("terms").alias("terms")), w.select("window", "item_id").filter("item_id is not null").distinct()
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
+def split(docs: DataFrame) -> DataFrame:
+    """h1, h2, doc_id, n_words, found (the words as they stand), stored: texts are cut into words once, which costs more than all that is done with them afterwards."""
+    found = docs.select(*KEY, "doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY_WORD), F.lit(0)).alias("found"))
+    return materialise(found.withColumn("n_words", F.size("found").cast("long")))
+
+
+def _tokens(split: DataFrame) -> DataFrame:
     """h1, h2, pos, term of every word."""
-    found = F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))
-    return docs.select(*KEY, F.posexplode(found).alias("pos", "word")).select(*KEY, "pos", lowered(F.col("word")).alias("term"))
+    return split.select(*KEY, F.posexplode("found").alias("pos", "word")).select(*KEY, "pos", lowered(F.col("word")).alias("term"))
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """term, n: how often terms occur in docs (h1, h2, text)."""
-    tokens = _tokens(docs).select("term")
+def frequencies(split: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """term, n: how often terms occur in split documents."""
+    tokens = _tokens(split).select("term")
     if small:
         return tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     return tokens.groupBy("term").agg(F.count("*").alias("n")).hint("merge").join(terms.hint("merge"), "term")
@@ -81,9 +86,9 @@ def seeds(wins: DataFrame, counts: DataFrame, rarest: int, small: bool) -> DataF
     return whole.select("window", F.size("rare").alias("need"), F.posexplode("rare").alias("rank", "r")).select("r.term", "window", "r.place", "rank", "need")
 
 
-def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+def postings(split: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """The index, stored: h1, h2, pos, term for every occurrence of the terms."""
-    return materialise(_with(_tokens(docs), terms, "term", small).select("term", *KEY, "pos"))
+    return materialise(_with(_tokens(split), terms, "term", small).select("term", *KEY, "pos"))
 
 
 #: Whether a group has a row of each rank.
@@ -96,18 +101,18 @@ def intersected(index: DataFrame, asked: DataFrame, small: bool) -> DataFrame:
     return starts.groupBy("window", *KEY, "start").agg(F.expr(ALL_RANKS).alias("ok")).filter("ok").drop("ok")
 
 
-def _indexed(docs: DataFrame, items: DataFrame, size: int, rarest: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+def _indexed(split: DataFrame, items: DataFrame, size: int, rarest: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
     wins, of_items = windows(items, size)
     wins = materialise(wins)
     small = _small(wins, F.array_join("terms", " "))
     terms = materialise(wins.select(F.explode("terms").alias("term")).distinct())
-    asked = materialise(seeds(wins, materialise(frequencies(docs, terms, small)), rarest, small))
-    return wins, of_items, asked, postings(docs, asked.select("term").distinct(), small), small
+    asked = materialise(seeds(wins, materialise(frequencies(split, terms, small)), rarest, small))
+    return wins, of_items, asked, postings(split, asked.select("term").distinct(), small), small
 
 
-def _phrases(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def _phrases(docs: DataFrame, words_of: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, hits) of documents with hits, an array of (start, stop, window); and (window, item_id)."""
-    wins, of_items, asked, index, small = _indexed(docs, items, size, RAREST)
+    wins, of_items, asked, index, small = _indexed(words_of, items, size, RAREST)
     found = materialise(intersected(index, asked, small))
     found = found.join(F.broadcast(wins), "window") if small else found.hint("merge").join(wins.hint("merge"), "window")
     # A document's candidates: no more than its words times the lengths that windows have.
@@ -132,11 +137,12 @@ def covered(hits: Column) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated."""
     docs = keyed(docs)
-    hits, of_items = _phrases(docs, items, size)
+    words_of = split(docs)
+    hits, of_items = _phrases(docs, words_of, items, size)
     named = hits.select(*KEY, F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window"))
     named = named.hint("merge").join(of_items.hint("merge"), "window").groupBy(*KEY).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     hits = hits.select(*KEY, covered(F.col("hits")).alias("hit")).hint("merge").join(named.hint("merge"), KEY, "left")
-    every = docs.select(*KEY, "doc_id", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    every = words_of.select(*KEY, "doc_id", "n_words")
     out = every.hint("merge").join(hits.hint("merge"), KEY, "left")
     n_hit, names = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(names), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -145,14 +151,15 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
 @tidy
 def phrases(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The exact occurrences: h1, h2 (a document's key, see ``keyed``), start, stop, item_id."""
-    hits, of_items = _phrases(keyed(docs), items, size)
+    docs = keyed(docs)
+    hits, of_items = _phrases(docs, split(docs), items, size)
     return hits.select(*KEY, F.explode("hits").alias("h")).select(*KEY, "h.*").join(of_items, "window").drop("window")
 
 
 @tidy
 def proximities(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3, within: int = 20) -> DataFrame:
     """h1, h2, pos, item_id: occurrences of the rarest term of an item's window with each other of its ``rarest`` rarest terms at most ``within`` words away, in any order. Lists meet by ranges of ``within`` positions, so a term's occurrences meet those nearby only."""
-    _, of_items, asked, index, small = _indexed(keyed(docs), items, size, rarest)
+    _, of_items, asked, index, small = _indexed(split(keyed(docs)), items, size, rarest)
     placed = materialise(_with(index, asked, "term", small).select("window", *KEY, "pos", "rank", "need"))
     here = F.floor(F.col("pos") / within)
     anchors = placed.filter("rank = 0").select("window", *KEY, F.col("pos").alias("at"), "need", F.explode(F.array(here - 1, here, here + 1)).alias("cell"))

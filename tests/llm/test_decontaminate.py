@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from parcelspark.llm import decontaminate
 from parcelspark.llm.queries import ORACLES, QUERIES
@@ -82,3 +83,16 @@ def test_empty_tables(spark):
 
 def test_query(spark, sf_dir):
     same(QUERIES["op12_decontamination"](spark, sf_dir), connection(sf_dir), ORACLES["op12_decontamination"])
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Whole texts meet the pattern of words once: beside the items' and that of documents with candidates, no other column is made with it."""
+    made = []
+    for name in ("regexp_extract_all", "regexp_count"):
+        of = getattr(F, name)
+        monkeypatch.setattr(F, name, lambda *args, of=of, name=name: made.append(name) or of(*args))
+    docs = spark.createDataFrame([(1, "One two, three"), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "two three")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: (3, 2), 2: (0, 0), 3: (0, 0)}
+    assert made == ["regexp_extract_all"] * 3
