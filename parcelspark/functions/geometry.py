@@ -264,10 +264,11 @@ def ring_length(ring: Column) -> Column:
 
 def point_on(ring: Column) -> tuple[Column, Column]:
     """A point of a ring: its mean vertex where that lies inside, else its first vertex."""
-    x, y = open_mean(ring)
-    inside = point_in_ring(x, y, ring)
-    at = lambda v, k: F.when(inside, v).otherwise(F.get(F.get(ring, F.lit(0)), F.lit(k)))
-    return at(x, 0), at(y, 1)
+    # The ring and its mean are worked out once, not for each edge that the point is held against.
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    corner = lambda r, k: F.get(F.get(r, F.lit(0)), F.lit(k))
+    point = let(lambda r: let(lambda x, y: F.when(point_in_ring(x, y, r), pair(x, y)).otherwise(pair(corner(r, 0), corner(r, 1))), *open_mean(r)), ring)
+    return point["x"], point["y"]
 
 
 def affine(x: Column, y: Column, scale_x: Column, scale_y: Column, degrees: Column, dx: Column, dy: Column) -> tuple[Column, Column]:

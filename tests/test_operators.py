@@ -199,3 +199,13 @@ def test_selections_have_no_cap_of_their_own(spark):
     assert layers.selected_or_all(entities).count() == layers.RETURNED_CAP + 1000
     assert layers.selected_or_all(entities, total=7).count() == 7
     assert layers.capped(entities.withColumn("layer", F.lit("Limites-Parcelles")), 20, 20).count() == layers.RETURNED_CAP + 1000
+
+
+def test_point_of_ring_is_made_once(spark):
+    """The ring, which may be a long expression, is not repeated for its mean, nor the mean for each edge."""
+    x, _ = geo.point_on(F.col("outline_of_it"))
+    assert str(x).count("outline_of_it") == 1
+    rings = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 9.0], [9.0, 9.0], [9.0, 0.0], [8.0, 0.0], [8.0, 8.0], [1.0, 8.0], [1.0, 0.0], [0.0, 0.0]]]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rings)], "k int, r array<array<double>>")
+    x, y = geo.point_on(F.col("r"))
+    assert [tuple(v) for v in df.orderBy("k").select(x, y).collect()] == [(2.0, 2.0), (0.0, 0.0)]
