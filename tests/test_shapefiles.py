@@ -1,7 +1,10 @@
 """Shapefiles in ranges of records, written by several tasks and read again."""
 
+import io
 import time
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geometry as geo
@@ -43,3 +46,19 @@ def test_writing_grows_with_the_records():
     shp, shx = cad.shp_bytes(boxes)
     assert time.process_time() - start < 6
     assert (len(shp), len(shx)) == (100 + 30_000 * 136, 100 + 30_000 * 8)
+
+
+def test_archives_are_handed_on_one_by_one():
+    """A batch of many archives is never unpacked as a whole."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.shp", bytes(1 << 20))
+        z.writestr("a.DBF", b"x")
+        z.writestr("a.shx", b"y")
+    batch = pa.RecordBatch.from_pydict({"path": [f"{k}.zip" for k in range(60)], "content": [out.getvalue()] * 60})
+    sizes, rows = [], []
+    for made in cad.unpacked(iter([batch])):
+        sizes.append(made.nbytes)
+        rows += [(r["path"], r["member"], r["kind"], len(r["content"])) for r in made.to_pylist()]
+    assert max(sizes) < 2 * cad.HELD < sum(sizes)
+    assert rows == [(f"{k}.zip", *m) for k in range(60) for m in (("a.DBF", "dbf", 1), ("a.shp", "shp", 1 << 20))]
