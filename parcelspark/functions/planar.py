@@ -10,6 +10,7 @@ Nulls and empty geometries have no area; rings need not be closed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -259,7 +260,7 @@ def dissolved(found: Iterator[tuple[np.ndarray, ...]], n: int, origin: tuple[np.
     return _geometries(rings, x, y, of, n, origin)
 
 
-def _rings(start: np.ndarray, end: np.ndarray, along: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+def _rings(start: np.ndarray, end: np.ndarray, along: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Nodes of the rings of directed edges that have the inside on their left; where rings touch, each keeps to its own wedge."""
     m = len(start)
     angle = np.r_[np.arctan2(y[end] - y[start], x[end] - x[start]), np.arctan2(y[start] - y[end], x[start] - x[end])]
@@ -284,23 +285,24 @@ def _rings(start: np.ndarray, end: np.ndarray, along: np.ndarray, x: np.ndarray,
                     j -= 1
                 free.discard(j % len(around))
                 follows[e - m] = around[j % len(around)]
-    seen, rings, to = np.zeros(m, dtype=bool), [], follows.tolist()
+    # Most rings have a few nodes: lists are walked faster than arrays of that size are made.
+    seen, rings, to = bytearray(m), [], follows.tolist()
+    side, begins, xs, ys = along.tolist(), start.tolist(), x.tolist(), y.tolist()
     for first in range(m):
         if not seen[first]:
             ring, e = [], first
             while not seen[e]:
-                seen[e] = True
+                seen[e] = 1
                 ring.append(e)
                 e = to[e]
-            side = along[ring]
-            nodes = start[ring][side != np.roll(side, 1)]
-            nodes = _turning(nodes, x[nodes].tolist(), y[nodes].tolist())
+            nodes = [begins[e] for k, e in enumerate(ring) if side[e] != side[ring[k - 1]]]
+            nodes = _turning(nodes, [xs[v] for v in nodes], [ys[v] for v in nodes])
             if len(nodes) >= 3:
                 rings.append(nodes)
     return rings
 
 
-def _turning(nodes: np.ndarray, x: list[float], y: list[float]) -> np.ndarray:
+def _turning(nodes: list[int], x: list[float], y: list[float]) -> list[int]:
     """The nodes of a ring without those that lie between the one kept before and the next."""
     kept: list[int] = []
     for k in range(len(x)):
@@ -308,12 +310,14 @@ def _turning(nodes: np.ndarray, x: list[float], y: list[float]) -> np.ndarray:
         ax, ay, bx, by = x[k] - x[p], y[k] - y[p], x[q] - x[p], y[q] - y[p]
         if abs(ax * by - ay * bx) > APART / 10 * (abs(bx) + abs(by)):
             kept.append(k)
-    return nodes[kept]
+    return [nodes[k] for k in kept]
 
 
-def _geometries(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray, of: np.ndarray, n: int, origin: tuple[np.ndarray, np.ndarray]) -> pa.Array:
-    area = np.array([float(np.sum(x[r] * np.roll(y[r], -1) - np.roll(x[r], -1) * y[r])) / 2 for r in rings])
-    row = np.array([of[r[0]] for r in rings], dtype=np.int64)
+def _geometries(rings: list[list[int]], x: np.ndarray, y: np.ndarray, of: np.ndarray, n: int, origin: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    here, after = (np.fromiter(chain.from_iterable(r), np.int64) for r in (rings, ([*r[1:], r[0]] for r in rings)))
+    starts = np.r_[0, np.cumsum(np.array([len(r) for r in rings], dtype=np.int64))][:-1]
+    area = np.add.reduceat(x[here] * y[after] - x[after] * y[here], starts) / 2 if rings else np.zeros(0)
+    row = of[here[starts]]
     shells = [[] for _ in range(n)]
     holes: dict[int, list[int]] = {}
     for k in np.flatnonzero(area > 0).tolist():
@@ -328,8 +332,8 @@ def _geometries(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray, of: np.nd
             holes.setdefault(min(own, key=lambda s: area[s]), []).append(k)
     order = [[[s, *holes.get(s, [])] for s in shells[i]] for i in range(n)]
     flat = [k for polygons in order for p in polygons for k in p]
-    closed = [np.r_[rings[k], rings[k][:1]] for k in flat]
-    nodes = np.concatenate(closed) if closed else np.zeros(0, np.int64)
+    closed = [[*rings[k], rings[k][0]] for k in flat]
+    nodes = np.fromiter(chain.from_iterable(closed), np.int64)
     points = np.stack([x[nodes] + origin[0][of[nodes]], y[nodes] + origin[1][of[nodes]]], axis=1).ravel() if len(nodes) else np.zeros(0)
     ends = lambda sizes: pa.array(np.r_[0, np.cumsum(np.array(sizes, dtype=np.int64))], type=pa.int32())
     level = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(nodes) + 1, 2), type=pa.int32()), pa.array(points))

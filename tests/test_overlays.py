@@ -170,3 +170,17 @@ def test_a_batch_is_as_one_after_the_other(spark):
     want, refused = one_by_one(layer, requests, boundary)
     assert {r["request_id"]: r["refused"] for r in outcomes.collect()} == refused and len({*refused.values()}) >= 3
     assert got == want
+
+
+def test_no_arrays_of_single_rings(monkeypatch):
+    """Overlays of many rows make arrays for all of them, none for a ring or a row."""
+    kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+    box = lambda x, y, w, h: [[[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]]
+    a, b = (pa.array([box(40.0 * k + d, 0.0, 44.0, 30.0) for k in range(500)], kind) for d in (0.0, 40.0))
+    calls = []
+    for name in ("roll", "concatenate"):
+        of = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *args, of=of, **how: calls.append(1) or of(*args, **how))
+    left = planar.pieces(a, b, "difference").to_pylist()
+    assert len(calls) < 500
+    assert [sorted(map(tuple, g[0][0][:-1])) for g in left] == [sorted([(40.0 * k, 0.0), (40.0 * k + 40, 0.0), (40.0 * k + 40, 30.0), (40.0 * k, 30.0)]) for k in range(500)]
