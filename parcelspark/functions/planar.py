@@ -411,6 +411,33 @@ def overlay_parts(a: Column, b: Column, operation: str) -> Column:
     return made(a, b)
 
 
+def mixed_pieces(a: pa.Array, b: pa.Array, operation: pa.Array) -> pa.Array:
+    """As pieces, with an operation for each row; null where it is null."""
+    named = np.array(operation.to_pylist(), dtype=object)
+    out, at = [], []
+    for how in KEEP:
+        rows = np.flatnonzero(named == how)
+        if len(rows):
+            out.append(pieces(a.take(pa.array(rows)), b.take(pa.array(rows)), how))
+            at.append(rows)
+    place = np.full(len(named), -1)
+    if at:
+        place[np.concatenate(at)] = np.arange(sum(map(len, at)))
+    kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+    made = pa.concat_arrays([g.cast(kind) for g in out]) if out else pa.nulls(0, kind)
+    return made.take(pa.array(place, mask=place < 0))
+
+
+def overlay_each(a: Column, b: Column, operation: Column) -> Column:
+    """As overlay_parts, with an operation for each row: the geometries cross to Python once, whatever the number of operations."""
+
+    @arrow_udf(PARTS)
+    def made(x: pa.Array, y: pa.Array, how: pa.Array) -> pa.Array:
+        return mixed_pieces(x, y, how)
+
+    return made(a, b, operation)
+
+
 def _is_box(g: Column) -> Column:
     """One ring of five vertices whose edges follow the axes, closed."""
     ring = F.get(F.get(g, F.lit(0)), F.lit(0))

@@ -24,8 +24,8 @@ def _carried_out(ready: DataFrame, state: DataFrame) -> DataFrame:
     # The geometry that changes, and the one that changes it.
     other = (action == "clip_second") | merge
     mine, with_ = F.when(other, F.col("b")).otherwise(F.col("a")), F.when(assign, F.col("gap")).when(cut, F.col("boundary")).when(other, F.col("a")).otherwise(F.col("b"))
-    by = lambda which, how: planar.overlay_parts(F.when(which, mine), F.when(which, with_), how)
-    made = F.when(clip, by(clip, "difference")).when(merge | assign, by(merge | assign, "union")).when(cut, by(cut, "intersection"))
+    how = F.when(clip, "difference").when(merge | assign, "union").when(cut, "intersection")
+    made = planar.overlay_each(F.when(how.isNotNull(), mine), F.when(how.isNotNull(), with_), how)
     rows = met.select("request_id", "action", F.when(other, F.col("other_idx")).otherwise(F.col("feature_idx")).alias("changed"), F.when(merge, F.col("feature_idx")).alias("gone"), made.alias("made"), F.col("a").isNull().alias("no_a"), F.col("b").isNull().alias("no_b"), with_.isNull().alias("none"))
     empty = F.coalesce(F.size("made") == 0, F.lit(True))
     two = F.col("action").isin(*OVERLAPPING, "merge_neighbor")

@@ -184,3 +184,15 @@ def test_no_arrays_of_single_rings(monkeypatch):
     left = planar.pieces(a, b, "difference").to_pylist()
     assert len(calls) < 500
     assert [sorted(map(tuple, g[0][0][:-1])) for g in left] == [sorted([(40.0 * k, 0.0), (40.0 * k + 40, 0.0), (40.0 * k + 40, 30.0), (40.0 * k, 30.0)]) for k in range(500)]
+
+
+def test_operations_by_row():
+    """Rows of different operations are worked out together and come back in their order."""
+    kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+    box = lambda x: [[[[x, 0.0], [x + 4, 0.0], [x + 4, 2.0], [x, 2.0], [x, 0.0]]]]
+    hows = ["union", None, "difference", "intersection", "difference", "union"]
+    a, b = pa.array([box(10.0 * k) for k in range(6)], kind), pa.array([box(10.0 * k + 1) if k != 4 else None for k in range(6)], kind)
+    got = planar.mixed_pieces(a, b, pa.array(hows)).to_pylist()
+    want = [planar.pieces(a.slice(k, 1), b.slice(k, 1), h).to_pylist()[0] if h else None for k, h in enumerate(hows)]
+    assert got == want
+    assert planar.mixed_pieces(a, b, pa.nulls(6, pa.string())).to_pylist() == [None] * 6
