@@ -4,10 +4,13 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parcelspark.operators import components, lineage, network
 from parcelspark.operators.components import connected
+from parcelspark.operators.grouping import groups_up_to
 from parcelspark.operators.network import polygonize
 from parcelspark.operators.running import running
 from parcelspark.operators.spatial import box_join
@@ -131,3 +134,59 @@ def test_shared_ends_are_no_cuts(spark):
     boxes = segs.select("net", F.struct(*network.ENDS).alias("seg"), *[F.col(f"{e}{c}").cast("double").alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"])
     pairs = box_join(boxes, boxes, 60.0, self_join_on="seg", by=["net"]).select("l_net", "l_seg", "r_seg")
     assert {(r.ax, r.ay, r.x, r.y) for r in network._cuts(pairs).collect()} == {(0, 0, 50, 0), (0, 0, 0, 40), (0, 40, 50, 40), (50, 0, 50, 40)}
+
+
+def field(n, x0=0.0, y0=0.0):
+    """Cells of 10 by 10 whose sides neighbours repeat, an island in each, a line through all of them, and one that ends in a cell."""
+    lines = [[(x + x0, y + y0) for x, y in line] for i in range(n) for j in range(n) for line in (box(10 * i, 10 * j, 10 * i + 10, 10 * j + 10), box(10 * i + 2, 10 * j + 2, 10 * i + 4, 10 * j + 5))]
+    return lines + [[(x0, y0 + 6), (x0 + 10 * n, y0 + 6)], [(x0 + 5, y0 + 10), (x0 + 5, y0 + 9)]]
+
+
+def field_faces(n):
+    return sorted([(100.0 - 6, 2, 5)] * (n * n - n) + [(60.0 - 6, 2, 5)] * n + [(40.0, 1, 5)] * n + [(6.0, 1, 5)] * (n * n))
+
+
+def test_faces_across_tiles(spark, monkeypatch):
+    """Outlines in one tile take no part in the components; faces and holes of several tiles come out whole."""
+    sizes = []
+    monkeypatch.setattr(network, "connected", lambda links: sizes.append(links.count()) or connected(links))
+    got = faces(spark, {"n": field(20)}, size=2.0)["n"]
+    # Points that neighbours have on a side are nodes of the cells beside the long line only.
+    assert sorted((a, r) for a, r, _ in got) == sorted((a, r) for a, r, _ in field_faces(20))
+    assert len(sizes) == 1 and 0 < sizes[0] < 20 * 20 * 8 / 3
+
+
+def test_tiles_with_too_many_rows(spark, monkeypatch):
+    """They go through joins and windows, with the same faces."""
+    calls = []
+    monkeypatch.setattr(network, "MOST", 20)
+    monkeypatch.setattr(network, "ROWS", 10)
+    cuts = network._cuts
+    monkeypatch.setattr(network, "_cuts", lambda pairs: calls.append(1) or cuts(pairs))
+    got = faces(spark, {"n": field(6), "small": [box(0, 0, 4, 4), [(2, -1), (2, 5)]]}, size=1.0)
+    assert sorted((a, r) for a, r, _ in got["n"]) == sorted((a, r) for a, r, _ in field_faces(6))
+    assert got["small"] == [(8.0, 1, 5), (8.0, 1, 5)] and calls
+
+
+def test_drawings_far_north(spark):
+    """A drawing that goes on beyond 4,000 km keeps its lines."""
+    nets = {f"{y}": field(2, 250_000.0, y) for y in (3_749_990.0, 17_800_000.0, -9_000_000.0)}
+    for got in faces(spark, nets).values():
+        assert sorted((a, r) for a, r, _ in got) == sorted((a, r) for a, r, _ in field_faces(2))
+
+
+def test_groups_in_parts():
+    """Groups come whole, and in parts where they are too large; null is a group of its own."""
+    keys = ["a"] * 3 + ["b"] * 50 + ["c"] * 2 + [None] * 4 + ["d"] * 25 + ["e"]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + 7], pa.string()), "v": list(range(i, min(i + 7, len(keys))))}) for i in range(0, len(keys), 7)]
+    rows, whole, large = [], [], []
+    for t, group in groups_up_to(iter(batches), ["k"], 6, 20):
+        rows += t["v"].to_pylist()
+        assert t.num_rows <= 20 + 7 + 6
+        if group is None:
+            large += t["k"].to_pylist()
+        else:
+            names = t["k"].to_pylist()
+            assert len({(g, n) for g, n in zip(group.tolist(), names, strict=True)}) == len(np.unique(group)) == len(set(names))
+            whole += [n for n, first in zip(names, np.append(True, group[1:] != group[:-1]), strict=True) if first]
+    assert rows == list(range(len(keys))) and whole == ["a", "c", None, "e"] and large == ["b"] * 50 + ["d"] * 25
