@@ -209,3 +209,9 @@ def test_point_of_ring_is_made_once(spark):
     df = spark.createDataFrame([(k, r) for k, r in enumerate(rings)], "k int, r array<array<double>>")
     x, y = geo.point_on(F.col("r"))
     assert [tuple(v) for v in df.orderBy("k").select(x, y).collect()] == [(2.0, 2.0), (0.0, 0.0)]
+
+
+def test_numbers_beyond_six_digits_stay_apart(spark):
+    rows = spark.createDataFrame([(k, "AUTO_999998" if k == 0 else "7" if k % 2 else "", k > 0 and k % 2 == 0) for k in range(0, 9000, 500)] + [(1, "AUTO_x", False)], "feature_idx long, nicad string, missing boolean")
+    got = correction.assign_auto(rows).orderBy("feature_idx").collect()
+    assert [r["nicad"] for r in got] == [f"AUTO_{999_999 + k}" for k in range(17)]
